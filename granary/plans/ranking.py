@@ -105,34 +105,33 @@ def with_running_totals(
     )
 
 
-def exact_quantiles(
-    values: DataFrame,
+def value_counts(values: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct values per key with their number of `copies`."""
+    return (
+        values.where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+
+
+def quantiles_of_counts(
+    counts: DataFrame,
     value: str,
     probabilities: Mapping[str, float],
     keys: Sequence[str] = (),
-    weight: str | None = None,
     **bucketing,
 ) -> DataFrame:
-    """Linearly interpolated quantiles of `value` per key, exact at any size.
+    """Linearly interpolated quantiles from distinct values and their `copies`.
 
-    Rows may carry a `weight` (a count of copies). Returns the keys, one column
-    per named probability and `n`, the number of values.
+    Exact at any size. Returns the keys, one column per named probability and
+    `n`, the number of values.
     """
     keys = list(keys)
-    copies = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (
-        values.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(copies.cast("bigint").alias("copies"))
-    )
-    placed = with_running_totals(
-        counts, [F.col(value)], {"copies": "bigint"}, keys, **bucketing
-    )
+    placed = with_running_totals(counts, [F.col(value)], {"copies": "bigint"}, keys, **bucketing)
     through = F.col("copies_before") + F.col("copies")
     picks = []
     for name, p in probabilities.items():
-        at = (F.col("copies_total") - 1) * F.lit(float(p))
-        low = F.floor(at)
+        low = F.floor((F.col("copies_total") - 1) * F.lit(float(p)))
         high = F.least(low + 1, F.col("copies_total") - 1)
         picks += [
             F.min(F.when(through > low, F.col(value))).alias(f"_{name}_low"),
@@ -145,3 +144,15 @@ def exact_quantiles(
         low, high = F.col(f"_{name}_low"), F.col(f"_{name}_high")
         results.append((low + (high - low) * (at - F.floor(at))).alias(name))
     return found.select(*keys, *results, "n")
+
+
+def exact_quantiles(
+    values: DataFrame,
+    value: str,
+    probabilities: Mapping[str, float],
+    keys: Sequence[str] = (),
+    **bucketing,
+) -> DataFrame:
+    """Linearly interpolated quantiles of `value` per key."""
+    counts = value_counts(values, value, keys)
+    return quantiles_of_counts(counts, value, probabilities, keys, **bucketing)

@@ -265,3 +265,242 @@ FROM idle LEFT JOIN turn USING (product_id) LEFT JOIN cover USING (product_id)
 LEFT JOIN abc_tiers USING (product_id) LEFT JOIN xyz USING (product_id)
 LEFT JOIN buffers USING (product_id)""",
 )
+
+# --- exploration -----------------------------------------------------------
+
+sql(
+    "demand_over_time",
+    """
+SELECT strftime(date, '%Y-%m-%d') AS day, sum(quantity_sold) AS quantity_sold FROM sales GROUP BY 1""",
+)
+sql(
+    "revenue_by_category",
+    """
+SELECT category, round(sum(quantity_sold * unit_price), 2) AS revenue FROM sales GROUP BY 1""",
+)
+sql(
+    "top_products",
+    """
+SELECT product_name AS label, sum(quantity_sold) AS quantity_sold FROM sales GROUP BY 1
+ORDER BY 2 DESC, 1 LIMIT 10""",
+)
+sql(
+    "trending_products",
+    """,
+span AS (SELECT epoch_us(min(date)) AS a, epoch_us(max(date)) AS b FROM sales),
+early AS (SELECT product_name, avg(quantity_sold) AS m FROM sales, span
+          WHERE epoch_us(date) <= a + (b - a) / 3.0 GROUP BY 1),
+recent AS (SELECT product_name, avg(quantity_sold) AS m FROM sales, span
+           WHERE epoch_us(date) >= b - (b - a) / 3.0 GROUP BY 1)
+SELECT product_name AS label, round((recent.m - early.m) / early.m * 100, 6) AS growth_percent
+FROM early JOIN recent USING (product_name) ORDER BY (recent.m - early.m) / early.m DESC, 1 LIMIT 10""",
+)
+LONG = """,
+long AS (
+  SELECT product_id, date, 'quantity_sold' AS field, quantity_sold AS value FROM sales
+  UNION ALL SELECT product_id, date, 'unit_price', unit_price FROM sales
+  UNION ALL SELECT product_id, date, 'unit_cost', unit_cost FROM sales
+  UNION ALL SELECT product_id, date, 'current_stock', current_stock FROM sales
+)"""
+
+
+def box(keys: str) -> str:
+    return f""",
+quart AS (
+  SELECT {keys}, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+         quantile_cont(value, 0.75) AS q3, count(*) AS n
+  FROM long GROUP BY {keys}
+),
+limits AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM quart),
+tagged AS (SELECT long.*, value >= lower_fence AND value <= upper_fence AS inside
+           FROM long JOIN limits USING ({keys})),
+ends AS (
+  SELECT {keys}, min(value) AS minimum, max(value) AS maximum,
+         min(value) FILTER (inside) AS lower_whisker, max(value) FILTER (inside) AS upper_whisker,
+         count(*) FILTER (NOT inside) AS outliers
+  FROM tagged GROUP BY {keys}
+)
+SELECT {keys}, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, n,
+       round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence,
+       round(minimum, 6) AS minimum, round(maximum, 6) AS maximum,
+       round(lower_whisker, 6) AS lower_whisker, round(upper_whisker, 6) AS upper_whisker, outliers
+FROM limits JOIN ends USING ({keys})"""
+
+
+sql("distribution_summary", LONG + box("field"))
+sql("product_distribution", LONG + box("product_id, field"))
+sql(
+    "outlier_points",
+    LONG
+    + f""",
+quart AS (SELECT field, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY 1)
+SELECT field, product_id, {TS.format('date')} AS date, round(value, 6) AS value
+FROM long JOIN quart USING (field)
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""",
+)
+STATS = """
+SELECT sum(quantity_sold) AS total_units_sold, count(DISTINCT product_id) AS distinct_products,
+       date_sub('day', min(date), max(date)) AS date_range_days,
+       {revenue} AS total_revenue{more}
+FROM sales"""
+sql("eda_stats", STATS.format(revenue="round(sum(quantity_sold * unit_price), 2)", more=""))
+sql(
+    "eda_overview",
+    STATS.format(
+        revenue="round(sum(quantity_sold * unit_price), 2)",
+        more=""",
+       'product_name, category, unit_price, unit_cost, warehouse_id, current_stock, lead_time_days' AS available_fields,
+       '' AS unavailable_fields,
+       'demand_over_time, revenue_by_category, top_products, distribution_quantity_sold, distribution_unit_price, '
+       || 'distribution_unit_cost, distribution_current_stock' AS parts""",
+    ),
+)
+sql(
+    "eda_overview_events",
+    STATS.format(
+        revenue="NULL::DOUBLE",
+        more=""",
+       'category, warehouse_id' AS available_fields,
+       'product_name, unit_price, unit_cost, current_stock, lead_time_days' AS unavailable_fields,
+       'demand_over_time, top_products, distribution_quantity_sold' AS parts""",
+    ).replace("sum(quantity_sold) AS", "round(sum(quantity_sold), 6) AS"),
+    base=EVENTS_SQL,
+)
+sql(
+    "product_labels",
+    """,
+named AS (SELECT DISTINCT product_id, product_name FROM sales)
+SELECT product_id, CASE WHEN count(*) OVER (PARTITION BY product_name) > 1
+                        THEN product_name || ' (' || product_id || ')' ELSE product_name END AS label
+FROM named""",
+)
+sql(
+    "product_stats",
+    """
+SELECT product_id, any_value(product_name) AS display_name, sum(quantity_sold) AS total_units_sold,
+       date_sub('day', min(date), max(date)) AS date_range_days,
+       round(sum(quantity_sold * unit_price), 2) AS total_revenue,
+       round(sum((unit_price - unit_cost) * quantity_sold), 2) AS total_profit
+FROM sales GROUP BY product_id""",
+)
+sql(
+    "product_daily_demand",
+    """
+SELECT product_id, strftime(date, '%Y-%m-%d') AS day, sum(quantity_sold) AS quantity FROM sales GROUP BY 1, 2""",
+    base=RETURNS_SQL,
+)
+
+# --- validation and cleaning -----------------------------------------------
+
+NUM_LONG = """,
+long AS (
+  SELECT 'quantity_sold' AS field, quantity_sold AS value FROM typed WHERE quantity_sold IS NOT NULL
+  UNION ALL SELECT 'unit_price', unit_price FROM typed WHERE unit_price IS NOT NULL
+  UNION ALL SELECT 'unit_cost', unit_cost FROM typed WHERE unit_cost IS NOT NULL
+  UNION ALL SELECT 'current_stock', current_stock FROM typed WHERE current_stock IS NOT NULL
+),
+quart AS (SELECT field, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(*) AS n
+          FROM long GROUP BY 1),
+bounds AS (
+  SELECT field, any_value(q1) AS q1, any_value(q3) AS q3, any_value(q1 - 1.5 * (q3 - q1)) AS lower_fence,
+         any_value(q3 + 1.5 * (q3 - q1)) AS upper_fence, any_value(n) AS n,
+         count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outliers
+  FROM long JOIN quart USING (field) GROUP BY field
+),
+cats AS (SELECT 'category' AS field, category AS value FROM dirty
+         UNION ALL SELECT 'warehouse_id', warehouse_id FROM dirty),
+rare AS (
+  SELECT field, value, count(*) AS rows FROM cats GROUP BY field, value
+  QUALIFY count(*) < 0.01 * sum(count(*)) OVER (PARTITION BY field)
+)"""
+_T = "(SELECT count(*) FROM dirty)"
+
+
+def _count(position, name, severity, field, condition, keep="c > 0"):
+    return (
+        f"SELECT * FROM (SELECT {position} AS position, '{name}' AS check_name, {severity} AS severity, "
+        f"'{field}' AS affected_field, count(*) FILTER ({condition}) AS c, count(*) AS n FROM typed) WHERE {keep}"
+    )
+
+
+_missing = "CASE WHEN c > 0.5 * n THEN 'error' ELSE 'warning' END"
+_parts = [
+    _count(2, "date_parseable", "'error'", "date", "date IS NULL", "c > 0.5 * n"),
+    _count(4, "date_missing", "'warning'", "date", "raw_date IS NULL"),
+    _count(5, "product_id_missing", "'warning'", "product_id", "product_id IS NULL"),
+    _count(6, "quantity_sold_missing", "'warning'", "quantity_sold", "raw_quantity IS NULL"),
+    _count(7, "quantity_sold_not_numeric", "'error'", "quantity_sold", "quantity_sold IS NULL"),
+    _count(9, "unit_cost_not_numeric", "'error'", "unit_cost", "unit_cost IS NULL"),
+    _count(11, "dates_in_future", "'warning'", "date", "date > TIMESTAMP '2001-06-01'"),
+    _count(12, "dates_absurdly_old", "'warning'", "date", "date < TIMESTAMP '1990-01-01'"),
+    _count(13, "negative_quantity_sold", "'warning'", "quantity_sold", "quantity_sold < 0"),
+    _count(14, "unit_price_negative", "'warning'", "unit_price", "unit_price < 0"),
+    _count(15, "unit_cost_negative", "'warning'", "unit_cost", "unit_cost < 0"),
+]
+ISSUES = (
+    NUM_LONG
+    + ",\nissues AS ("
+    + "\nUNION ALL ".join(_parts)
+    + """
+UNION ALL
+SELECT 15 + list_position(['quantity_sold', 'unit_price', 'unit_cost', 'current_stock'], field),
+       field || '_outliers', 'warning', field, outliers, n FROM bounds WHERE outliers > 0
+UNION ALL
+SELECT 19 + list_position(['category', 'warehouse_id'], field), field || '_rare_values', 'warning', field,
+       CAST(sum(rows) AS BIGINT), 0 FROM rare GROUP BY field)
+SELECT CAST(position AS BIGINT) AS position, check_name, severity, affected_field, c AS affected_row_count
+FROM issues"""
+)
+sql("validation_issues", ISSUES, base=DIRTY_SQL)
+for _check in (
+    "product_id_missing", "quantity_sold_not_numeric", "unit_cost_not_numeric", "dates_in_future",
+    "dates_absurdly_old", "negative_quantity_sold", "unit_price_outliers", "warehouse_id_rare_values",
+):
+    sql(f"check_{_check}", ISSUES + f" WHERE check_name = '{_check}'", base=DIRTY_SQL)
+sql(
+    "outlier_bounds",
+    NUM_LONG
+    + """
+SELECT field, round(q1, 6) AS q1, round(q3, 6) AS q3, round(lower_fence, 6) AS lower_fence,
+       round(upper_fence, 6) AS upper_fence, n, outliers
+FROM bounds""",
+    base=DIRTY_SQL,
+)
+sql("rare_values", NUM_LONG + "\nSELECT field, value, rows FROM rare", base=DIRTY_SQL)
+sql(
+    "record_violations",
+    "\n"
+    + "\nUNION ALL ".join(
+        f"SELECT '{f}' AS field, count(*) FILTER ({f} < 0) AS violations FROM typed"
+        for f in ("quantity_sold", "unit_price", "unit_cost", "current_stock", "lead_time_days")
+    ),
+    base=DIRTY_SQL,
+)
+_KEPT = "date IS NOT NULL AND product_id IS NOT NULL AND quantity_sold IS NOT NULL"
+sql(
+    "cleaned_rows",
+    f"""
+SELECT {TS.format('date')} AS date, product_id, quantity_sold, product_name, category, unit_price,
+       unit_cost, warehouse_id, current_stock, lead_time_days
+FROM typed WHERE {_KEPT}""",
+    base=DIRTY_SQL,
+)
+sql(
+    "cleaning_actions",
+    f"""
+SELECT 'date_parseable' AS check_name, 'dropped_rows' AS action, 'date' AS affected_field,
+       count(*) FILTER (date IS NULL) AS affected_row_count FROM typed
+UNION ALL SELECT 'required_field_missing', 'dropped_rows', NULL,
+       count(*) FILTER (date IS NOT NULL AND (product_id IS NULL OR raw_quantity IS NULL)) FROM typed
+UNION ALL SELECT 'quantity_sold_not_numeric', 'dropped_rows', 'quantity_sold',
+       count(*) FILTER (date IS NOT NULL AND product_id IS NOT NULL AND quantity_sold IS NULL) FROM typed
+UNION ALL SELECT 'unit_cost_not_numeric', 'coerced_to_null', 'unit_cost',
+       count(*) FILTER ({_KEPT} AND unit_cost IS NULL) FROM typed""",
+    base=DIRTY_SQL,
+)
+sql(
+    "cleaning_row_counts",
+    f"""
+SELECT count(*) AS rows_before, count(*) FILTER ({_KEPT}) AS rows_after FROM typed""",
+    base=DIRTY_SQL,
+)

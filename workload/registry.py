@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import kpis
+from granary.operators import cleaning, eda, kpis, validation
 from granary.schema import Sales, field_availability
 from granary.session import configure
 from workload import views
@@ -53,3 +53,44 @@ on_sales("kpi_summary", kpis.kpi_summary)
 on_sales("lowest_cover", kpis.lowest_cover)
 on_sales("flagged_stock", kpis.flagged_stock, views.sales_returns)
 on_sales("tier_counts", kpis.tier_counts)
+
+# Exploration
+on_sales("demand_over_time", eda.demand_over_time)
+on_sales("revenue_by_category", eda.revenue_by_category, revenue=2)
+on_sales("top_products", eda.top_products)
+on_sales("trending_products", eda.trending_products)
+on_sales("distribution_summary", eda.distribution_summary)
+on_sales("product_distribution", eda.product_distribution)
+on_sales("outlier_points", eda.outlier_points)
+on_sales("eda_stats", eda.eda_stats, total_revenue=2)
+on_sales("eda_overview", eda.eda_overview, total_revenue=2)
+on_sales("eda_overview_events", eda.eda_overview, views.events_sales)
+on_sales("product_labels", eda.product_labels)
+on_sales("product_stats", eda.product_stats, total_revenue=2, total_profit=2)
+on_sales("product_daily_demand", eda.product_daily_demand, views.sales_returns)
+
+# Validation and cleaning
+AS_OF = "2001-06-01 00:00:00"
+
+
+def _issues(spark, sf_dir):
+    rows = views.sales_dirty(spark, sf_dir)
+    return validation.validation_issues(rows, F.lit(AS_OF).cast("timestamp_ntz")).drop("message")
+
+
+query("validation_issues")(_issues)
+for _check in (
+    "product_id_missing", "quantity_sold_not_numeric", "unit_cost_not_numeric", "dates_in_future",
+    "dates_absurdly_old", "negative_quantity_sold", "unit_price_outliers", "warehouse_id_rare_values",
+):
+    query(f"check_{_check}")(
+        lambda s, d, name=_check: _issues(s, d).where(F.col("check_name") == name)
+    )
+query("outlier_bounds")(lambda s, d: validation.outlier_bounds(views.sales_dirty(s, d)))
+query("rare_values")(lambda s, d: validation.rare_values(views.sales_dirty(s, d)))
+query("record_violations")(lambda s, d: validation.record_violations(views.sales_dirty(s, d)))
+query("cleaned_rows")(lambda s, d: cleaning.clean(views.sales_dirty(s, d)).sales.df.drop("_ord"))
+query("cleaning_actions")(
+    lambda s, d: cleaning.cleaning_actions(views.sales_dirty(s, d)).drop("message")
+)
+query("cleaning_row_counts")(lambda s, d: cleaning.row_counts(views.sales_dirty(s, d)))

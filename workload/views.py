@@ -20,13 +20,15 @@ def sales_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stock = F.greatest(
         F.lit(0), (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 60 - 12
     ).cast("double")
+    # To the cent; floor keeps ties the same in both engines.
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + 0.5) / 100.0
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_shipdate").alias("date"),
         F.col("l_partkey").cast("string").alias("product_id"),
         F.col("l_quantity").alias("quantity_sold"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+        price.alias("unit_price"),
         F.col("p_retailprice").alias("unit_cost"),
         F.col("l_suppkey").cast("string").alias("warehouse_id"),
         stock.alias("current_stock"),
@@ -98,7 +100,7 @@ def sales_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("quantity_sold"),
         "product_name",
         "category",
-        F.round("unit_price", 2).cast("decimal(18,2)").cast("string").alias("unit_price"),
+        F.col("unit_price").cast("decimal(18,2)").cast("string").alias("unit_price"),
         F.when(order % 30 == 9, "expensive")
         .otherwise(F.round("unit_cost", 2).cast("decimal(18,2)").cast("string"))
         .alias("unit_cost"),
@@ -153,7 +155,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALES_SQL = """
 sales AS (
   SELECT l_shipdate AS date, CAST(l_partkey AS VARCHAR) AS product_id, l_quantity AS quantity_sold,
-         p_name AS product_name, p_type AS category, l_extendedprice / l_quantity AS unit_price,
+         p_name AS product_name, p_type AS category, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100.0 AS unit_price,
          p_retailprice AS unit_cost, CAST(l_suppkey AS VARCHAR) AS warehouse_id,
          CAST(greatest(0, (l_orderkey * 7 + l_linenumber * 13) % 60 - 12) AS DOUBLE) AS current_stock,
          CAST(1 + l_suppkey % 14 AS DOUBLE) AS lead_time_days,
