@@ -76,7 +76,7 @@ def scalar_counts(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     return typed.agg(*counts)
 
 
-def _scalar_issues(df: DataFrame, as_of) -> DataFrame:
+def scalar_issues(df: DataFrame, as_of) -> DataFrame:
     counts = scalar_counts(df, as_of)
     rows = F.col("rows")
 
@@ -227,7 +227,7 @@ def validation_issues(
             F.col("rows").alias("affected_row_count"),
         )
     )
-    return _scalar_issues(df, as_of).unionByName(outliers).unionByName(rare)
+    return scalar_issues(df, as_of).unionByName(outliers).unionByName(rare)
 
 
 def record_violations(df: DataFrame) -> DataFrame:

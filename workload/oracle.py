@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.views import BRAND_SQL, DIRTY_SQL, ORD_SQL, RETURNS_SQL, SALES_SQL
+from workload.views import HEADERS, BRAND_SQL, DIRTY_SQL, ORD_SQL, RETURNS_SQL, SALES_SQL
 
 ORACLE = {}
 
@@ -504,3 +504,26 @@ sql(
 SELECT count(*) AS rows_before, count(*) FILTER ({_KEPT}) AS rows_after FROM typed""",
     base=DIRTY_SQL,
 )
+
+# --- sources and mapping ---------------------------------------------------
+
+sql(
+    "load_summary",
+    """
+SELECT 'lineitem' AS source, 'parquet' AS format, count(*) AS row_count, 11 AS column_count FROM lineitem""",
+    base="z AS (SELECT 1)",
+)
+_headers = ", ".join("'" + h + "'" for h in HEADERS)
+sql(
+    "normalize_names",
+    """
+SELECT source_id, position, raw_column,
+       regexp_replace(regexp_replace(lower(trim(raw_column)), '[\\s\\-]+', '_', 'g'), '[^\\w]', '', 'g') AS normalized
+FROM cat""",
+    base=f"""
+cat AS (
+  SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS source_id, (l_partkey + l_linenumber * l_suppkey) % 97 AS position,
+         [{_headers}][CAST(1 + (l_partkey + l_linenumber * l_suppkey) % 97 AS INTEGER)] AS raw_column
+  FROM lineitem WHERE (l_partkey + l_linenumber * l_suppkey) % 97 < {len(HEADERS)}
+)""",
+)

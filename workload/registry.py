@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import cleaning, eda, kpis, validation
+from granary.operators import cleaning, eda, kpis, mapping, validation
 from granary.schema import Sales, field_availability
 from granary.session import configure
+from granary.sources import readers, results
 from workload import views
 from workload.present import present
 
@@ -81,8 +82,14 @@ def _issues(spark, sf_dir):
 query("validation_issues")(_issues)
 for _check in (
     "product_id_missing", "quantity_sold_not_numeric", "unit_cost_not_numeric", "dates_in_future",
-    "dates_absurdly_old", "negative_quantity_sold", "unit_price_outliers", "warehouse_id_rare_values",
+    "dates_absurdly_old", "negative_quantity_sold",
 ):
+    query(f"check_{_check}")(
+        lambda s, d, name=_check: validation.scalar_issues(
+            views.sales_dirty(s, d), F.lit(AS_OF).cast("timestamp_ntz")
+        ).where(F.col("check_name") == name).drop("message")
+    )
+for _check in ("unit_price_outliers", "warehouse_id_rare_values"):
     query(f"check_{_check}")(
         lambda s, d, name=_check: _issues(s, d).where(F.col("check_name") == name)
     )
@@ -94,3 +101,20 @@ query("cleaning_actions")(
     lambda s, d: cleaning.cleaning_actions(views.sales_dirty(s, d)).drop("message")
 )
 query("cleaning_row_counts")(lambda s, d: cleaning.row_counts(views.sales_dirty(s, d)))
+
+# Sources and mapping
+query("load_summary")(
+    lambda s, d: readers.load_summary(
+        readers.read_source(s, f"{d}/lineitem.parquet"), "lineitem", "parquet"
+    )
+)
+query("dataset_fingerprint")(
+    lambda s, d: results.dataset_fingerprint(views.table(s, d, "lineitem"))
+)
+query("normalize_names")(
+    lambda s, d: views.catalogue(s, d).withColumn(
+        "normalized", mapping.normalize_name(F.col("raw_column"))
+    )
+)
+query("column_scores")(lambda s, d: mapping.column_scores(views.catalogue(s, d)))
+query("suggest_mappings")(lambda s, d: mapping.suggest_mappings(views.catalogue(s, d)))

@@ -142,7 +142,6 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column headers of one file per supplier; the lines decide which it has."""
     headers = F.array(*[F.lit(h) for h in HEADERS])
     pick = ((F.col("l_partkey") + F.col("l_linenumber") * F.col("l_suppkey")) % 97).cast("int")
-    name = F.get(headers, pick)
     return (
         table(spark, sf_dir, "lineitem")
         .select(F.col("l_suppkey").cast("string").alias("source_id"), pick.alias("position"))
