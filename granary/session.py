@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import granary
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,6 +20,8 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings; helpers travel to the workers inside the tasks."""
+    cloudpickle.register_pickle_by_value(granary)
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

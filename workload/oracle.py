@@ -527,3 +527,116 @@ cat AS (
   FROM lineitem WHERE (l_partkey + l_linenumber * l_suppkey) % 97 < {len(HEADERS)}
 )""",
 )
+
+# --- statistics ------------------------------------------------------------
+
+sql(
+    "descriptive_stats",
+    LONG
+    + """,
+centre AS (SELECT field, avg(value) AS m FROM long GROUP BY 1)
+SELECT field, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       round(min(value), 6) AS min, round(max(value), 6) AS max,
+       round(avg((value - m) ** 3) / pow(avg((value - m) ** 2), 1.5), 6) AS skewness,
+       round(avg((value - m) ** 4) / pow(avg((value - m) ** 2), 2) - 3, 6) AS kurtosis,
+       round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
+       round(quantile_cont(value, 0.75), 6) AS q3
+FROM long JOIN centre USING (field) GROUP BY field""",
+)
+_FOUR = ["quantity_sold", "unit_price", "unit_cost", "current_stock"]
+_PAIRS = [(a, b) for i, a in enumerate(_FOUR) for b in _FOUR[i + 1:]]
+PEARSON = (
+    ",\npear AS ("
+    + "\nUNION ALL ".join(
+        f"SELECT '{a}' AS field_a, '{b}' AS field_b, count(*) AS n, corr({a}, {b}) AS r FROM sales"
+        for a, b in _PAIRS
+    )
+    + ")"
+)
+SPEARMAN = (
+    ",\nranked AS (SELECT "
+    + ", ".join(
+        f"rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS {f}" for f in _FOUR
+    )
+    + " FROM sales),\nspear AS ("
+    + "\nUNION ALL ".join(
+        f"SELECT '{a}' AS field_a, '{b}' AS field_b, count(*) AS n, corr({a}, {b}) AS r FROM ranked"
+        for a, b in _PAIRS
+    )
+    + ")"
+)
+sql("pearson", PEARSON + "\nSELECT field_a, field_b, n, round(r, 6) AS pearson_r FROM pear")
+sql("spearman", SPEARMAN + "\nSELECT field_a, field_b, n, round(r, 6) AS spearman_r FROM spear")
+sql(
+    "all_correlations",
+    PEARSON
+    + SPEARMAN
+    + """
+SELECT field_a, field_b, pear.n AS n, round(pear.r, 6) AS pearson_r, round(spear.r, 6) AS spearman_r,
+       CASE WHEN abs(pear.r) < 0.1 THEN 'negligible' WHEN abs(pear.r) < 0.3 THEN 'weak'
+            WHEN abs(pear.r) < 0.5 THEN 'moderate' WHEN abs(pear.r) < 0.7 THEN 'strong'
+            ELSE 'very strong' END AS strength,
+       CASE WHEN pear.r > 0 THEN 'positive' ELSE 'negative' END AS direction
+FROM pear JOIN spear USING (field_a, field_b)""",
+)
+sql(
+    "correlation_matrix",
+    PEARSON
+    + """
+SELECT field_a AS "row", field_b AS "column", round(r, 6) AS pearson_r FROM pear
+UNION ALL SELECT field_b, field_a, round(r, 6) FROM pear
+UNION ALL SELECT f, f, 1.0 FROM (VALUES ('quantity_sold'), ('unit_price'), ('unit_cost'), ('current_stock')) t(f)""",
+)
+
+
+def rank_test(groups: str) -> str:
+    return f""",
+groups AS ({groups}),
+pool AS (
+  SELECT category, quantity_sold AS v,
+         rank() OVER (ORDER BY quantity_sold) + (count(*) OVER (PARTITION BY quantity_sold) - 1) / 2.0 AS r
+  FROM sales WHERE category IN (SELECT a FROM groups UNION ALL SELECT b FROM groups)
+)
+SELECT a AS group_a, b AS group_b, count(*) FILTER (category = a) AS n_a, count(*) FILTER (category = b) AS n_b,
+       round(avg(v) FILTER (category = a), 6) AS mean_a, round(avg(v) FILTER (category = b), 6) AS mean_b,
+       round(sum(r) FILTER (category = a)
+             - count(*) FILTER (category = a) * (count(*) FILTER (category = a) + 1) / 2.0, 1) AS u_statistic
+FROM pool, groups GROUP BY a, b"""
+
+
+sql("mann_whitney", rank_test("SELECT 'ECONOMY' AS a, 'PROMO' AS b"))
+sql(
+    "top_two_groups",
+    rank_test(
+        "SELECT max(category) FILTER (k = 1) AS a, max(category) FILTER (k = 2) AS b FROM ("
+        "SELECT category, row_number() OVER (ORDER BY count(*) DESC, category) AS k FROM sales GROUP BY category)"
+    ),
+)
+BINNED = """,
+ends AS (SELECT field, min(value) AS low, (max(value) - min(value)) / 40 AS width, count(*) AS n FROM long GROUP BY 1),
+binned AS (
+  SELECT field, CAST(least(floor((value - low) / width), 39) AS BIGINT) AS bin, low, width, n, count(*) AS rows
+  FROM long JOIN ends USING (field) GROUP BY ALL
+)"""
+sql(
+    "histogram",
+    ", long AS (SELECT 'quantity_sold' AS field, quantity_sold AS value FROM sales)"
+    + BINNED
+    + """
+SELECT field, bin, round(low + bin * width, 6) AS bin_start, round(low + (bin + 1) * width, 6) AS bin_end, rows,
+       round(rows / (n * width), 6) AS density
+FROM binned""",
+    base=EVENTS_SQL,
+)
+sql("histogram_sales", LONG + BINNED + "\nSELECT field, bin, rows FROM binned")
+sql(
+    "normal_curve",
+    LONG
+    + """,
+fit AS (SELECT field, min(value) AS low, max(value) AS high, avg(value) AS m, stddev_samp(value) AS s
+        FROM long GROUP BY 1),
+points AS (SELECT field, m, s, point, low + point * (high - low) / 199 AS x
+           FROM fit, (SELECT unnest(range(200)) AS point))
+SELECT field, point, round(x, 6) AS x, round(exp(0 - ((x - m) / s) * ((x - m) / s) / 2) / (s * sqrt(2 * pi())), 6) AS density
+FROM points""",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import cleaning, eda, kpis, mapping, validation
+from granary.operators import cleaning, eda, kpis, mapping, statistics, validation
 from granary.schema import Sales, field_availability
 from granary.session import configure
 from granary.sources import readers, results
@@ -118,3 +118,30 @@ query("normalize_names")(
 )
 query("column_scores")(lambda s, d: mapping.column_scores(views.catalogue(s, d)))
 query("suggest_mappings")(lambda s, d: mapping.suggest_mappings(views.catalogue(s, d)))
+
+# Statistics
+on_sales("descriptive_stats", statistics.descriptive_stats)
+on_sales("pearson", lambda x: statistics.pearson(x).drop("pearson_p_value"))
+on_sales("pearson_p_values", lambda x: statistics.pearson(x))
+on_sales("spearman", lambda x: statistics.spearman(x).drop("spearman_p_value"))
+on_sales("all_correlations", lambda x: statistics.all_correlations(x).drop("pearson_p_value", "spearman_p_value", "interpretation"))
+on_sales("correlation_matrix", statistics.correlation_matrix)
+on_sales(
+    "mann_whitney",
+    lambda x: statistics.compare_groups(x, "category", "ECONOMY", "PROMO").select(
+        "group_a", "group_b", "n_a", "n_b", "mean_a", "mean_b", "u_statistic"
+    ),
+    u_statistic=1,
+)
+on_sales(
+    "top_two_groups",
+    lambda x: statistics.compare_largest_groups(x, "category").select(
+        "group_a", "group_b", "n_a", "n_b", "mean_a", "mean_b", "u_statistic"
+    ),
+    u_statistic=1,
+)
+on_sales("group_tests", statistics.group_tests)
+on_sales("normality", statistics.normality)
+on_sales("histogram", statistics.histogram, views.events_sales)
+on_sales("histogram_sales", lambda x: statistics.histogram(x).select("field", "bin", "rows"))
+on_sales("normal_curve", statistics.normal_curve)
