@@ -640,3 +640,106 @@ points AS (SELECT field, m, s, point, low + point * (high - low) / 199 AS x
 SELECT field, point, round(x, 6) AS x, round(exp(0 - ((x - m) / s) * ((x - m) / s) / 2) / (s * sqrt(2 * pi())), 6) AS density
 FROM points""",
 )
+
+# --- price elasticity ------------------------------------------------------
+
+ELASTIC = """,
+fits AS (
+  SELECT product_id, count(*) AS n, regr_slope(ln(quantity_sold), ln(unit_price)) AS e,
+         pow(corr(ln(quantity_sold), ln(unit_price)), 2) AS r2
+  FROM sales WHERE quantity_sold > 0 AND unit_price > 0
+  GROUP BY product_id HAVING count(*) >= 5 AND max(unit_price) / min(unit_price) - 1 >= 0.05
+),
+elastic AS (
+  SELECT *, CASE WHEN abs(e) > 5 THEN 'suspect_extreme' WHEN e > 0 THEN 'unexpected_positive'
+                 WHEN abs(e) < 1 THEN 'inelastic' ELSE 'elastic' END AS class
+  FROM fits
+)"""
+sql(
+    "price_elasticity",
+    ELASTIC
+    + """
+SELECT product_id, round(e, 6) AS elasticity_coefficient, round(r2, 6) AS r_squared,
+       class AS classification, n AS n_observations
+FROM elastic""",
+)
+sql("elasticity_status", ELASTIC + "\nSELECT count(*) > 0 AS available, NULL::VARCHAR AS reason FROM elastic")
+
+# --- stockouts -------------------------------------------------------------
+
+READINGS = """,
+readings AS (
+  SELECT product_id, CAST(date AS DATE) AS day, current_stock AS stock FROM sales
+  WHERE current_stock IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY product_id, CAST(date AS DATE)
+    ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, date DESC) = 1
+),
+steps AS (SELECT *, lag(stock) OVER w AS previous_stock, lead(day) OVER w AS next_day FROM readings
+          WINDOW w AS (PARTITION BY product_id ORDER BY day)),
+events_ AS (SELECT product_id, day FROM steps WHERE previous_stock > 0 AND stock <= 0)"""
+sql(
+    "daily_stock",
+    READINGS
+    + """,
+bounds AS (SELECT product_id, min(day) AS a, max(day) AS b FROM readings GROUP BY 1),
+calendar AS (SELECT product_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM bounds)
+SELECT product_id, strftime(c.day, '%Y-%m-%d') AS day, r.stock AS stock
+FROM calendar c ASOF JOIN readings r USING (product_id, day)""",
+    base=BRAND_SQL,
+)
+sql(
+    "stock_readings",
+    READINGS
+    + """
+SELECT product_id, strftime(day, '%Y-%m-%d') AS day, stock, previous_stock FROM steps""",
+)
+sql(
+    "stockout_events",
+    READINGS + "\nSELECT product_id, strftime(day, '%Y-%m-%d') AS stockout_date FROM events_",
+)
+sql("stockout_counts", READINGS + "\nSELECT count(*) AS events FROM events_")
+sql(
+    "ml_gate",
+    READINGS
+    + """
+SELECT (SELECT count(*) FROM events_) >= 30
+       AND (SELECT max(k) FROM (SELECT count(DISTINCT current_stock) AS k FROM sales GROUP BY product_id)) >= 5
+         AS available, NULL::VARCHAR AS reason""",
+)
+SNAPS = READINGS + """,
+snaps AS (
+  SELECT product_id, CAST(unnest(generate_series(min(day) + INTERVAL 30 DAY, max(day) - INTERVAL 14 DAY,
+                                                 INTERVAL 7 DAY)) AS DATE) AS s
+  FROM readings GROUP BY product_id
+)"""
+FEATURES = SNAPS + """,
+daily AS (SELECT product_id, CAST(date AS DATE) AS day, sum(quantity_sold) AS q FROM sales GROUP BY ALL),
+ends AS (SELECT product_id, min(day) AS a, max(day) AS b FROM daily GROUP BY 1),
+framed AS (
+  SELECT snaps.product_id, s, greatest(s - 29, a) AS lo, least(s, b) - greatest(s - 29, a) + 1 AS n
+  FROM snaps JOIN ends USING (product_id)
+),
+sums AS (
+  SELECT f.product_id, f.s, any_value(n) AS n, coalesce(sum(q), 0) AS total, coalesce(sum(q * q), 0) AS squares,
+         coalesce(sum(q * (day - lo)), 0) AS moment
+  FROM framed f LEFT JOIN daily d ON d.product_id = f.product_id AND d.day BETWEEN f.s - 29 AND f.s
+  WHERE n >= 15 GROUP BY f.product_id, f.s
+),
+stocked AS (SELECT sums.*, r.stock FROM sums ASOF JOIN readings r ON sums.product_id = r.product_id AND sums.s >= r.day),
+labelled AS (
+  SELECT product_id, s, max(CASE WHEN e.day IS NULL THEN 0 ELSE 1 END) AS label
+  FROM snaps LEFT JOIN events_ e USING (product_id)
+  WHERE e.day IS NULL OR TRUE
+  GROUP BY product_id, s, e.day > s AND e.day <= s + 14
+  HAVING coalesce(any_value(e.day > s AND e.day <= s + 14), FALSE)
+)
+SELECT product_id, strftime(s, '%Y-%m-%d') AS snapshot_date,
+       round(CASE WHEN total > 0 THEN least(stock / (total / n), 365) ELSE 365 END, 6) AS days_of_inventory,
+       round(CASE WHEN total > 0 THEN sqrt(greatest(squares - total * total / n, 0) / (n - 1)) / (total / n)
+                  ELSE 0 END, 6) AS demand_volatility,
+       round((moment - total * (n - 1) / 2.0) / (n * (n * n - 1) / 12.0), 6) AS trailing_demand_slope,
+       round(total, 6) AS trailing_total_demand{label}
+FROM stocked LEFT JOIN labelled USING (product_id, s)"""
+sql("snapshots", SNAPS + "\nSELECT product_id, strftime(s, '%Y-%m-%d') AS snapshot_date FROM snaps")
+sql("risk_features", FEATURES.format(label=""))
+sql("feature_table", FEATURES.format(label=",\n       CAST(coalesce(label, 0) AS BIGINT) AS stockout_occurred"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import cleaning, eda, kpis, mapping, statistics, validation
+from granary.operators import cleaning, eda, elasticity, kpis, mapping, statistics, stockout, validation
 from granary.schema import Sales, field_availability
 from granary.session import configure
 from granary.sources import readers, results
@@ -145,3 +145,18 @@ on_sales("normality", statistics.normality)
 on_sales("histogram", statistics.histogram, views.events_sales)
 on_sales("histogram_sales", lambda x: statistics.histogram(x).select("field", "bin", "rows"))
 on_sales("normal_curve", statistics.normal_curve)
+
+# Price elasticity
+on_sales("price_elasticity", lambda x: elasticity.price_elasticity(x).drop("p_value"))
+on_sales("price_elasticity_p_values", elasticity.price_elasticity)
+on_sales("elasticity_status", elasticity.elasticity_status)
+
+# Stockouts
+on_sales("daily_stock", stockout.daily_stock, views.sales_brand)
+on_sales("stock_readings", stockout.stock_readings)
+on_sales("stockout_events", stockout.stockout_events)
+on_sales("stockout_counts", stockout.stockout_counts)
+on_sales("ml_gate", stockout.ml_gate)
+on_sales("snapshots", stockout.snapshots)
+on_sales("risk_features", lambda x: stockout.feature_table(x).drop("stockout_occurred"))
+on_sales("feature_table", stockout.feature_table)
