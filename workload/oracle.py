@@ -743,3 +743,133 @@ FROM stocked LEFT JOIN labelled USING (product_id, s)"""
 sql("snapshots", SNAPS + "\nSELECT product_id, strftime(s, '%Y-%m-%d') AS snapshot_date FROM snaps")
 sql("risk_features", FEATURES.format(label=""))
 sql("feature_table", FEATURES.format(label=",\n       CAST(coalesce(label, 0) AS BIGINT) AS stockout_occurred"))
+
+# --- seasonality and forecasting -------------------------------------------
+
+
+def dense(key: str) -> str:
+    return f""",
+daily AS (SELECT {key} AS k, CAST(date AS DATE) AS day, sum(quantity_sold) AS q FROM sales GROUP BY ALL),
+edges AS (SELECT k, min(day) AS a, max(day) AS b FROM daily GROUP BY k),
+calendar AS (SELECT k, a, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM edges),
+dense AS (SELECT k, day, day - a AS i, coalesce(q, 0) AS x, count(*) OVER (PARTITION BY k) AS n
+          FROM calendar LEFT JOIN daily USING (k, day))"""
+
+
+def _strength(p: int) -> str:
+    h = p // 2
+    if p % 2:
+        trend = f"avg(x) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+    else:
+        trend = (
+            f"(sum(x) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN {h - 1} PRECEDING AND {h - 1} FOLLOWING)"
+            f" + 0.5 * (lag(x, {h}) OVER (PARTITION BY k ORDER BY i) + lead(x, {h}) OVER (PARTITION BY k ORDER BY i))) / {p}"
+        )
+    return f""",
+d{p} AS (SELECT k, i, CASE WHEN i >= {h} AND i < n - {h} THEN x - {trend} END AS rest FROM dense WHERE n >= {6 * p}),
+m{p} AS (SELECT k, i % {p} AS phase, avg(rest) AS m FROM d{p} GROUP BY ALL),
+c{p} AS (SELECT k, phase, m - avg(m) OVER (PARTITION BY k) AS season FROM m{p}),
+s{p} AS (SELECT k, var_samp(season) AS vs, var_samp(rest - season) AS vr
+         FROM d{p} JOIN (SELECT k AS ck, phase, season FROM c{p}) ON ck = k AND phase = i % {p} GROUP BY k)"""
+
+
+STRENGTHS = "".join(_strength(p) for p in (7, 30, 365)) + """,
+strengths AS (
+  SELECT k, label, p, n, CASE WHEN n < 6 * p THEN NULL WHEN vs + vr > 0 THEN vs / (vs + vr) ELSE 0 END AS strength
+  FROM (SELECT DISTINCT k, n FROM dense),
+       (VALUES ('weekly', 7), ('monthly', 30), ('yearly', 365)) t(label, p)
+  LEFT JOIN (SELECT *, 7 AS sp FROM s7 UNION ALL SELECT *, 30 FROM s30 UNION ALL SELECT *, 365 FROM s365) v
+    ON v.k = k AND sp = p
+)"""
+STRENGTHS = STRENGTHS.replace(
+    """  FROM (SELECT DISTINCT k, n FROM dense),
+       (VALUES ('weekly', 7), ('monthly', 30), ('yearly', 365)) t(label, p)
+  LEFT JOIN (SELECT *, 7 AS sp FROM s7 UNION ALL SELECT *, 30 FROM s30 UNION ALL SELECT *, 365 FROM s365) v
+    ON v.k = k AND sp = p
+""",
+    """  FROM (SELECT * FROM (SELECT DISTINCT k, n FROM dense),
+                      (VALUES ('weekly', 7), ('monthly', 30), ('yearly', 365)) t(label, p)) g
+  LEFT JOIN (SELECT *, 7 AS p FROM s7 UNION ALL SELECT *, 30 FROM s30 UNION ALL SELECT *, 365 FROM s365) v
+    USING (k, p)
+""",
+)
+SEASONAL_OUT = """
+SELECT {key}label AS period_label, p AS period_days, round(strength, 6) AS seasonal_strength,
+       strength > 0.3 AS is_seasonal,
+       CASE WHEN n < 6 * p THEN 'needs ' || 6 * p || ' days of data, has ' || n END AS error
+FROM strengths"""
+sql("seasonality", dense("0") + STRENGTHS + SEASONAL_OUT.format(key=""))
+sql("seasonality_events", dense("0") + STRENGTHS + SEASONAL_OUT.format(key=""), base=EVENTS_SQL)
+sql(
+    "product_seasonality",
+    dense("product_id") + STRENGTHS + SEASONAL_OUT.format(key="k AS product_id, "),
+    base=BRAND_SQL,
+)
+CHOSEN = STRENGTHS + """,
+chosen AS (SELECT k, min(p) FILTER (strength > 0.3) AS period FROM strengths GROUP BY k)"""
+sql(
+    "seasonal_period",
+    dense("product_id") + CHOSEN + "\nSELECT k AS product_id, CAST(period AS BIGINT) AS period FROM chosen",
+)
+sql(
+    "daily_series",
+    dense("product_id") + "\nSELECT k AS product_id, strftime(day, '%Y-%m-%d') AS day, x AS quantity FROM dense",
+    base=BRAND_SQL,
+)
+
+
+def naive_points(cut: int) -> str:
+    """Baseline for the 14 days after day n - cut; CTE `points(k, h, y)`."""
+    return f""",
+tail AS (SELECT k, n - {cut} AS m, period, avg(x) FILTER (i >= n - {cut} - 7 AND i < n - {cut}) AS week
+         FROM dense JOIN chosen USING (k) WHERE n >= 28 GROUP BY k, n, period),
+grid AS (SELECT *, CASE WHEN m >= 2 * period THEN m - period + (h - 1) % period END AS back
+         FROM tail, (SELECT unnest(range(1, 15)) AS h)),
+points AS (SELECT g.k, h, m, coalesce(d.x, week) AS y
+           FROM grid g LEFT JOIN (SELECT k, i, x FROM dense) d ON d.k = g.k AND d.i = back)"""
+
+
+sql(
+    "backtest_mae",
+    dense("product_id")
+    + CHOSEN
+    + naive_points(14)
+    + """
+SELECT points.k AS product_id, round(avg(abs(x - y)), 6) AS naive_mae
+FROM points JOIN dense ON dense.k = points.k AND dense.i = m + h - 1 GROUP BY points.k""",
+)
+sql(
+    "forecast_naive",
+    dense("product_id")
+    + CHOSEN
+    + naive_points(0)
+    + """
+SELECT points.k AS product_id, strftime(b + CAST(h AS INTEGER), '%Y-%m-%d') AS day, round(y, 6) AS quantity
+FROM points JOIN edges USING (k)""",
+)
+sql(
+    "price_what_if",
+    dense("product_id")
+    + CHOSEN
+    + naive_points(0)
+    + ELASTIC
+    + """,
+priced AS (
+  SELECT product_id, unit_price AS price FROM sales WHERE unit_price IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY product_id
+    ORDER BY date DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1
+),
+base AS (
+  SELECT e.product_id, e, price, u.units, pct FROM elastic e JOIN priced USING (product_id)
+  JOIN (SELECT k AS product_id, sum(y) AS units FROM points GROUP BY k) u USING (product_id),
+  (VALUES (-50::DOUBLE), (-20), (-10), (-5), (5), (10), (20), (50)) t(pct)
+),
+moved AS (SELECT *, price * (1 + pct / 100) AS new_price, greatest(units * (1 + e * pct / 100), 0) AS after_units FROM base)
+SELECT product_id, round(e, 6) AS elasticity_coefficient, price AS current_price,
+       round(new_price, 2) AS new_price, pct AS price_change_pct, round(units, 1) AS baseline_units,
+       round(after_units, 1) AS projected_units, round(e * pct, 1) AS projected_demand_change_pct,
+       round(units * price, 2) AS baseline_revenue, round(after_units * new_price, 2) AS projected_revenue,
+       round(CASE WHEN units * price > 0 THEN (after_units * new_price - units * price) / (units * price) * 100
+                  ELSE 0 END, 1) AS revenue_change_pct
+FROM moved""",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import cleaning, eda, elasticity, kpis, mapping, statistics, stockout, validation
+from granary.operators import cleaning, eda, elasticity, forecasting, kpis, mapping, seasonality, statistics, stockout, validation
 from granary.schema import Sales, field_availability
 from granary.session import configure
 from granary.sources import readers, results
@@ -160,3 +160,23 @@ on_sales("ml_gate", stockout.ml_gate)
 on_sales("snapshots", stockout.snapshots)
 on_sales("risk_features", lambda x: stockout.feature_table(x).drop("stockout_occurred"))
 on_sales("feature_table", stockout.feature_table)
+
+# Seasonality and forecasting
+on_sales("seasonality", lambda x: seasonality.seasonality(x).drop("interpretation"))
+on_sales("seasonality_events", lambda x: seasonality.seasonality(x).drop("interpretation"), views.events_sales)
+on_sales("product_seasonality", lambda x: seasonality.product_seasonality(x).drop("interpretation"), views.sales_brand)
+on_sales("seasonal_period", seasonality.seasonal_periods)
+on_sales("daily_series", forecasting.daily_series, views.sales_brand)
+on_sales("backtest_mae", forecasting.backtest_naive)
+on_sales("forecast_naive", lambda x: forecasting.forecast_points(forecasting.naive_forecasts(x)))
+on_sales("model_selection", lambda x: forecasting.model_selection(x).drop("series"), views.sales_brand)
+on_sales("forecast_summary", lambda x: forecasting.forecast_summary(forecasting.forecasts(x)), views.sales_brand)
+on_sales("forecast_points", lambda x: forecasting.forecast_points(forecasting.forecasts(x)), views.sales_brand)
+on_sales("forecast_summary_products", lambda x: forecasting.forecast_summary(forecasting.forecasts(x)))
+WHAT_IF_CHANGES = [-50, -20, -10, -5, 5, 10, 20, 50]
+on_sales(
+    "price_what_if",
+    lambda x: elasticity.price_what_if(
+        x, forecasting.forecast_units(forecasting.naive_forecasts(x)), WHAT_IF_CHANGES
+    ),
+)
