@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 EXACT_SIZE = 8
 EXACT_CELLS = 2_000_000
@@ -98,12 +99,12 @@ def _where_known(function, *columns: pd.Series) -> pd.Series:
     return pd.Series(out).where(known, None).astype("Float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return _where_known(t_two_sided, t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def rank_sum_tail(u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series) -> pd.Series:
     rows = zip(u, n_a, n_b, ties)
     return pd.Series([None if pd.isna(r[0]) else rank_sum_p(r[0], int(r[1]), int(r[2]), r[3]) for r in rows])

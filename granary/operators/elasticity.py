@@ -107,12 +107,22 @@ def price_what_if(
         "product_id",
         "elasticity_coefficient",
         "current_price",
-        F.round("new_price", 2).alias("new_price"),
+        "new_price",
         "price_change_pct",
-        F.round("baseline_units", 1).alias("baseline_units"),
-        F.round("units", 1).alias("projected_units"),
-        F.round("demand_pct", 1).alias("projected_demand_change_pct"),
-        F.round("before", 2).alias("baseline_revenue"),
-        F.round("after", 2).alias("projected_revenue"),
-        F.round(F.when(F.col("before") > 0, change).otherwise(0.0), 1).alias("revenue_change_pct"),
+        "baseline_units",
+        F.col("units").alias("projected_units"),
+        F.col("demand_pct").alias("projected_demand_change_pct"),
+        F.col("before").alias("baseline_revenue"),
+        F.col("after").alias("projected_revenue"),
+        F.when(F.col("before") > 0, change).otherwise(0.0).alias("revenue_change_pct"),
     )
+
+
+def rounded_what_if(scenarios: DataFrame) -> DataFrame:
+    """The scenarios as shown to people: money to the cent, the rest to one place."""
+    places = {
+        "new_price": 2, "baseline_units": 1, "projected_units": 1,
+        "projected_demand_change_pct": 1, "baseline_revenue": 2, "projected_revenue": 2,
+        "revenue_change_pct": 1,
+    }
+    return scenarios.withColumns({name: F.round(name, n) for name, n in places.items()})

@@ -33,8 +33,16 @@ def _filled(days: DataFrame, *keys: str) -> DataFrame:
 
 
 def product_series(sales: Sales) -> DataFrame:
-    """(product_id, first_day, last_day, series, days) for every product."""
-    return _filled(daily_demand(sales), "product_id")
+    """(product_id, first_day, last_day, series, days) for every product.
+
+    The rows are few but what follows (model fits) is heavy, so the number of
+    tasks is set here and not left to the size of the shuffle.
+    """
+    spark = sales.df.sparkSession
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    return _filled(daily_demand(sales).repartition(tasks, "product_id"), "product_id")
 
 
 def total_series(sales: Sales) -> DataFrame:

@@ -865,11 +865,93 @@ base AS (
   (VALUES (-50::DOUBLE), (-20), (-10), (-5), (5), (10), (20), (50)) t(pct)
 ),
 moved AS (SELECT *, price * (1 + pct / 100) AS new_price, greatest(units * (1 + e * pct / 100), 0) AS after_units FROM base)
-SELECT product_id, round(e, 6) AS elasticity_coefficient, price AS current_price,
-       round(new_price, 2) AS new_price, pct AS price_change_pct, round(units, 1) AS baseline_units,
-       round(after_units, 1) AS projected_units, round(e * pct, 1) AS projected_demand_change_pct,
-       round(units * price, 2) AS baseline_revenue, round(after_units * new_price, 2) AS projected_revenue,
+SELECT product_id, round(e, 6) AS elasticity_coefficient, round(price, 6) AS current_price,
+       round(new_price, 6) AS new_price, pct AS price_change_pct, round(units, 6) AS baseline_units,
+       round(after_units, 6) AS projected_units, round(e * pct, 6) AS projected_demand_change_pct,
+       round(units * price, 4) AS baseline_revenue, round(after_units * new_price, 4) AS projected_revenue,
        round(CASE WHEN units * price > 0 THEN (after_units * new_price - units * price) / (units * price) * 100
-                  ELSE 0 END, 1) AS revenue_change_pct
+                  ELSE 0 END, 6) AS revenue_change_pct
 FROM moved""",
 )
+
+# --- risk and recommendations ----------------------------------------------
+
+DENSE = dense("product_id").replace("daily AS", "day_units AS").replace("daily USING", "day_units USING").replace("FROM daily", "FROM day_units")
+RISK = (
+    DENSE
+    + CHOSEN
+    + naive_points(0)
+    + DAILY
+    + LEADS
+    + XYZ
+    + COVER
+    + """,
+rising AS (SELECT k AS product_id, max(y) FILTER (h = 14) > max(y) FILTER (h = 1) AS up FROM points GROUP BY k),
+scored AS (
+  SELECT product_id, days_of_inventory, xyz_tier, latest_stock,
+         CASE WHEN days_of_inventory <= 7 THEN 2 WHEN days_of_inventory <= 14 THEN 1 ELSE 0 END
+         + CASE xyz_tier WHEN 'Z' THEN 2 WHEN 'Y' THEN 1 ELSE 0 END + CASE WHEN up THEN 1 ELSE 0 END AS score
+  FROM cover JOIN xyz USING (product_id) LEFT JOIN rising USING (product_id)
+),
+risks AS (SELECT *, CASE WHEN score >= 4 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS risk FROM scored)"""
+)
+RISK_OUT = """
+SELECT product_id, risk AS risk_label, CAST(score AS DOUBLE) AS risk_score, 'rule_based' AS method,
+       round(days_of_inventory, 6) AS days_of_inventory, xyz_tier
+FROM risks"""
+sql("rule_based_risk", RISK + RISK_OUT)
+sql("risk_ranking", RISK + RISK_OUT)
+ADVICE = (
+    RISK
+    + IDLE
+    + ELASTIC
+    + """,
+named AS (SELECT product_id, any_value(product_name) AS name FROM sales GROUP BY 1),
+labels_ AS (SELECT product_id, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' (' || product_id || ')'
+                                    ELSE name END AS display_name FROM named),
+advice AS (
+  SELECT product_id, 1 AS rule, 'increase_inventory' AS action, risk AS priority
+  FROM risks JOIN buffers USING (product_id) WHERE risk IN ('high', 'medium') AND latest_stock <= reorder
+  UNION ALL SELECT product_id, 2, 'reduce_inventory', 'medium' FROM risks WHERE days_of_inventory >= 90 AND xyz_tier <> 'Z'
+  UNION ALL SELECT product_id, 3, 'increase_safety_stock', 'medium' FROM risks
+    WHERE risk IN ('high', 'medium') AND xyz_tier = 'Z'
+  UNION ALL SELECT product_id, 4, 'discount', 'low' FROM idle WHERE is_dead_stock OR is_slow_mover
+  UNION ALL SELECT product_id, 5, CASE class WHEN 'elastic' THEN 'consider_price_decrease'
+                                             ELSE 'consider_price_increase' END, 'low'
+    FROM elastic WHERE class IN ('elastic', 'inelastic')
+),
+full_advice AS (SELECT product_id, display_name, CAST(rule AS BIGINT) AS rule, action, priority
+                FROM advice JOIN labels_ USING (product_id))"""
+)
+ADVICE_OUT = "\nSELECT product_id, display_name, rule, action, priority FROM full_advice"
+sql("recommendations", ADVICE + ADVICE_OUT, base=RETURNS_SQL)
+for _name, _where in {
+    "rec_reorder": "rule = 1", "rec_reduce": "rule = 2", "rec_discount": "rule = 4",
+    "rec_safety_stock": "rule = 3", "rec_price": "rule = 5", "recommendations_high": "priority = 'high'",
+}.items():
+    sql(_name, ADVICE + ADVICE_OUT + f" WHERE {_where}", base=RETURNS_SQL)
+_ORDER = "CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, product_id, rule"
+sql(
+    "executive_facts",
+    ADVICE
+    + f"""
+SELECT (SELECT count(DISTINCT product_id) FROM sales) AS total_products,
+       (SELECT count(*) FROM risks WHERE risk = 'high') AS high_risk_count,
+       (SELECT count(*) FROM full_advice WHERE action = 'discount') AS dead_stock_count,
+       (SELECT count(*) FROM full_advice) AS total_recommendations,
+       (SELECT string_agg(k || '. ' || display_name || ': ' || action || ' (' || priority || ' priority)', chr(10) ORDER BY k)
+        FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS k FROM full_advice) WHERE k <= 3) AS top_recommendations""",
+    base=RETURNS_SQL,
+)
+sql(
+    "product_facts",
+    ADVICE
+    + f"""
+SELECT l.product_id AS product_id, l.display_name AS display_name, coalesce(risk, 'unknown') AS risk_label,
+       CAST(score AS DOUBLE) AS risk_score, round(cover.days_of_inventory, 6) AS days_of_inventory,
+       coalesce(f.action, 'none') AS action
+FROM labels_ l LEFT JOIN risks r ON r.product_id = l.product_id LEFT JOIN cover ON cover.product_id = l.product_id
+LEFT JOIN (SELECT product_id, action FROM full_advice
+           QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY {_ORDER}) = 1) f ON f.product_id = l.product_id""",
+    base=RETURNS_SQL,
+)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.operators import cleaning, eda, elasticity, forecasting, kpis, mapping, seasonality, statistics, stockout, validation
+from granary.operators import (
+    cleaning, eda, elasticity, forecasting, kpis, mapping, recommendations, report, risk,
+    seasonality, statistics, stockout, validation,
+)
 from granary.schema import Sales, field_availability
 from granary.session import configure
 from granary.sources import readers, results
@@ -179,4 +182,53 @@ on_sales(
     lambda x: elasticity.price_what_if(
         x, forecasting.forecast_units(forecasting.naive_forecasts(x)), WHAT_IF_CHANGES
     ),
+    baseline_revenue=4,
+    projected_revenue=4,
+)
+
+# Risk and recommendations
+
+
+def _rule_risk(x: Sales):
+    return recommendations.rule_based_risk(x, forecasting.naive_forecasts(x))
+
+
+def _advice(x: Sales):
+    return recommendations.recommendations(x, _rule_risk(x)).drop("reasoning", "source_signals")
+
+
+on_sales("rule_based_risk", _rule_risk)
+on_sales("risk_ranking", lambda x: recommendations.by_risk(_rule_risk(x)))
+on_sales("recommendations", _advice, views.sales_returns)
+for _name, _actions in {
+    "rec_reorder": ["increase_inventory"],
+    "rec_reduce": ["reduce_inventory"],
+    "rec_discount": ["discount"],
+    "rec_safety_stock": ["increase_safety_stock"],
+    "rec_price": ["consider_price_increase", "consider_price_decrease"],
+}.items():
+    on_sales(
+        _name,
+        lambda x, actions=_actions: _advice(x).where(F.col("action").isin(actions)),
+        views.sales_returns,
+    )
+on_sales("recommendations_high", lambda x: recommendations.by_priority(_advice(x), "high"), views.sales_returns)
+on_sales("executive_facts", lambda x: report.executive_facts(x, _rule_risk(x), _advice(x)), views.sales_returns)
+
+
+def _product_report(x: Sales):
+    risks = _rule_risk(x)
+    advice = recommendations.recommendations(x, risks)
+    return report.product_report(x, risks, advice).drop("reasoning")
+
+
+on_sales("product_facts", _product_report, views.sales_returns)
+on_sales("risk_model_metrics", lambda x: risk.inventory_ml(x).metrics)
+on_sales("risk_table", lambda x: risk.risk_table(risk.inventory_ml(x)))
+on_sales("risk_explanations", lambda x: risk.risk_explanations(risk.inventory_ml(x)))
+on_sales(
+    "recommendations_ml",
+    lambda x: recommendations.recommendations(
+        x, recommendations.risk_assessment(x, forecasting.naive_forecasts(x))
+    ),
 )
