@@ -9,7 +9,7 @@ from granary.operators import (
     seasonality, statistics, stockout, validation,
 )
 from granary.schema import Sales, field_availability
-from granary.session import configure
+from granary.session import configure, materialize
 from granary.sources import readers, results
 from workload import views
 from workload.present import present
@@ -213,16 +213,18 @@ for _name, _actions in {
         views.sales_returns,
     )
 on_sales("recommendations_high", lambda x: recommendations.by_priority(_advice(x), "high"), views.sales_returns)
-on_sales("executive_facts", lambda x: report.executive_facts(x, _rule_risk(x), _advice(x)), views.sales_returns)
 
 
-def _product_report(x: Sales):
-    risks = _rule_risk(x)
-    advice = recommendations.recommendations(x, risks)
-    return report.product_report(x, risks, advice).drop("reasoning")
+def _report(x: Sales, write):
+    """Reports read risk and advice several times, so both are written once."""
+    risks = materialize(_rule_risk(x))
+    return write(x, risks, materialize(recommendations.recommendations(x, risks)))
 
 
-on_sales("product_facts", _product_report, views.sales_returns)
+on_sales("executive_facts", lambda x: _report(x, report.executive_facts), views.sales_returns)
+on_sales(
+    "product_facts", lambda x: _report(x, report.product_report).drop("reasoning"), views.sales_returns
+)
 on_sales("risk_model_metrics", lambda x: risk.inventory_ml(x).metrics)
 on_sales("risk_table", lambda x: risk.risk_table(risk.inventory_ml(x)))
 on_sales("risk_explanations", lambda x: risk.risk_explanations(risk.inventory_ml(x)))
