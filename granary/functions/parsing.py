@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 # (optionally with a time) or month/day/year.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?\s*$"
-SLASHED_YEAR_FIRST = r"^\s*(\d{4})/(\d{1,2})/(\d{1,2})(.*)$"
-SLASHED_MONTH_FIRST = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})(.*)$"
+TIME = r"([ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?\s*$"
+SLASHED_YEAR_FIRST = r"^\s*(\d{4})/(\d{1,2})/(\d{1,2})" + TIME
+SLASHED_MONTH_FIRST = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})" + TIME
 
 
 def to_number(df: DataFrame, name: str) -> Column:
@@ -22,7 +23,7 @@ def to_number(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.NumericType):
         return F.col(name).cast("double")
     text = F.col(name).cast("string")
-    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
+    return F.when(text.rlike(NUMBER), text).try_cast("double")
 
 
 def to_datetime(df: DataFrame, name: str) -> Column:
@@ -31,9 +32,12 @@ def to_datetime(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return F.col(name).cast("timestamp_ntz")
     text = F.col(name).cast("string")
-    text = F.regexp_replace(text, SLASHED_YEAR_FIRST, "$1-$2-$3$4")
-    text = F.regexp_replace(text, SLASHED_MONTH_FIRST, "$3-$1-$2$4")
-    return F.when(text.rlike(ISO_DATE), F.trim(text).try_cast("timestamp_ntz"))
+    iso = (
+        F.when(text.rlike(ISO_DATE), text)
+        .when(text.rlike(SLASHED_MONTH_FIRST), F.regexp_replace(text, SLASHED_MONTH_FIRST, "$3-$1-$2$4"))
+        .when(text.rlike(SLASHED_YEAR_FIRST), F.regexp_replace(text, SLASHED_YEAR_FIRST, "$1-$2-$3$4"))
+    )
+    return iso.try_cast("timestamp_ntz")
 
 
 def zero_if_null(c: Column) -> Column:

@@ -7,10 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.parsing import to_datetime, to_number
+from granary.functions.parsing import to_datetime, to_number, whole_days
 from granary.operators.validation import MIN_ROWS, MIN_SPAN_DAYS, scalar_counts
-from granary.functions.parsing import whole_days
-from granary.schema import CANONICAL_FIELDS, ORDER_COLUMN, Sales
+from granary.schema import CANONICAL_FIELDS, ORDER_COLUMN, REQUIRED_FIELDS, Sales
 
 OPTIONAL_NUMBERS = ["unit_price", "unit_cost", "current_stock", "lead_time_days"]
 
@@ -60,16 +59,20 @@ def _tagged(df: DataFrame) -> DataFrame:
 
 def cleaned_rows(df: DataFrame) -> DataFrame:
     """The rows that survive, on canonical types; optional bad values become null."""
-    rows = _tagged(df).where(F.col("_reason").isNull())
     columns = []
     for name, dtype, _, _ in CANONICAL_FIELDS:
         if name not in df.columns:
             continue
-        source = f"_{name}" if f"_{name}" in rows.columns else name
-        columns.append(F.col(source).cast(dtype).alias(name))
+        if name == "date":
+            source = to_datetime(df, name)
+        elif name == "quantity_sold" or name in OPTIONAL_NUMBERS:
+            source = to_number(df, name)
+        else:
+            source = F.col(name)
+        columns.append(source.cast(dtype).alias(name))
     if ORDER_COLUMN in df.columns:
         columns.append(F.col(ORDER_COLUMN))
-    return rows.select(*columns)
+    return df.select(*columns).dropna(subset=REQUIRED_FIELDS)
 
 
 def cleaning_actions(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from granary.functions.parsing import micros, whole_days
 from granary.plans.ranking import exact_quantiles, with_running_totals
 from granary.plans.rollups import demand_stats, product_totals
 from granary.schema import Sales, unavailable
+from granary.session import materialize
 
 # Tier and stock thresholds.
 ABC_CUTOFFS = (0.80, 0.95)
@@ -19,7 +20,13 @@ DEFAULT_Z = 1.65
 SERVICE_LEVEL_Z = {"90%": 1.28, "95%": 1.65, "97.5%": 1.96, "99%": 2.33}
 
 
-def _turnover_columns(totals: DataFrame) -> DataFrame:
+def date_span(totals: DataFrame) -> Column:
+    """Struct(first, last) date over all products, from their totals."""
+    ends = F.struct(F.min("first_date").alias("first"), F.max("last_date").alias("last"))
+    return totals.agg(ends.alias("span")).scalar()
+
+
+def turnover_of(totals: DataFrame) -> DataFrame:
     return totals.where(F.col("avg_stock") > 0).select(
         "product_id",
         F.col("quantity").alias("total_quantity_sold"),
@@ -39,7 +46,7 @@ def turnover(sales: Sales) -> DataFrame:
             "product_id string, total_quantity_sold double, avg_inventory double, "
             "turnover_ratio double, inventory_data_type string",
         )
-    return _turnover_columns(product_totals(sales))
+    return turnover_of(product_totals(sales))
 
 
 def days_of_inventory(sales: Sales) -> DataFrame:
@@ -50,11 +57,11 @@ def days_of_inventory(sales: Sales) -> DataFrame:
             "product_id string, latest_stock double, avg_daily_demand double, "
             "days_of_inventory double",
         )
-    return _cover_columns(product_totals(sales), sales)
+    return cover_of(product_totals(sales))
 
 
-def _cover_columns(totals: DataFrame, sales: Sales) -> DataFrame:
-    span = sales.date_range()
+def cover_of(totals: DataFrame) -> DataFrame:
+    span = date_span(totals)
     days = F.greatest(whole_days(span["first"], span["last"]), F.lit(1))
     return (
         totals.withColumn("avg_daily_demand", F.col("quantity") / days)
@@ -73,7 +80,7 @@ def abc_tier(share: Column) -> Column:
     return F.when(share <= a, "A").when(share <= b, "B").otherwise("C")
 
 
-def _abc_columns(totals: DataFrame, basis: str, **bucketing) -> DataFrame:
+def abc_of(totals: DataFrame, basis: str, **bucketing) -> DataFrame:
     value = "revenue" if basis == "revenue" else "quantity"
     ranked = with_running_totals(
         totals.select("product_id", F.col(value).alias("value")),
@@ -94,10 +101,10 @@ def _abc_columns(totals: DataFrame, basis: str, **bucketing) -> DataFrame:
 def abc_analysis(sales: Sales, **bucketing) -> DataFrame:
     """Pareto tiers by revenue, or by quantity when nothing is priced."""
     basis = "revenue" if sales.has("unit_price") else "quantity_sold"
-    return _abc_columns(product_totals(sales), basis, **bucketing)
+    return abc_of(product_totals(sales), basis, **bucketing)
 
 
-def _xyz_columns(stats: DataFrame) -> DataFrame:
+def xyz_of(stats: DataFrame) -> DataFrame:
     x, y = XYZ_CUTOFFS
     cv = F.col("coefficient_of_variation")
     return (
@@ -117,10 +124,10 @@ def _xyz_columns(stats: DataFrame) -> DataFrame:
 
 def xyz_analysis(sales: Sales) -> DataFrame:
     """Predictability tiers from the variation of active-day demand."""
-    return _xyz_columns(demand_stats(sales))
+    return xyz_of(demand_stats(sales))
 
 
-def _buffer_columns(stats: DataFrame, z: float, default_lead: float | None) -> DataFrame:
+def buffers_of(stats: DataFrame, z: float, default_lead: float | None) -> DataFrame:
     lead = F.coalesce("lead_time_days", F.lit(default_lead).cast("double"))
     return (
         stats.withColumn("lead_time_days_used", lead)
@@ -140,7 +147,7 @@ def safety_stock(
     sales: Sales, z: float = DEFAULT_Z, default_lead: float | None = None
 ) -> DataFrame:
     """Buffer for the lead time; products without any lead time are left out."""
-    return _buffer_columns(demand_stats(sales), z, default_lead).select(
+    return buffers_of(demand_stats(sales), z, default_lead).select(
         "product_id", "std_daily_demand", "lead_time_days_used", "safety_stock"
     )
 
@@ -149,7 +156,7 @@ def reorder_point(
     sales: Sales, z: float = DEFAULT_Z, default_lead: float | None = None
 ) -> DataFrame:
     """Lead-time demand plus safety stock, from the same aggregate."""
-    return _buffer_columns(demand_stats(sales), z, default_lead).select(
+    return buffers_of(demand_stats(sales), z, default_lead).select(
         "product_id",
         F.col("mean_daily_demand").alias("avg_daily_demand"),
         "lead_time_days_used",
@@ -172,8 +179,8 @@ def safety_stock_scenarios(sales: Sales, default_lead: float | None = None) -> D
     )
 
 
-def _idle_columns(totals: DataFrame, sales: Sales, **bucketing) -> DataFrame:
-    span = sales.date_range()
+def idle_of(totals: DataFrame, **bucketing) -> DataFrame:
+    span = date_span(totals)
     idle = micros(F.col("last_date"), span["last"])
     length = micros(span["first"], span["last"])
     slow = exact_quantiles(
@@ -193,22 +200,25 @@ def _idle_columns(totals: DataFrame, sales: Sales, **bucketing) -> DataFrame:
 
 def dead_slow_stock(sales: Sales, **bucketing) -> DataFrame:
     """Gross, returned and net units, with dead-stock and slow-mover flags."""
-    return _idle_columns(product_totals(sales), sales, **bucketing)
+    return idle_of(product_totals(sales), **bucketing)
 
 
 def kpi_summary(
     sales: Sales, z: float = DEFAULT_Z, default_lead: float | None = None
 ) -> DataFrame:
-    """Every per-product KPI in one wide row."""
-    totals, stats = product_totals(sales), demand_stats(sales)
+    """Every per-product KPI in one wide row.
+
+    The two aggregates are written once, so the sales are scanned twice in all.
+    """
+    totals, stats = materialize(product_totals(sales)), materialize(demand_stats(sales))
     basis = "revenue" if sales.has("unit_price") else "quantity_sold"
-    wide = _idle_columns(totals, sales)
+    wide = idle_of(totals)
     parts = [
-        _turnover_columns(totals).select("product_id", "avg_inventory", "turnover_ratio"),
-        _cover_columns(totals, sales).select("product_id", "latest_stock", "days_of_inventory"),
-        _abc_columns(totals, basis).select("product_id", F.col("tier").alias("abc_tier")),
-        _xyz_columns(stats).select("product_id", "coefficient_of_variation", "xyz_tier"),
-        _buffer_columns(stats, z, default_lead).select(
+        turnover_of(totals).select("product_id", "avg_inventory", "turnover_ratio"),
+        cover_of(totals).select("product_id", "latest_stock", "days_of_inventory"),
+        abc_of(totals, basis).select("product_id", F.col("tier").alias("abc_tier")),
+        xyz_of(stats).select("product_id", "coefficient_of_variation", "xyz_tier"),
+        buffers_of(stats, z, default_lead).select(
             "product_id", "safety_stock", "reorder_point"
         ),
     ]

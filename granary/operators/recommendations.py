@@ -9,13 +9,17 @@ from granary.operators.eda import product_labels
 from granary.operators.elasticity import price_elasticity
 from granary.operators.kpis import (
     DEFAULT_Z,
+    buffers_of,
+    cover_of,
     days_of_inventory,
-    dead_slow_stock,
-    reorder_point,
+    idle_of,
     xyz_analysis,
+    xyz_of,
 )
 from granary.operators.risk import inventory_ml, risk_table
+from granary.plans.rollups import demand_stats, product_totals
 from granary.schema import Sales
+from granary.session import materialize
 from granary.sources.results import ResultStore
 
 # Cover limits in days, risk score limits, order of priorities.
@@ -74,15 +78,21 @@ def risk_assessment(
 def product_facts(
     sales: Sales, risk: DataFrame, z: float = DEFAULT_Z, default_lead: float | None = None
 ) -> DataFrame:
-    """One wide row per product with everything the rules look at."""
-    reorder = reorder_point(sales, z, default_lead).select("product_id", "reorder_point")
-    cover = days_of_inventory(sales).select(
+    """One wide row per product with everything the rules look at.
+
+    Totals and daily statistics are written once and read by several parts.
+    """
+    totals, stats = materialize(product_totals(sales)), materialize(demand_stats(sales))
+    reorder = buffers_of(stats, z, default_lead).select("product_id", "reorder_point")
+    cover = cover_of(totals).select(
         "product_id", "latest_stock", "days_of_inventory", F.lit(True).alias("has_cover")
     )
-    idle = dead_slow_stock(sales).select(
+    if not sales.has("current_stock"):
+        cover = cover.where(F.lit(False))
+    idle = idle_of(totals).select(
         "product_id", "gross_quantity_sold", "days_since_last_sale", "is_dead_stock", "is_slow_mover"
     )
-    tiers = xyz_analysis(sales).select("product_id", "xyz_tier")
+    tiers = xyz_of(stats).select("product_id", "xyz_tier")
     prices = price_elasticity(sales).select(
         "product_id", "elasticity_coefficient", "r_squared", "classification"
     )

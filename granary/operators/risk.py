@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from granary.operators.stockout import FEATURES, feature_table, ml_gate
 from granary.plans.ranking import with_running_totals
 from granary.schema import Sales
-from granary.session import checkpoint_folder
+from granary.session import checkpoint_folder, heavy_tasks
 from granary.sources.results import ResultStore, fingerprint
 
 # The forest, the split, and the label limits.
@@ -68,8 +68,11 @@ def _assembled(features: DataFrame) -> DataFrame:
 
 
 def train_forest(marked: DataFrame) -> RandomForestClassificationModel:
+    """The forest on the training rows, spread over all cores."""
+    rows = marked.where("is_train").select(*FEATURES, "stockout_occurred")
+    spread = rows.repartition(heavy_tasks(rows.sparkSession))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return forest.fit(_assembled(marked.where("is_train")))
+    return forest.fit(_assembled(spread))
 
 
 def evaluate(model: RandomForestClassificationModel, marked: DataFrame) -> DataFrame:
@@ -199,6 +202,7 @@ def risk_explanations(trained: RiskModel) -> DataFrame:
     Base and contributions add up to the product's probability.
     """
     rows = latest_features(trained.features).select("product_id", *FEATURES)
+    rows = rows.repartition(heavy_tasks(rows.sparkSession), "product_id")
     trees = forest_table(rows.sparkSession, trained.model_path)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.parsing import zero_if_null
 from granary.schema import Sales
+from granary.session import materialize
 
 # The gate and the feature windows, in days.
 MIN_READINGS = 5
@@ -136,9 +137,10 @@ def feature_table(sales: Sales) -> DataFrame:
     """One row per product and snapshot: trailing features and the look-ahead label.
 
     Activity and snapshot rows are put together and sorted once per product; all
-    frames then run over the day number.
+    frames then run over the day number. The activity is written once, so the
+    sales are scanned and reduced to days a single time.
     """
-    activity = daily_activity(sales)
+    activity = materialize(daily_activity(sales))
     before = Window.partitionBy("product_id").orderBy("day").rowsBetween(
         Window.unboundedPreceding, -1
     )

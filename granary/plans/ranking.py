@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from granary.session import materialize
 
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 2_048
+MAX_BUCKETS = 8_192
 SAMPLE_PER_BUCKET = 20
-STRIDE = 32
+STRIDE = 96
 HASH_RANGE = 1 << 30
 
 

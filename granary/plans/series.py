@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions.parsing import zero_if_null
 from granary.plans.rollups import daily_demand
 from granary.schema import Sales
+from granary.session import heavy_tasks
 
 
 def _filled(days: DataFrame, *keys: str) -> DataFrame:
@@ -33,15 +34,8 @@ def _filled(days: DataFrame, *keys: str) -> DataFrame:
 
 
 def product_series(sales: Sales) -> DataFrame:
-    """(product_id, first_day, last_day, series, days) for every product.
-
-    The rows are few but what follows (model fits) is heavy, so the number of
-    tasks is set here and not left to the size of the shuffle.
-    """
-    spark = sales.df.sparkSession
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
+    """(product_id, first_day, last_day, series, days) for every product."""
+    tasks = heavy_tasks(sales.df.sparkSession)
     return _filled(daily_demand(sales).repartition(tasks, "product_id"), "product_id")
 
 

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile larger methods; wide rows of parsed text hit this.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -28,14 +30,32 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only where unset."""
+    """The shared folder the cluster names; only where none is named, one of our own.
+
+    On local masters that is a scratch folder, elsewhere one in the warehouse,
+    which all executors see.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="granary-")
+        if spark.sparkContext.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="granary-")
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/granary"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def heavy_tasks(spark: SparkSession) -> int:
+    """How many tasks to use where few rows carry much work.
+
+    Adaptive execution sizes stages by bytes and would put model fits on small
+    rows into one task.
+    """
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a reduced table once to the shared folder and go on from there.
 
