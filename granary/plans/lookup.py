@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1_000
+SPREAD = 10_000
 
 
 def join_lookup(
@@ -16,13 +17,23 @@ def join_lookup(
     """Inner join where `lookup` has one row per key, with `weight` copies in `rows`.
 
     Keys holding more than 1/HOT_SHARE of `total` are, by counting, fewer than
-    HOT_SHARE; they go through a broadcast, so no task receives all copies of
-    one. The remaining keys go through an ordinary join.
+    HOT_SHARE; a broadcast gives them their value. For the ordinary join that
+    serves the other keys, rows already served are spread by a salt which no
+    lookup row has, so no task receives all copies of a hot key, and `rows` is
+    worked out once.
     """
     keys = list(keys)
+    values = F.struct(*[c for c in lookup.columns if c not in (*keys, weight, total)])
     is_hot = F.col(weight) * HOT_SHARE > F.col(total)
-    hot = F.broadcast(lookup.where(is_hot).drop(weight, total))
-    cold = lookup.where(~is_hot).drop(weight, total)
-    through_broadcast = rows.join(hot, keys)
-    through_shuffle = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
-    return through_broadcast.unionByName(through_shuffle)
+    hot = lookup.where(is_hot).select(*keys, values.alias("_hot"))
+    cold = lookup.where(~is_hot).select(*keys, F.lit(0).alias("_salt"), values.alias("_cold"))
+    salt = 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("int")
+    served = rows.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot").isNotNull(), salt).otherwise(0)
+    )
+    found = served.join(cold, [*keys, "_salt"], "left").withColumn(
+        "_value", F.coalesce("_hot", "_cold")
+    )
+    return found.where(F.col("_value").isNotNull()).select(
+        *[F.col(c) for c in rows.columns], "_value.*"
+    )
