@@ -510,7 +510,7 @@ SELECT count(*) AS rows_before, count(*) FILTER ({_KEPT}) AS rows_after FROM typ
 sql(
     "load_summary",
     """
-SELECT 'lineitem' AS source, 'parquet' AS format, count(*) AS row_count, 11 AS column_count FROM lineitem""",
+SELECT 'lineitem' AS source, 'parquet' AS format, count(*) AS row_count, CAST(11 AS BIGINT) AS column_count FROM lineitem""",
     base="z AS (SELECT 1)",
 )
 _headers = ", ".join("'" + h + "'" for h in HEADERS)
@@ -522,9 +522,10 @@ SELECT source_id, position, raw_column,
 FROM cat""",
     base=f"""
 cat AS (
-  SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS source_id, (l_partkey + l_linenumber * l_suppkey) % 97 AS position,
-         [{_headers}][CAST(1 + (l_partkey + l_linenumber * l_suppkey) % 97 AS INTEGER)] AS raw_column
-  FROM lineitem WHERE (l_partkey + l_linenumber * l_suppkey) % 97 < {len(HEADERS)}
+  SELECT DISTINCT l_suppkey || '/' || strftime(l_shipdate, '%Y-%m') AS source_id,
+         (l_partkey + l_linenumber * l_suppkey) % {len(HEADERS)} AS position,
+         [{_headers}][CAST(1 + (l_partkey + l_linenumber * l_suppkey) % {len(HEADERS)} AS INTEGER)] AS raw_column
+  FROM lineitem
 )""",
 )
 
@@ -727,11 +728,8 @@ sums AS (
 ),
 stocked AS (SELECT sums.*, r.stock FROM sums ASOF JOIN readings r ON sums.product_id = r.product_id AND sums.s >= r.day),
 labelled AS (
-  SELECT product_id, s, max(CASE WHEN e.day IS NULL THEN 0 ELSE 1 END) AS label
-  FROM snaps LEFT JOIN events_ e USING (product_id)
-  WHERE e.day IS NULL OR TRUE
-  GROUP BY product_id, s, e.day > s AND e.day <= s + 14
-  HAVING coalesce(any_value(e.day > s AND e.day <= s + 14), FALSE)
+  SELECT DISTINCT snaps.product_id, s, 1 AS label
+  FROM snaps JOIN events_ e ON e.product_id = snaps.product_id AND e.day > s AND e.day <= s + 14
 )
 SELECT product_id, strftime(s, '%Y-%m-%d') AS snapshot_date,
        round(CASE WHEN total > 0 THEN least(stock / (total / n), 365) ELSE 365 END, 6) AS days_of_inventory,
@@ -794,7 +792,7 @@ STRENGTHS = STRENGTHS.replace(
 """,
 )
 SEASONAL_OUT = """
-SELECT {key}label AS period_label, p AS period_days, round(strength, 6) AS seasonal_strength,
+SELECT {key}label AS period_label, CAST(p AS BIGINT) AS period_days, round(strength, 6) AS seasonal_strength,
        strength > 0.3 AS is_seasonal,
        CASE WHEN n < 6 * p THEN 'needs ' || 6 * p || ' days of data, has ' || n END AS error
 FROM strengths"""

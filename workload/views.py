@@ -139,13 +139,13 @@ HEADERS = [
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Column headers of one file per supplier; the lines decide which it has."""
+    """Column headers of one file per supplier and month; its lines decide which it has."""
     headers = F.array(*[F.lit(h) for h in HEADERS])
-    pick = ((F.col("l_partkey") + F.col("l_linenumber") * F.col("l_suppkey")) % 97).cast("int")
+    pick = (F.col("l_partkey") + F.col("l_linenumber") * F.col("l_suppkey")) % len(HEADERS)
+    source = F.concat_ws("/", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM"))
     return (
         table(spark, sf_dir, "lineitem")
-        .select(F.col("l_suppkey").cast("string").alias("source_id"), pick.alias("position"))
-        .where(F.col("position") < len(HEADERS))
+        .select(source.alias("source_id"), pick.cast("int").alias("position"))
         .distinct()
         .select("source_id", "position", F.get(headers, F.col("position")).alias("raw_column"))
     )
