@@ -7,7 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.schema import CANONICAL_FIELDS, FIELD_DEFAULTS, FIELD_TYPES, ORDER_COLUMN, REQUIRED_FIELDS, Sales
+from granary.plans.lookup import join_lookup
+from granary.schema import (
+    CANONICAL_FIELDS, FIELD_DEFAULTS, FIELD_TYPES, ORDER_COLUMN, REQUIRED_FIELDS, Sales,
+)
+from granary.session import materialize
 
 # Known names per field (the field's own name counts too).
 ALIASES = {
@@ -126,6 +130,23 @@ def column_scores(catalogue: DataFrame) -> DataFrame:
     )
 
 
+def _scored_columns(catalogue: DataFrame) -> DataFrame:
+    """Every column of every source with its ten scores.
+
+    A name that very many sources share is a hot key of this join.
+    """
+    scores = column_scores(catalogue).groupBy("raw_column").agg(
+        F.collect_list(F.struct("field", "score")).alias("scores")
+    )
+    held = catalogue.groupBy("raw_column").agg(F.count(F.lit(1)).alias("held"))
+    lookup = materialize(scores.join(held, "raw_column"))
+    total = lookup.agg(F.sum("held")).scalar()
+    found = join_lookup(
+        catalogue, lookup.withColumn("total", total), ["raw_column"], "held", "total"
+    )
+    return found.select("source_id", "position", "raw_column", F.inline("scores"))
+
+
 def suggest_mappings(
     catalogue: DataFrame, threshold: float = THRESHOLD, margin: float = AMBIGUITY_MARGIN
 ) -> DataFrame:
@@ -142,10 +163,11 @@ def suggest_mappings(
     it has. The rivals, of which there may be many, are found by a join.
     """
     fields = F.array(*[F.lit(f) for f in FIELD_NAMES])
-    scored = catalogue.join(column_scores(catalogue), "raw_column").withColumn(
-        "field_no", F.array_position(fields, F.col("field"))
+    eligible = materialize(
+        _scored_columns(catalogue)
+        .where(F.col("score") >= threshold - margin)
+        .withColumn("field_no", F.array_position(fields, F.col("field")))
     )
-    eligible = scored.where(F.col("score") >= threshold - margin)
     order = F.struct(
         (-F.col("score")).alias("minus_score"), "field_no", "position", "field", "raw_column"
     )
@@ -161,18 +183,29 @@ def suggest_mappings(
             taken,
         ).otherwise(F.concat(taken, F.array(pair))),
     )
-    taken = best.select("source_id", F.posexplode(picks).alias("turn", "pair")).select(
-        "source_id",
-        "turn",
-        F.col("pair.field").alias("field"),
-        F.col("pair.position").alias("position"),
-        F.col("pair.raw_column").alias("raw_column"),
-        (-F.col("pair.minus_score")).alias("score"),
+    turns = best.select("source_id", F.posexplode(picks).alias("turn", "pair"))
+    taken = materialize(
+        turns.select(
+            "source_id",
+            "turn",
+            F.col("pair.field").alias("field"),
+            F.col("pair.position").alias("position"),
+            F.col("pair.raw_column").alias("raw_column"),
+            (-F.col("pair.minus_score")).alias("score"),
+        )
     )
     used = taken.select("source_id", "position", F.col("turn").alias("used_turn"))
+    held = eligible.groupBy("source_id", "field").agg(F.count(F.lit(1)).alias("held"))
+    winners = (
+        taken.select("source_id", "field", "turn", "score", F.col("position").alias("best_position"))
+        .join(held, ["source_id", "field"])
+        .withColumn("total", eligible.agg(F.count(F.lit(1))).scalar())
+    )
+    pairs = eligible.select(
+        "source_id", "field", "position", F.col("score").alias("rival_score")
+    )
     rivals = (
-        eligible.select("source_id", "field", "position", F.col("score").alias("rival_score"))
-        .join(taken.withColumnRenamed("position", "best_position"), ["source_id", "field"])
+        join_lookup(pairs, winners, ["source_id", "field"], "held", "total")
         .where(
             (F.col("position") != F.col("best_position"))
             & (F.col("score") - F.col("rival_score") <= margin)
