@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, decontaminate, language, neardup, packing
+from granary.llm import chat, decontaminate, fingerprint, html, language, neardup, packing, secrets, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,6 +30,51 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.trained(docs))
+
+    def spans(findings: Column) -> Column:
+        each = F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string")))
+        return F.array_join(each, ",")
+
+    def of(kind: str) -> Column:
+        return F.filter("findings", lambda f: f["kind"] == kind)
+
+    base = F.filter("findings", lambda f: f["kind"] != "model")
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        sha256(spans(base)).alias("base_sha256"),
+        spans(F.col("findings")).alias("spans"),
+        F.size(of("model")).cast("long").alias("n_model"),
+    )
+
+
+@query
+def op2_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of each document: a few words replaced at a quarter, a passage moved to the middle, one at the end."""
+    n = F.length(F.coalesce("text", F.lit("")))
+
+    def edit(at: Column, delete: int, inserted: Column) -> Column:
+        return F.struct(at.cast("long").alias("at"), F.lit(delete).cast("long").alias("n_delete"), inserted.alias("inserted"))
+
+    edits = F.array(
+        edit(F.floor(n / 4), 12, F.lit(" a few other words")),
+        edit(F.floor(n / 2), 0, F.substring("text", 1, 200)),
+        edit(n + 1_000, 0, F.lit(" The end.")),
+    )
+    return tokens.edited_counts(table(spark, sf_dir, "documents").withColumn("edits", edits), vocabulary())
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html.extract_main_text(pages, html.trained(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -72,6 +117,23 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+#: Fixed values: (verdict, host, path).
+RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.neighbour_edits(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
