@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontaminate, language, neardup, packing
+from granary.llm import decontaminate, language, neardup, packing, secrets
 from granary.llm.common import stored
 from granary.llm.queries import table, vocabulary
 
@@ -32,9 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows of a kept document are one document and leave one row.
     """
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +42,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask every secret found, in place; no document is dropped."""
+    return secrets.redact_secrets(docs, secrets.trained(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenize and pack what is left into windows."""
     return packing.pack_documents(docs, vocabulary())
@@ -51,6 +56,7 @@ STAGES = [
     ("language ID", language_id),
     ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
     ("packing", pack),
 ]
 
