@@ -269,7 +269,9 @@ def labelled_findings(texts: Sequence[str], seed: int = 7, most: int = EXAMPLES)
     contexts = contexts or ["", "some words around it and more"]
     while len(out) < most:
         before, word, label = _made(r)
-        context = r.choice(contexts)
+        context = r.choice(contexts) if r.random() < 0.5 else " ".join(
+            "".join(r.choice(string.ascii_letters) for _ in range(r.randint(1, 9))) for _ in range(12)
+        )
         cut = context.find(" ", len(context) // 2) + 1
         quote = r.choice(["", "", '"', "'"])
         head = context[:cut] + before + quote
