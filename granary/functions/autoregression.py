@@ -49,8 +49,10 @@ def _forecast_stationary(w: np.ndarray, constant: bool, horizon: int) -> np.ndar
     n = len(w)
     flat = np.full(horizon, w.mean() if constant else 0.0)
     long_order = min(max(10, int(np.log(n) ** 2) // 3), n // 4)
-    if n < 12 or long_order < 1 or np.ptp(w) == 0:
-        return flat
+    if np.ptp(w) == 0:
+        return flat  # a constant series is its own model
+    if n < 12 or long_order < 1:
+        return None
     ones = np.ones(n - long_order)
     design = np.column_stack([ones, *_lags(w, long_order, long_order)])
     fit = np.linalg.lstsq(design, w[long_order:], rcond=None)[0]
@@ -58,7 +60,7 @@ def _forecast_stationary(w: np.ndarray, constant: bool, horizon: int) -> np.ndar
     shocks[long_order:] = w[long_order:] - design @ fit
     start = long_order + MAX_ORDER
     if n - start < 2 * MAX_ORDER + 4:
-        return flat
+        return None
     target = w[start:]
     columns = np.column_stack(
         [np.ones(n - start), *_lags(w, MAX_ORDER, start), *_lags(shocks, MAX_ORDER, start)]
@@ -79,7 +81,7 @@ def _forecast_stationary(w: np.ndarray, constant: bool, horizon: int) -> np.ndar
             if best is None or score < best[0]:
                 best = (score, b[0] if constant else 0.0, ar, ma)
     if best is None:
-        return flat
+        return None
     _, c, ar, ma = best
     values, noise = list(w[-MAX_ORDER:]), list(shocks[-MAX_ORDER:])
     for _ in range(horizon):
@@ -104,6 +106,8 @@ def arima_one(y: np.ndarray, period: int | None, horizon: int) -> np.ndarray | N
     if regular:
         w = np.diff(w)
     forecast = _forecast_stationary(w, not (seasonal and regular), horizon)
+    if forecast is None:
+        return None
     if regular:
         forecast = level[-1] + np.cumsum(forecast)
     if seasonal:

@@ -76,12 +76,16 @@ def exact_rank_sum(u: float, n_a: int, n_b: int) -> float:
     return min(1.0, 2.0 * ways[upper:].sum())
 
 
-def rank_sum_p(u: float, n_a: int, n_b: int, tie_term: float) -> float:
-    """Two-sided Mann-Whitney p: exact for a small untied group, else normal.
+def rank_sum_p(u: float, n_a: int, n_b: int, tie_term: float, method: str = "auto") -> float:
+    """Two-sided Mann-Whitney p by the `exact` table, the `normal` form, or `auto`.
 
-    The exact table has n_a * n_b cells; past EXACT_CELLS the normal form is used.
+    The exact table has n_a * n_b cells and holds without ties only. `auto` takes
+    it for an untied group of up to EXACT_SIZE while it has at most EXACT_CELLS.
     """
-    if min(n_a, n_b) <= EXACT_SIZE and tie_term == 0 and n_a * n_b <= EXACT_CELLS:
+    possible = tie_term == 0 and n_a * n_b <= EXACT_CELLS
+    if method == "exact" and not possible:
+        raise ValueError("the exact test needs values without ties and a table of at most EXACT_CELLS")
+    if method == "exact" or method == "auto" and possible and min(n_a, n_b) <= EXACT_SIZE:
         return exact_rank_sum(u, n_a, n_b)
     n = n_a + n_b
     spread = math.sqrt(n_a * n_b / 12.0 * ((n + 1) - tie_term / (n * (n - 1.0))))
@@ -105,6 +109,8 @@ def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @pandas_udf(DoubleType())
-def rank_sum_tail(u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series) -> pd.Series:
-    rows = zip(u, n_a, n_b, ties)
-    return pd.Series([None if pd.isna(r[0]) else rank_sum_p(r[0], int(r[1]), int(r[2]), r[3]) for r in rows])
+def rank_sum_tail(
+    u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series, method: pd.Series
+) -> pd.Series:
+    rows = zip(u, n_a, n_b, ties, method)
+    return pd.Series([None if pd.isna(r[0]) else rank_sum_p(r[0], int(r[1]), int(r[2]), r[3], r[4]) for r in rows])

@@ -57,8 +57,8 @@ def top_products(sales: Sales, top_n: int = 10) -> DataFrame:
 def trending_products(sales: Sales, top_n: int = 10) -> DataFrame:
     """Growth of mean units per row from the first to the last third of the dates.
 
-    A product needs rows in both thirds. Growth from a mean of zero is undefined
-    and left out.
+    A product needs rows in both thirds. From a mean of zero growth is infinite, up
+    or down, and flagged as `from_zero`; only a mean that stays zero has none.
     """
     label = label_column(sales)
     span = sales.date_range()
@@ -74,9 +74,11 @@ def trending_products(sales: Sales, top_n: int = 10) -> DataFrame:
         )
     )
     change = F.col("recent_mean") - F.col("early_mean")
-    growth = F.try_divide(change, F.col("early_mean")) * 100
+    from_zero = F.col("early_mean") == 0
+    infinite = F.when(change > 0, F.lit(float("inf"))).when(change < 0, F.lit(float("-inf")))
+    growth = F.when(from_zero, infinite).otherwise(F.try_divide(change, F.col("early_mean")) * 100)
     return (
-        means.select("label", growth.alias("growth_percent"))
+        means.select("label", growth.alias("growth_percent"), from_zero.alias("from_zero"))
         .where(F.col("growth_percent").isNotNull())
         .orderBy(F.desc("growth_percent"), "label")
         .limit(top_n)

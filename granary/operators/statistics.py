@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.shapiro import shapiro_wilk
-from granary.functions.tails import rank_sum_tail, t_tail
+from granary.functions.shapiro import inverse_normal, shapiro_p, shapiro_w, shapiro_z
+from granary.functions.tails import EXACT_CELLS, EXACT_SIZE, rank_sum_tail, t_tail
 from granary.plans.box import long_form
 from granary.plans.lookup import join_lookup
-from granary.plans.ranking import exact_quantiles, with_running_totals
+from granary.plans.ranking import exact_quantiles, value_counts, with_running_totals
 from granary.schema import Sales
 from granary.session import materialize
 
@@ -20,9 +19,11 @@ from granary.session import materialize
 STRENGTHS = [(0.1, "negligible"), (0.3, "weak"), (0.5, "moderate"), (0.7, "strong")]
 STRONGEST = "very strong"
 ALPHA = 0.05
-NORMALITY_SAMPLE = 5_000
+Z_LIMIT = 1.6448536269514722
 BINS = 40
 CURVE_POINTS = 200
+# Ranks that one row stands for before they are expanded.
+RANKS_PER_ROW = 10_000
 GROUP_FIELDS = ["category", "warehouse_id"]
 
 
@@ -205,10 +206,13 @@ def correlation_matrix(sales: Sales) -> DataFrame:
 
 def compare_groups(
     sales: Sales, group_field: str, group_a: str, group_b: str, field: str = "quantity_sold",
-    **bucketing,
+    method: str = "auto", **bucketing,
 ) -> DataFrame:
     """Mann-Whitney test of one field between two values of a group field; one row.
 
+    `method` is `normal`, `exact` (without ties; an error where its table would be
+    too large), or `auto`: exact for an untied group of up to eight values where
+    the table can be made, else normal. The column `method` says which it was.
     Ranks come from a histogram of the distinct values. With fewer than two
     values in a group, `error` says so and the rest is null.
     """
@@ -236,8 +240,11 @@ def compare_groups(
     enough = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
     u = F.col("rank_sum") - F.col("n_a") * (F.col("n_a") + 1) / 2
     tested = sums.withColumn("u_statistic", F.when(enough, u)).withColumn(
-        "p_value", rank_sum_tail(F.col("u_statistic"), F.col("n_a"), F.col("n_b"), F.col("ties"))
+        "p_value", rank_sum_tail(F.col("u_statistic"), F.col("n_a"), F.col("n_b"), F.col("ties"), F.lit(method))
     )
+    size = F.least("n_a", "n_b")
+    small = (size <= EXACT_SIZE) & (F.col("ties") == 0) & (F.col("n_a") * F.col("n_b") <= EXACT_CELLS)
+    used = F.lit(method) if method != "auto" else F.when(small, "exact").otherwise("normal")
     higher = F.when(F.col("mean_a") > F.col("mean_b"), "higher").otherwise("lower")
     return tested.select(
         F.lit(group_field).alias("group_field"),
@@ -251,6 +258,7 @@ def compare_groups(
         "p_value",
         (F.col("p_value") < ALPHA).alias("is_significant"),
         F.when(F.col("p_value") < ALPHA, higher).alias("direction"),
+        F.when(enough, used).alias("method"),
         F.when(~enough, "fewer than two values in a group").alias("error"),
     )
 
@@ -292,55 +300,45 @@ def group_tests(sales: Sales, **bucketing) -> DataFrame:
     return result
 
 
-def normality_sample(sales: Sales, size: int = NORMALITY_SAMPLE) -> DataFrame:
-    """At most `size` values per field, drawn by the hash of field and row.
+def normality(sales: Sales, ranks_per_row: int = RANKS_PER_ROW, **bucketing) -> DataFrame:
+    """Shapiro-Wilk per numeric field over all its values; fields need three.
 
-    Rows whose hash is clearly too large to be drawn are left out before any row
-    is moved, so the final ranking sees about four times `size` per field.
+    Distinct values get their ranges of ranks from running totals; copies of one
+    value are cut into chunks of ranks, so no task expands a hot value alone. The
+    weights are normal scores of the ranks, an expression, and W follows from
+    sums. Royston's p is fitted for up to 5,000 values and carried on beyond.
     """
     fields = sales.numeric_fields()
-    held = sales.df.agg(F.struct(*[F.count(f).alias(f) for f in fields])).scalar()
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("field"),
-                F.col(f).alias("value"),
-                F.xxhash64(F.lit(f), F.col("_ord")).alias("draw"),
-                F.col("_held")[f].alias("held"),
-            )
-            for f in fields
-        ]
+    counts = value_counts(long_form(sales.df, fields), "value", ["field"])
+    placed = with_running_totals(counts, [F.col("value")], {"copies": "bigint"}, ["field"], **bucketing)
+    n = F.col("copies_total")
+    chunks = placed.where(n >= 3).select(
+        "field", "value", "copies", n.alias("n"), F.col("copies_before").alias("before"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(ranks_per_row).cast("long"))).alias("from"),
     )
-    share = F.least(F.lit(1.0), F.try_divide(F.lit(4.0 * size), F.col("held")))
-    drawn = (
-        sales.df.withColumn("_held", held)
-        .select(F.inline(entries))
-        .where(F.col("value").isNotNull())
-        .where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
+    # The chunks of one value spread over the tasks by their ranks.
+    spread = chunks.repartition(F.col("field"), F.col("value"), F.col("from"))
+    last = F.least(F.col("from") + ranks_per_row, F.col("copies"))
+    rank = F.explode(F.sequence(F.col("before") + F.col("from") + 1, F.col("before") + last)).alias("rank")
+    ranked = spread.select("field", "value", "n", rank)
+    score = inverse_normal((F.col("rank") - 0.375) / (F.col("n") + 0.25))
+    scored = ranked.withColumn("m", score)
+    ends = {"x1": F.lit(1), "x2": F.lit(2), "y2": F.col("n") - 1, "y1": F.col("n")}
+    sums = scored.groupBy("field", "n").agg(
+        F.sum(F.col("m") * F.col("m")).alias("mm"),
+        F.sum(F.col("m") * F.col("value")).alias("mx"),
+        (F.var_pop("value") * F.col("n")).alias("squares"),
+        *[F.max(F.when(F.col("rank") == at, F.col("value"))).alias(name) for name, at in ends.items()],
+        F.max("m").alias("m1"),
+        F.max(F.when(F.col("rank") == F.col("n") - 1, F.col("m"))).alias("m2"),
     )
-    order = Window.partitionBy("field").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw", "value")
+    w = F.when((F.col("squares") == 0) | (F.col("x1") == F.col("y1")), 1.0).otherwise(shapiro_w())
+    z = shapiro_z(F.col("w_statistic"), F.col("n"))
     return (
-        drawn.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= size)
-        .select("field", "value")
-    )
-
-
-def normality(sales: Sales, size: int = NORMALITY_SAMPLE) -> DataFrame:
-    """Shapiro-Wilk per field on at most `size` values; fields need three."""
-
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(rows["value"].to_numpy()) if len(rows) >= 3 else (None, None)
-        return pd.DataFrame(
-            {"field": [rows["field"].iloc[0]], "n": [len(rows)], "w_statistic": [w], "p_value": [p]}
-        )
-
-    return (
-        normality_sample(sales, size)
-        .groupBy("field")
-        .applyInPandas(test, "field string, n bigint, w_statistic double, p_value double")
-        .where(F.col("w_statistic").isNotNull())
-        .withColumn("is_normal", F.col("p_value") >= ALPHA)
+        sums.withColumn("w_statistic", w)
+        .withColumn("p_value", shapiro_p("w_statistic", "n"))
+        .withColumn("is_normal", F.when(F.col("n") < 12, F.col("p_value") >= ALPHA).otherwise(F.coalesce(z <= Z_LIMIT, F.lit(True))))
+        .select("field", "n", "w_statistic", "p_value", "is_normal")
     )
 
 
@@ -363,36 +361,40 @@ def _field_summary(sales: Sales) -> DataFrame:
 
 
 def histogram(sales: Sales, bins: int = BINS) -> DataFrame:
-    """Density in equal bins between each field's least and greatest value."""
+    """Density in equal bins between each field's least and greatest value, empty ones too."""
+    fields = sales.numeric_fields()
     entries = []
-    for f in sales.numeric_fields():
+    for f in fields:
         s = F.col("_s")[f]
         width = (s["high"] - s["low"]) / bins
         place = F.coalesce(F.try_divide(F.col(f) - s["low"], width), F.lit(0.0))
-        entries.append(
-            F.struct(
-                F.lit(f).alias("field"),
-                F.when(F.col(f).isNotNull(), F.least(F.floor(place), F.lit(bins - 1))).alias("bin"),
-                (s["low"]).alias("low"),
-                width.alias("width"),
-                s["n"].alias("n"),
-            )
-        )
-    placed = (
+        bin_of = F.when(F.col(f).isNotNull(), F.least(F.floor(place), F.lit(bins - 1)).cast("int"))
+        entries.append(F.struct(F.lit(f).alias("field"), bin_of.alias("bin")))
+    counts = (
         sales.df.withColumn("_s", _field_summary(sales).scalar())
         .select(F.inline(F.array(*entries)))
         .where(F.col("bin").isNotNull())
+        .groupBy("field", "bin")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col("s")[f].alias("s")) for f in fields])
+    frame = (
+        _field_summary(sales)
+        .select(F.inline(rows))
+        .where(F.col("s.n") > 0)
+        .select("field", "s", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    )
+    width = (F.col("s.high") - F.col("s.low")) / bins
     return (
-        placed.groupBy("field", "bin", "low", "width", "n")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        frame.join(counts, ["field", "bin"], "left")
+        .withColumn("rows", F.coalesce("rows", F.lit(0)))
         .select(
             "field",
-            F.col("bin").cast("int").alias("bin"),
-            (F.col("low") + F.col("bin") * F.col("width")).alias("bin_start"),
-            (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("bin_end"),
+            "bin",
+            (F.col("s.low") + F.col("bin") * width).alias("bin_start"),
+            (F.col("s.low") + (F.col("bin") + 1) * width).alias("bin_end"),
             "rows",
-            F.try_divide("rows", F.col("n") * F.col("width")).alias("density"),
+            F.try_divide("rows", F.col("s.n") * width).alias("density"),
         )
     )
 

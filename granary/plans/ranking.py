@@ -10,6 +10,7 @@ distinct sort keys, so that copies of one value count as one row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,17 +19,19 @@ from pyspark.sql import functions as F
 from granary.session import materialize
 
 ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 8_192
 SAMPLE_PER_BUCKET = 20
-STRIDE = 96
 HASH_RANGE = 1 << 30
 
 
-def _cut_points(stored: DataFrame, size: int, buckets: int) -> Column:
-    """Sorted cut points, and every STRIDE-th of them for a first look."""
+def _cut_points(stored: DataFrame, keys: Sequence[str], size: int, buckets: int, stride: int) -> Column:
+    """Sorted cut points, and every `stride`-th of them for a first look.
+
+    Keys are hashed with the sort value, so a value that many keys share is not
+    drawn for all of them at once.
+    """
     share = min(1.0, buckets * SAMPLE_PER_BUCKET / size)
     sample = stored.where(
-        F.pmod(F.xxhash64("_sort"), F.lit(HASH_RANGE)) < int(share * HASH_RANGE)
+        F.pmod(F.xxhash64(*keys, "_sort"), F.lit(HASH_RANGE)) < int(share * HASH_RANGE)
     ).agg(F.sort_array(F.collect_list("_sort")).alias("points"))
     cuts = sample.select(
         F.transform(
@@ -36,7 +39,7 @@ def _cut_points(stored: DataFrame, size: int, buckets: int) -> Column:
             lambda i: F.get("points", (i * F.size("points") / buckets).cast("int")),
         ).alias("fine")
     )
-    coarse = F.filter("fine", lambda b, i: i % STRIDE == STRIDE - 1)
+    coarse = F.filter("fine", lambda b, i: i % stride == stride - 1)
     return cuts.select(F.struct("fine", coarse.alias("coarse")).alias("cuts")).scalar()
 
 
@@ -46,7 +49,6 @@ def with_running_totals(
     measures: Mapping[str, str],
     keys: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """Add, for each measure m, `m_before` and `m_total` within `keys`.
 
@@ -59,7 +61,8 @@ def with_running_totals(
     sort = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     stored = materialize(df.withColumn("_sort", sort))
     size = stored.count()
-    buckets = min(max_buckets, -(-size // rows_per_bucket))
+    buckets = -(-size // rows_per_bucket)
+    stride = max(2, math.isqrt(buckets))
     zero = {m: F.lit(0).cast(t) for m, t in measures.items()}
 
     if buckets <= 1:
@@ -71,10 +74,10 @@ def with_running_totals(
             *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
         )
 
-    placed = stored.withColumn("_cuts", _cut_points(stored, size, buckets))
+    placed = stored.withColumn("_cuts", _cut_points(stored, keys, size, buckets, stride))
     first = F.size(F.filter("_cuts.coarse", lambda b: b < F.col("_sort")))
-    placed = placed.withColumn("_first", first * STRIDE)
-    rest = F.slice("_cuts.fine", F.col("_first") + 1, F.lit(STRIDE))
+    placed = placed.withColumn("_first", first * stride)
+    rest = F.slice("_cuts.fine", F.col("_first") + 1, F.lit(stride))
     placed = placed.withColumn(
         "_bucket", F.col("_first") + F.size(F.filter(rest, lambda b: b < F.col("_sort")))
     ).drop("_cuts", "_first")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +35,26 @@ def detect_format(path: str) -> str:
 
 
 def read_source(
-    spark: SparkSession, path: str, fmt: str | None = None, encoding: str = "UTF-8"
+    spark: SparkSession, path: str, fmt: str | None = None, encoding: str = "UTF-8", multi_line: bool = False
 ) -> DataFrame:
     """A lazy frame over one file or a folder of files.
 
-    `json` is an array of objects per file (one task per file); `jsonl`, one
-    object per line, is the form that splits and so the one for large data.
+    CSV is in the usual dialect: a quote inside quotes is doubled, and a record
+    with more cells than the header is malformed. `multi_line` allows line breaks
+    inside quotes, at the price of one task per file. `json` is an array of
+    objects per file (one task per file); `jsonl`, one object per line, is the
+    form that splits and so the one for large data.
+
+    Malformed input is a SourceError: here, where the schema is read from the
+    data, else when the rows are; `checked` turns those into SourceErrors too.
     """
     fmt = fmt or detect_format(path)
     try:
         if fmt == "csv":
-            return spark.read.option("header", True).option("encoding", encoding).csv(path)
+            reader = spark.read.option("header", True).option("encoding", encoding)
+            reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+            columns = reader.csv(path).schema
+            return reader.schema(columns).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
         if fmt in ("json", "jsonl"):
             return (
                 spark.read.option("multiLine", fmt == "json")
@@ -54,11 +65,25 @@ def read_source(
             )
         if fmt in ("parquet", "orc"):
             return spark.read.format(fmt).load(path)
-    except AnalysisException as error:
-        raise SourceError(f"{path}: {error.getCondition() or error}") from error
+    except (PySparkException, Py4JJavaError) as error:
+        raise SourceError(f"{path}: {_cause(error)}") from error
     raise UnsupportedFormatError(f"{fmt} is not supported")
 
 
+def checked(df: DataFrame, name: str) -> DataFrame:
+    """The same frame, after one pass over all columns that finds malformed records."""
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError) as error:
+        raise SourceError(f"{name}: {_cause(error)}") from error
+    return df
+
+
+def _cause(error: Exception) -> str:
+    found = re.search(r"\[([A-Z_]+(?:\.[A-Z_]+)*)\]", str(error))
+    return found[1] if found else type(error).__name__
+
+
 def load_summary(df: DataFrame, name: str, fmt: str) -> DataFrame:
     """One row: what was loaded."""
     return df.agg(F.count(F.lit(1)).alias("row_count")).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -10,13 +12,25 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.schema import ORDER_COLUMN
+
+#: Raised whenever stored results would come out differently.
+VERSION = 2
+
 
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
     """One row that changes with the content, whatever the order of the rows.
 
-    The sum of row hashes keeps copies apart, which the xor alone would cancel.
+    Names, types and null flags are hashed with the values, so a value that moves
+    to another column, or takes another type, counts as a change. The order
+    column of a Sales table, which may depend on partitioning, is left out. The
+    sum of row hashes keeps copies apart, which the xor alone would cancel.
     """
-    return df.select(F.xxhash64(*sorted(df.columns)).alias("h")).agg(
+    columns = sorted(c for c in df.columns if c != ORDER_COLUMN)
+    types = dict(df.dtypes)
+    described = F.lit(";".join(f"{c}:{types[c]}" for c in columns))
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return df.select(F.xxhash64(described, *parts).alias("h")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"),
         F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
@@ -29,29 +43,40 @@ def fingerprint(df: DataFrame) -> str:
 
 
 class ResultStore:
-    """Result tables and models in a shared folder, by fingerprint."""
+    """Result tables and models in a shared folder.
+
+    The key of a result is its table's fingerprint with the library's version and
+    the parameters that made it, so neither a change of these nor of the data is
+    answered with an old result. A result counts as stored when its writer has
+    finished (its folder has a _SUCCESS file).
+    """
 
     def __init__(self, folder: str):
         self.folder = folder.rstrip("/")
 
-    def path(self, name: str, key: str) -> str:
-        return f"{self.folder}/{name}/fingerprint={key}"
+    def path(self, name: str, key: str, **parameters) -> str:
+        made_by = json.dumps([VERSION, parameters], sort_keys=True, default=str)
+        digest = hashlib.sha256(made_by.encode()).hexdigest()[:16]
+        return f"{self.folder}/{name}/fingerprint={key}/made={digest}"
 
-    def table(self, name: str, key: str, source: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
+    def table(self, name: str, key: str, source: DataFrame, build: Callable[[], DataFrame], **parameters) -> DataFrame:
         """The stored table, or the built one, stored; unreadable means build again."""
-        spark, path = source.sparkSession, self.path(name, key)
-        try:
-            return spark.read.parquet(path)
-        except (PySparkException, Py4JJavaError):
+        spark, path = source.sparkSession, self.path(name, key, **parameters)
+        if not _finished(spark, path):
             build().write.mode("overwrite").parquet(path)
-            return spark.read.parquet(path)
+        return spark.read.parquet(path)
 
-    def forest(self, name: str, key: str, build: Callable[[], RandomForestClassificationModel]):
+    def forest(self, name: str, key: str, build: Callable[[], RandomForestClassificationModel], **parameters):
         """The stored forest, or the built one, stored."""
-        path = self.path(name, key)
+        path = self.path(name, key, **parameters)
         try:
             return RandomForestClassificationModel.load(path)
         except (PySparkException, Py4JJavaError):
             model = build()
             model.write().overwrite().save(path)
             return model
+
+
+def _finished(spark, path: str) -> bool:
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)

@@ -9,12 +9,13 @@ from tests.conftest import rows_by
 
 @pytest.fixture(scope="module")
 def small(make_sales):
+    """A is read at three stocks, B at one only."""
     return make_sales(
-        date=["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-01", "2024-01-02"],
-        product_id=["A", "A", "A", "B", "B"],
-        quantity_sold=[10, 8, 12, 2, 3],
-        unit_price=[5, 5, 5, 50, 50],
-        current_stock=[100, 92, 82, 30, 30],
+        date=["2022-05-02", "2022-05-06", "2022-05-11", "2022-05-03", "2022-05-08", "2022-05-09"],
+        product_id=["A", "A", "A", "B", "B", "B"],
+        quantity_sold=[14, 6, 20, 1, 2, 6],
+        unit_price=[3, 3, 3, 40, 40, 40],
+        current_stock=[70, 64, 44, 18, 18, 18],
     )
 
 
@@ -22,13 +23,13 @@ def test_turnover(small):
     out = rows_by(kpis.turnover(small), "product_id")
     assert out["A"]["inventory_data_type"] == "historical_average"
     assert out["B"]["inventory_data_type"] == "single_snapshot_approximation"
-    assert out["B"]["turnover_ratio"] == pytest.approx(5 / 30)
+    assert out["B"]["turnover_ratio"] == pytest.approx(9 / 18)
 
 
 def test_cover_uses_latest_stock_and_whole_span(small):
     out = rows_by(kpis.days_of_inventory(small), "product_id")
-    assert out["A"]["latest_stock"] == 82
-    assert out["A"]["avg_daily_demand"] == 15
+    assert out["A"]["latest_stock"] == 44
+    assert out["A"]["avg_daily_demand"] == pytest.approx(40 / 9)
 
 
 def test_latest_stock_skips_nulls_and_breaks_ties_by_order(make_sales):
@@ -49,7 +50,7 @@ def test_product_without_stock_keeps_a_null_cover(make_sales):
 
 def test_abc_by_revenue_and_by_quantity(small, make_sales):
     out = rows_by(kpis.abc_analysis(small), "product_id")
-    assert out["B"]["basis"] == "revenue" and out["B"]["value"] == 250
+    assert out["B"]["basis"] == "revenue" and out["B"]["value"] == 360
     assert [out[p]["tier"] for p in "BA"] == ["A", "C"]
     plain = make_sales(date=["2024-01-01"] * 2, product_id=["x", "y"], quantity_sold=[9, 1])
     found = rows_by(kpis.abc_analysis(plain), "product_id")
@@ -139,25 +140,26 @@ def test_labels(make_sales):
 
 
 def test_trends(make_sales):
-    early, late = pd.date_range("2024-01-01", periods=10), pd.date_range("2024-01-21", periods=10)
-    both = list(early) + list(late)
+    """Four months; the middle ones must not matter, and zeros make infinite or no growth."""
+    months = [f"2022-{m:02d}-{d:02d}" for m, first in ((3, 1), (4, 20), (5, 2), (6, 15)) for d in range(first, first + 8, 2)]
+    levels = {"grows": (4, 90, 1, 6), "shrinks": (8, 0, 0, 2), "starts": (0, 5, 5, 3), "silent": (0, 7, 7, 0), "returned": (0, 1, 1, -2)}
     sales = make_sales(
-        date=both * 2, product_id=["up"] * 20 + ["down"] * 20,
-        quantity_sold=[10] * 10 + [20] * 10 + [20] * 10 + [10] * 10,
-    )
-    out = [(r["label"], r["growth_percent"]) for r in eda.trending_products(sales).collect()]
-    assert out == [("up", 100.0), ("down", -50.0)]
-    apart = make_sales(
-        date=list(early) + list(late), product_id=["a"] * 10 + ["b"] * 10, quantity_sold=[1] * 20
+        date=months * len(levels), product_id=[p for p in levels for _ in months],
+        quantity_sold=[levels[p][i // 4] for p in levels for i in range(16)],
     )
+    out = [(r["label"], r["from_zero"]) for r in eda.trending_products(sales).collect()]
+    assert out == [("starts", True), ("grows", False), ("shrinks", False), ("returned", True)]
+    growth = {r["label"]: r["growth_percent"] for r in eda.trending_products(sales).collect()}
+    assert growth["starts"] == float("inf") and growth["returned"] == float("-inf") and growth["grows"] > 0 > growth["shrinks"]
+    apart = make_sales(date=months[:4] + months[-4:], product_id=["a"] * 4 + ["b"] * 4, quantity_sold=[1] * 8)
     assert eda.trending_products(apart).count() == 0
 
 
 def test_product_profit_and_unknown_product(make_sales):
     sales = make_sales(
-        date=pd.date_range("2024-01-01", periods=20), product_id=["p"] * 20,
-        quantity_sold=[10] * 20, unit_price=[20] * 20, unit_cost=[8] * 20,
+        date=["2021-07-04", "2021-07-05", "2021-09-30"], product_id=["p"] * 3,
+        quantity_sold=[3, 5, 2], unit_price=[7, 6, 9], unit_cost=[4, 4, 5.5],
     )
-    assert eda.product_eda(sales, "p").first()["total_profit"] == 2400
+    assert eda.product_eda(sales, "p").first()["total_profit"] == 3 * 3 + 5 * 2 + 2 * 3.5
     with pytest.raises(ValueError):
         eda.product_eda(sales, "q")

@@ -1,5 +1,3 @@
-import re
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -17,7 +15,17 @@ def lcs(a, b):
 
 
 def normal(name):
-    return re.sub(r"[^\w]", "", re.sub(r"[\s\-]+", "_", name.strip().lower()))
+    """Walk the characters: runs of blanks and hyphens become one underscore, other marks go."""
+    out, gap = "", False
+    for c in name.strip().lower():
+        if c == "-" or c.isspace():
+            gap = True
+            continue
+        if gap:
+            out, gap = out + "_", False
+        if c == "_" or c.isalnum():
+            out += c
+    return out + "_" * gap
 
 
 def score(name, field):
@@ -27,20 +35,18 @@ def score(name, field):
     )
 
 
-def greedy(columns, threshold=75.0, margin=5.0):
-    free_fields, free = list(mapping.FIELD_NAMES), list(range(len(columns)))
-    scores = {(f, c): score(columns[c], f) for f in free_fields for c in free}
-    out = {}
-    while free_fields and free:
-        pairs = [(f, c) for f in mapping.FIELD_NAMES if f in free_fields for c in free]
-        best = max(pairs, key=lambda p: scores[p])
-        if scores[best] < threshold:
-            break
-        f, c = best
-        rivals = [d for d in free if d != c and scores[best] - scores[(f, d)] <= margin]
-        out[f] = (columns[c], round(scores[best], 6), len(rivals))
-        free_fields.remove(f)
-        free.remove(c)
+def claimed(columns, threshold=75.0, margin=5.0):
+    """All pairs once in order of score; a pair is claimed while both its sides are free."""
+    pairs = [(-score(c, f), k, i) for k, f in enumerate(mapping.FIELD_NAMES) for i, c in enumerate(columns)]
+    worth = {(k, i): -s for s, k, i in pairs}
+    taken, out = set(), {}
+    for s, k, i in sorted(pairs):
+        field = mapping.FIELD_NAMES[k]
+        if -s < threshold or field in out or i in taken:
+            continue
+        near = [d for d in range(len(columns)) if d not in taken and d != i and -s - worth[k, d] <= margin]
+        taken.add(i)
+        out[field] = (columns[i], round(-s, 6), len(near))
     return out
 
 
@@ -60,8 +66,8 @@ def test_scores_match_brute_force(spark):
 def test_suggestions_match_brute_force(spark):
     rng = np.random.default_rng(3)
     sources = {
-        "retail": ["StockCode", "Quantity", "InvoiceDate", "Price", "Country"],
-        "ambiguous": ["qty", "quantity", "date", "sku"],
+        "shop": ["Item No", "Units Sold", "Sale Date", "Unit Price", "Loyalty Tier"],
+        "twice": ["units", "units sold", "day", "product code", "item code"],
         "nothing": ["aaa", "zzz"],
         "copies": ["price", "price ", "PRICE", "unit price", "unit_price"] * 4,
     }
@@ -71,7 +77,7 @@ def test_suggestions_match_brute_force(spark):
     suggested = mapping.suggest_mappings(cat)
     found = rows_by(suggested, "source_id", "field")
     for source, columns in sources.items():
-        want = greedy(columns)
+        want = claimed(columns)
         got = {f: r for (s, f), r in found.items() if s == source}
         assert set(got) == set(want), source
         for f, (column, value, rivals) in want.items():
@@ -79,8 +85,8 @@ def test_suggestions_match_brute_force(spark):
             assert round(got[f]["score"], 6) == value
             assert got[f]["rivals"] == rivals
             assert got[f]["status"] == ("ambiguous" if rivals else "mapped")
-    free = mapping.unmapped_columns(cat.where("source_id = 'retail'"), suggested)
-    assert [r["raw_column"] for r in free.collect()] == ["Country"]
+    free = mapping.unmapped_columns(cat.where("source_id = 'shop'"), suggested)
+    assert [r["raw_column"] for r in free.collect()] == [c for c in sources["shop"] if c not in {v[0] for v in claimed(sources["shop"]).values()}]
 
 
 def test_normalize(spark):

@@ -10,24 +10,23 @@ from granary.sources.results import ResultStore
 from tests.conftest import rows_by
 
 
-def depleting(products=5, days=400, gaps=False):
-    """Stock that runs down from 100 and is filled up again, over and over."""
-    rng = np.random.default_rng(11)
+def cycles(products=4, days=430, gaps=False):
+    """Stock that follows saw teeth of each product's own length down to nothing, with noise on the sales."""
+    rng = np.random.default_rng(2077)
     rows = []
     for p in range(products):
-        stock = 100.0
-        for d in pd.date_range("2023-01-01", periods=days):
-            sold = float(rng.poisson(4 + p))
-            stock = 100.0 if stock <= 0 else max(0.0, stock - sold)
-            seen = None if gaps and rng.random() < 0.5 else stock
-            if not gaps or rng.random() < 0.7:
-                rows.append((d, f"p{p}", sold, seen, float(rng.choice([15, 20, 25]))))
+        length, top = 17 + 5 * p, 60.0 + 15 * p
+        for i, d in enumerate(pd.date_range("2021-03-15", periods=days)):
+            left = round(top * (1 - (i % length) / (length - 1)), 1)
+            seen = None if gaps and rng.random() < 0.45 else left
+            if not gaps or rng.random() < 0.75:
+                rows.append((d, f"p{p}", float(rng.binomial(12, 0.3 + p / 20)), seen, 8.0 + 3 * (i % 4)))
     return pd.DataFrame(rows, columns=["date", "product_id", "quantity_sold", "current_stock", "unit_price"])
 
 
 @pytest.fixture(scope="module")
 def history(make_sales):
-    frame = depleting()
+    frame = cycles()
     return make_sales(**{c: list(frame[c]) for c in frame}, category=["c"] * len(frame))
 
 
@@ -80,7 +79,7 @@ def brute_features(frame):
 
 
 def test_features_match_dense_series(make_sales):
-    frame = depleting(products=3, days=200, gaps=True)
+    frame = cycles(products=3, days=200, gaps=True)
     sales = make_sales(**{c: list(frame[c]) for c in frame})
     found = rows_by(stockout.feature_table(sales), "product_id", "snapshot_date")
     want = brute_features(frame)
@@ -100,7 +99,7 @@ def test_classifier(spark, history, tmp_path_factory):
     assert metrics["n_train"] == pytest.approx(0.8 * total, abs=2)
     assert 0 <= metrics["accuracy"] <= 1
     table = rows_by(risk.risk_table(trained), "product_id")
-    assert set(table) == {f"p{i}" for i in range(5)}
+    assert set(table) == {f"p{i}" for i in range(4)}
     explained = rows_by(risk.risk_explanations(trained), "product_id")
     for p, row in explained.items():
         parts = [row[f"{f}_contribution"] for f in stockout.FEATURES]
@@ -189,7 +188,7 @@ def test_end_to_end(history, tmp_path_factory):
     assert rows and order == sorted(order)
     assert all(isinstance(r["source_signals"], dict) and r["reasoning"] for r in rows)
     facts_row = report.executive_facts(history, risks, advice).first()
-    assert facts_row["total_recommendations"] == len(rows) and facts_row["total_products"] == 5
+    assert facts_row["total_recommendations"] == len(rows) and facts_row["total_products"] == 4
     assert facts_row["top_recommendations"].startswith("1. ")
     lines = rows_by(report.product_report(history, risks, advice), "product_id")
     first = {}

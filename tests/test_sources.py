@@ -3,9 +3,11 @@ import json
 import pytest
 
 from granary.operators.mapping import FieldMapping, MappingError, apply_mapping
+from granary.schema import Sales
 from granary.sources.readers import (
     SourceError,
     UnsupportedFormatError,
+    checked,
     detect_format,
     load_summary,
     read_source,
@@ -43,12 +45,41 @@ def test_errors(spark, tmp_path):
         read_source(spark, str(tmp_path / "absent.csv"))
 
 
+def test_csv_dialect(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,name,n\n1,"a ""b"", c",5\n2,"two\nlines",6\n3,plain,\n')
+    rows = read_source(spark, str(path), multi_line=True).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [("1", 'a "b", c', "5"), ("2", "two\nlines", "6"), ("3", "plain", None)]
+    ragged = tmp_path / "r.csv"
+    ragged.write_text("id,name\n1,a\n2,b,extra\n")
+    with pytest.raises(SourceError):
+        checked(read_source(spark, str(ragged)), "r.csv")
+
+
+def test_malformed_json_is_a_source_error(spark, tmp_path):
+    path = tmp_path / "bad.json"
+    path.write_text('[{"a": 1}, {"a": ')
+    with pytest.raises(SourceError):
+        checked(read_source(spark, str(path)), "bad.json")
+
+
 def test_fingerprint_ignores_order_but_not_copies(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
     b = spark.createDataFrame([(2, "y"), (1, "x")], "a int, b string")
     c = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (3, "z")], "a int, b string")
     assert fingerprint(a) == fingerprint(b) != fingerprint(c)
     assert fingerprint(a.limit(0)) == fingerprint(b.limit(0))
+    left = spark.createDataFrame([(5, None)], "a int, b int")
+    right = spark.createDataFrame([(None, 5)], "a int, b int")
+    named = spark.createDataFrame([(5, None)], "a int, c int")
+    wide = spark.createDataFrame([(5, None)], "a long, b int")
+    assert len({fingerprint(x) for x in (left, right, named, wide)}) == 4
+
+
+def test_fingerprint_does_not_depend_on_partitions(make_sales):
+    sales = make_sales(date=["2024-01-01"] * 50, product_id=[str(i) for i in range(50)], quantity_sold=[1] * 50)
+    rows = sales.df.drop("_ord")
+    assert fingerprint(Sales(rows.repartition(7)).df) == fingerprint(Sales(rows.coalesce(1)).df)
 
 
 def test_store_builds_once_and_again_when_unreadable(spark, tmp_path):
@@ -62,12 +93,12 @@ def test_store_builds_once_and_again_when_unreadable(spark, tmp_path):
     assert store.table("t", "k", source, build).count() == 3
     assert store.table("t", "k", source, build).count() == 3
     assert len(calls) == 1
-    for part in (tmp_path / "t" / "fingerprint=k").glob("*.parquet"):
-        part.write_text("broken")
-    for check in (tmp_path / "t" / "fingerprint=k").glob(".*.crc"):
-        check.unlink()
+    for mark in (tmp_path / "t" / "fingerprint=k").rglob("*_SUCCESS*"):
+        mark.unlink()  # as a failed write leaves it
     assert store.table("t", "k", source, build).count() == 3
     assert len(calls) == 2
+    assert store.table("t", "k", source, build, depth=4).count() == 3
+    assert len(calls) == 3
 
 
 def test_apply_mapping(spark):

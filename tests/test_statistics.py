@@ -5,7 +5,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from granary.functions.shapiro import shapiro_wilk
+from pyspark.sql import functions as F
+
+from granary.functions.shapiro import inverse_normal, p_of_w
 from granary.functions.tails import exact_rank_sum, rank_sum_p, t_two_sided
 from granary.operators import statistics as st
 from tests.conftest import rows_by
@@ -37,14 +39,52 @@ def test_normal_rank_sum():
     assert rank_sum_p(50.0, 10, 10, 20**3 - 20) == 1.0
 
 
-def test_shapiro_published_example():
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    ps = [1e-12, 1e-5, 0.01, 0.024, 0.03, 0.3, 0.5, 0.9, 0.9999, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select(inverse_normal(F.col("p"))).collect()
+    assert [r[0] for r in got] == pytest.approx([NormalDist().inv_cdf(p) for p in ps], abs=2e-8)
+
+
+def normal_table(make_sales, values):
+    n = len(values)
+    return make_sales(date=["2024-01-01"] * n, product_id=["p"] * n, quantity_sold=list(map(float, values)))
+
+
+def test_shapiro_published_example(make_sales):
     # The worked example of Shapiro and Wilk (1965).
-    w, p = shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]))
-    assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.001)
-    rng = np.random.default_rng(0)
-    assert shapiro_wilk(rng.normal(size=3000))[1] > 0.05 > shapiro_wilk(rng.exponential(size=3000))[1]
-    assert shapiro_wilk(np.ones(5)) == (1.0, 1.0)
-    assert 0 <= shapiro_wilk(np.array([1.0, 2.0, 4.0]))[1] <= 1
+    heights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    out = st.normality(normal_table(make_sales, heights)).first()
+    assert out["w_statistic"] == pytest.approx(0.79, abs=0.005) and out["p_value"] == pytest.approx(0.0067, abs=0.001)
+    assert not out["is_normal"] and out["n"] == 11
+    even = st.normality(normal_table(make_sales, [4.0] * 5)).first()
+    assert (even["w_statistic"], even["p_value"]) == (1.0, 1.0)
+    three = st.normality(normal_table(make_sales, [1, 2, 4])).first()
+    assert three["w_statistic"] == pytest.approx(27 / 28) and three["p_value"] == pytest.approx(p_of_w(27 / 28, 3))
+    assert st.normality(normal_table(make_sales, [1, 2])).count() == 0
+
+
+def test_normality_looks_at_every_value(make_sales):
+    """Heavy ties in chunks and several buckets give what one plain pass gives."""
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(4)
+    values = np.sort(np.round(rng.normal(50, 4, 6_000)))
+    n = len(values)
+    m = np.array([NormalDist().inv_cdf((i + 0.625) / (n + 0.25)) for i in range(n)])
+    u, total = n**-0.5, m @ m
+    last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, m[-1] / total**0.5], u)
+    following = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / total**0.5], u)
+    a = m * ((1 - 2 * last**2 - 2 * following**2) / (total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2)) ** 0.5
+    a[[0, 1, -2, -1]] = -last, -following, following, last
+    w = (a @ values) ** 2 / ((values - values.mean()) ** 2).sum()
+    sales = normal_table(make_sales, rng.permutation(values))
+    for options in ({}, {"ranks_per_row": 7, "rows_per_bucket": 5}):
+        out = st.normality(sales, **options).first()
+        assert out["n"] == n and out["w_statistic"] == pytest.approx(w, abs=1e-9)
+    for draw, normal in ((rng.normal(size=1500), True), (rng.exponential(size=1500), False)):
+        assert st.normality(normal_table(make_sales, draw)).first()["is_normal"] == normal
 
 
 @pytest.fixture(scope="module")
@@ -136,18 +176,22 @@ def test_rank_test_edge_cases(make_sales):
     assert st.group_tests(one).count() == 0
 
 
-def test_normality_sample_is_bounded_and_repeatable(noisy_sales):
-    first = sorted(map(tuple, st.normality_sample(noisy_sales, 30).collect()))
-    assert first == sorted(map(tuple, st.normality_sample(noisy_sales, 30).collect()))
-    sizes = pd.Series([f for f, _ in first]).value_counts()
-    assert (sizes == 30).all() and len(sizes) == 4
-    out = rows_by(st.normality(noisy_sales), "field")
-    assert out["current_stock"]["n"] == 400 - 58 and out["current_stock"]["is_normal"]
+def test_rank_test_method(make_sales):
+    n = 24
+    sales = make_sales(
+        date=["2024-01-01"] * n, product_id=["p"] * n, category=["x"] * 12 + ["y"] * 12, quantity_sold=[3.5 * i % 41 for i in range(n)]
+    )
+    auto, exact, normal = (st.compare_groups(sales, "category", "x", "y", method=m).first() for m in ("auto", "exact", "normal"))
+    assert (auto["method"], exact["method"], normal["method"]) == ("normal", "exact", "normal")
+    assert auto["p_value"] == normal["p_value"] != exact["p_value"] == pytest.approx(auto["p_value"], abs=0.02)
+    with pytest.raises(ValueError):
+        rank_sum_p(3.0, 4, 4, 6.0, "exact")
 
 
 def test_histogram_and_bundle(noisy_sales):
     out = st.histogram(noisy_sales).toPandas()
     area = ((out["bin_end"] - out["bin_start"]) * out["density"]).groupby(out["field"]).sum()
     assert area["quantity_sold"] == pytest.approx(1)
-    assert out.loc[out["field"] == "unit_cost", "rows"].tolist() == [400]
+    assert (out.groupby("field").size() == 40).all() and (out["rows"] == 0).any()
+    assert out.loc[out["field"] == "unit_cost", "rows"].tolist() == [400] + [0] * 39
     assert {"correlations", "normality", "group_tests"} <= set(st.analytics(noisy_sales))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.views import HEADERS, BRAND_SQL, DIRTY_SQL, ORD_SQL, RETURNS_SQL, SALES_SQL
+from workload.views import HEADERS, BRAND_SQL, DIRTY_SQL, LAUNCHES_SQL, ORD_SQL, RETURNS_SQL, SALES_SQL
 
 ORACLE = {}
 
@@ -284,17 +284,20 @@ sql(
 SELECT product_name AS label, sum(quantity_sold) AS quantity_sold FROM sales GROUP BY 1
 ORDER BY 2 DESC, 1 LIMIT 10""",
 )
-sql(
-    "trending_products",
-    """,
+_TRENDS = """,
 span AS (SELECT epoch_us(min(date)) AS a, epoch_us(max(date)) AS b FROM sales),
 early AS (SELECT product_name, avg(quantity_sold) AS m FROM sales, span
           WHERE epoch_us(date) <= a + (b - a) / 3.0 GROUP BY 1),
 recent AS (SELECT product_name, avg(quantity_sold) AS m FROM sales, span
-           WHERE epoch_us(date) >= b - (b - a) / 3.0 GROUP BY 1)
-SELECT product_name AS label, round((recent.m - early.m) / early.m * 100, 6) AS growth_percent
-FROM early JOIN recent USING (product_name) ORDER BY (recent.m - early.m) / early.m DESC, 1 LIMIT 10""",
-)
+           WHERE epoch_us(date) >= b - (b - a) / 3.0 GROUP BY 1),
+grown AS (SELECT product_name AS label, early.m = 0 AS from_zero,
+            CASE WHEN early.m <> 0 THEN (recent.m - early.m) / early.m * 100
+                 WHEN recent.m > 0 THEN CAST('Infinity' AS DOUBLE) WHEN recent.m < 0 THEN CAST('-Infinity' AS DOUBLE) END AS g
+          FROM early JOIN recent USING (product_name))
+SELECT label, CASE WHEN isinf(g) THEN g ELSE round(g, 6) END AS growth_percent, from_zero
+FROM grown WHERE g IS NOT NULL ORDER BY g DESC, 1 LIMIT """
+sql("trending_products", _TRENDS + "10")
+sql("trending_products_launches", _TRENDS + "60", base=LAUNCHES_SQL)
 LONG = """,
 long AS (
   SELECT product_id, date, 'quantity_sold' AS field, quantity_sold AS value FROM sales
@@ -613,11 +616,52 @@ sql(
         "SELECT category, row_number() OVER (ORDER BY count(*) DESC, category) AS k FROM sales GROUP BY category)"
     ),
 )
+# Acklam's coefficients for the normal quantile, highest power first.
+_CENTRE = ("-39.69683028665376 220.9460984245205 -275.9285104469687 138.3577518672690 -30.66479806614716 2.506628277459239",
+           "-54.47609879822406 161.5858368580409 -155.6989798598866 66.80131188771972 -13.28068155288572 1")
+_TAIL = ("-0.007784894002430293 -0.3223964580411365 -2.400758277161838 -2.549732539343734 4.374664141464968 2.938163982698783",
+         "0.007784695709041462 0.3224671290700398 2.445134137142996 3.754408661907416 1")
+
+
+def _power_sum(constants: str, x: str) -> str:
+    numbers = constants.split()
+    return " + ".join(f"{c}::DOUBLE * pow({x}, {len(numbers) - 1 - k})" for k, c in enumerate(numbers))
+
+
+def _quantile(p: str) -> str:
+    q, t = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    centre = f"{q} * ({_power_sum(_CENTRE[0], f'({q} * {q})')}) / ({_power_sum(_CENTRE[1], f'({q} * {q})')})"
+    tail = f"({_power_sum(_TAIL[0], t)}) / ({_power_sum(_TAIL[1], t)})"
+    return f"CASE WHEN least({p}, 1 - {p}) >= 0.02425 THEN {centre} WHEN {p} < 0.5 THEN {tail} ELSE -({tail}) END"
+
+
+# Royston (1995), for more than eleven values.
+sql(
+    "normality",
+    LONG
+    + f""",
+ranked AS (SELECT field, value, row_number() OVER (PARTITION BY field ORDER BY value) AS i, count(*) OVER (PARTITION BY field) AS n FROM long WHERE value IS NOT NULL),
+scored AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM ranked),
+weighed AS (SELECT field, value, i, n, {_quantile('p')} AS m FROM scored),
+sums AS (SELECT field, n, sum(m * m) AS mm, var_pop(value) * n AS ss, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2, 1 / sqrt(n) AS u FROM weighed GROUP BY 1, 2),
+fixed AS (SELECT *, m1 / sqrt(mm) + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5 AS a1,
+                 m2 / sqrt(mm) + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5 AS a2 FROM sums),
+scaled AS (SELECT *, sqrt((1 - 2 * a1 * a1 - 2 * a2 * a2) / (mm - 2 * m1 * m1 - 2 * m2 * m2)) AS s FROM fixed),
+tested AS (SELECT field, n, pow(sum(value * CASE i WHEN 1 THEN -a1 WHEN 2 THEN -a2 WHEN n - 1 THEN a2 WHEN n THEN a1 ELSE m * s END), 2) / any_value(ss) AS w
+           FROM weighed JOIN scaled USING (field, n) GROUP BY 1, 2)
+SELECT field, n, round(w, 6) AS w_statistic,
+  (ln(1 - w) - (-1.5861 - 0.31082 * ln(n) - 0.083751 * ln(n)**2 + 0.0038915 * ln(n)**3)) / exp(-0.4803 - 0.082676 * ln(n) + 0.0030302 * ln(n)**2) <= 1.6448536269514722 AS is_normal
+FROM tested""",
+)
 BINNED = """,
 ends AS (SELECT field, min(value) AS low, (max(value) - min(value)) / 40 AS width, count(*) AS n FROM long GROUP BY 1),
-binned AS (
-  SELECT field, CAST(least(floor((value - low) / width), 39) AS BIGINT) AS bin, low, width, n, count(*) AS rows
+filled AS (
+  SELECT field, CAST(least(floor((value - low) / width), 39) AS BIGINT) AS bin, count(*) AS held
   FROM long JOIN ends USING (field) GROUP BY ALL
+),
+binned AS (
+  SELECT field, bin, low, width, n, coalesce(held, 0) AS rows
+  FROM ends CROSS JOIN (SELECT unnest(range(40)) AS bin) LEFT JOIN filled USING (field, bin)
 )"""
 sql(
     "histogram",

@@ -17,7 +17,8 @@ def present(df: DataFrame, places: int | None = 6, **own: int) -> DataFrame:
             if digits is not None:
                 scale = 10.0**digits
                 whole = F.floor(F.abs(c) * scale + 0.5).cast("double")
-                c = F.signum(c) * whole / scale + F.lit(0.0)
+                rounded = F.signum(c) * whole / scale + F.lit(0.0)
+                c = F.when(F.abs(c) == float("inf"), c).otherwise(rounded)
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):

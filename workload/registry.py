@@ -63,6 +63,7 @@ on_sales("demand_over_time", eda.demand_over_time)
 on_sales("revenue_by_category", eda.revenue_by_category, revenue=2)
 on_sales("top_products", eda.top_products)
 on_sales("trending_products", eda.trending_products)
+on_sales("trending_products_launches", lambda x: eda.trending_products(x, top_n=60), views.sales_launches)
 on_sales("distribution_summary", eda.distribution_summary)
 on_sales("product_distribution", eda.product_distribution)
 on_sales("outlier_points", eda.outlier_points)
@@ -144,7 +145,8 @@ on_sales(
     u_statistic=1,
 )
 on_sales("group_tests", statistics.group_tests)
-on_sales("normality", statistics.normality)
+on_sales("normality", lambda x: statistics.normality(x).drop("p_value"))
+on_sales("normality_p_values", statistics.normality)
 on_sales("histogram", statistics.histogram, views.events_sales)
 on_sales("histogram_sales", lambda x: statistics.histogram(x).select("field", "bin", "rows"))
 on_sales("normal_curve", statistics.normal_curve)

@@ -54,6 +54,14 @@ def sales_returns(spark: SparkSession, sf_dir: str) -> Sales:
     return Sales(rows.drop("return_flag", "brand"), dict(ALL_KNOWN))
 
 
+def sales_launches(spark: SparkSession, sf_dir: str) -> Sales:
+    """Some names sell nothing before, some nothing after the middle, some nothing at all."""
+    first, old = F.substring("product_name", 1, 1), F.col("date") < F.lit("1998-06-01").cast("timestamp_ntz")
+    none = ((first == "b") & old) | ((first == "c") & ~old) | (first == "h")
+    rows = sales_rows(spark, sf_dir).withColumn("quantity_sold", F.when(none, 0.0).otherwise(F.col("quantity_sold")))
+    return Sales(rows.drop("return_flag", "brand"), dict(ALL_KNOWN))
+
+
 def sales_brand(spark: SparkSession, sf_dir: str) -> Sales:
     """The brand as product: few products, dense daily series."""
     rows = sales_rows(spark, sf_dir).withColumns(
@@ -172,6 +180,15 @@ sales AS (
   FROM base
 )"""
 )
+LAUNCHES_SQL = (
+    SALES_SQL.replace("sales AS", "base AS", 1)
+    + """,
+sales AS (
+  SELECT * REPLACE (CASE WHEN product_name LIKE 'b%' AND date < '1998-06-01' OR product_name LIKE 'c%' AND date >= '1998-06-01'
+                           OR product_name LIKE 'h%' THEN 0 ELSE quantity_sold END AS quantity_sold)
+  FROM base
+)"""
+)
 BRAND_SQL = (
     SALES_SQL.replace("sales AS", "base AS", 1)
     + """,
