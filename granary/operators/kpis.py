@@ -104,8 +104,12 @@ def abc_analysis(sales: Sales, **bucketing) -> DataFrame:
     return abc_of(product_totals(sales), basis, **bucketing)
 
 
-def xyz_of(stats: DataFrame) -> DataFrame:
+def xyz_tier(cv: Column) -> Column:
     x, y = XYZ_CUTOFFS
+    return F.when(cv < x, "X").when(cv < y, "Y").when(cv.isNotNull(), "Z")
+
+
+def xyz_of(stats: DataFrame) -> DataFrame:
     cv = F.col("coefficient_of_variation")
     return (
         stats.where(F.col("mean_daily_demand") > 0)
@@ -117,7 +121,7 @@ def xyz_of(stats: DataFrame) -> DataFrame:
             "mean_daily_demand",
             "std_daily_demand",
             "coefficient_of_variation",
-            F.when(cv < x, "X").when(cv < y, "Y").otherwise("Z").alias("xyz_tier"),
+            xyz_tier(cv).alias("xyz_tier"),
         )
     )
 
@@ -179,7 +183,7 @@ def safety_stock_scenarios(sales: Sales, default_lead: float | None = None) -> D
     )
 
 
-def idle_of(totals: DataFrame, **bucketing) -> DataFrame:
+def idle_of(totals: DataFrame, keep: tuple[str, ...] = (), **bucketing) -> DataFrame:
     span = date_span(totals)
     idle = micros(F.col("last_date"), span["last"])
     length = micros(span["first"], span["last"])
@@ -188,6 +192,7 @@ def idle_of(totals: DataFrame, **bucketing) -> DataFrame:
     )
     return totals.select(
         "product_id",
+        *keep,
         F.col("gross").alias("gross_quantity_sold"),
         F.col("returned").alias("returns"),
         F.col("quantity").alias("net_quantity_sold"),
@@ -208,23 +213,34 @@ def kpi_summary(
 ) -> DataFrame:
     """Every per-product KPI in one wide row.
 
-    The two aggregates are written once, so the sales are scanned twice in all.
+    The two aggregates are written once, so the sales are scanned twice in all,
+    and joined once: all but the ranking by value is worked out in their row. A
+    KPI that its own operator would leave out is null here.
     """
     totals, stats = materialize(product_totals(sales)), materialize(demand_stats(sales))
     basis = "revenue" if sales.has("unit_price") else "quantity_sold"
-    wide = idle_of(totals)
-    parts = [
-        turnover_of(totals).select("product_id", "avg_inventory", "turnover_ratio"),
-        cover_of(totals).select("product_id", "latest_stock", "days_of_inventory"),
-        abc_of(totals, basis).select("product_id", F.col("tier").alias("abc_tier")),
-        xyz_of(stats).select("product_id", "coefficient_of_variation", "xyz_tier"),
-        buffers_of(stats, z, default_lead).select(
-            "product_id", "safety_stock", "reorder_point"
-        ),
-    ]
-    for part in parts:
-        wide = wide.join(part, "product_id", "left")
-    return wide
+    ranked = abc_of(totals, basis).select("product_id", F.col("tier").alias("abc_tier"))
+    rows = idle_of(totals, keep=("avg_stock", "latest_stock")).join(stats, "product_id", "left").join(ranked, "product_id", "left")
+    span = date_span(totals)
+    days = F.greatest(whole_days(span["first"], span["last"]), F.lit(1))
+    stocked, mean = F.col("avg_stock") > 0, F.col("mean_daily_demand")
+    daily = F.col("net_quantity_sold") / days
+    cv = F.when(mean > 0, F.col("std_daily_demand") / mean)
+    lead = F.coalesce("lead_time_days", F.lit(default_lead).cast("double"))
+    safety = F.lit(float(z)) * F.col("std_daily_demand") * F.sqrt(lead)
+    return rows.select(
+        "product_id", "gross_quantity_sold", "returns", "net_quantity_sold", "last_sale_date",
+        "days_since_last_sale", "is_dead_stock", "is_slow_mover",
+        F.when(stocked, F.col("avg_stock")).alias("avg_inventory"),
+        F.when(stocked, F.col("net_quantity_sold") / F.col("avg_stock")).alias("turnover_ratio"),
+        F.when(daily > 0, F.col("latest_stock")).alias("latest_stock"),
+        F.when(daily > 0, F.col("latest_stock") / daily).alias("days_of_inventory"),
+        "abc_tier",
+        cv.alias("coefficient_of_variation"),
+        xyz_tier(cv).alias("xyz_tier"),
+        safety.alias("safety_stock"),
+        (mean * lead + safety).alias("reorder_point"),
+    )
 
 
 def lowest_cover(sales: Sales, top_n: int = 10) -> DataFrame:
