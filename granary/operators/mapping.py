@@ -156,12 +156,37 @@ def suggest_mappings(
     and column goes first, then the best pair of what is left, while the score
     reaches the threshold; ties go by field order, then column order. A field
     with another free column within `margin` of its best is ambiguous: its
-    column is used up but not mapped.
+    column is used up but not mapped; `mapping_rivals` lists the others.
 
     At most nine columns can be used up before a field's turn, so its ten best
     columns decide, and one source contributes a short list however many columns
     it has. The rivals, of which there may be many, are found by a join.
     """
+    taken, rivals = _claims(catalogue, threshold, margin)
+    rivals = rivals.groupBy("source_id", "field").agg(F.count(F.lit(1)).alias("rivals"))
+    return taken.join(rivals, ["source_id", "field"], "left").select(
+        "source_id",
+        "field",
+        "raw_column",
+        "score",
+        F.coalesce("rivals", F.lit(0)).alias("rivals"),
+        F.when(F.col("rivals").isNull(), "mapped").otherwise("ambiguous").alias("status"),
+    )
+
+
+def mapping_rivals(
+    catalogue: DataFrame, threshold: float = THRESHOLD, margin: float = AMBIGUITY_MARGIN
+) -> DataFrame:
+    """The columns a person may choose instead, with their scores: one row per ambiguous field and rival."""
+    _, rivals = _claims(catalogue, threshold, margin)
+    names = catalogue.select("source_id", "position", "raw_column")
+    return rivals.join(names, ["source_id", "position"]).select(
+        "source_id", "field", "raw_column", F.col("rival_score").alias("score")
+    )
+
+
+def _claims(catalogue: DataFrame, threshold: float, margin: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs that were claimed, and every field's free columns close to its own."""
     fields = F.array(*[F.lit(f) for f in FIELD_NAMES])
     eligible = materialize(
         _scored_columns(catalogue)
@@ -212,17 +237,9 @@ def suggest_mappings(
         )
         .join(used, ["source_id", "position"], "left")
         .where(F.col("used_turn").isNull() | (F.col("used_turn") > F.col("turn")))
-        .groupBy("source_id", "field")
-        .agg(F.count(F.lit(1)).alias("rivals"))
-    )
-    return taken.join(rivals, ["source_id", "field"], "left").select(
-        "source_id",
-        "field",
-        "raw_column",
-        "score",
-        F.coalesce("rivals", F.lit(0)).alias("rivals"),
-        F.when(F.col("rivals").isNull(), "mapped").otherwise("ambiguous").alias("status"),
+        .select("source_id", "field", "position", "rival_score")
     )
+    return taken, rivals
 
 
 def _best_columns(pairs: DataFrame, order: Column) -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.parsing import whole_days
 from granary.operators.eda import product_labels
 from granary.operators.elasticity import price_elasticity
 from granary.operators.kpis import (
     DEFAULT_Z,
-    buffers_of,
-    cover_of,
+    date_span,
     days_of_inventory,
     idle_of,
     xyz_analysis,
-    xyz_of,
+    xyz_tier,
 )
 from granary.operators.risk import inventory_ml, risk_table
 from granary.plans.rollups import demand_stats, product_totals
@@ -80,26 +80,30 @@ def product_facts(
 ) -> DataFrame:
     """One wide row per product with everything the rules look at.
 
-    Totals and daily statistics are written once and read by several parts.
+    Totals and daily statistics are written once and joined once; what follows
+    from them is worked out in their row.
     """
     totals, stats = materialize(product_totals(sales)), materialize(demand_stats(sales))
-    reorder = buffers_of(stats, z, default_lead).select("product_id", "reorder_point")
-    cover = cover_of(totals).select(
-        "product_id", "latest_stock", "days_of_inventory", F.lit(True).alias("has_cover")
+    span = date_span(totals)
+    daily = F.col("net_quantity_sold") / F.greatest(whole_days(span["first"], span["last"]), F.lit(1))
+    covered = (daily > 0) & F.lit(sales.has("current_stock"))
+    mean, std = F.col("mean_daily_demand"), F.col("std_daily_demand")
+    lead = F.coalesce("lead_time_days", F.lit(default_lead).cast("double"))
+    rows = idle_of(totals, keep=("latest_stock",)).join(stats, "product_id", "left").select(
+        "product_id", "gross_quantity_sold", "days_since_last_sale", "is_dead_stock", "is_slow_mover",
+        F.when(covered, F.col("latest_stock")).alias("latest_stock"),
+        F.when(covered, F.col("latest_stock") / daily).alias("days_of_inventory"),
+        F.when(covered, True).alias("has_cover"),
+        (mean * lead + F.lit(float(z)) * std * F.sqrt(lead)).alias("reorder_point"),
+        F.coalesce(xyz_tier(F.when(mean > 0, std / mean)), F.lit("Y")).alias("xyz_tier"),
     )
-    if not sales.has("current_stock"):
-        cover = cover.where(F.lit(False))
-    idle = idle_of(totals).select(
-        "product_id", "gross_quantity_sold", "days_since_last_sale", "is_dead_stock", "is_slow_mover"
-    )
-    tiers = xyz_of(stats).select("product_id", "xyz_tier")
     prices = price_elasticity(sales).select(
         "product_id", "elasticity_coefficient", "r_squared", "classification"
     )
     wide = product_labels(sales).withColumnRenamed("label", "display_name")
-    for part in (risk.select("product_id", "risk_label", "risk_score"), cover, reorder, idle, tiers, prices):
+    for part in (risk.select("product_id", "risk_label", "risk_score"), rows, prices):
         wide = wide.join(part, "product_id", "left")
-    return wide.withColumn("xyz_tier", F.coalesce("xyz_tier", F.lit("Y")))
+    return wide
 
 
 def _advice(
@@ -173,7 +177,7 @@ def _rules(stock_known: bool) -> list[Column]:
 def recommendations(
     sales: Sales, risk: DataFrame, z: float = DEFAULT_Z, default_lead: float | None = None
 ) -> DataFrame:
-    """Every rule on every product, sorted by priority, product and rule.
+    """Every rule on every product, in no order; `ranked` sorts for presentation.
 
     Reorder advice needs lead times, in the data or as `default_lead`. A missing
     stock or cover never triggers a rule.
@@ -181,12 +185,13 @@ def recommendations(
     advice = F.filter(
         F.array(*_rules(sales.has("current_stock"))), lambda a: a.isNotNull()
     )
+    return product_facts(sales, risk, z, default_lead).select("product_id", "display_name", F.inline(advice))
+
+
+def ranked(advice: DataFrame) -> DataFrame:
+    """Recommendations by priority, product and rule."""
     rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("priority"))
-    return (
-        product_facts(sales, risk, z, default_lead)
-        .select("product_id", "display_name", F.inline(advice))
-        .orderBy(rank, "product_id", "rule")
-    )
+    return advice.orderBy(rank, "product_id", "rule")
 
 
 def by_priority(advice: DataFrame, priority: str) -> DataFrame:

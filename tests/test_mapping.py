@@ -44,9 +44,9 @@ def claimed(columns, threshold=75.0, margin=5.0):
         field = mapping.FIELD_NAMES[k]
         if -s < threshold or field in out or i in taken:
             continue
-        near = [d for d in range(len(columns)) if d not in taken and d != i and -s - worth[k, d] <= margin]
+        near = [columns[d] for d in range(len(columns)) if d not in taken and d != i and -s - worth[k, d] <= margin]
         taken.add(i)
-        out[field] = (columns[i], round(-s, 6), len(near))
+        out[field] = (columns[i], round(-s, 6), sorted(near))
     return out
 
 
@@ -76,6 +76,10 @@ def test_suggestions_match_brute_force(spark):
     cat = catalogue(spark, sources)
     suggested = mapping.suggest_mappings(cat)
     found = rows_by(suggested, "source_id", "field")
+    others = {}
+    for r in mapping.mapping_rivals(cat).collect():
+        assert abs(r["score"] - score(r["raw_column"], r["field"])) < 1e-9
+        others.setdefault((r["source_id"], r["field"]), []).append(r["raw_column"])
     for source, columns in sources.items():
         want = claimed(columns)
         got = {f: r for (s, f), r in found.items() if s == source}
@@ -83,7 +87,8 @@ def test_suggestions_match_brute_force(spark):
         for f, (column, value, rivals) in want.items():
             assert got[f]["raw_column"] == column
             assert round(got[f]["score"], 6) == value
-            assert got[f]["rivals"] == rivals
+            assert got[f]["rivals"] == len(rivals)
+            assert sorted(others.get((source, f), [])) == rivals
             assert got[f]["status"] == ("ambiguous" if rivals else "mapped")
     free = mapping.unmapped_columns(cat.where("source_id = 'shop'"), suggested)
     assert [r["raw_column"] for r in free.collect()] == [c for c in sources["shop"] if c not in {v[0] for v in claimed(sources["shop"]).values()}]

@@ -182,7 +182,7 @@ def test_rule_based_risk(make_sales):
 def test_end_to_end(history, tmp_path_factory):
     store = ResultStore(str(tmp_path_factory.mktemp("store")))
     risks = rec.risk_assessment(history, fc.naive_forecasts(history), store)
-    advice = rec.recommendations(history, risks, default_lead=7)
+    advice = rec.ranked(rec.recommendations(history, risks, default_lead=7))
     rows = advice.collect()
     order = [rec.PRIORITIES.index(r["priority"]) for r in rows]
     assert rows and order == sorted(order)

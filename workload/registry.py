@@ -121,6 +121,10 @@ query("normalize_names")(
     )
 )
 query("column_scores")(lambda s, d: mapping.column_scores(views.catalogue(s, d)))
+query("mapping_rivals")(lambda s, d: mapping.mapping_rivals(views.catalogue(s, d)))
+query("unmapped_columns")(
+    lambda s, d: mapping.unmapped_columns(views.catalogue(s, d), mapping.suggest_mappings(views.catalogue(s, d)))
+)
 query("suggest_mappings")(lambda s, d: mapping.suggest_mappings(views.catalogue(s, d)))
 
 # Statistics
