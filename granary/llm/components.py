@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from granary.llm.common import stored
 
 
+def _digest(edges: DataFrame) -> tuple:
+    """Count and hash sum of distinct edges, in one pass."""
+    h = F.xxhash64("a", "b").cast("decimal(38,0)")
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(h)).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label each node of the (a, b) long edges with the least id it can reach.
 
@@ -21,6 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = stored(
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
+    digest = _digest(now)
     while True:
         # Large star: every neighbour above a node goes to its least neighbour.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,8 +44,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             ).alias("e")
         ).select("e.a", "e.b").where("a <> b").distinct()
         after = stored(small)
-        # Done when no edge is new and none has gone.
-        if after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty():
+        # Done when the edges stay the same.
+        digest, before = _digest(after), digest
+        if digest == before:
             break
         now = after
     return now.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(

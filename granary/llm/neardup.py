@@ -43,6 +43,9 @@ BLOCK = 128
 #: Documents of many links that all blocks of a large cluster meet first.
 HUBS = 8
 
+#: Up to so many cluster members (16 bytes each) are sent to every task.
+BROADCAST_MEMBERS = 1_000_000
+
 _rng = np.random.default_rng(20)
 _FLIP = _rng.integers(0, 1 << 32, HASHES, np.uint32)
 _ODD = _rng.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -204,19 +207,21 @@ def forest_edges(trees: DataFrame) -> DataFrame:
 
 
 def _joined(ids: np.ndarray, bits: np.ndarray, fresh: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over the near pairs within REACH of one another."""
+    """Star edges over the parts that near pairs within REACH of one another make."""
     n = len(ids)
     root = np.arange(n)
-    out = []
     for i in range(max(fresh, 1), n):
         start = max(0, i - REACH)
         near = start + np.flatnonzero(_agreement(bits[start:i], bits[i]) >= LEAST_ESTIMATE)
         for r in np.unique(root[near]):
             if r != root[i]:
-                j = near[np.flatnonzero(root[near] == r)[0]]
-                out.append((int(ids[j]), int(ids[i])))
                 low, high = min(r, root[i]), max(r, root[i])
                 root[root == high] = low
+    out = []
+    for r in np.unique(root[np.flatnonzero(root != np.arange(n))]):
+        part = ids[root == r]
+        least = int(part.min())
+        out += [(least, int(x)) for x in part if x != least]
     return out
 
 
@@ -293,6 +298,8 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) ->
     members = clusters.join(sizes, "label").select(
         F.col("node").alias("doc_id"), "label", F.ceil(F.col("size") / block).alias("blocks")
     )
+    # Few members go to the texts, so that only theirs are moved; many meet by a shuffle.
+    members = F.broadcast(members) if clusters.count() <= BROADCAST_MEMBERS else members
     rows = stored(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(members, "doc_id")
     ).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
@@ -304,10 +311,12 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, block: int = BLOCK) ->
     if large.isEmpty():
         return edges
     # The documents with most links, HUBS per large cluster.
-    order = Window.partitionBy("label").orderBy(F.desc("degree"), "a")
     best = first.groupBy("a").agg(F.max("degree").alias("degree"))
-    ranked = best.join(large.select(F.col("doc_id").alias("a"), "label").distinct(), "a")
-    hubs = ranked.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= HUBS).select("label", F.col("a").alias("doc_id"))
+    hubs = best.join(large.select(F.col("doc_id").alias("a"), "label", "block").distinct(), "a")
+    for part in (["label", "block"], ["label"]):  # the best of each block, then of those
+        order = Window.partitionBy(*part).orderBy(F.desc("degree"), "a")
+        hubs = hubs.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= HUBS)
+    hubs = hubs.select("label", F.col("a").alias("doc_id"))
     second = stored(_confirmed(_probed(large, hubs, block))).select("a", "b")
     edges = edges.unionByName(second)
     # What is not in the largest part of its cluster yet.
