@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 import granary
+from granary.session import materialize
 
 #: What one Arrow batch may hold; very long texts make it fewer rows.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
@@ -22,30 +21,10 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, one that all tasks see.
-
-    On a local master that is a scratch folder of this machine, elsewhere one in
-    the warehouse. The session's settings stay as they are.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local["):
-        return tempfile.gettempdir() + "/granary-shared"
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/granary-shared"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table once to the shared folder and go on from there.
-
-    Cuts the lineage with files that every executor sees, so that what is read
-    several times is worked out once and survives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Write a table once to the shared folder and go on from there: it cuts the
+#: lineage with files that every executor sees, and what is read several times is
+#: worked out once.
+stored = materialize
 
 
 def prepared(spark: SparkSession) -> SparkSession:

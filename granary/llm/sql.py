@@ -14,20 +14,20 @@ WITH said AS (
     UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
     UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), placed AS (
-    SELECT *, row_number() OVER o AS at, role = 'assistant' AS trains,
+    SELECT *, row_number() OVER o AS place, role = 'assistant' AS trains,
         12 + length(replace(replace({_ESCAPED.format('role')}, '\', '\\'), chr(10), '\n')) + 1
             + length({_ESCAPED.format('text')}) + 10 + 1 AS size
     FROM said WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), counted AS (
     SELECT *, count(*) FILTER (trains) OVER later + CAST(NOT last_value(trains) OVER whole AS INT) AS times
     FROM placed WINDOW
-        later AS (PARTITION BY conv_id ORDER BY at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
-        whole AS (PARTITION BY conv_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+        later AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+        whole AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 )
 SELECT conv_id, count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (trains), 0)::BIGINT AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (trains), '')) AS loss_sha256,
+    sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (trains), '')) AS loss_sha256,
     sum(size * times)::BIGINT AS formatted_chars
 FROM counted GROUP BY conv_id
 """
@@ -78,11 +78,11 @@ WITH RECURSIVE docs AS (
 ), links AS (
     SELECT a.rep AS a, b.rep AS b FROM elements a JOIN elements b ON a.x = b.x AND a.rep < b.rep
     GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
-), both AS (
+), either AS (
     SELECT a, b FROM links UNION SELECT b, a FROM links
 ), reach AS (
     SELECT rep AS a, rep AS b FROM classes
-    UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a
+    UNION SELECT reach.a, either.b FROM reach JOIN either ON reach.b = either.a
 ), labels AS (
     SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a
 )
