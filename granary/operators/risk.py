@@ -12,11 +12,10 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.stockout import FEATURES, feature_table, ml_gate
-from granary.plans.ranking import with_running_totals
 from granary.schema import Sales
 from granary.session import checkpoint_folder, heavy_tasks
 from granary.sources.results import ResultStore, fingerprint
@@ -26,6 +25,10 @@ TREES = 100
 DEPTH = 5
 SEED = 42
 TRAIN_SHARE = 0.8
+# Labelled rows that the forest is fitted on, at most about so many.
+FIT_ROWS = 100_000
+# Hash cells of the split.
+CELLS = 1 << 16
 HIGH_RISK = 0.66
 MEDIUM_RISK = 0.33
 LOW_ACCURACY = 0.65
@@ -48,18 +51,29 @@ class RiskModel:
         return self.reason is None
 
 
-def split(features: DataFrame, **bucketing) -> DataFrame:
-    """Mark four fifths of each class as `is_train`, by the hash of the row's key."""
+def split(features: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Mark four fifths of each class as `is_train`, exactly, by the hash of the row's key.
+
+    Rows are counted per class and hash cell; the counts say in which cell the
+    limit falls, and only that cell's rows are ranked.
+    """
+    label = "stockout_occurred"
     draw = F.xxhash64("product_id", "snapshot_date", F.lit(SEED))
-    placed = with_running_totals(
-        features.withColumn("one", F.lit(1)),
-        [draw, F.col("product_id"), F.col("snapshot_date")],
-        {"one": "bigint"},
-        ["stockout_occurred"],
-        **bucketing,
+    placed = features.withColumns({"_draw": draw, "_cell": F.pmod(draw, F.lit(cells))})
+    counts = placed.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    limits = (
+        counts.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(Window.partitionBy(label))})
+        .withColumn("wanted", F.floor(F.col("total") * TRAIN_SHARE))
+        .where((F.col("before") <= F.col("wanted")) & (F.col("wanted") < F.col("before") + F.col("n")))
+        .select(F.col(label).alias("_label"), F.col("_cell").alias("_limit"), (F.col("wanted") - F.col("before")).alias("_rest"))
     )
-    train = F.col("one_before") < F.floor(F.col("one_total") * TRAIN_SHARE)
-    return placed.select(*features.columns, train.alias("is_train"))
+    # One row per class.
+    joined = placed.join(F.broadcast(limits), F.col(label).eqNullSafe(F.col("_label")))
+    clear = joined.where("_cell <> _limit").withColumn("is_train", F.col("_cell") < F.col("_limit"))
+    order = Window.partitionBy(label).orderBy("_draw", "product_id", "snapshot_date")
+    edge = joined.where("_cell = _limit").withColumn("is_train", F.row_number().over(order) <= F.col("_rest"))
+    return clear.unionByName(edge).select(*features.columns, "is_train")
 
 
 def _assembled(features: DataFrame) -> DataFrame:
@@ -67,16 +81,27 @@ def _assembled(features: DataFrame) -> DataFrame:
     return vectors.withColumn("label", F.col("stockout_occurred").cast("double"))
 
 
-def train_forest(marked: DataFrame) -> RandomForestClassificationModel:
-    """The forest on the training rows, spread over all cores."""
-    rows = marked.where("is_train").select(*FEATURES, "stockout_occurred")
+def fitting_rows(marked: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """About `most` of the training rows, all of them if there are fewer, drawn by a hash of the key."""
+    held = marked.agg(F.count_if("is_train")).scalar()
+    draw = F.pmod(F.xxhash64("product_id", "snapshot_date", F.lit(SEED + 1)), F.lit(1 << 30))
+    return marked.where("is_train").where(draw * held < F.lit(float(most) * (1 << 30)))
+
+
+def train_forest(marked: DataFrame, most: int = FIT_ROWS) -> RandomForestClassificationModel:
+    """The forest on the training rows, spread over all cores.
+
+    `most` bounds the labelled rows that are fitted on, and nothing else: the
+    held-out rows are all tested, and all products scored.
+    """
+    rows = fitting_rows(marked, most).select(*FEATURES, "stockout_occurred")
     spread = rows.repartition(heavy_tasks(rows.sparkSession))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     return forest.fit(_assembled(spread))
 
 
-def evaluate(model: RandomForestClassificationModel, marked: DataFrame) -> DataFrame:
-    """Accuracy, precision and recall (0 when undefined) on the held-out rows."""
+def evaluate(model: RandomForestClassificationModel, marked: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """Accuracy, precision and recall (0 when undefined) on the held-out rows; how many rows were fitted on."""
     scored = model.transform(_assembled(marked.where(~F.col("is_train"))))
     said, was = F.col("prediction") == 1, F.col("label") == 1
     hits = F.count_if(said & was)
@@ -87,31 +112,35 @@ def evaluate(model: RandomForestClassificationModel, marked: DataFrame) -> DataF
         F.count(F.lit(1)).alias("n_test"),
     )
     trained = marked.agg(F.count_if("is_train").alias("n_train")).scalar()
+    fitted = fitting_rows(marked, most).agg(F.count(F.lit(1)).alias("n_fitted")).scalar()
     return counted.select(
-        "accuracy", "precision", "recall", trained.alias("n_train"), "n_test",
+        "accuracy", "precision", "recall", trained.alias("n_train"), fitted.alias("n_fitted"), "n_test",
         (F.col("accuracy") < LOW_ACCURACY).alias("low_accuracy"),
     )
 
 
-def inventory_ml(sales: Sales, store: ResultStore | None = None) -> RiskModel:
-    """Gate, features, training and metrics; stored under the table's fingerprint."""
+def inventory_ml(sales: Sales, store: ResultStore | None = None, most: int = FIT_ROWS) -> RiskModel:
+    """Gate, features, training and metrics; stored under the table's fingerprint and the parameters.
+
+    The forest is fitted on at most about `most` labelled rows.
+    """
     gate = ml_gate(sales).first()
     if not gate["available"]:
         return RiskModel(reason=gate["reason"])
     spark = sales.df.sparkSession
     store = store or ResultStore(f"{checkpoint_folder(spark)}/granary-results")
     key = fingerprint(sales.df)
-    features = store.table(
-        "risk-features", key, sales.df, lambda: split(feature_table(sales))
-    )
+    features = store.table("risk-features", key, sales.df, lambda: feature_table(sales))
     classes = features.groupBy("stockout_occurred").count().collect()
     if not classes:
         return RiskModel(reason=NO_EXAMPLES)
     if len(classes) < 2 or min(row["count"] for row in classes) < 2:
         return RiskModel(reason=ONE_CLASS)
-    model = store.forest("risk-forest", key, lambda: train_forest(features))
-    metrics = store.table("risk-metrics", key, sales.df, lambda: evaluate(model, features))
-    return RiskModel(None, model, store.path("risk-forest", key), features, metrics)
+    marked = split(features)
+    made_by = {"most": most, "trees": TREES, "depth": DEPTH, "seed": SEED, "share": TRAIN_SHARE}
+    model = store.forest("risk-forest", key, lambda: train_forest(marked, most), **made_by)
+    metrics = store.table("risk-metrics", key, sales.df, lambda: evaluate(model, marked, most), **made_by)
+    return RiskModel(None, model, store.path("risk-forest", key, **made_by), features, metrics)
 
 
 def latest_features(features: DataFrame) -> DataFrame:

@@ -109,10 +109,16 @@ def test_classifier(spark, history, tmp_path_factory):
     assert rows_by(risk.risk_table(again), "product_id") == table
 
 
-def test_split_keeps_class_shares(history):
-    marked = risk.split(stockout.feature_table(history), rows_per_bucket=40)
-    shares = marked.groupBy("stockout_occurred").agg(F.avg(F.col("is_train").cast("int")).alias("s"))
-    assert all(abs(r["s"] - 0.8) < 0.05 for r in shares.collect())
+def test_split_is_exact_and_the_fit_bounded(history):
+    table = stockout.feature_table(history).cache()
+    for cells in (1, 7, 1 << 16):
+        marked = risk.split(table, cells)
+        found = marked.groupBy("stockout_occurred").agg(F.count_if("is_train").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+        assert len(found) == 2 and all(r["t"] == int(r["n"] * 0.8) for r in found)
+        assert marked.count() == table.count() and "_cell" not in marked.columns
+    trained = marked.where("is_train").count()
+    assert risk.fitting_rows(marked).count() == trained
+    assert 0.5 * trained < risk.fitting_rows(marked, int(0.7 * trained)).count() < 0.9 * trained
 
 
 def test_shapley_of_a_single_split():
