@@ -17,10 +17,12 @@ from granary.session import materialize
 #: What one Arrow batch may hold; very long texts make it fewer rows.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
+#: Objects that a worker process keeps between tasks.
+KEPT = 12
+
 #: ASCII upper case to lower case, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-
 #: Write a table once to the shared folder and go on from there: it cuts the
 #: lineage with files that every executor sees, and what is read several times is
 #: worked out once.
@@ -74,13 +76,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def kept(key: tuple, make: Callable[[], object]):
-    """One object per worker process and key, made when first asked for.
+    """One object per worker process and key, made when first asked for; the oldest of more than KEPT go.
 
     Functions travel to the tasks by value, so a module's own variables are new
     in every task; what is slow to load is held by the interpreter instead.
     """
     store = sys.__dict__.setdefault("_granary_kept", {})
     if key not in store:
+        if len(store) >= KEPT:
+            del store[next(iter(store))]
         store[key] = make()
     return store[key]
 
