@@ -43,9 +43,12 @@ ENDS = {
     "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 
+# A tag with well-formed attributes, else (stray quotes) anything up to the next angle bracket;
+# possessive, so that no page takes more than linear time between two brackets.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([A-Za-z][^\s/<>]*+)([^<>]*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|hidden|aria-label|itemprop|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[a-z]+")
@@ -84,10 +87,11 @@ def parse(page: str) -> list[Node]:
         if not m:
             break
         at = m.end()
-        if m[2] is None:
+        closing, name, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+        if name is None:
             continue
-        name = m[2].lower()
-        if m[1]:
+        name = name.lower()
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     links -= sum(tag == "a" for tag, _ in stack[k:])
@@ -98,7 +102,7 @@ def parse(page: str) -> list[Node]:
                     nodes[stack[-1][1]].parts.append(" ")
             continue
         if name in SKIPPED:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 if end:
                     at = end.end()
@@ -131,8 +135,8 @@ def parse(page: str) -> list[Node]:
             links += name == "a"
             continue
         tokens = frozenset(
-            t for key, *values in _ATTRIBUTE.findall(m[3]) for t in _TOKEN.findall((key + " " if key.lower() == "hidden" else "") + "".join(values).lower())
-        ) if m[3] else frozenset()
+            t for key, *values in _ATTRIBUTE.findall(attributes) for t in _TOKEN.findall((key + " " if key.lower() == "hidden" else "") + "".join(values).lower())
+        ) if attributes else frozenset()
         nodes.append(Node(name, tokens, block, nodes[block].depth + 1))
         nodes[block].parts.append(len(nodes) - 1)
         stack.append((name, len(nodes) - 1))

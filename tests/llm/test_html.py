@@ -3,6 +3,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -24,6 +25,15 @@ def test_tree_and_text():
         html.text_of(html.parse(odd), np.ones(len(html.parse(odd)), bool))
 
 
+def test_broken_markup_takes_linear_time():
+    for page in ("a<b " * 60_000, '<p class="x>text</p>' * 5_000, "<" * 100_000, "<i>" * 20_000 + "x", "<!-- " * 20_000, "<p>x" * 20_000):
+        began = time.time()
+        nodes = html.parse(page)
+        html.text_of(nodes, np.ones(len(nodes), bool))
+        assert time.time() - began < 20
+    assert html.text_of(html.parse('<p class="x>one</p><p>two'), np.ones(9, bool)) == "one two"
+
+
 def test_decoding_is_the_best_consistent_choice():
     r = random.Random(4)
     for _ in range(60):
