@@ -15,17 +15,16 @@ can be compared.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import WordHashes, kept, map_batches, mixed, stored, texts_of
+from granary.llm.common import WordHashes, kept, map_batches, mixed, texts_of
 
 PARAGRAPH = 4
 NODES = 64
@@ -169,51 +168,40 @@ def neighbour_edits(docs: DataFrame) -> DataFrame:
     null text is empty, two empty texts are alike (1), an empty table gives an
     empty one, other columns are not looked at.
 
-    One range partitioning brings the texts in order. A task works through its
-    stretch row by row; only its first and last text, two per partition, are kept
-    to join the stretches.
+    One range partitioning brings the texts in order, and a task works through its
+    stretch row by row. The first and last row of every stretch, two per
+    partition, are joined up by themselves; both read the same shuffle.
     """
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"),
     )
     ordered = rows.repartitionByRange(parts, "at", "tie").sortWithinPartitions("at", "tie", "text")
-    names = [n for n, _ in RESULT] + ["kind", "at", "tie", "text"]
-    types = [t for _, t in RESULT] + [pa.string(), pa.int64(), pa.int64(), pa.string()]
+    names, types = zip(*RESULT)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept(("words",), WordHashes)
         last = None
         for batch in batches:
             out = []
-            for doc, text, at, tie in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at", "tie"))):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 own = fingerprint(text, words)
-                if last is None:
-                    out.append((doc, None, None, None, None, None, None, "first", at, tie, text))
-                else:
-                    out.append((*_edited(last[0], last[1], last[4], text, own, words), "done", None, None, None))
-                last = (doc, text, at, tie, own)
+                if last is not None:
+                    out.append(_edited(*last, text, own, words))
+                last = (doc, text, own)
             yield _batch(out, names, types)
-        if last:
-            yield _batch([(last[0], None, None, None, None, None, None, "last", last[2], last[3], last[1])], names, types)
-
-    walked = stored(map_batches(ordered, walk, _TYPES + ", kind string, at long, tie long, text string"))
-    done = walked.where("kind = 'done'").select(*[n for n, _ in RESULT])
-    seams = walked.where("kind <> 'done'")
-    # At most one first and one last row per partition: their keys, not their texts.
-    keys = [(r.kind, r["at"], r.tie) for r in seams.select("kind", "at", "tie").collect()]
-    firsts = sorted((a, t) for k, a, t in keys if k == "first")
-    pairs = []
-    for at, tie in sorted((a, t) for k, a, t in keys if k == "last"):
-        k = bisect_right(firsts, (at, tie))
-        pairs.append((at, tie, *firsts[k % len(firsts)]))
-    if not pairs:
-        return done
-    seam = spark.createDataFrame(pairs, "at long, tie long, next_at long, next_tie long")
-    ends = seams.where("kind = 'last'").join(seam, ["at", "tie"])
-    heads = seams.where("kind = 'first'").select(F.col("at").alias("next_at"), F.col("tie").alias("next_tie"), F.col("text").alias("following"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is None:
+                yield batch.slice(0, 1).append_column("place", pa.array([0], pa.int32()))
+            last = batch.slice(batch.num_rows - 1)
+        if last is not None:
+            yield last.append_column("place", pa.array([1], pa.int32()))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept(("words",), WordHashes)
@@ -222,12 +210,18 @@ def neighbour_edits(docs: DataFrame) -> DataFrame:
                 _edited(doc, text, fingerprint(text, words), after, fingerprint(after, words), words)
                 for doc, text, after in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")))
             ]
-            yield _batch(out, names[:7], types[:7])
+            yield _batch(out, names, types)
 
-    joined = ends.join(heads, ["next_at", "next_tie"]).select("doc_id", "text", "following")
+    done = map_batches(ordered, walk, _TYPES)
+    seams = map_batches(ordered, ends, "doc_id long, text string, at long, tie long, place int")
+    # Two rows per partition: behind the last row of one stands the first of the next.
+    order = Window.orderBy("at", "tie", "place")
+    very_first = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = F.coalesce(F.lead("text").over(order), very_first)
+    joined = seams.withColumn("following", following).where("place = 1").select("doc_id", "text", "following")
     return done.unionByName(map_batches(joined, close, _TYPES))
 
 
-def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+def _batch(rows: list[tuple], names: tuple, types: tuple) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(names))
