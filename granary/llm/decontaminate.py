@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -164,8 +164,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of about `block_words` words, read block by block.
+def _dealt(benchmark: DataFrame, block_words: int) -> tuple[int, Callable[[int], list[tuple[str, list[bytes]]]]]:
+    """The number of blocks of about `block_words` item words, and a function that reads one of them.
 
     Items are dealt by a hash, so a block's size follows from the total; each
     block is small enough for a driver and a task, however many there are.
@@ -176,9 +176,12 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
     ).distinct()
     total = items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     count = max(1, -(-int(total) // block_words))
-    for k in range(count):
+
+    def block(k: int) -> list[tuple[str, list[bytes]]]:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()
-        yield sorted((r.item_id, words_of(r.text)) for r in rows)
+        return sorted((r.item_id, words_of(r.text)) for r in rows)
+
+    return count, block
 
 
 def _automaton(shared, window: int, key: tuple) -> SuffixAutomaton:
@@ -206,9 +209,9 @@ def contamination(
     rows = docs.select("doc_id", "text")
     schema = "doc_id long, text_hash long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
     parts = []
-    blocks = list(enumerate(_blocks(benchmark, block_words)))
-    for k, items in blocks:
-        shared, key = spark.sparkContext.broadcast(items), ("automaton", uuid.uuid4().hex)
+    count, block = _dealt(benchmark, block_words)
+    for k in range(count):
+        shared, key = spark.sparkContext.broadcast(block(k)), ("automaton", uuid.uuid4().hex)
         parts.append(map_batches(rows.withColumn("text_hash", F.xxhash64("text")), _scanner(shared, window, key), schema))
     if len(parts) == 1:
         return _counted(parts[0]).drop("text_hash")
@@ -271,24 +274,96 @@ def _scanner(shared, window: int, key: tuple):
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+def cut(text: str, spans: list[tuple[int, int]], most: float | None) -> str | None:
+    """The text without these word ranges; None where they cover all words or, if given, more than `most` of them."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    covered = sum(b - a for a, b in spans)
+    if covered == len(at) or most is not None and covered > most * len(at):
+        return None
+    for a, b in reversed(spans):
+        text = text[: at[a][0]] + text[at[b - 1][1] :]
+    return text
+
+
 def cleaned(text: str, automaton: SuffixAutomaton, max_coverage: float) -> str | None:
     """The text without its hit word runs; None where they cover too much of it.
 
     What is left is looked at again, since a cut joins words that were apart.
     """
-    first = True
+    most: float | None = max_coverage
+    while text is not None and (spans := merged(automaton.hits(words_of(text))[0])):
+        text, most = cut(text, spans, most), None
+    return text
+
+
+_KEYED_SPANS = "key string, spans array<struct<start: long, end: long>>"
+
+
+def _united_spans(texts: DataFrame, count: int, block: Callable[[int], list], window: int) -> DataFrame:
+    """key and the word ranges that items of any block hit, for the (key, text) rows with hits."""
+    parts = []
+    for k in range(count):
+        shared = texts.sparkSession.sparkContext.broadcast(block(k))
+
+        def scan(batches, shared=shared, key=("automaton", uuid.uuid4().hex)):
+            automaton = _automaton(shared, window, key)
+            for batch in batches:
+                spans = [merged(automaton.hits(words_of(t))[0]) for t in texts_of(batch)]
+                found = [[{"start": a, "end": b} for a, b in s] for s in spans]
+                column = pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                hit = pa.array([bool(s) for s in spans], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), column], ["key", "spans"]).filter(hit)
+
+        parts.append(stored(map_batches(texts, scan, _KEYED_SPANS)))
+        shared.destroy()
+    hits = reduce(DataFrame.unionByName, parts)
+    return stored(hits.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans")))
+
+
+def _cut_by_blocks(
+    docs: DataFrame, count: int, block: Callable[[int], list], window: int, max_coverage: float
+) -> DataFrame:
+    """What `cleaned` does with one automaton, where the items fill several.
+
+    The hits of all blocks are united before a text is judged or cut, and every
+    cut text goes through all blocks again until none hits it. Texts are worked
+    on once each, by their digest; a round looks only at those the last one cut.
+    """
+    texts = docs.where("text is not null").select(F.sha2("text", 256).alias("key"), "text")
+    done: list[DataFrame] = []
+    most: float | None = max_coverage
     while True:
-        words = words_of(text)
-        spans = merged(automaton.hits(words)[0])
-        if not spans:
-            return text
-        covered = sum(b - a for a, b in spans)
-        if covered > max_coverage * len(words) and first or covered == len(words):
-            return None
-        first = False
-        at = [m.span() for m in _WORD.finditer(text)]
-        for a, b in reversed(spans):
-            text = text[: at[a][0]] + text[at[b - 1][1] :]
+        spans = _united_spans(texts, count, block, window)
+        if most is None:
+            done.append(texts.join(spans, "key", "left_anti"))
+        if spans.isEmpty():
+            break
+
+        def cutter(batches, most=most):
+            for batch in batches:
+                found = [merged([(s["start"], s["end"]) for s in x]) for x in batch.column("spans").to_pylist()]
+                new = [cut(t, s, most) for t, s in zip(texts_of(batch), found)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").cast(pa.string()), pa.array(new, pa.string())], ["key", "text"]
+                )
+
+        hit = texts.join(spans, "key").dropDuplicates(["key"]).select("key", "text", "spans")
+        left = stored(map_batches(hit, cutter, "key string, text string"))
+        done.append(left.where("text is null"))
+        texts, most = left.where("text is not null"), None
+    if not done:
+        return docs
+    new = reduce(DataFrame.unionByName, done).select("key", F.struct("text").alias("new"))
+    joined = docs.select(F.struct(*docs.columns).alias("doc"), F.sha2("text", 256).alias("key")).join(new, "key", "left")
+    text = F.col("new")["text"]
+    fresh = {"text": text, "n_chars": F.length(text)}
+    return joined.where(F.col("new").isNull() | text.isNotNull()).select(
+        *[
+            F.when(F.col("new").isNotNull(), fresh[f.name].cast(f.dataType)).otherwise(F.col("doc")[f.name]).alias(f.name)
+            if f.name in fresh else F.col("doc")[f.name].alias(f.name)
+            for f in docs.schema
+        ]
+    )
 
 
 def decontaminate(
@@ -304,30 +379,28 @@ def decontaminate(
     `max_coverage` of whose words are hit is dropped, as is one of which no word
     would be left. Documents without hits, also null and empty ones, pass as
     they are. If there is a column n_chars, it is brought up to date where the
-    text changed.
+    text changed. With more than `block_words` words of items the texts are read
+    once per block and round of cuts; the result is the same.
     """
-    spark = docs.sparkSession
     names = docs.columns
-    blocks = list(_blocks(benchmark, block_words))
-    for k, items in enumerate(blocks):
-        shared, key = spark.sparkContext.broadcast(items), ("automaton", uuid.uuid4().hex)
+    count, block = _dealt(benchmark, block_words)
+    if count > 1:
+        return _cut_by_blocks(docs, count, block, window, max_coverage)
+    shared, key = docs.sparkSession.sparkContext.broadcast(block(0)), ("automaton", uuid.uuid4().hex)
 
-        def clean(batches, shared=shared, key=key):
-            automaton = _automaton(shared, window, key)
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                new = [t and cleaned(t, automaton, max_coverage) for t in texts]
-                keep = [t is None or n is not None for t, n in zip(texts, new)]
-                changed = [t != n for t, n in zip(texts, new)]
-                columns = list(batch.columns)
-                columns[names.index("text")] = pa.array(new, pa.string())
-                if "n_chars" in names:
-                    at, old = names.index("n_chars"), batch.column("n_chars")
-                    counts = [len(n or "") if c else o for n, c, o in zip(new, changed, old.to_pylist())]
-                    columns[at] = pa.array(counts, old.type)
-                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
-
-        docs = map_batches(docs, clean, docs.schema)
-        if k + 1 < len(blocks):
-            docs = stored(docs)
-    return docs
+    def clean(batches):
+        automaton = _automaton(shared, window, key)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            new = [t and cleaned(t, automaton, max_coverage) for t in texts]
+            keep = [t is None or n is not None for t, n in zip(texts, new)]
+            changed = [t != n for t, n in zip(texts, new)]
+            columns = list(batch.columns)
+            columns[names.index("text")] = pa.array(new, pa.string())
+            if "n_chars" in names:
+                at, old = names.index("n_chars"), batch.column("n_chars")
+                counts = [len(n or "") if c else o for n, c, o in zip(new, changed, old.to_pylist())]
+                columns[at] = pa.array(counts, old.type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(docs, clean, docs.schema)

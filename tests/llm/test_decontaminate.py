@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +89,27 @@ def test_cut_that_joins_a_new_window():
     assert dc.cleaned("q q q q q a x y z b c q q", automaton, 0.9) == "q q q q q  q q"
 
 
+def test_coverage_over_all_blocks(spark, make_docs):
+    """30 words hit by one item and 30 by another are 60 of 100, whichever blocks the items fall into."""
+    runs = [" ".join(f"{c}{i}" for i in range(30)) for c in "pqrstu"]
+    items = items_of(spark, list(enumerate(runs)))
+    rest = " ".join(f"z{i}" for i in range(40))
+    rows = [(k, f"{a} {rest} {b}") for k, (a, b) in enumerate((a, b) for a in runs for b in runs if a < b)] + [(99, runs[0] + " " + rest)]
+    for block in (100_000, 60):
+        assert [(r.doc_id, r.text) for r in dc.decontaminate(make_docs(rows), items, block_words=block).collect()] == [(99, " " + rest)]
+
+
+def test_cuts_that_join_windows_of_other_blocks(spark, make_docs):
+    draw = random.Random(3)
+    items = [(i, " ".join(draw.choices("abcde", k=draw.randint(2, 5)))) for i in range(12)]
+    rows = [(i, " ".join(draw.choices("abcdefgh", k=draw.randint(1, 40)))) for i in range(150)] + [(7, None), (None, "a, b; c"), (8, "")]
+    automaton = dc.SuffixAutomaton([(str(i), dc.words_of(t)) for i, t in items], 3)
+    want = [(i, t, -1) if n == t else (i, n, len(n)) for i, t in rows + rows for n in [t and dc.cleaned(t, automaton, 0.6)] if t is None or n is not None]
+    for block in (100_000, 15):
+        out = dc.decontaminate(make_docs(rows + rows), items_of(spark, items), 3, 0.6, block)
+        assert Counter((r.doc_id, r.text, r.n_chars) for r in out.collect()) == Counter(want)
+
+
 def test_query_against_brute_force(spark, sf_dir, documents):
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     texts = {r.doc_id: r.text for r in documents.collect()}
