@@ -126,7 +126,7 @@ RULES = [
 
 @query
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
+    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES, measure="reached")
 
 
 @query

@@ -7,6 +7,10 @@ that link to it. A page links to its own host as well, and a subdomain and the
 domain above it count as linked both ways, so ranks stay on the seeds' scale.
 A url without a rule is blocked where its host has more distrust than trust and
 as much of it as a seed has at which half of the urls are blocked.
+
+Distrust is dealt over all links into a host, so it thins out as these get more.
+The measure `reached` does not: it is the share of blocked urls where a surfer
+from the host ends, an average over the host's own links.
 """
 
 from __future__ import annotations
@@ -81,7 +85,11 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust and distrust after personalised PageRank both ways.
+    """host, trust and distrust after personalised PageRank both ways, and reached.
+
+    Distrust of a host is dealt over the links into it; reached is the mean of
+    the hosts that a host links to, by its links, so links into a host do not
+    thin it out. good and bad are the host's seeds, 0 without any.
 
     `seeds` has host, good and bad, the weights at which ranks start and to which
     they return. Hosts without seeds or edges are left out; ranks are relative to
@@ -94,39 +102,51 @@ def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping
         .select("src", "dst", (F.col("weight") / F.col("out")).alias("ahead"), (F.col("weight") / F.col("in")).alias("back"))
     )
     seeds = stored(seeds.select("host", F.col("good").cast("double").alias("good"), F.col("bad").cast("double").alias("bad")))
-    start = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    start = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"), F.col("bad").alias("reached"))
     ranks, back_home = start, (1 - damping) / damping
     if weighted.isEmpty():
-        return start
+        return start.join(seeds, "host")
     for k in range(rounds):
         ahead = weighted.join(ranks.withColumnRenamed("host", "src"), "src").select(
-            F.col("dst").alias("host"), (F.col("trust") * F.col("ahead")).alias("trust"), F.lit(0.0).alias("distrust")
+            F.col("dst").alias("host"), (F.col("trust") * F.col("ahead")).alias("trust"), F.lit(0.0).alias("distrust"), F.lit(0.0).alias("reached"),
         )
         back = weighted.join(ranks.withColumnRenamed("host", "dst"), "dst").select(
-            F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("back")).alias("distrust")
+            F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("back")).alias("distrust"),
+            (F.col("reached") * F.col("ahead")).alias("reached"),
+        )
+        home = seeds.select(
+            "host", (F.col("good") * back_home).alias("trust"),
+            *[(F.col("bad") * back_home).alias(name) for name in ("distrust", "reached")],
         )
-        home = seeds.select("host", (F.col("good") * back_home).alias("trust"), (F.col("bad") * back_home).alias("distrust"))
         ranks = (
             ahead.unionByName(back).unionByName(home).groupBy("host")
-            .agg((damping * F.sum("trust")).alias("trust"), (damping * F.sum("distrust")).alias("distrust"))
+            .agg(*[(damping * F.sum(name)).alias(name) for name in ("trust", "distrust", "reached")])
         )
         if (k + 1) % WRITE_EVERY == 0 or k + 1 == rounds:
             ranks = stored(ranks)
-    return ranks
+    return ranks.join(seeds, "host", "left").na.fill(0.0, ["good", "bad"])
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshold: float = THRESHOLD, rounds: int = ROUNDS
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshold: float = THRESHOLD, rounds: int = ROUNDS,
+    measure: str = "distrust",
 ) -> DataFrame:
     """page_id, host, path, rule and verdict of each (page_id, url, html) row, with trust and distrust.
 
     The host is what stands between the first `://` and the next `/`, `?` or `#`,
     A-Z lower-cased, the path what follows up to `?` or `#`; a null url or one
     without `://` has neither. The verdict is the rule's; without one it comes
-    from the host's ranks, and a host of no rank or no name is allowed. Repeated
-    rows each get theirs; null html has no links; an empty table gives an empty
-    one; other columns are not looked at. Pages reach the last join without their
-    html, and hosts with very many pages are split there by adaptive execution.
+    from the host's ranks, and a host of no rank or no name is allowed.
+
+    By the measure `distrust` a host is blocked with more distrust than trust and
+    `threshold` of it. By `reached`, with its own share of blocked urls or what its
+    links reach, whichever is more, at `threshold` and above its trust; for a host
+    with blocked urls of its own its share of allowed ones stands for trust, so
+    that links into a blocked seed never allow it.
+
+    Repeated rows each get theirs; null html has no links; an empty table gives an
+    empty one; other columns are not looked at. Pages reach the last join without
+    their html, and hosts with very many pages are split there by adaptive execution.
     """
     url = F.coalesce(F.col("url"), F.lit(""))
     named = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
@@ -141,7 +161,13 @@ def judge_urls(
         .where("good + bad > 0")
     )
     ranks = propagated(stored(host_links(named)), seeds, rounds)
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold)
+    if measure == "reached":
+        against = F.greatest("reached", "bad")
+        bad = (against > F.when(F.col("bad") > 0, F.col("good")).otherwise(F.col("trust"))) & (against >= threshold)
+    elif measure == "distrust":
+        bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold)
+    else:
+        raise ValueError(f"no such measure: {measure}")
     judged = ruled.join(ranks, "host", "left")
     return judged.select(
         "page_id", "host", "path", "rule",

@@ -96,3 +96,18 @@ def test_empty_and_query(spark, sf_dir):
     check(spark, [(r.page_id, r.url, r.html) for r in pages.collect()])
     plan = op7_url_filter(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_links_into_a_host_do_not_allow_it(spark, tmp_path):
+    """Verdicts of the query on a blocked seed with few and many links into it, and on the hosts that link."""
+    bad, good = '<a href="http://bad.net/es/1">', '<a href="http://good.com/1">'
+    own = [f"http://bad.net/es/{i}" for i in range(9)] + ["http://bad.net/en/x"]
+    pages = [(u, None) for u in own] + [("http://good.com/1", None), ("http://mixed.org/", bad + good + '<a href="http://fine.org/">'), ("http://fine.org/", good)]
+    for linkers in (0, 200):
+        more = [(f"http://l{i}.org/", bad) for i in range(linkers)] + [("http://fan.com/2", bad)] * linkers
+        rows = [(k, u, html) for k, (u, html) in enumerate(pages + more)]
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/{linkers}/pages.parquet")
+        found = {u: r.verdict for r in op7_url_filter(spark, f"{tmp_path}/{linkers}").collect() for u in [rows[r.page_id][1]]}
+        assert found["http://bad.net/en/x"] == "block"
+        assert all(found[f"http://l{i}.org/"] == "block" for i in range(linkers))
+        assert found["http://mixed.org/"] == found["http://fine.org/"] == found["http://good.com/1"] == "allow"
