@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, decontaminate, fingerprint, html, language, neardup, packing, secrets, tokens, urls
+from granary.llm import (
+    chat, decontaminate, fingerprint, html, infill, language, maxscore, neardup, packing, periodic, secrets, tokens, urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -142,3 +144,46 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        sha256(F.col("output")).alias("output_sha256"),
+        sha256(infill.restored(F.col("form"), F.col("output"))).alias("restored_sha256"),
+    )
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by its hash, repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    marked = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w").cast("long")
+    placed = marked.select("doc_id", "text", "w", "g", n.alias("n"), F.when(n > 0, F.col("g") % n).alias("a"))
+    rest = F.col("n") - F.col("a")
+    sized = placed.withColumn("p", 1 + F.floor(rest / (3 + F.col("g") % 8)))
+    block = F.slice("w", F.col("a").cast("int") + 1, F.col("p").cast("int"))
+    again = F.flatten(F.array_repeat(block, F.ceil(rest / F.col("p")).cast("int")))
+    tail = F.slice(again, F.lit(1), rest.cast("int"))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return sized.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]))
+    text = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.*",
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        sha256(text).alias("runs_sha256"), sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )

@@ -90,3 +90,42 @@ SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id,
     doc_id = coalesce(component_id, doc_id) AS kept
 FROM sets LEFT JOIN classes ON len(sets.s) > 0 AND sets.s = classes.s LEFT JOIN labels ON labels.rep = classes.rep
 """
+
+ORACLE["op11_exact_top_k"] = """
+WITH sound AS (
+    SELECT row_number() OVER () AS rid, vec_id,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM sound q JOIN sound c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE["op12_fill_in_middle"] = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+        sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), drawn AS (
+    SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+        text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+            OR ('0x' || h[17:24])::BIGINT % 100 >= 100 AS plain,
+        ('0x' || h[25:32])::BIGINT % 100 < 50 AS spm
+    FROM cut
+), pieces AS (
+    SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+        array_to_string(u[greatest(x, y) + 1:n], '') AS s
+    FROM drawn
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+    CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+    sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m
+        ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM pieces
+"""
