@@ -1,12 +1,18 @@
-"""ARIMA forecasts by least squares over a small grid of orders.
+"""Seasonal ARIMA forecasts by least squares, for all series of a batch at once.
 
-Orders up to (2, d, 2): the residuals of a long autoregression stand in for the
-unseen shocks (Hannan and Rissanen 1982), so each order is a linear regression,
-and all orders share one set of cross products. The lowest AICc wins.
+The residuals of a long autoregression stand in for the unseen shocks (Hannan and
+Rissanen 1982), so each order is a linear regression on lags of the series and of
+the shocks: up to two of each, and for a seasonal series one of each at the
+period. Series are aligned at their last day. Running sums of the products of a
+series with itself d days earlier give all normal equations, of all series in one
+table; each order is then one stacked solve on a part of them. The lowest AICc
+among stationary, invertible fits wins, series by series.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -15,117 +21,250 @@ from pyspark.sql.types import ArrayType, DoubleType
 from granary.functions.seasonal import seasonal_strength
 
 # Orders, the KPSS 5 % point, strength that calls for a seasonal difference.
-MAX_ORDER = 2
+MAX_ORDER, MAX_SEASONAL_ORDER = 2, 1
 KPSS_LIMIT = 0.463
 SEASONAL_DIFFERENCE = 0.64
 MIN_LENGTH = 15
+#: Numbers held for one block of series.
+BLOCK_CELLS = 4_000_000
+#: Directions with less than this share of the largest eigenvalue carry nothing.
+RANK_TOLERANCE = 1e-11
 
 
-def _needs_difference(x: np.ndarray) -> bool:
-    """KPSS test for a stable level, with a Bartlett window."""
-    e = x - x.mean()
-    n = len(e)
-    variance = e @ e / n
-    if variance == 0:
-        return False
-    lags = int(4 * (n / 100.0) ** 0.25)
-    for k in range(1, lags + 1):
-        variance += 2 * (1 - k / (lags + 1)) * (e[k:] @ e[:-k]) / n
-    sums = np.cumsum(e)
-    return variance > 0 and sums @ sums / (n * n * variance) > KPSS_LIMIT
+def _aligned(series: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All series in one table, ends together, zeros in front; and where each begins."""
+    width = max(map(len, series))
+    table = np.zeros((len(series), width))
+    for row, x in zip(table, series):
+        row[width - len(x) :] = x
+    return table, np.array([width - len(x) for x in series])
 
 
-def _stable(c: np.ndarray) -> bool:
-    """Whether 1 - c1 z - c2 z^2 has its roots outside the unit circle."""
-    a = np.concatenate((c, np.zeros(2 - len(c))))
-    return abs(a[1]) < 1 and a[1] + a[0] < 1 and a[1] - a[0] < 1
+def needs_difference(series: list[np.ndarray]) -> np.ndarray:
+    """KPSS test for a stable level, with a Bartlett window, for each series."""
+    table, first = _aligned(series)
+    n = table.shape[1] - first
+    live = np.arange(table.shape[1]) >= first[:, None]
+    e = np.where(live, table - (table.sum(axis=1) / n)[:, None], 0.0)
+    e[np.array([np.ptp(x) == 0 for x in series])] = 0.0
+    variance = (e * e).sum(axis=1) / n
+    lags = (4 * (n / 100.0) ** 0.25).astype(int)
+    for k in range(1, min(int(lags.max()), table.shape[1] - 1) + 1):
+        weight = np.where(k <= lags, 2 * (1 - k / (lags + 1)), 0.0)
+        variance = variance + weight * (e[:, k:] * e[:, :-k]).sum(axis=1) / n
+    sums = np.cumsum(e, axis=1)
+    with np.errstate(all="ignore"):
+        return (variance > 0) & ((sums * sums * live).sum(axis=1) / (n * n * variance) > KPSS_LIMIT)
 
 
-def _lags(x: np.ndarray, count: int, start: int) -> list[np.ndarray]:
-    return [x[start - k : len(x) - k] for k in range(1, count + 1)]
+def stationary(coefficients: np.ndarray) -> np.ndarray:
+    """Whether 1 - c1 z - c2 z^2 - ... has its roots outside the unit circle, for each row.
 
+    Steps down through the partial autocorrelations, all of which must be below 1.
+    """
+    a = coefficients.copy()
+    sound = np.ones(len(a), bool)
+    with np.errstate(all="ignore"):
+        for k in range(a.shape[1] - 1, -1, -1):
+            last = a[:, k]
+            sound &= np.abs(last) < 1
+            a = (a[:, :k] + last[:, None] * a[:, k - 1 :: -1][:, :k]) / (1 - last * last)[:, None] if k else a
+    return sound
 
-def _forecast_stationary(w: np.ndarray, constant: bool, horizon: int) -> np.ndarray | None:
-    n = len(w)
-    flat = np.full(horizon, w.mean() if constant else 0.0)
-    long_order = min(max(10, int(np.log(n) ** 2) // 3), n // 4)
-    if np.ptp(w) == 0:
-        return flat  # a constant series is its own model
-    if n < 12 or long_order < 1:
-        return None
-    ones = np.ones(n - long_order)
-    design = np.column_stack([ones, *_lags(w, long_order, long_order)])
-    fit = np.linalg.lstsq(design, w[long_order:], rcond=None)[0]
-    shocks = np.zeros(n)
-    shocks[long_order:] = w[long_order:] - design @ fit
-    start = long_order + MAX_ORDER
-    if n - start < 2 * MAX_ORDER + 4:
-        return None
-    target = w[start:]
-    columns = np.column_stack(
-        [np.ones(n - start), *_lags(w, MAX_ORDER, start), *_lags(shocks, MAX_ORDER, start)]
-    )
-    cross, against, size = columns.T @ columns, columns.T @ target, len(target)
-    best = None
-    for p in range(MAX_ORDER + 1):
-        for q in range(MAX_ORDER + 1):
-            use = [0] * constant + [*range(1, 1 + p), *range(1 + MAX_ORDER, 1 + MAX_ORDER + q)]
-            b = np.linalg.lstsq(cross[np.ix_(use, use)], against[use], rcond=None)[0] if use else np.zeros(0)
-            ar, ma = b[constant : constant + p], b[constant + p :]
-            if not (_stable(ar) and _stable(-ma)):
-                continue
-            residual = target - columns[:, use] @ b if use else target
-            k = len(use) + 1
-            score = size * np.log(max(residual @ residual / size, 1e-12)) + 2 * k
-            score += 2 * k * (k + 1) / max(size - k - 1, 1)
-            if best is None or score < best[0]:
-                best = (score, b[0] if constant else 0.0, ar, ma)
-    if best is None:
-        return None
-    _, c, ar, ma = best
-    values, noise = list(w[-MAX_ORDER:]), list(shocks[-MAX_ORDER:])
-    for _ in range(horizon):
-        step = c + sum(a * values[-1 - i] for i, a in enumerate(ar))
-        step += sum(m * noise[-1 - i] for i, m in enumerate(ma))
-        values.append(step)
-        noise.append(0.0)
-    return np.array(values[MAX_ORDER:])
-
-
-def arima_one(y: np.ndarray, period: int | None, horizon: int) -> np.ndarray | None:
-    """Difference as needed, forecast the rest, and add the differences back."""
-    if len(y) < (2 * period if period else MIN_LENGTH):
-        return None
-    w = y
-    strength = seasonal_strength(y, period) if period else None
-    seasonal = strength is not None and strength > SEASONAL_DIFFERENCE
-    if seasonal:
-        w = w[period:] - w[:-period]
-    regular = _needs_difference(w)
-    level = w
-    if regular:
-        w = np.diff(w)
-    forecast = _forecast_stationary(w, not (seasonal and regular), horizon)
-    if forecast is None:
+
+def _solved(cross: np.ndarray, against: np.ndarray) -> np.ndarray:
+    inverse = np.linalg.pinv(cross, rcond=RANK_TOLERANCE, hermitian=True)
+    return (inverse @ against[:, :, None])[:, :, 0]
+
+
+def _sums(x: np.ndarray, start: np.ndarray, lag: int) -> np.ndarray:
+    """Running sums: the sum over the days from `start` on, each moved back by `lag`."""
+    rows = np.arange(len(x))
+    return x[:, x.shape[1] - 1 - lag] - np.where(start > lag, x[rows, np.maximum(start - lag - 1, 0)], 0.0)
+
+
+def lag_products(tables: list[np.ndarray], terms: list[tuple[int, int]], start: np.ndarray) -> np.ndarray:
+    """Sums of products of all pairs of terms over the days from `start` on, for each series.
+
+    A term is a table and a lag; no lagged day may lie before a series' first. What
+    two terms multiply depends on the difference of their lags alone, so one running
+    sum per difference serves all pairs that have it.
+    """
+    out = np.empty((len(start), len(terms), len(terms)))
+    pairs: dict[tuple, list] = {}
+    for i, (a, j) in enumerate(terms):
+        for k, (b, m) in enumerate(terms[i:], i):
+            key = (a, b, m - j) if m >= j else (b, a, j - m)
+            pairs.setdefault(key, []).append((i, k, min(j, m)))
+    for (a, b, d), members in pairs.items():
+        moved = tables[a].copy()
+        moved[:, :d] = 0.0
+        moved[:, d:] *= tables[b][:, : tables[b].shape[1] - d]
+        np.cumsum(moved, axis=1, out=moved)
+        for i, k, lag in members:
+            out[:, i, k] = out[:, k, i] = _sums(moved, start, lag)
+    return out
+
+
+def _lag_sums(tables: list[np.ndarray], terms: list[tuple[int, int]], start: np.ndarray) -> np.ndarray:
+    running = [np.cumsum(t, axis=1) for t in tables]
+    return np.stack([_sums(running[a], start, lag) for a, lag in terms], axis=1)
+
+
+def _normal_equations(tables: list[np.ndarray], terms: list[tuple[int, int]], start: np.ndarray, constant: np.ndarray):
+    """For the first table on the days from `start` on: (series, 1 + terms, 1 + terms), against, total, size."""
+    products = lag_products(tables, [(0, 0), *terms], start)
+    sums = _lag_sums(tables, [(0, 0), *terms], start) * constant[:, None]
+    size = (tables[0].shape[1] - start).astype(float)
+    cross = np.empty((len(start), 1 + len(terms), 1 + len(terms)))
+    cross[:, 0, 0] = size * constant
+    cross[:, 0, 1:] = cross[:, 1:, 0] = sums[:, 1:]
+    cross[:, 1:, 1:] = products[:, 1:, 1:]
+    against = np.concatenate([sums[:, :1], products[:, 1:, 0]], axis=1)
+    return cross, against, products[:, 0, 0], size
+
+
+def long_order(n: int) -> int:
+    return min(max(10, int(np.log(n) ** 2) // 3), n // 4)
+
+
+def _block(series: list[np.ndarray], constant: np.ndarray, season: int | None, horizon: int) -> np.ndarray:
+    """Forecasts of stationary series, a row each; NaN where no order fits."""
+    table, first = _aligned(series)
+    scale = np.array([x.std() for x in series])
+    table /= scale[:, None]
+    count, width = table.shape
+    days = np.arange(width)
+
+    # Shocks: what a long autoregression leaves.
+    orders = np.array([long_order(len(x)) for x in series])
+    around = [season, season + 1] if season else []
+    lags = sorted({*range(1, int(orders.max()) + 1), *around})
+    used = (np.array(lags) <= orders[:, None]) | np.isin(lags, around)
+    start = first + (used * lags).max(axis=1)
+    cross, against, *_ = _normal_equations([table], [(0, k) for k in lags], start, np.ones(count))
+    kept = np.concatenate([np.ones((count, 1), bool), used], axis=1)
+    fit = _solved(cross * (kept[:, :, None] & kept[:, None, :]), against * kept)
+    shocks = table - fit[:, :1]
+    for k, b in zip(lags, fit[:, 1:].T):
+        shocks[:, k:] -= b[:, None] * table[:, : width - k]
+    shocks[days < start[:, None]] = 0.0
+
+    # Every order is a part of one set of normal equations.
+    lags = [*range(1, MAX_ORDER + 1), *([season] if season else [])]
+    start = start + lags[-1]
+    terms = [(which, k) for which in (0, 1) for k in lags]
+    cross, against, total, size = _normal_equations([table, shocks], terms, start, constant)
+    best = np.full(count, np.inf)
+    chosen = np.zeros((count, 1 + len(terms)))
+    s = MAX_SEASONAL_ORDER if season else 0
+    for p, q, sp, sq in product(range(MAX_ORDER + 1), range(MAX_ORDER + 1), range(s + 1), range(s + 1)):
+        ar = [*range(1, 1 + p), *([1 + MAX_ORDER] * sp)]
+        ma = [len(lags) + j for j in [*range(1, 1 + q), *([1 + MAX_ORDER] * sq)]]
+        use = [0, *ar, *ma]
+        b = np.zeros_like(chosen)
+        b[:, use] = _solved(cross[:, use][:, :, use], against[:, use])
+        residual = total - (2 * against * b).sum(axis=1) + (b[:, None, :] @ cross @ b[:, :, None])[:, 0, 0]
+        k = p + q + sp + sq + 1 + constant
+        score = size * np.log(np.maximum(residual / size, 1e-12)) + 2 * k
+        score = score + 2 * k * (k + 1) / np.maximum(size - k - 1, 1)
+        better = score < best
+        for columns, sign in ((range(1, 1 + len(lags)), 1), (range(1 + len(lags), 1 + 2 * len(lags)), -1)):
+            at = np.flatnonzero(better)
+            poly = np.zeros((len(at), lags[-1]))
+            poly[:, np.array(lags) - 1] = sign * b[at][:, columns]
+            better[at] = stationary(poly[:, : MAX_ORDER if sp + sq == 0 else None])
+        best[better], chosen[better] = score[better], b[better]
+
+    # Ahead: shocks to come are zero.
+    values, noise = (np.concatenate([z, np.zeros((count, horizon))], axis=1) for z in (table, shocks))
+    for day in range(width, width + horizon):
+        seen = np.stack([values[:, day - k] for k in lags] + [noise[:, day - k] for k in lags], axis=1)
+        values[:, day] = chosen[:, 0] * constant + (chosen[:, 1:] * seen).sum(axis=1)
+    return np.where(np.isfinite(best), scale, np.nan)[:, None] * values[:, width:]
+
+
+def seasonal_terms(n: int, season: int | None) -> int | None:
+    """The period, if a series of this length can be fitted with terms at it."""
+    if season is None:
         return None
-    if regular:
-        forecast = level[-1] + np.cumsum(forecast)
-    if seasonal:
-        past = list(y[-period:])
-        for step in forecast:
-            past.append(past[-period] + step)
-        forecast = np.array(past[period:])
-    return forecast if np.isfinite(forecast).all() else None
+    rest = n - max(long_order(n), season + 1) - season
+    return season if rest >= 2 * (2 * MAX_ORDER + 2 * MAX_SEASONAL_ORDER) + 4 else None
+
+
+def forecast_stationary(
+    series: list[np.ndarray], constant: list[bool], seasons: list[int | None], horizon: int
+) -> list[np.ndarray | None]:
+    """Forecast each series, whose level needs no further difference; None where it is too short."""
+    out: list = [None] * len(series)
+    groups: dict[int | None, list[int]] = {}
+    for i, (w, c) in enumerate(zip(series, constant)):
+        n = len(w)
+        if n and np.ptp(w) == 0:
+            out[i] = np.full(horizon, w.mean() if c else 0.0)  # a constant series is its own model
+        elif n >= 12 and (long := long_order(n)) >= 1 and n - long - MAX_ORDER >= 2 * MAX_ORDER + 4:
+            groups.setdefault(seasonal_terms(n, seasons[i]), []).append(i)
+    for season, members in groups.items():
+        members.sort(key=lambda i: len(series[i]))
+        while members:
+            n = max(1, BLOCK_CELLS // (8 * len(series[members[-1]])))
+            block, members = members[-n:], members[:-n]
+            found = _block([series[i] for i in block], np.array([float(constant[i]) for i in block]), season, horizon)
+            for i, f in zip(block, found):
+                out[i] = f if np.isfinite(f).all() else None
+    return out
+
+
+def arima_many(series: list, periods: list, horizon: int) -> list[np.ndarray | None]:
+    """Difference each series as needed, forecast the rest, and add the differences back.
+
+    A series is differenced at its period where it is strongly seasonal, and once
+    more where its level is not stable. None for a series that is missing, shorter
+    than two periods (or MIN_LENGTH), or not to be fitted.
+    """
+    out: list = [None] * len(series)
+    kept, seasonal, work = [], [], []
+    for i, (y, p) in enumerate(zip(series, periods)):
+        if y is None or len(y) < (2 * p if p else MIN_LENGTH):
+            continue
+        y = np.asarray(y, float)
+        strength = seasonal_strength(y, p) if p else None
+        strong = strength is not None and strength > SEASONAL_DIFFERENCE
+        kept.append((i, y, p))
+        seasonal.append(strong)
+        work.append(y[p:] - y[:-p] if strong else y)
+    if not kept:
+        return out
+    regular = np.zeros(len(work), bool)
+    order = sorted(range(len(work)), key=lambda i: len(work[i]))
+    while order:
+        n = max(1, BLOCK_CELLS // (4 * len(work[order[-1]])))
+        block, order = order[-n:], order[:-n]
+        regular[block] = needs_difference([work[i] for i in block])
+    level = [w[-1] for w in work]
+    work = [np.diff(w) if r else w for w, r in zip(work, regular)]
+    constant = [not (s and r) for s, r in zip(seasonal, regular)]
+    found = forecast_stationary(work, constant, [p for _, _, p in kept], horizon)
+    for (i, y, p), s, r, last, f in zip(kept, seasonal, regular, level, found):
+        if f is None:
+            continue
+        if r:
+            f = last + np.cumsum(f)
+        if s:
+            past = np.concatenate([y[-p:], f])
+            for k in range(p, len(past)):
+                past[k] += past[k - p]
+            f = past[p:]
+        out[i] = f if np.isfinite(f).all() else None
+    return out
 
 
 @pandas_udf(ArrayType(DoubleType()))
 def arima(series: pd.Series, period: pd.Series, horizon: pd.Series) -> pd.Series:
     """Forecast per series; null where it is missing, too short, or not to be fitted."""
-    out = []
-    for y, p, h in zip(series, period, horizon):
-        known = None if pd.isna(p) else int(p)
-        out.append(None if y is None else arima_one(np.asarray(y, float), known, int(h)))
-    return pd.Series(out, dtype=object)
+    ahead = int(horizon.max()) if len(horizon) else 0
+    periods = [None if pd.isna(p) else int(p) for p in period]
+    return pd.Series(arima_many(list(series), periods, ahead), dtype=object)
 
 
 # Keeps the optimizer from copying the call into filters it derives.

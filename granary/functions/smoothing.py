@@ -1,7 +1,10 @@
-"""Exponential smoothing with trend, fitted on a fixed grid for many series at once.
+"""Exponential smoothing with trend, its weights searched for many series at once.
 
 Series are aligned at their last day, so one pass over the days updates every
-series under every parameter choice together.
+series under every choice of weights together. The best point of a fixed grid is
+where a search along the axes begins: in each round every series tries a step up
+and down in each weight, moves to the best of these if it is better, and halves
+its steps if none is. The squared error is so never above the grid's.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ TREND_GRID = (0.0, 0.01, 0.05, 0.1, 0.3)
 SEASON_GRID = (0.0, 0.05, 0.15, 0.3)
 MIN_LENGTH = 10
 BLOCK_CELLS = 2_000_000
+# Rounds of the search, its first steps, and how close a weight may come to 0 and 1.
+ROUNDS = 4
+STEPS = (0.08, 0.04, 0.05)
+BOUNDS = ((0.001, 0.999), (0.0, 0.999), (0.0, 0.999))
 
 
 def _grid(seasonal: bool) -> np.ndarray:
@@ -42,53 +49,97 @@ def _start(y: np.ndarray, period: int | None, multiplicative: bool):
     return level, slope, season
 
 
+class _Block:
+    """Series of one period, ends together, run through the days under given weights."""
+
+    def __init__(self, rows: list[np.ndarray], period: int | None, multiplicative: bool):
+        self.period, self.multiplicative = period, multiplicative
+        self.width, self.count = max(len(y) for y in rows), len(rows)
+        self.first = np.array([self.width - len(y) for y in rows])
+        self.data = np.full((self.count, self.width), 1.0 if multiplicative else 0.0)
+        cycle = period or 1
+        self.level, self.trend = np.empty((2, self.count, 1))
+        self.season = np.empty((cycle, self.count, 1))
+        for k, y in enumerate(rows):
+            self.data[k, self.first[k] :] = y
+            self.level[k], self.trend[k], terms = _start(y, period, multiplicative)
+            self.season[(self.first[k] + np.arange(cycle)) % cycle, k, 0] = terms
+
+    def run(self, weights: np.ndarray, absolute: bool = False):
+        """Error of every choice, and the state after the last day; weights: (3, series or 1, choices).
+
+        The error is the sum of squares, or of absolute values. A series joins on its
+        first day; what is worked out in its row before is overwritten then.
+        """
+        cells = (self.count, weights.shape[2])
+        alpha, beta, gamma = (np.broadcast_to(w, cells) for w in weights)
+        by_trend = alpha * beta
+        level, trend = np.empty(cells), np.empty(cells)
+        level[:], trend[:] = (1.0, 1.0) if self.multiplicative else (0.0, 0.0)
+        season = np.broadcast_to(self.season, (len(self.season), *cells)).copy()
+        total, error, part = np.zeros(cells), np.empty(cells), np.empty(cells)
+        begins = {int(d): np.flatnonzero(self.first == d) for d in np.unique(self.first)}
+        for day in range(self.width):
+            if (rows := begins.get(day)) is not None:
+                level[rows], trend[rows], total[rows] = self.level[rows], self.trend[rows], 0.0
+                season[:, rows] = self.season[:, rows]
+            y, s = self.data[:, day : day + 1], season[day % len(season)]
+            if self.multiplicative:
+                expected = np.multiply(level, trend, out=part)
+                np.subtract(y, expected * s, out=error)
+                new_level = alpha * (y / s - expected) + expected
+                trend += beta * (new_level / level - trend)
+                if self.period:
+                    s += gamma * (y / expected - s)
+                level = new_level
+            else:
+                np.add(level, trend, out=level)
+                np.subtract(y, level, out=error)
+                error -= s
+                level += np.multiply(alpha, error, out=part)
+                trend += np.multiply(by_trend, error, out=part)
+                if self.period:
+                    s += np.multiply(gamma, error, out=part)
+            total += np.abs(error, out=part) if absolute else np.multiply(error, error, out=part)
+        return np.where(np.isfinite(total), total, np.inf), level, trend, season
+
+    def fit(self, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+        """Weights (3, series) of least squared error found, and that error."""
+        grid = _grid(self.period is not None)
+        squared = self.run(grid[:, None, :])[0]
+        choice, at = squared.argmin(axis=1), np.arange(self.count)
+        weights, best = grid[:, choice], squared[at, choice]
+        axes = range(3 if self.period else 2)
+        steps = np.array(STEPS)[:, None] * np.ones(self.count)
+        low, high = np.array(BOUNDS).T[:, :, None]
+        for _ in range(rounds):
+            tried = np.repeat(weights[:, :, None], 2 * len(axes), axis=2)
+            for j, axis in enumerate(axes):
+                tried[axis, :, 2 * j] += steps[axis]
+                tried[axis, :, 2 * j + 1] -= steps[axis]
+            tried = np.clip(tried, low[:, :, None], high[:, :, None])
+            squared = self.run(tried)[0]
+            choice = squared.argmin(axis=1)
+            better = squared[at, choice] < best
+            weights = np.where(better, tried[:, at, choice], weights)
+            best = np.where(better, squared[at, choice], best)
+            steps = np.where(better, steps, steps / 2)
+        return weights, best
+
+
 def _fit_block(rows: list[np.ndarray], period: int | None, horizon: int, multiplicative: bool):
-    """In-sample mean absolute error and forecast of the best grid point per series."""
-    cycle = period or 1
-    width = max(len(y) for y in rows)
-    count = len(rows)
-    first = np.array([width - len(y) for y in rows])
-    data = np.ones((count, width))
-    alpha, beta, gamma = _grid(period is not None)
-    cells = (count, len(alpha))
-    level, trend = np.empty(cells), np.empty(cells)
-    season = np.empty((cycle, *cells))
-    for k, y in enumerate(rows):
-        data[k, first[k] :] = y
-        level[k], trend[k], cycle_terms = _start(y, period, multiplicative)
-        season[(first[k] + np.arange(cycle)) % cycle, k] = cycle_terms[:, None]
-    squared, absolute = np.zeros(cells), np.zeros(cells)
+    """In-sample mean absolute error and forecast under the best weights per series."""
+    block = _Block(rows, period, multiplicative)
     with np.errstate(all="ignore"):
-        for day in range(width):
-            live = (first <= day)[:, None]
-            y, s = data[:, day : day + 1], season[day % cycle]
-            if multiplicative:
-                expected = level * trend
-                error = y - expected * s
-                new_level = alpha * (y / s) + (1 - alpha) * expected
-                new_trend = beta * (new_level / level) + (1 - beta) * trend
-                new_season = gamma * (y / expected) + (1 - gamma) * s
-            else:
-                expected = level + trend
-                error = y - expected - s
-                new_level = alpha * (y - s) + (1 - alpha) * expected
-                new_trend = beta * (new_level - level) + (1 - beta) * trend
-                new_season = gamma * (y - expected) + (1 - gamma) * s
-            squared += np.where(live, error * error, 0.0)
-            absolute += np.where(live, np.abs(error), 0.0)
-            level, trend = np.where(live, new_level, level), np.where(live, new_trend, trend)
-            if period:
-                season[day % cycle] = np.where(live, new_season, s)
-        best = np.argmin(np.where(np.isfinite(squared), squared, np.inf), axis=1)
-        at = np.arange(count)
-        level, trend, lengths = level[at, best], trend[at, best], width - first
-        terms = season[:, at, best][(width + np.arange(horizon)) % cycle].T
+        weights, _ = block.fit()
+        absolute, level, trend, season = block.run(weights[:, :, None], absolute=True)
+        terms = season[(block.width + np.arange(horizon)) % len(season), :, 0].T
         ahead = np.arange(1, horizon + 1)
         if multiplicative:
-            forecast = level[:, None] * trend[:, None] ** ahead * terms
+            forecast = level * trend**ahead * terms
         else:
-            forecast = level[:, None] + trend[:, None] * ahead + terms
-        return absolute[at, best] / lengths, forecast
+            forecast = level + trend * ahead + terms
+        return absolute[:, 0] / (block.width - block.first), forecast
 
 
 def smooth(series: list, periods: list, horizon: int) -> list:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+# Fixed value: the smaller group is tested exactly up to this size, where nothing is tied.
 EXACT_SIZE = 8
-EXACT_CELLS = 2_000_000
 
 
 def _lgamma(x):
@@ -56,36 +58,71 @@ def t_two_sided(t, df):
     return incomplete_beta(df / 2.0, np.full_like(df, 0.5), df / (df + t * t))
 
 
-def exact_rank_sum(u: float, n_a: int, n_b: int) -> float:
-    """Two-sided p of U without ties: counts of arrangements by their U.
+@cache
+def _partition_sums(parts: int) -> list[list[int]]:
+    """For each remainder by the common period: counts of partitions of 0..k into parts
+    1 to `parts`, at enough values k of that remainder to fix a polynomial.
 
-    The counts are the coefficients of the Gaussian binomial, built one factor
-    at a time.
+    Within one remainder by lcm(1..parts) the count of partitions of at most k is a
+    polynomial in k of degree `parts`.
     """
-    small, large = sorted((n_a, n_b))
-    ways = np.zeros(small * large + 1)
-    ways[0] = 1.0
-    for k in range(1, small + 1):
-        grown = ways.copy()
-        grown[large + k:] -= ways[: len(ways) - large - k] if large + k < len(ways) else 0.0
-        for start in range(k):
-            grown[start::k] = np.cumsum(grown[start::k])
-        ways = grown
-    ways /= ways.sum()
-    upper = int(math.ceil(max(u, n_a * n_b - u)))
-    return min(1.0, 2.0 * ways[upper:].sum())
-
-
-def rank_sum_p(u: float, n_a: int, n_b: int, tie_term: float, method: str = "auto") -> float:
-    """Two-sided Mann-Whitney p by the `exact` table, the `normal` form, or `auto`.
-
-    The exact table has n_a * n_b cells and holds without ties only. `auto` takes
-    it for an untied group of up to EXACT_SIZE while it has at most EXACT_CELLS.
+    period = math.lcm(*range(1, parts + 1))
+    ways = [1] + [0] * (period * (parts + 1) - 1)
+    for part in [1, *range(1, parts + 1)]:  # the extra 1 sums up to k
+        for k in range(part, len(ways)):
+            ways[k] += ways[k - part]
+    return [ways[r::period] for r in range(period)]
+
+
+def _partitions_up_to(k: int, parts: int) -> int:
+    """Partitions of the numbers 0..k into parts 1 to `parts`, exactly, for any k."""
+    if k < 0:
+        return 0
+    table = _partition_sums(parts)
+    x, remainder = divmod(k, len(table))
+    value, binomial, differences = 0, 1, table[remainder]
+    for i in range(parts + 1):  # Newton's forward differences
+        value += differences[0] * binomial
+        binomial = binomial * (x - i) // (i + 1)
+        differences = [b - a for a, b in zip(differences, differences[1:])]
+    return value
+
+
+def rank_sum_tail_exact(u: int, small: int, large: int) -> float:
+    """P(U <= u) without ties, for a small group and another of any size.
+
+    Arrangements with U = k are partitions of k into at most `small` parts of at most
+    `large`: the coefficients of the Gaussian binomial. Its numerator has 2^small
+    terms, its denominator counts plain partitions, for which a closed form is
+    evaluated in whole numbers, so the work does not depend on the size of either.
     """
-    possible = tie_term == 0 and n_a * n_b <= EXACT_CELLS
-    if method == "exact" and not possible:
-        raise ValueError("the exact test needs values without ties and a table of at most EXACT_CELLS")
-    if method == "exact" or method == "auto" and possible and min(n_a, n_b) <= EXACT_SIZE:
+    total = 0
+    shifts = {0: 1}
+    for i in range(1, small + 1):
+        for s, sign in list(shifts.items()):
+            shifts[s + large + i] = shifts.get(s + large + i, 0) - sign
+    for shift, sign in shifts.items():
+        total += sign * _partitions_up_to(u - shift, small)
+    return float(Fraction(total, math.comb(small + large, small)))
+
+
+def exact_rank_sum(u: float, n_a: int, n_b: int) -> float:
+    """Two-sided p of U without ties, the smaller group of at most EXACT_SIZE."""
+    small, large = sorted((n_a, n_b))
+    if small > EXACT_SIZE:
+        raise ValueError(f"the exact test needs a group of at most {EXACT_SIZE} values")
+    lower = math.floor(min(u, n_a * n_b - u))
+    return min(1.0, 2.0 * rank_sum_tail_exact(lower, small, large))
+
+
+def is_exact(n_a: int, n_b: int, tie_term: float) -> bool:
+    """The rule: exact where nothing is tied and the smaller group is small, else normal."""
+    return tie_term == 0 and min(n_a, n_b) <= EXACT_SIZE
+
+
+def rank_sum_p(u: float, n_a: int, n_b: int, tie_term: float) -> float:
+    """Two-sided Mann-Whitney p, exact by `is_exact`, else normal with continuity correction."""
+    if is_exact(n_a, n_b, tie_term):
         return exact_rank_sum(u, n_a, n_b)
     n = n_a + n_b
     spread = math.sqrt(n_a * n_b / 12.0 * ((n + 1) - tie_term / (n * (n - 1.0))))
@@ -109,8 +146,6 @@ def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @pandas_udf(DoubleType())
-def rank_sum_tail(
-    u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series, method: pd.Series
-) -> pd.Series:
-    rows = zip(u, n_a, n_b, ties, method)
-    return pd.Series([None if pd.isna(r[0]) else rank_sum_p(r[0], int(r[1]), int(r[2]), r[3], r[4]) for r in rows])
+def rank_sum_tail(u: pd.Series, n_a: pd.Series, n_b: pd.Series, ties: pd.Series) -> pd.Series:
+    rows = zip(u, n_a, n_b, ties)
+    return pd.Series([None if pd.isna(r[0]) else rank_sum_p(r[0], int(r[1]), int(r[2]), r[3]) for r in rows])

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.parsing import micros, whole_days, zero_if_null
-from granary.plans.box import box_numbers, fences, long_form
+from granary.plans.box import box_numbers, fences, field_box, long_form
 from granary.plans.lookup import join_lookup
-from granary.plans.ranking import exact_quantiles
+from granary.plans.radix import field_quantiles
 from granary.plans.rollups import daily_demand, product_totals
 from granary.schema import OPTIONAL_FIELDS, Sales, unavailable
 
@@ -85,10 +85,9 @@ def trending_products(sales: Sales, top_n: int = 10) -> DataFrame:
     )
 
 
-def distribution_summary(sales: Sales, **bucketing) -> DataFrame:
+def distribution_summary(sales: Sales) -> DataFrame:
     """Box-plot numbers of every available numeric field."""
-    values = long_form(sales.df, sales.numeric_fields())
-    return box_numbers(values, ["field"], **bucketing)
+    return field_box(long_form(sales.df, sales.numeric_fields()))
 
 
 def product_distribution(sales: Sales, **bucketing) -> DataFrame:
@@ -97,12 +96,10 @@ def product_distribution(sales: Sales, **bucketing) -> DataFrame:
     return box_numbers(values, ["product_id", "field"], **bucketing)
 
 
-def outlier_points(sales: Sales, **bucketing) -> DataFrame:
+def outlier_points(sales: Sales) -> DataFrame:
     """The rows outside a field's fences."""
     fields = sales.numeric_fields()
-    quartiles = exact_quantiles(
-        long_form(sales.df, fields), "value", {"q1": 0.25, "q3": 0.75}, ["field"], **bucketing
-    )
+    quartiles = field_quantiles(long_form(sales.df, fields), {"q1": 0.25, "q3": 0.75})
     # One row per numeric field, four at most.
     limits = F.broadcast(fences(quartiles).select("field", "lower_fence", "upper_fence"))
     points = long_form(sales.df, fields, ["product_id", "date"])

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.shapiro import inverse_normal, shapiro_p, shapiro_w, shapiro_z
-from granary.functions.tails import EXACT_CELLS, EXACT_SIZE, rank_sum_tail, t_tail
+from granary.functions.tails import EXACT_SIZE, rank_sum_tail, t_tail
 from granary.plans.box import long_form
 from granary.plans.lookup import join_lookup
-from granary.plans.ranking import exact_quantiles, value_counts, with_running_totals
+from granary.plans.radix import field_quantiles
+from granary.plans.ranking import value_counts, with_running_totals
 from granary.schema import Sales
 from granary.session import materialize
 
@@ -27,7 +28,7 @@ RANKS_PER_ROW = 10_000
 GROUP_FIELDS = ["category", "warehouse_id"]
 
 
-def descriptive_stats(sales: Sales, **bucketing) -> DataFrame:
+def descriptive_stats(sales: Sales) -> DataFrame:
     """Mean, median, deviation, range, quartiles, skew and excess kurtosis per field."""
     fields = sales.numeric_fields()
     moments = sales.df.agg(
@@ -47,14 +48,9 @@ def descriptive_stats(sales: Sales, **bucketing) -> DataFrame:
             ]
         ).alias("rows")
     ).select(F.inline("rows"))
-    quartiles = exact_quantiles(
-        long_form(sales.df, fields),
-        "value",
-        {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        ["field"],
-        **bucketing,
-    ).drop("n")
-    return moments.join(quartiles, "field")
+    quartiles = field_quantiles(long_form(sales.df, fields), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    # One row per numeric field, four at most.
+    return moments.join(F.broadcast(quartiles.drop("n")), "field")
 
 
 def _pairs(sales: Sales) -> list[tuple[str, str]]:
@@ -206,14 +202,13 @@ def correlation_matrix(sales: Sales) -> DataFrame:
 
 def compare_groups(
     sales: Sales, group_field: str, group_a: str, group_b: str, field: str = "quantity_sold",
-    method: str = "auto", **bucketing,
+    **bucketing,
 ) -> DataFrame:
     """Mann-Whitney test of one field between two values of a group field; one row.
 
-    `method` is `normal`, `exact` (without ties; an error where its table would be
-    too large), or `auto`: exact for an untied group of up to eight values where
-    the table can be made, else normal. The column `method` says which it was.
-    Ranks come from a histogram of the distinct values. With fewer than two
+    One rule whatever the size of the table: exact where nothing is tied and the
+    smaller group has up to eight values, else normal with continuity correction; the
+    column `method` says which. Ranks come from a histogram of the distinct values. With fewer than two
     values in a group, `error` says so and the rest is null.
     """
     in_a = F.col(group_field) == group_a
@@ -240,11 +235,10 @@ def compare_groups(
     enough = (F.col("n_a") >= 2) & (F.col("n_b") >= 2)
     u = F.col("rank_sum") - F.col("n_a") * (F.col("n_a") + 1) / 2
     tested = sums.withColumn("u_statistic", F.when(enough, u)).withColumn(
-        "p_value", rank_sum_tail(F.col("u_statistic"), F.col("n_a"), F.col("n_b"), F.col("ties"), F.lit(method))
+        "p_value", rank_sum_tail(F.col("u_statistic"), F.col("n_a"), F.col("n_b"), F.col("ties"))
     )
-    size = F.least("n_a", "n_b")
-    small = (size <= EXACT_SIZE) & (F.col("ties") == 0) & (F.col("n_a") * F.col("n_b") <= EXACT_CELLS)
-    used = F.lit(method) if method != "auto" else F.when(small, "exact").otherwise("normal")
+    small = (F.least("n_a", "n_b") <= EXACT_SIZE) & (F.col("ties") == 0)
+    used = F.when(small, "exact").otherwise("normal")
     higher = F.when(F.col("mean_a") > F.col("mean_b"), "higher").otherwise("lower")
     return tested.select(
         F.lit(group_field).alias("group_field"),

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from granary.functions.parsing import to_datetime, to_number, whole_days
 from granary.plans.box import fences
-from granary.plans.ranking import quantiles_of_counts, value_counts
+from granary.plans.radix import field_quantiles
+from granary.plans.ranking import value_counts
 from granary.schema import CATEGORICAL_FIELDS, NUMERIC_FIELDS, REQUIRED_FIELDS
-from granary.session import materialize
 
 # Thresholds of the checks.
 MIN_ROWS = 50
@@ -142,7 +142,7 @@ def scalar_issues(df: DataFrame, as_of) -> DataFrame:
     return counts.select(F.inline(F.filter(F.array(*issues), lambda x: x.isNotNull())))
 
 
-def outlier_bounds(df: DataFrame, **bucketing) -> DataFrame:
+def outlier_bounds(df: DataFrame) -> DataFrame:
     """Quartiles, fences and the number of rows outside them, per numeric field."""
     typed = typed_columns(df)
     pairs = F.array(
@@ -152,17 +152,14 @@ def outlier_bounds(df: DataFrame, **bucketing) -> DataFrame:
             if f in df.columns
         ]
     )
-    counts = materialize(value_counts(typed.select(F.inline(pairs)), "value", ["field"]))
-    quartiles = quantiles_of_counts(
-        counts, "value", {"q1": 0.25, "q3": 0.75}, ["field"], **bucketing
-    )
+    values = typed.select(F.inline(pairs)).where(F.col("value").isNotNull())
     # One row per numeric field, four at most.
-    limits = F.broadcast(fences(quartiles))
+    limits = F.broadcast(fences(field_quantiles(values, {"q1": 0.25, "q3": 0.75})))
     outside = ~F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
     return (
-        counts.join(limits, "field")
+        values.join(limits, "field")
         .groupBy("field", "q1", "q3", "lower_fence", "upper_fence", "n")
-        .agg(F.coalesce(F.sum(F.when(outside, F.col("copies"))), F.lit(0)).alias("outliers"))
+        .agg(F.count_if(outside).alias("outliers"))
     )
 
 
@@ -193,15 +190,13 @@ def _position(base: int, fields: list[str]) -> Column:
     )
 
 
-def validation_issues(
-    df: DataFrame, as_of: Column | None = None, **bucketing
-) -> DataFrame:
+def validation_issues(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     """All checks as issue rows, numbered in their fixed order.
 
     `as_of` is what counts as now (default: the current time). The table is valid
     when no issue is an error.
     """
-    outliers = outlier_bounds(df, **bucketing).where(F.col("outliers") > 0).select(
+    outliers = outlier_bounds(df).where(F.col("outliers") > 0).select(
         _position(16, NUMERIC_FIELDS).alias("position"),
         F.concat("field", F.lit("_outliers")).alias("check_name"),
         F.lit("warning").alias("severity"),

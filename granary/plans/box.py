@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.plans.lookup import join_lookup
+from granary.plans.radix import field_quantiles
 from granary.plans.ranking import quantiles_of_counts, value_counts
 from granary.session import materialize
 
@@ -30,6 +31,35 @@ def fences(quartiles: DataFrame) -> DataFrame:
     )
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def field_box(values: DataFrame) -> DataFrame:
+    """Box-plot numbers per field, for rows (field, value) of a few fields.
+
+    Quartiles by radix selection, then one pass against the fences; nothing is
+    sorted or written.
+    """
+    # One row per field, four at most.
+    limits = F.broadcast(fences(field_quantiles(values, QUARTILES)))
+    inside = F.col("value").between(F.col("lower_fence"), F.col("upper_fence"))
+    return (
+        values.join(limits, "field")
+        .groupBy("field", *QUARTILES, "n", "lower_fence", "upper_fence")
+        .agg(*_extremes(inside, F.lit(1)))
+    )
+
+
+def _extremes(inside: Column, copies: Column) -> list[Column]:
+    return [
+        F.min("value").alias("minimum"),
+        F.max("value").alias("maximum"),
+        F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
+        F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),
+        F.coalesce(F.sum(F.when(~inside, copies)), F.lit(0)).alias("outliers"),
+    ]
+
+
 def box_numbers(values: DataFrame, keys: Sequence[str], **bucketing) -> DataFrame:
     """Quartiles with whiskers and the number of outliers, per key.
 
@@ -38,7 +68,7 @@ def box_numbers(values: DataFrame, keys: Sequence[str], **bucketing) -> DataFram
     keys = list(keys)
     counts = materialize(value_counts(values, "value", keys))
     quartiles = quantiles_of_counts(
-        counts, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, **bucketing
+        counts, "value", QUARTILES, keys, **bucketing
     )
     limits = materialize(fences(quartiles))
     total = limits.agg(F.sum("n")).scalar()
@@ -47,12 +77,6 @@ def box_numbers(values: DataFrame, keys: Sequence[str], **bucketing) -> DataFram
     extremes = (
         join_lookup(counts, lookup, keys, "n", "total")
         .groupBy(*keys)
-        .agg(
-            F.min("value").alias("minimum"),
-            F.max("value").alias("maximum"),
-            F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
-            F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),
-            F.coalesce(F.sum(F.when(~inside, F.col("copies"))), F.lit(0)).alias("outliers"),
-        )
+        .agg(*_extremes(inside, F.col("copies")))
     )
     return limits.join(extremes, keys)

@@ -2,8 +2,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from granary.functions.autoregression import arima_one
+from granary.functions import autoregression as ar
 from granary.functions.seasonal import seasonal_strength
+from granary.functions import smoothing
 from granary.functions.smoothing import smooth
 from granary.operators import elasticity, forecasting as fc, seasonality
 from tests.conftest import rows_by
@@ -97,6 +98,113 @@ def test_smoothing_does_not_depend_on_the_batch():
         assert smooth([y], [p], 14)[0] == pytest.approx(f)
 
 
+def arima_one(y, period, horizon):
+    return ar.arima_many([y], [period], horizon)[0]
+
+
+def plain_arma(w, constant, season, horizon):
+    """One series, one order after another, each by a least squares solver over its rows."""
+    n, scale = len(w), w.std()
+    w = w / scale
+    lags = sorted({*range(1, ar.long_order(n) + 1), *([season, season + 1] if season else [])})
+    start = lags[-1]
+    x = np.array([[1, *(w[t - k] for k in lags)] for t in range(start, n)])
+    noise = np.zeros(n)
+    noise[start:] = w[start:] - x @ np.linalg.lstsq(x, w[start:], rcond=None)[0]
+    lags = [1, 2] + ([season] if season else [])
+    start += lags[-1]
+    best = (np.inf,)
+    for p in range(3):
+        for q in range(3):
+            for sp in range(2 if season else 1):
+                for sq in range(2 if season else 1):
+                    own = [1, 2][:p] + [season] * sp
+                    of_noise = [1, 2][:q] + [season] * sq
+                    rows = [
+                        [1] * constant + [w[t - k] for k in own] + [noise[t - k] for k in of_noise]
+                        for t in range(start, n)
+                    ]
+                    x = np.array(rows).reshape(n - start, -1)
+                    b = np.linalg.lstsq(x, w[start:], rcond=None)[0] if x.size else np.zeros(0)
+                    phi = dict(zip(own, b[constant:]))
+                    theta = dict(zip(of_noise, b[constant + len(own) :]))
+                    roots = []
+                    for terms, sign in ((phi, -1), (theta, 1)):
+                        if terms:
+                            roots += [abs(z) for z in np.roots([sign * terms.get(k, 0) for k in range(max(terms), 0, -1)] + [1])]
+                    if roots and min(roots) <= 1:
+                        continue
+                    size, k = n - start, len(b) + 1
+                    rss = ((w[start:] - x @ b) ** 2).sum() if len(b) else (w[start:] ** 2).sum()
+                    score = size * np.log(max(rss / size, 1e-12)) + 2 * k + 2 * k * (k + 1) / max(size - k - 1, 1)
+                    if score < best[0]:
+                        best = (score, b[0] if constant else 0, phi, theta)
+    _, c, phi, theta = best
+    w, noise = list(w), list(noise)
+    for _ in range(horizon):
+        w.append(c + sum(f * w[-k] for k, f in phi.items()) + sum(f * noise[-k] for k, f in theta.items()))
+        noise.append(0.0)
+    return np.array(w[n:]) * scale
+
+
+def test_batched_arma_against_a_solver_per_series():
+    rng = np.random.default_rng(12)
+    series, seasons = [], []
+    for n in (60, 75, 120, 120, 200, 333):
+        e = rng.normal(size=n + 50)
+        x = np.zeros(n + 50)
+        for t in range(10, n + 50):
+            x[t] = 0.4 * x[t - 1] + 0.45 * x[t - 7] + e[t] + 0.3 * e[t - 1]
+        series += [x[50:] * 20 + 5, e[50:]]
+        seasons += [7, None]
+    for constant in (True, False):
+        together = ar.forecast_stationary(series, [constant] * 12, seasons, 10)
+        for w, m, f in zip(series, seasons, together):
+            assert f == pytest.approx(plain_arma(w, constant, ar.seasonal_terms(len(w), m), 10), rel=1e-6, abs=1e-6)
+    assert ar.seasonal_terms(30, 7) is None and ar.seasonal_terms(60, 7) == 7
+    order = rng.permutation(12)
+    again = ar.forecast_stationary([series[i] for i in order], [False] * 12, [seasons[i] for i in order], 10)
+    for i, f in zip(order, again):
+        assert f == pytest.approx(together[i])
+
+
+def test_seasonal_terms_are_used():
+    rng = np.random.default_rng(2)
+    x = np.zeros(900)
+    for t in range(7, 900):
+        x[t] = 0.9 * x[t - 7] + rng.normal()
+    train, test = x[200:886], x[886:]
+    with_terms, without = (np.abs(ar.forecast_stationary([train], [True], [m], 14)[0] - test).mean() for m in (7, None))
+    assert with_terms < 0.8 * without
+
+
+def test_difference_and_roots():
+    rng = np.random.default_rng(4)
+    walk = np.cumsum(rng.normal(size=(20, 150)), axis=1)
+    series = [*walk, *rng.normal(size=(20, 90)), np.full(30, 2.0)]
+    need = ar.needs_difference(series)
+    assert need[:20].mean() > 0.8 and need[20:40].mean() < 0.2 and not need[40]
+    assert [ar.needs_difference([x])[0] for x in series] == need.tolist()
+    c = rng.normal(0, 0.5, (300, 8)) * (rng.random((300, 8)) < 0.4)
+    for row, sound in zip(c, ar.stationary(c)):
+        roots = np.roots([*(-row[::-1]), 1])
+        assert sound == (not len(roots) or np.abs(roots).min() > 1)
+
+
+def test_smoothing_never_above_the_grid():
+    rng = np.random.default_rng(6)
+    rows = [rng.gamma(3, 10, n) + np.arange(n) / k + 10 for n, k in ((40, 1), (90, 3), (200, 9), (90, 50))]
+    better = 0
+    for period in (None, 7):
+        for multiplicative in (False, True):
+            block = smoothing._Block(rows, period, multiplicative)
+            _, found = block.fit()
+            on_grid = block.run(smoothing._grid(period is not None)[:, None, :])[0].min(axis=1)
+            assert (found <= on_grid).all()
+            better += (found < on_grid * 0.999).sum()
+    assert better > 8
+
+
 def test_arima():
     rng = np.random.default_rng(9)
     x = np.zeros(600)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.plans.box import box_numbers
 from granary.plans.lookup import join_lookup
+from granary.plans.radix import field_quantiles, ordered_bits
 from granary.plans.ranking import exact_quantiles, with_running_totals
 from granary.plans.series import product_series, total_series
 from tests.conftest import rows_by
@@ -56,6 +57,65 @@ def test_quantiles_are_exact_for_a_hot_group(spark, rows_per_bucket):
         assert found[k]["n"] == len(vs)
 
 
+SPECIAL = [
+    0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, np.nextafter(2.0**-1022, 0), 1.0, np.nextafter(1.0, 0), np.nextafter(1.0, 2),
+    2.0**1023, np.finfo(float).max, -np.finfo(float).max, float("inf"), float("-inf"), 1e300, -1e-300, 3.0, 2.0**52 + 1,
+]
+
+
+def test_bits_are_in_the_order_of_doubles(spark):
+    rng = np.random.default_rng(5)
+    values = [float(v) for v in SPECIAL]
+    values += [float(m * 2.0**e) for m, e in zip(rng.uniform(-2, 2, 3000), rng.integers(-1074, 1023, 3000))]
+    values += [float(2.0**e) for e in range(-1074, 1024)] + [float(np.nextafter(2.0**e, 0)) for e in range(-1070, 1024)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("bits", ordered_bits(F.col("v")))
+    rows = sorted((r["v"], r["bits"]) for r in df.collect())
+    want = np.array([v for v, _ in rows]).view(np.int64)
+    want = np.where(want < 0, -(want & 0x7FFF_FFFF_FFFF_FFFF), want)
+    assert [b for _, b in rows] == want.tolist()
+    last = spark.createDataFrame([(float("nan"),)], "v double").select(ordered_bits(F.col("v"))).first()[0]
+    assert last > max(want)
+
+
+def test_radix_quantiles(spark):
+    rng = np.random.default_rng(7)
+    groups = {
+        "close": 1e9 + rng.normal(0, 1e-6, 500), "wide": rng.normal(size=777) * 10.0 ** rng.integers(-300, 300, 777),
+        "ties": rng.integers(-3, 4, 1000).astype(float), "one": np.array([3.5]), "zeros": np.array([0.0, -0.0, 0.0]),
+        "odd": np.array([v for v in SPECIAL if np.isfinite(v)]), "two": np.array([-2.5, 7.0]),
+    }
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None), ("one", None)]
+    df = spark.createDataFrame(rows, "field string, value double")
+    shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.75, "e": 1.0}
+    found = rows_by(field_quantiles(df, shares), "field")
+    assert set(found) == set(groups)
+    for k, vs in groups.items():
+        x = np.sort(vs)
+        for name, p in shares.items():
+            at = (len(x) - 1) * p
+            low, high = x[int(at)], x[min(int(at) + 1, len(x) - 1)]
+            assert found[k][name] == low + (high - low) * (at - int(at))
+        assert found[k]["n"] == len(vs)
+    assert field_quantiles(df.where("false"), shares).collect() == []
+    endless = spark.createDataFrame([("x", float("inf")), ("x", 1.0), ("x", float("inf"))], "field string, value double")
+    assert field_quantiles(endless, {"m": 0.5}).first()["m"] == float("inf")
+
+
+def test_nothing_is_sorted_or_written_for_fields(spark, make_sales, monkeypatch):
+    from granary.operators import eda, statistics, validation
+    from granary import session
+
+    sales = make_sales(date=["2024-01-01"] * 9, product_id=list("abcabcabc"), quantity_sold=[1, 2, 3, 4, 5, 6, 7, 8, 900])
+    before = len(session._written)
+    frames = [eda.distribution_summary(sales), statistics.descriptive_stats(sales), validation.outlier_bounds(sales.df)]
+    for df in frames:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Window" not in plan
+    box = frames[0].first()
+    assert (box["median"], box["outliers"], box["upper_whisker"]) == (5, 1, 8)
+    assert len(session._written) == before
+
+
 def test_box_numbers(spark):
     rows = [("x", v) for v in [1.0, 2.0, 3.0, 4.0, 100.0]]
     out = box_numbers(spark.createDataFrame(rows, "field string, value double"), ["field"]).first()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.functions.shapiro import inverse_normal, p_of_w
+from granary.functions import tails
 from granary.functions.tails import exact_rank_sum, rank_sum_p, t_two_sided
 from granary.operators import statistics as st
 from tests.conftest import rows_by
@@ -142,7 +143,7 @@ def test_perfect_correlation(make_sales):
 
 
 def test_descriptive(noisy, noisy_sales):
-    out = rows_by(st.descriptive_stats(noisy_sales, rows_per_bucket=50), "field")
+    out = rows_by(st.descriptive_stats(noisy_sales), "field")
     for f in ("quantity_sold", "unit_price", "current_stock"):
         x = noisy[f].dropna()
         assert out[f]["median"] == pytest.approx(x.median())
@@ -176,16 +177,42 @@ def test_rank_test_edge_cases(make_sales):
     assert st.group_tests(one).count() == 0
 
 
-def test_rank_test_method(make_sales):
-    n = 24
-    sales = make_sales(
-        date=["2024-01-01"] * n, product_id=["p"] * n, category=["x"] * 12 + ["y"] * 12, quantity_sold=[3.5 * i % 41 for i in range(n)]
-    )
-    auto, exact, normal = (st.compare_groups(sales, "category", "x", "y", method=m).first() for m in ("auto", "exact", "normal"))
-    assert (auto["method"], exact["method"], normal["method"]) == ("normal", "exact", "normal")
-    assert auto["p_value"] == normal["p_value"] != exact["p_value"] == pytest.approx(auto["p_value"], abs=0.02)
+def test_exact_tail_against_all_arrangements():
+    for n_a, n_b in ((2, 2), (3, 4), (1, 9), (5, 6), (8, 3)):
+        us = [sum(c) - n_a * (n_a - 1) // 2 for c in itertools.combinations(range(n_a + n_b), n_a)]
+        small, large = sorted((n_a, n_b))
+        for u in range(n_a * n_b + 1):
+            assert tails.rank_sum_tail_exact(u, small, large) == pytest.approx(np.mean(np.array(us) <= u), abs=1e-14)
+
+
+def test_exact_tail_at_any_size():
+    # One value among n others has a uniform U; of two, P(U <= u) is known in closed form.
+    n = 10**9
+    assert tails.rank_sum_tail_exact(n // 4, 1, n) == pytest.approx(0.25, rel=1e-8)
+    assert tails.rank_sum_tail_exact(2 * n, 2, n) == 1
+    assert tails.rank_sum_tail_exact(4 * n - 1, 8, n) + tails.rank_sum_tail_exact(4 * n, 8, n) == pytest.approx(1, abs=1e-14)
+    # By a table of counts, one factor of the Gaussian binomial at a time.
+    m, n = 7, 3_000
+    ways = np.zeros(m * n + 1)
+    ways[0] = 1
+    for k in range(1, m + 1):
+        grown = ways.copy()
+        grown[n + k :] -= ways[: max(0, len(ways) - n - k)]
+        for start in range(k):
+            grown[start::k] = np.cumsum(grown[start::k])
+        ways = grown
+    for u in (0, 400, 6_000, 10_500):
+        assert tails.rank_sum_tail_exact(u, m, n) == pytest.approx(ways[: u + 1].sum() / ways.sum(), rel=1e-6)
+
+
+def test_one_rule_for_the_rank_test():
+    # Just above a size at which the method used to change, exact and normal differ visibly in the tail.
+    u, n_a, n_b = 40_000.0, 8, 250_001
+    exact, normal = tails.rank_sum_p(u, n_a, n_b, 0.0), tails.rank_sum_p(u, n_a, n_b, 6.0)
+    assert tails.is_exact(n_a, n_b, 0.0) and not tails.is_exact(n_a, n_b, 6.0) and not tails.is_exact(9, 9, 0.0)
+    assert exact == tails.exact_rank_sum(u, n_a, n_b) < normal / 2
     with pytest.raises(ValueError):
-        rank_sum_p(3.0, 4, 4, 6.0, "exact")
+        tails.exact_rank_sum(30.0, 9, 9)
 
 
 def test_histogram_and_bundle(noisy_sales):

@@ -148,7 +148,7 @@ on_sales(
     ),
     u_statistic=1,
 )
-on_sales("group_tests", statistics.group_tests)
+on_sales("group_tests", statistics.group_tests, u_statistic=1)
 on_sales("normality", lambda x: statistics.normality(x).drop("p_value"))
 on_sales("normality_p_values", statistics.normality)
 on_sales("histogram", statistics.histogram, views.events_sales)
