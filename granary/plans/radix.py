@@ -3,8 +3,9 @@
 A double becomes a whole number of the same order, read in four digits of 16 bits.
 Each pass counts the digits of the rows that share the digits found so far, at most
 65,536 counts for each place looked for, and goes on with the digit that holds the
-place. A digit whose rows all have one value ends the search, so small integers take
-two passes and any table takes four at most. All places of all fields share the passes.
+place. Its least and greatest value tell its rows apart, so later passes convert no
+others. A digit whose rows all have one value ends the search: small integers take two
+passes, any table takes four at most. All places of all fields share the passes.
 """
 
 from __future__ import annotations
@@ -19,25 +20,34 @@ DIGIT = 16
 DIGITS = 64 // DIGIT
 # The layout of a double.
 FRACTION_BITS, BIAS = 52, 1023
-SMALLEST, SMALLEST_NORMAL = 5e-324, 2.0**-1022
-
-
-def ordered_bits(value: Column) -> Column:
-    """A long in the order of the doubles: equal for equal values (so for both zeros), NaN last."""
-    size = F.abs(value)
-    guess = F.floor(F.log2(size)).cast("int")
-    two = F.lit(2.0)
-    guess = F.when(size < F.pow(two, guess), guess - 1).when(size >= F.pow(two, guess + 1), guess + 1).otherwise(guess)
-    guess = F.greatest(F.least(guess, F.lit(BIAS)), F.lit(1 - BIAS))
-    scale = float(1 << FRACTION_BITS)
-    normal = (guess + BIAS).cast("long") * F.lit(1 << FRACTION_BITS) + ((size / F.pow(two, guess) - 1) * scale).cast("long")
+SMALLEST, SMALLEST_NORMAL, LARGEST = 5e-324, 2.0**-1022, (2.0 - 2.0**-52) * 2.0**1023
+
+
+def with_bits(df: DataFrame, value: str = "value") -> DataFrame:
+    """Add `bits`, a long in the order of the doubles: equal for equal values (so for both zeros), NaN last.
+
+    In steps, so that each is worked out once a row.
+    """
+    size, scale = F.abs(F.col(value)), float(1 << FRACTION_BITS)
+    # Powers of two from two small arrays: 2^(64 i - 1022) and 2^j.
+    steps = F.array(*[F.lit(2.0 ** (64 * i + 1 - BIAS)) for i in range(32)])
+    units = F.array(*[F.lit(2.0**j) for j in range(64)])
+    guess = F.floor(F.log2(F.when(size.between(SMALLEST_NORMAL, LARGEST), size).otherwise(1.0))).cast("int")
+    stepped = df.withColumn("_power", F.least(guess + (BIAS - 1), F.lit(2 * BIAS - 1)))
+    part = size / F.get(steps, F.shiftright("_power", 6)) / F.get(units, F.col("_power").bitwiseAND(63))
+    stepped = stepped.withColumn("_part", part)
+    # The logarithm may be off by one just at a power of two: the part is then below 1, or is 2 and carries over.
+    low = F.col("_part") < 1
+    whole = (F.col("_power") + F.when(low, 0).otherwise(1)).cast("long") * F.lit(1 << FRACTION_BITS)
+    normal = whole + ((F.when(low, F.col("_part") * 2).otherwise(F.col("_part")) - 1) * scale).cast("long")
     bits = (
-        F.when(F.isnan(value), F.lit((1 << 63) - 1))
-        .when(size == float("inf"), F.lit((2 * BIAS + 1) << FRACTION_BITS))
+        F.when(size.between(SMALLEST_NORMAL, LARGEST), normal)
         .when(size < SMALLEST_NORMAL, (size / F.lit(SMALLEST)).cast("long"))
-        .otherwise(normal)
+        .when(F.isnan(value), F.lit((1 << 63) - 1))
+        .otherwise(F.lit((2 * BIAS + 1) << FRACTION_BITS))
     )
-    return F.when(value < 0, -bits).otherwise(bits)
+    stepped = stepped.withColumn("_size", bits).drop("_power", "_part")
+    return stepped.withColumn("bits", F.when(F.col(value) < 0, -F.col("_size")).otherwise(F.col("_size"))).drop("_size")
 
 
 def _digit(bits: Column, k: int) -> Column:
@@ -58,25 +68,23 @@ def field_quantiles(
     spark = values.sparkSession
     names, shares = list(probabilities), [float(p) for p in probabilities.values()]
     rows = values.where(F.col(value).isNotNull()).select(F.col(field).alias("field"), F.col(value).alias("value"))
-    rows = rows.withColumn("bits", ordered_bits(F.col("value")))
     found: dict[tuple, float] = {}
     counts: dict = {}
 
     def settle(chosen: list) -> dict[tuple, dict]:
-        """Keep what is found; the others by what their rows have in common."""
+        """Keep what is found; the others by field and range of values."""
         open_ = {}
         for r in chosen:
             if r["one_value"]:
                 found[(r["field"], r["place"])] = r["least"]
             else:
-                prefix = (r["field"], *r["digits"])
-                open_.setdefault(prefix, {})[r["place"]] = r["rest"]
+                open_.setdefault((r["field"], r["least"], r["most"]), {})[r["place"]] = r["rest"]
         return open_
 
     # The first pass also gives the number of values, on which the places depend.
     per_field = Window.partitionBy("field")
     earlier = per_field.orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy("field", _digit(F.col("bits"), 0).alias("digit")).agg(*_of_digit())
+    first = with_bits(rows).groupBy("field", _digit(F.col("bits"), 0).alias("digit")).agg(*_of_digit())
     first = first.withColumns({"before": F.coalesce(F.sum("rows").over(earlier), F.lit(0)), "n": F.sum("rows").over(per_field)})
     places = F.array(
         *[
@@ -90,8 +98,8 @@ def field_quantiles(
     )
     chosen = first.select("*", F.inline(places)).where(_holds("rank"))
     chosen = chosen.select(
-        "field", "place", "n", (F.col("rank") - F.col("before")).alias("rest"), F.array("digit").alias("digits"),
-        (F.col("least") == F.col("most")).alias("one_value"), "least",
+        "field", "place", "n", (F.col("rank") - F.col("before")).alias("rest"),
+        (F.col("least") == F.col("most")).alias("one_value"), "least", "most",
     ).collect()
     counts = {r["field"]: r["n"] for r in chosen}
     open_ = settle(chosen)
@@ -99,33 +107,28 @@ def field_quantiles(
     for k in range(1, DIGITS):
         if not open_:
             break
-        prefixes = list(open_)
+        ranges = list(open_)
         match = reduce(
-            lambda case, i: case.when(_shares(prefixes[i]), i), range(1, len(prefixes)), F.when(_shares(prefixes[0]), 0)
+            lambda case, i: case.when(_within(*ranges[i]), i), range(1, len(ranges)), F.when(_within(*ranges[0]), 0)
         )
         part = rows.withColumn("part", match).where("part is not null")
-        part = part.groupBy("part", _digit(F.col("bits"), k).alias("digit")).agg(*_of_digit())
+        part = with_bits(part).groupBy("part", _digit(F.col("bits"), k).alias("digit")).agg(*_of_digit())
         earlier = Window.partitionBy("part").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
         part = part.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-        # Two places for each probability and prefix at most.
+        # Two places for each probability and range at most.
         ranks = F.create_map(
             *[
                 x
-                for i, prefix in enumerate(prefixes)
-                for x in (F.lit(i), F.array(*[F.struct(F.lit(p).alias("place"), F.lit(r).alias("rank")) for p, r in open_[prefix].items()]))
+                for i, key in enumerate(ranges)
+                for x in (F.lit(i), F.array(*[F.struct(F.lit(p).alias("place"), F.lit(r).alias("rank")) for p, r in open_[key].items()]))
             ]
         )
         chosen = part.select("*", F.inline(F.element_at(ranks, F.col("part")))).where(_holds("rank"))
         chosen = chosen.select(
-            "part", "place", (F.col("rank") - F.col("before")).alias("rest"), "digit",
-            (F.col("least") == F.col("most")).alias("one_value"), "least",
+            "part", "place", (F.col("rank") - F.col("before")).alias("rest"),
+            (F.col("least") == F.col("most")).alias("one_value"), "least", "most",
         ).collect()
-        open_ = settle(
-            [
-                r.asDict() | {"field": prefixes[r["part"]][0], "digits": [*prefixes[r["part"]][1:], r["digit"]]}
-                for r in chosen
-            ]
-        )
+        open_ = settle([r.asDict() | {"field": ranges[r["part"]][0]} for r in chosen])
 
     out = []
     for f, n in counts.items():
@@ -146,10 +149,5 @@ def _holds(rank: str) -> Column:
     return (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("rows"))
 
 
-def _shares(prefix: tuple) -> Column:
-    """Whether a row is of the field and has the digits."""
-    name, *digits = prefix
-    key = digits[0]
-    for d in digits[1:]:
-        key = (key << DIGIT) | d
-    return (F.col("field") == name) & (F.shiftright("bits", 64 - DIGIT * len(digits)) == F.lit(key))
+def _within(field: str, least: float, most: float) -> Column:
+    return (F.col("field") == field) & F.col("value").between(least, most)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.plans.box import box_numbers
 from granary.plans.lookup import join_lookup
-from granary.plans.radix import field_quantiles, ordered_bits
+from granary.plans.radix import field_quantiles, with_bits
 from granary.plans.ranking import exact_quantiles, with_running_totals
 from granary.plans.series import product_series, total_series
 from tests.conftest import rows_by
@@ -68,12 +68,12 @@ def test_bits_are_in_the_order_of_doubles(spark):
     values = [float(v) for v in SPECIAL]
     values += [float(m * 2.0**e) for m, e in zip(rng.uniform(-2, 2, 3000), rng.integers(-1074, 1023, 3000))]
     values += [float(2.0**e) for e in range(-1074, 1024)] + [float(np.nextafter(2.0**e, 0)) for e in range(-1070, 1024)]
-    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("bits", ordered_bits(F.col("v")))
+    df = with_bits(spark.createDataFrame([(v,) for v in values], "v double"), "v")
     rows = sorted((r["v"], r["bits"]) for r in df.collect())
     want = np.array([v for v, _ in rows]).view(np.int64)
     want = np.where(want < 0, -(want & 0x7FFF_FFFF_FFFF_FFFF), want)
     assert [b for _, b in rows] == want.tolist()
-    last = spark.createDataFrame([(float("nan"),)], "v double").select(ordered_bits(F.col("v"))).first()[0]
+    last = with_bits(spark.createDataFrame([(float("nan"),)], "v double"), "v").first()["bits"]
     assert last > max(want)
 
 
