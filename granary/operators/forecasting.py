@@ -11,6 +11,8 @@ from granary.functions.smoothing import ets
 from granary.operators.seasonality import first_seasonal
 from granary.plans.series import product_series
 from granary.schema import Sales
+from granary.session import checkpoint_folder
+from granary.sources.results import ResultStore, group_fingerprints
 
 # Days to forecast, days held out, days in the moving average.
 HORIZON = 14
@@ -150,6 +152,23 @@ def forecasts(sales: Sales, horizon: int = HORIZON) -> DataFrame:
     )
 
 
+def stored_forecasts(sales: Sales, store: ResultStore | None = None, horizon: int = HORIZON) -> DataFrame:
+    """`forecasts`, of which only products whose rows changed since the last call are fitted.
+
+    What a product's forecast depends on is its dates and quantities; their print is
+    stored with it. Without a `store`, results lie beside the session's tables.
+    """
+    store = store or ResultStore(f"{checkpoint_folder(sales.df.sparkSession)}/granary-results")
+    keyed = sales.keyed()
+    prints = group_fingerprints(keyed, "product_id", ["date", "quantity_sold"])
+
+    def build(changed: DataFrame) -> DataFrame:
+        return forecasts(Sales(keyed.join(changed, "product_id", "left_semi")), horizon)
+
+    made_by = {"horizon": horizon, "hold_out": HOLD_OUT, "models": MODELS}
+    return store.rows("forecasts", prints, "product_id", build, **made_by)
+
+
 def forecast_summary(fitted: DataFrame) -> DataFrame:
     return fitted.select("product_id", "technique_used", "test_mae", "all_scores", "error")
 

@@ -7,6 +7,7 @@ from granary.functions.seasonal import seasonal_strength
 from granary.functions import smoothing
 from granary.functions.smoothing import smooth
 from granary.operators import elasticity, forecasting as fc, seasonality
+from granary.sources.results import ResultStore
 from tests.conftest import rows_by
 
 
@@ -79,6 +80,36 @@ def test_selection(mixed):
     assert errors["week"]["naive_mae"] == 0
 
 
+def test_only_changed_products_are_fitted_again(spark, make_sales, tmp_path):
+    rng = np.random.default_rng(77)
+    days = list(pd.date_range("2021-01-04", periods=40))
+    demand = {p: rng.integers(1, 30, 40).tolist() for p in "abcd"}
+
+    def table(changed=(), order=1):
+        rows = [(p, d, q) for p, qs in (demand | dict(changed)).items() for d, q in zip(days, qs)][::order]
+        return make_sales(product_id=[r[0] for r in rows], date=[r[1] for r in rows], quantity_sold=[r[2] for r in rows])
+
+    store = ResultStore(str(tmp_path))
+    kept = lambda: spark.read.parquet(store.path("forecasts", "by-product_id", horizon=14, hold_out=14, models=fc.MODELS))
+    first = rows_by(fc.stored_forecasts(table(), store), "product_id")
+    assert first == rows_by(fc.forecasts(table()), "product_id") and kept().count() == 4
+    # The same rows in another order: nothing is fitted.
+    assert rows_by(fc.stored_forecasts(table(order=-1), store), "product_id") == first and kept().count() == 4
+    # One product sold more on one day, one is new: two are fitted.
+    more = {"b": [9, *demand["b"][1:]], "e": demand["a"]}
+    again = rows_by(fc.stored_forecasts(table(more), store), "product_id")
+    assert kept().count() == 6 and set(again) == set("abcde")
+    assert {p: again[p] for p in "acd"} == {p: first[p] for p in "acd"}
+    assert again == rows_by(fc.forecasts(table(more)), "product_id")
+    # What was there before is still known, without the product that came later.
+    assert rows_by(fc.stored_forecasts(table(), store), "product_id") == first and kept().count() == 6
+    # A damaged file costs its products a new fit, no more.
+    for part in tmp_path.rglob("part-*.parquet"):
+        part.write_bytes(b"PAR1 damaged")
+    assert rows_by(fc.stored_forecasts(table(), store), "product_id") == first
+    assert fc.stored_forecasts(table(), store, horizon=3).first()["forecast"].__len__() == 3
+
+
 def test_smoothing_is_exact_on_lines_and_cycles():
     line = 3 + 0.5 * np.arange(40)
     cycle = np.tile([1.0, 5.0, 2.0, 8.0, 3.0, 9.0, 4.0], 8)

@@ -12,7 +12,7 @@ from granary.sources.readers import (
     load_summary,
     read_source,
 )
-from granary.sources.results import ResultStore, fingerprint
+from granary.sources.results import ResultStore, fingerprint, group_fingerprints
 
 ROWS = [("A1", "5", "2024-01-01"), ("A2", "7", "2024-01-02"), ("A3", "9", "2024-01-03")]
 
@@ -76,6 +76,16 @@ def test_fingerprint_ignores_order_but_not_copies(spark):
     assert len({fingerprint(x) for x in (left, right, named, wide)}) == 4
 
 
+def test_fingerprint_of_odd_names_and_of_groups(spark):
+    odd = spark.createDataFrame([(1, 2), (3, 4)], "`Price.` int, `a``b c` int")
+    assert fingerprint(odd) == fingerprint(odd.repartition(2)) != fingerprint(odd.limit(1))
+    rows = [("x", 1), ("x", 1), ("y", 1), ("y", None), (None, 1)]
+    prints = {r[0]: r[1] for r in group_fingerprints(spark.createDataFrame(rows, "k string, v int"), "k", ["v"]).collect()}
+    assert len(prints) == len(set(prints.values())) == 3
+    other = group_fingerprints(spark.createDataFrame(rows[::-1] + [("z", 9)], "k string, v int"), "k", ["v"])
+    assert prints.items() < {r[0]: r[1] for r in other.collect()}.items()
+
+
 def test_fingerprint_does_not_depend_on_partitions(make_sales):
     sales = make_sales(date=["2024-01-01"] * 50, product_id=[str(i) for i in range(50)], quantity_sold=[1] * 50)
     rows = sales.df.drop("_ord")
@@ -99,6 +109,11 @@ def test_store_builds_once_and_again_when_unreadable(spark, tmp_path):
     assert len(calls) == 2
     assert store.table("t", "k", source, build, depth=4).count() == 3
     assert len(calls) == 3
+    for part in (tmp_path / "t" / "fingerprint=k").rglob("part-*.parquet"):
+        data = part.read_bytes()
+        part.write_bytes(data[:4] + bytes(40) + data[44:])  # the pages, not the footer
+    assert store.table("t", "k", source, build).count() == 3
+    assert len(calls) == 4
 
 
 def test_apply_mapping(spark):

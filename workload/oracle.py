@@ -911,6 +911,16 @@ points AS (SELECT g.k, h, m, coalesce(d.x, week) AS y
            FROM grid g LEFT JOIN (SELECT k, i, x FROM dense) d ON d.k = g.k AND d.i = back)"""
 
 
+sql(
+    "stored_forecasts",
+    dense("product_id")
+    + CHOSEN
+    + naive_points(14)
+    + """
+SELECT points.k AS product_id, round(avg(abs(x - y)), 6) AS naive_mae, true AS is_least, 14 AS days
+FROM points JOIN dense ON dense.k = points.k AND dense.i = m + h - 1 GROUP BY points.k""",
+    base=BRAND_SQL,
+)
 sql(
     "backtest_mae",
     dense("product_id")

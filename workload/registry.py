@@ -180,6 +180,18 @@ on_sales("backtest_mae", forecasting.backtest_naive)
 on_sales("forecast_naive", lambda x: forecasting.forecast_points(forecasting.naive_forecasts(x)))
 on_sales("model_selection", lambda x: forecasting.model_selection(x).drop("series"), views.sales_brand)
 on_sales("forecast_summary", lambda x: forecasting.forecast_summary(forecasting.forecasts(x)), views.sales_brand)
+def _choices(x: Sales):
+    """What a stored forecast must hold whatever the models say: the baseline's error, the least as winner."""
+    fitted = forecasting.stored_forecasts(x).where("error IS NULL")
+    least = F.array_min(F.map_values("all_scores"))
+    return fitted.select(
+        "product_id", F.col("all_scores")["naive"].alias("naive_mae"),
+        ((F.col("test_mae") == least) & (F.col("all_scores")[F.col("technique_used")] == least)).alias("is_least"),
+        F.size("forecast").alias("days"),
+    )
+
+
+on_sales("stored_forecasts", _choices, views.sales_brand)
 on_sales("forecast_points", lambda x: forecasting.forecast_points(forecasting.forecasts(x)), views.sales_brand)
 on_sales("forecast_summary_products", lambda x: forecasting.forecast_summary(forecasting.forecasts(x)))
 WHAT_IF_CHANGES = [-50, -20, -10, -5, 5, 10, 20, 50]
