@@ -54,6 +54,7 @@ ALIASES = {
         "delivery_time", "days_to_deliver",
     ],
 }
+# The least score of a suggestion, and how close a rival is.
 THRESHOLD = 75.0
 AMBIGUITY_MARGIN = 5.0
 FIELD_NAMES = [name for name, _, _, _ in CANONICAL_FIELDS]
@@ -80,51 +81,50 @@ def normalize_name(c: Column) -> Column:
     return F.regexp_replace(joined, r"[^\w]", "")
 
 
-def _common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two texts.
+def _alias_table() -> Column:
+    """All (field, alias) with, for each letter of the alias, one bit per place where it stands.
 
-    One table row per character of `a`, as a fold that carries the row so far.
+    One literal: an alias has up to 62 letters, so its places fit one long.
+    """
+    rows = []
+    for f in FIELD_NAMES:
+        for alias in dict.fromkeys([f, *ALIASES[f]]):
+            places = {c: sum(1 << i for i, x in enumerate(alias) if x == c) for c in alias}
+            letters = ", ".join(f"'{c}', {m}L" for c, m in places.items())
+            rows.append(
+                f"named_struct('field', '{f}', 'size', {len(alias)}, "
+                f"'full', {(1 << len(alias)) - 1}L, 'places', map({letters}))"
+            )
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _common_subsequence(name: Column, places: Column, full: Column, size: Column) -> Column:
+    """Length of the longest common subsequence of a name and an alias given by its places.
+
+    A row of the usual table differs from place to place by 0 or 1; the bits of one
+    long hold where it does not, and each letter of the name turns them into the
+    next row with an addition.
     """
-    letters = F.split(b, "")
-
     def next_row(row: Column, letter: Column) -> Column:
-        def step(done: Column, i: Column) -> Column:
-            diagonal = F.get(row, i) + F.when(F.get(letters, i) == letter, 1).otherwise(0)
-            cell = F.greatest(F.element_at(done, -1), F.get(row, i + 1), diagonal)
-            return F.concat(done, F.array(cell))
-
-        return F.aggregate(
-            F.sequence(F.lit(0), F.length(b) - 1), F.array(F.lit(0)), step
-        )
+        here = F.coalesce(F.try_element_at(places, letter), F.lit(0).cast("long"))
+        kept = row.bitwiseAND(F.bitwise_not(here))
+        return (row + row.bitwiseAND(here)).bitwiseOR(kept).bitwiseAND(full)
 
-    start = F.array_repeat(F.lit(0), F.length(b) + 1)
-    rows = F.aggregate(F.split(a, ""), start, next_row)
-    return F.when(F.least(F.length(a), F.length(b)) == 0, 0).otherwise(F.element_at(rows, -1))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """0 to 100: twice the common subsequence over the joint length."""
-    both = F.length(a) + F.length(b)
-    return F.when(both == 0, 100.0).otherwise(_common_subsequence(a, b) * 200.0 / both)
+    return size - F.bit_count(F.aggregate(F.split(name, ""), full, next_row))
 
 
 def column_scores(catalogue: DataFrame) -> DataFrame:
     """Best similarity of each distinct raw column name to each field.
 
+    Similarity is 0 to 100: twice the common subsequence over the joint length.
     Names are scored once however many sources use them; the fixed alias list is
     unfolded next to each name, so nothing is joined.
     """
-    aliases = F.array(
-        *[
-            F.struct(F.lit(f).alias("field"), F.lit(alias).alias("alias"))
-            for f in FIELD_NAMES
-            for alias in dict.fromkeys([f, *ALIASES[f]])
-        ]
-    )
     names = catalogue.select("raw_column", normalize_name(F.col("raw_column")).alias("name")).distinct()
+    common = _common_subsequence(F.col("name"), F.col("places"), F.col("full"), F.col("size"))
     return (
-        names.select("raw_column", "name", F.inline(aliases))
-        .withColumn("score", similarity(F.col("name"), F.col("alias")))
+        names.select("raw_column", "name", F.inline(_alias_table()))
+        .withColumn("score", common * 200.0 / (F.length("name") + F.col("size")))
         .groupBy("raw_column", "field")
         .agg(F.max("score").alias("score"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from granary.operators import mapping
 from workload.views import HEADERS, BRAND_SQL, DIRTY_SQL, LAUNCHES_SQL, ORD_SQL, RETURNS_SQL, SALES_SQL
 
 ORACLE = {}
@@ -517,19 +518,78 @@ SELECT 'lineitem' AS source, 'parquet' AS format, count(*) AS row_count, CAST(11
     base="z AS (SELECT 1)",
 )
 _headers = ", ".join("'" + h + "'" for h in HEADERS)
-sql(
-    "normalize_names",
-    """
-SELECT source_id, position, raw_column,
-       regexp_replace(regexp_replace(lower(trim(raw_column)), '[\\s\\-]+', '_', 'g'), '[^\\w]', '', 'g') AS normalized
-FROM cat""",
-    base=f"""
+CATALOGUE_SQL = f"""
 cat AS (
   SELECT DISTINCT l_suppkey || '/' || strftime(l_shipdate, '%Y-%m') AS source_id,
          (l_partkey + l_linenumber * l_suppkey) % {len(HEADERS)} AS position,
          [{_headers}][CAST(1 + (l_partkey + l_linenumber * l_suppkey) % {len(HEADERS)} AS INTEGER)] AS raw_column
   FROM lineitem
-)""",
+)"""
+NORMALIZED = "regexp_replace(regexp_replace(lower(trim(raw_column)), '[\\s\\-]+', '_', 'g'), '[^\\w]', '', 'g')"
+sql("normalize_names", f"\nSELECT source_id, position, raw_column, {NORMALIZED} AS normalized\nFROM cat", base=CATALOGUE_SQL)
+
+_aliases = ", ".join(
+    f"({no}, '{f}', '{alias}')"
+    for no, f in enumerate(mapping.FIELD_NAMES, 1)
+    for alias in dict.fromkeys([f, *mapping.ALIASES[f]])
+)
+# The common subsequence from rows of the usual table, kept as the bits of a number.
+SCORES = f""",
+aliases(field_no, field, alias) AS (VALUES {_aliases}),
+paired AS (
+  SELECT raw_column, name, field_no, field, alias, (1::BIGINT << length(alias)) - 1 AS filled
+  FROM (SELECT DISTINCT raw_column, {NORMALIZED} AS name FROM cat), aliases
+),
+common AS (
+  SELECT *, length(alias) - bit_count(list_reduce(
+    list_prepend(filled, list_transform(string_split(name, ''), lambda c: CAST(list_sum(list_transform(
+      range(1, length(alias) + 1), lambda i: CASE WHEN alias[i] = c THEN 1::BIGINT << (i - 1) ELSE 0 END)) AS BIGINT))),
+    lambda row, here: ((row + (row & here)) | (row & ~here)) & filled)) AS n
+  FROM paired
+),
+scores AS (
+  SELECT raw_column, field_no, field, max(200.0 * n / (length(name) + length(alias))) AS score
+  FROM common GROUP BY raw_column, field_no, field
+)"""
+CLAIMS = SCORES + """,
+worth AS (SELECT source_id, position, raw_column, field_no, field, score FROM cat JOIN scores USING (raw_column)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, field_no, position) AS k
+  FROM worth WHERE score >= 75
+),
+claims AS (
+  SELECT source_id, 0::BIGINT AS k, 0::BIGINT AS fields, 0::BIGINT AS used, 0::BIGINT AS used_before, false AS taken
+  FROM cat GROUP BY source_id
+  UNION ALL
+  SELECT c.source_id, r.k,
+         CASE WHEN free THEN c.fields | (1::BIGINT << r.field_no) ELSE c.fields END,
+         CASE WHEN free THEN c.used | (1::BIGINT << r.position) ELSE c.used END, c.used, free
+  FROM claims c JOIN ranked r ON r.source_id = c.source_id AND r.k = c.k + 1,
+       LATERAL (SELECT (c.fields >> r.field_no) & 1 = 0 AND (c.used >> r.position) & 1 = 0 AS free)
+),
+won AS (SELECT r.*, c.used_before FROM claims c JOIN ranked r USING (source_id, k) WHERE taken),
+rivals AS (
+  SELECT w.source_id, w.field, o.raw_column, o.score
+  FROM won w JOIN worth o ON o.source_id = w.source_id AND o.field = w.field AND o.position <> w.position
+  WHERE w.score - o.score <= 5 AND (w.used_before >> o.position) & 1 = 0
+),
+suggested AS (
+  SELECT source_id, field, raw_column, round(score, 6) AS score,
+         (SELECT count(*) FROM rivals v WHERE v.source_id = w.source_id AND v.field = w.field) AS rivals
+  FROM won w
+)"""
+_recursive = CATALOGUE_SQL.replace("\ncat AS", "\nRECURSIVE cat AS", 1)
+sql("column_scores", SCORES + "\nSELECT raw_column, field, round(score, 6) AS score FROM scores", base=CATALOGUE_SQL)
+sql("mapping_rivals", CLAIMS + "\nSELECT source_id, field, raw_column, round(score, 6) AS score FROM rivals", base=_recursive)
+sql(
+    "suggest_mappings",
+    CLAIMS + "\nSELECT *, CASE WHEN rivals = 0 THEN 'mapped' ELSE 'ambiguous' END AS status FROM suggested",
+    base=_recursive,
+)
+sql(
+    "unmapped_columns",
+    CLAIMS + "\nSELECT * FROM cat WHERE (source_id, raw_column) NOT IN (SELECT source_id, raw_column FROM suggested)",
+    base=_recursive,
 )
 
 # --- statistics ------------------------------------------------------------
