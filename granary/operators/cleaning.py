@@ -28,18 +28,31 @@ class Cleaned:
     actions: DataFrame
 
 
+def data_gate(df: DataFrame) -> DataFrame:
+    """One row: rows, days the dates span, whether both suffice, and the reasons where not.
+
+    Without a single readable date the span is null and gives no reason of its own;
+    the rows without a date are then dropped one by one.
+    """
+    counts = scalar_counts(df).select("rows", whole_days(F.col("first"), F.col("last")).alias("days"))
+    reasons = F.filter(
+        F.array(
+            F.when(F.col("rows") < MIN_ROWS, F.format_string(f"%d rows; at least {MIN_ROWS} are needed", "rows")),
+            F.when(
+                F.col("days") < MIN_SPAN_DAYS,
+                F.format_string(f"%d days of data; at least {MIN_SPAN_DAYS} are needed", "days"),
+            ),
+        ),
+        lambda r: r.isNotNull(),
+    )
+    return counts.select("rows", "days", (F.size(reasons) == 0).alias("enough"), reasons.alias("reasons"))
+
+
 def require_enough_data(df: DataFrame) -> None:
     """Raise where the input has too few rows or too short a date range."""
-    counts = scalar_counts(df).select(
-        "rows", whole_days(F.col("first"), F.col("last")).alias("days")
-    ).first()
-    reasons = []
-    if counts["rows"] < MIN_ROWS:
-        reasons.append(f"{counts['rows']} rows; at least {MIN_ROWS} are needed")
-    if counts["days"] is not None and counts["days"] < MIN_SPAN_DAYS:
-        reasons.append(f"{counts['days']} days of data; at least {MIN_SPAN_DAYS} are needed")
-    if reasons:
-        raise InsufficientDataError(reasons)
+    gate = data_gate(df).first()
+    if not gate["enough"]:
+        raise InsufficientDataError(gate["reasons"])
 
 
 def _tagged(df: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ SELECT {TS.format('date')} AS date, product_id, quantity_sold, product_name, cat
        unit_price, unit_cost, warehouse_id, current_stock, lead_time_days
 FROM sales""",
 )
+ORACLE["mapped_sales"] = ORACLE["canonical_sales"]
 _fields = [
     ("date", True), ("product_id", True), ("quantity_sold", True), ("product_name", False),
     ("category", False), ("unit_price", False), ("unit_cost", False), ("warehouse_id", False),
@@ -461,6 +462,41 @@ for _check in (
     "dates_absurdly_old", "negative_quantity_sold", "unit_price_outliers", "warehouse_id_rare_values",
 ):
     sql(f"check_{_check}", ISSUES + f" WHERE check_name = '{_check}'", base=DIRTY_SQL)
+UNREADABLE_SQL = SALES_SQL.replace("sales AS", "base AS", 1) + """,
+sales AS (
+  SELECT l_orderkey % 5 < 3 AS unread, l_orderkey % 35 = 4 AND unit_price > 0 AS below_price,
+         l_orderkey % 21 = 2 AND unit_cost > 0 AS below_cost
+  FROM base
+)"""
+for _position, _check, _severity, _field, _when, _least in (
+    (2, "date_parseable", "error", "date", "unread", "count(*) / 2"),
+    (14, "unit_price_negative", "warning", "unit_price", "below_price", 0),
+    (15, "unit_cost_negative", "warning", "unit_cost", "below_cost", 0),
+):
+    sql(
+        f"check_{_check}",
+        f"""
+SELECT {_position} AS position, '{_check}' AS check_name, '{_severity}' AS severity, '{_field}' AS affected_field,
+       count(*) FILTER ({_when}) AS affected_row_count
+FROM sales HAVING count(*) FILTER ({_when}) > {_least}""",
+        base=UNREADABLE_SQL,
+    )
+_DAYS = "date_sub('day', min(date), max(date))"
+sql(
+    "check_minimum_date_span",
+    f"""
+SELECT 3 AS position, 'minimum_date_span' AS check_name, 'error' AS severity, 'date' AS affected_field,
+       0 AS affected_row_count
+FROM sales HAVING {_DAYS} < 30""",
+    base=EVENTS_SQL,
+)
+_GATE = f"""
+SELECT count(*) AS rows, {_DAYS} AS days, count(*) >= 50 AND {_DAYS} >= 30 AS enough,
+       concat_ws('; ', CASE WHEN count(*) < 50 THEN count(*) || ' rows; at least 50 are needed' END,
+                 CASE WHEN {_DAYS} < 30 THEN {_DAYS} || ' days of data; at least 30 are needed' END) AS reasons
+FROM sales"""
+sql("data_gate", _GATE)
+sql("data_gate_short", _GATE, base=EVENTS_SQL)
 sql(
     "outlier_bounds",
     NUM_LONG
@@ -1077,6 +1113,33 @@ full_advice AS (SELECT product_id, display_name, CAST(rule AS BIGINT) AS rule, a
 )
 ADVICE_OUT = "\nSELECT product_id, display_name, rule, action, priority FROM full_advice"
 sql("recommendations", ADVICE + ADVICE_OUT, base=RETURNS_SQL)
+_signals = {
+    1: ["days_of_inventory", "reorder_point"], 2: ["days_of_inventory", "xyz_tier"], 3: ["xyz_tier", "risk_label"],
+    4: ["days_since_last_sale", "gross_quantity_sold"], 5: ["elasticity_coefficient", "r_squared"],
+}
+_source = {
+    "days_of_inventory": "days_of_inventory", "reorder_point": "reorder", "days_since_last_sale": "days_since_last_sale",
+    "gross_quantity_sold": "gross_quantity_sold", "elasticity_coefficient": "e", "r_squared": "r2",
+    "xyz_tier": "xyz_tier", "risk_label": "risk",
+}
+_words = ("xyz_tier", "risk_label")
+sql(
+    "recommendation_signals",
+    ADVICE
+    + """,
+wide AS (SELECT a.product_id, a.rule, days_of_inventory, reorder, days_since_last_sale, gross_quantity_sold, e, r2, xyz_tier, risk
+         FROM full_advice a LEFT JOIN risks USING (product_id) LEFT JOIN buffers USING (product_id)
+         LEFT JOIN idle USING (product_id) LEFT JOIN elastic USING (product_id))"""
+    + "\nUNION ALL".join(
+        f"\nSELECT product_id, rule, '{s}' AS signal, "
+        + (f"NULL::DOUBLE AS number, {_source[s]} AS word" if s in _words else
+           f"round({_source[s]}::DOUBLE, 4) AS number, NULL::VARCHAR AS word")
+        + f" FROM wide WHERE rule = {rule}"
+        for rule, names in _signals.items()
+        for s in names
+    ),
+    base=RETURNS_SQL,
+)
 for _name, _where in {
     "rec_reorder": "rule = 1", "rec_reduce": "rule = 2", "rec_discount": "rule = 4",
     "rec_safety_stock": "rule = 3", "rec_price": "rule = 5", "recommendations_high": "priority = 'high'",

@@ -36,6 +36,11 @@ def on_sales(name: str, operator, view=views.sales, **places):
 
 # Canonical table
 query("canonical_sales", places=None)(lambda s, d: views.sales(s, d).df.drop("_ord"))
+query("mapped_sales", places=None)(
+    lambda s, d: mapping.apply_mapping(
+        views.raw_sales(s, d), mapping.FieldMapping(views.RAW_HEADERS, confirmed=True)
+    ).df.drop("_ord")
+)
 query("field_availability")(lambda s, d: field_availability(views.sales(s, d).df))
 query("field_availability_minimal")(lambda s, d: field_availability(views.sales_minimal(s, d).df))
 
@@ -97,6 +102,20 @@ for _check in ("unit_price_outliers", "warehouse_id_rare_values"):
     query(f"check_{_check}")(
         lambda s, d, name=_check: _issues(s, d).where(F.col("check_name") == name)
     )
+for _check in ("date_parseable", "unit_price_negative", "unit_cost_negative"):
+    query(f"check_{_check}")(
+        lambda s, d, name=_check: validation.scalar_issues(
+            views.sales_unreadable(s, d), F.lit(AS_OF).cast("timestamp_ntz")
+        ).where(F.col("check_name") == name).drop("message")
+    )
+on_sales(
+    "check_minimum_date_span",
+    lambda x: validation.scalar_issues(x.df, F.lit(AS_OF).cast("timestamp_ntz"))
+    .where("check_name = 'minimum_date_span'").drop("message"),
+    views.events_sales,
+)
+for _name, _view in (("data_gate", views.sales), ("data_gate_short", views.events_sales)):
+    on_sales(_name, lambda x: cleaning.data_gate(x.df).withColumn("reasons", F.concat_ws("; ", "reasons")), _view)
 query("outlier_bounds")(lambda s, d: validation.outlier_bounds(views.sales_dirty(s, d)))
 query("rare_values")(lambda s, d: validation.rare_values(views.sales_dirty(s, d)))
 query("record_violations")(lambda s, d: validation.record_violations(views.sales_dirty(s, d)))
@@ -233,6 +252,19 @@ for _name, _actions in {
 on_sales("recommendations_high", lambda x: recommendations.by_priority(_advice(x), "high"), views.sales_returns)
 
 
+def _signals(x: Sales):
+    """What each recommendation rests on: numbers, or a word where there is none."""
+    advice = recommendations.recommendations(x, _rule_risk(x))
+    value = F.col("value")
+    return advice.select("product_id", "rule", F.explode("source_signals").alias("signal", "value")).select(
+        "product_id", "rule", "signal", value.try_cast("double").alias("number"),
+        F.when(value.try_cast("double").isNull(), value).alias("word"),
+    )
+
+
+on_sales("recommendation_signals", _signals, views.sales_returns, number=4)
+
+
 def _report(x: Sales, write):
     """Reports read risk and advice several times, so both are written once."""
     risks = materialize(_rule_risk(x))

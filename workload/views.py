@@ -119,6 +119,34 @@ def sales_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Raw headers of a supplier's file and the fields they are mapped to.
+RAW_HEADERS = {
+    "date": "InvoiceDate", "product_id": "StockCode", "quantity_sold": "Quantity", "product_name": "Item Name",
+    "category": "Product.Family", "unit_price": "Price", "unit_cost": "Unit Cost", "warehouse_id": "Store ID",
+    "current_stock": "On-Hand", "lead_time_days": "Lead Time",
+}
+
+
+def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales under raw headers, keys as numbers, with a column that no field takes."""
+    rows = sales_rows(spark, sf_dir)
+    keys = {"product_id": F.col("_ord.l_partkey"), "warehouse_id": F.col("_ord.l_suppkey")}
+    return rows.select("brand", *[keys.get(f, F.col(f)).alias(h) for f, h in RAW_HEADERS.items()])
+
+
+def sales_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three in five dates cannot be read, some prices and costs are negative."""
+    order = F.col("_ord.l_orderkey")
+    rows = sales_rows(spark, sf_dir).drop("return_flag", "brand")
+    return rows.withColumns(
+        {
+            "date": F.when(order % 5 < 3, "soon").otherwise(F.date_format("date", "yyyy-MM-dd")),
+            "unit_price": F.when(order % 35 == 4, -F.col("unit_price")).otherwise(F.col("unit_price")),
+            "unit_cost": F.when(order % 21 == 2, -F.col("unit_cost")).otherwise(F.col("unit_cost")),
+        }
+    )
+
+
 def events_sales(spark: SparkSession, sf_dir: str) -> Sales:
     """Event values as sales: sub-day timestamps over a month."""
     rows = table(spark, sf_dir, "events").select(
