@@ -364,7 +364,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     )
     clusters = stored(connected_components(forest_edges(tree_rows(sets))))
-    labels = connected_components(confirmed_links(docs.where("text is not null"), clusters))
     # Rows that share a doc_id are one document, whatever their sets.
     least = sets.select("set_hash", F.col("doc_id").alias("least"))
     several = named.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi")).where("lo <> hi")
