@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from granary.llm.common import kept, map_batches, texts_of
+from granary.llm.common import kept, map_batches, stored, texts_of
 
 PROFILE = 400
 #: A profile table larger than this is refused, not cut: it goes to every task.
@@ -99,8 +99,9 @@ def language_profiles(labelled: DataFrame, profile: int = PROFILE) -> DataFrame:
     )
     totals = counts.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "gram")
-    ranked = totals.withColumn("rank", F.row_number().over(order) - 1)
-    return ranked.where(F.col("rank") < profile).select("lang", "gram", "rank")
+    # A bound on row_number itself lets every task drop what cannot be among the first.
+    placed = totals.withColumn("place", F.row_number().over(order)).where(F.col("place") <= profile)
+    return placed.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def _added(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +123,9 @@ class Profiles:
         self.size = size
         self.grams = np.array(sorted({gram for _, gram, _ in rows}), np.int64)
         self.ranks = np.full((len(self.langs), len(self.grams)), -1, np.int64)
+        number = {lang: i for i, lang in enumerate(self.langs)}
         for lang, gram, rank in rows:
-            self.ranks[self.langs.index(lang), np.searchsorted(self.grams, gram)] = rank
+            self.ranks[number[lang], np.searchsorted(self.grams, gram)] = rank
 
     def nearest(self, text: str) -> tuple[str, float]:
         """The language with the least mean out-of-place distance, and its likeness."""
@@ -147,7 +149,8 @@ def identify(docs: DataFrame, profiles: DataFrame, size: int = PROFILE) -> DataF
     mean out-of-place distance relative to the greatest. Ties go to the language
     that sorts first. Columns named lang_pred or score are replaced.
     """
-    rows = profiles.select("lang", "gram", "rank")
+    # Read twice below, and the counts behind them are over all labelled texts.
+    rows = stored(profiles.select("lang", "gram", "rank"))
     languages = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if languages > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: their profiles are too large to send to every task")

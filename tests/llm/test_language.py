@@ -76,3 +76,8 @@ def test_profiles_and_query(spark, sf_dir, documents):
     assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if got[r.doc_id].held_out]
     assert sum(got[r.doc_id].lang_pred == r.lang for r in held) >= 0.95 * len(held)
+
+
+def test_ranks_are_limited_before_the_shuffle(documents):
+    plan = language.language_profiles(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
