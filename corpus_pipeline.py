@@ -30,10 +30,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: the one of least id.
 
-    Repeated rows of a kept document are one document and leave one row.
+    Rows of one id are one document: all its different texts stay together, and only
+    rows that repeat both id and text are dropped.
     """
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
 
 

@@ -78,6 +78,15 @@ def test_stages_against_brute_force(spark, sf_dir, documents, tmp_path):
         assert at <= 1024
 
 
+def test_one_id_with_several_texts(spark, make_docs):
+    prose = "one plain sentence of quite ordinary words that goes on for a while"
+    rows = [(1, prose), (1, "something else entirely is told here"), (1, prose), (2, prose), (3, "a third text"), (None, "x y"), (None, "x y")]
+    docs = make_docs(rows)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted({rows[0], rows[1], rows[4], rows[5]}, key=repr)
+
+
 def test_run(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir)
     assert found.count() and {"doc_id", "sequence_id", "offset"} <= set(found.columns)
