@@ -14,22 +14,26 @@ from granary.sources.readers import (
 )
 from granary.sources.results import ResultStore, fingerprint, group_fingerprints
 
-ROWS = [("A1", "5", "2024-01-01"), ("A2", "7", "2024-01-02"), ("A3", "9", "2024-01-03")]
+HEADER = ("StockCode", "Store", "Price", "Sold on", "Note")
+ROWS = [
+    (f"K-{i:03d}", "north" if i % 3 else "south", f"{i * 1.25:.2f}", f"2023-0{1 + i % 9}-17", f"batch {i}; row") for i in range(12)
+]
 
 
 def test_csv_and_json(spark, tmp_path):
-    csv = tmp_path / "s.csv"
-    csv.write_text("product_id,quantity,date\n" + "\n".join(",".join(r) for r in ROWS))
-    array = tmp_path / "s.json"
-    records = [dict(zip(("product_id", "quantity", "date"), r)) for r in ROWS]
+    csv = tmp_path / "stock.csv"
+    csv.write_text("\n".join(",".join(r) for r in (HEADER, *ROWS)) + "\n")
+    array = tmp_path / "stock.json"
+    records = [dict(zip(HEADER, r)) for r in ROWS]
     array.write_text(json.dumps(records))
-    lines = tmp_path / "s.jsonl"
+    lines = tmp_path / "stock.jsonl"
     lines.write_text("\n".join(json.dumps(r) for r in records))
     for path in (csv, array, lines):
         df = read_source(spark, str(path))
-        assert sorted(map(tuple, df.select("product_id", "quantity", "date").collect())) == ROWS
+        assert sorted(map(tuple, df.select(*HEADER).collect())) == ROWS
+        assert df.where("StockCode = 'K-006'").first()["Price"] == "7.50"
         summary = load_summary(df, path.name, "x").first()
-        assert (summary["row_count"], summary["column_count"]) == (3, 3)
+        assert (summary["row_count"], summary["column_count"]) == (12, 5)
 
 
 def test_other_encoding(spark, tmp_path):
