@@ -1,16 +1,22 @@
 """URL filters by propagation over the link graph of hosts, in DataFrame operations only.
 
 Rules decide the urls that they fit. Hosts with allowed urls are trusted seeds,
-hosts with blocked urls distrusted ones. Trust flows along the links between
-hosts (personalised PageRank), distrust against them, from a bad host to those
-that link to it. A page links to its own host as well, and a subdomain and the
-domain above it count as linked both ways, so ranks stay on the seeds' scale.
-A url without a rule is blocked where its host has more distrust than trust and
-as much of it as a seed has at which half of the urls are blocked.
-
-Distrust is dealt over all links into a host, so it thins out as these get more.
-The measure `reached` does not: it is the share of blocked urls where a surfer
-from the host ends, an average over the host's own links.
+hosts with blocked urls distrusted ones, each by the share of such urls. Trust
+flows along the links between hosts (personalised PageRank), distrust against
+them (reversed PageRank), from a bad host to those that link to it. A subdomain
+and the domain above it count as linked both ways.
+
+Both ranks alone would thin out with the number of links. So each is set against
+the rank that the same walk gives when every host is a seed of weight one, without
+what a host gives itself: the share of what arrives at a host that comes from
+trusted, or from blocked, seeds. Shares run from 0 to 1 and a host's own share of
+allowed or blocked urls is their floor.
+
+A url without a rule is blocked where its host's distrust is at least THRESHOLD
+and above its trust. Links into a blocked seed never allow it: it is held against
+its own allowed urls only. What a link weighs backward falls with the number of
+links into its target, so a link to a bad host that few others link to says more
+than one to a popular host.
 """
 
 from __future__ import annotations
@@ -22,12 +28,13 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import stored
 
-ROUNDS = 10
 DAMPING = 0.85
-#: Distrust, relative to a wholly blocked seed host's own share, from which a host is blocked.
+#: Share of distrust from which a host is blocked.
 THRESHOLD = 0.5
-#: Rounds between two written tables, which cut the lineage.
+#: Rounds between two written tables, which cut the lineage and are held against each other.
 WRITE_EVERY = 5
+#: Propagation ends when no host's share has moved by more in WRITE_EVERY rounds.
+TOLERANCE = 1e-3
 
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -65,18 +72,16 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """Edges (src, dst, weight) between hosts: links in the pages, and domains to their subdomains.
+    """Edges (src, dst, weight) between different hosts: links in the pages, and domains to their subdomains.
 
-    `pages` has host and html. A page's links to one host count once, among them
-    those to its own host, which every page is taken to have.
+    `pages` has host and html. A page's links to one host count once.
     """
     found = F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1)), lowered)
-    targets = F.array_union(F.array("host"), found)
     links = (
-        pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(targets).alias("dst"))
-        .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+        pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(found)).alias("dst"))
+        .where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
     )
-    hosts = pages.where("host <> ''").select("host").distinct().unionByName(links.select(F.col("dst").alias("host"))).distinct()
+    hosts = pages.where("host <> ''").select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
     above = hosts.select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst")).where(
         F.col("src").rlike(r"\..*\.") & (F.col("dst") != "")
     )
@@ -84,65 +89,86 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.unionByName(family).groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, trust and distrust after personalised PageRank both ways, and reached.
+FLOWS = ("trust", "ahead", "distrust", "back")  # what arrives from trusted, all, blocked and all seeds
 
-    Distrust of a host is dealt over the links into it; reached is the mean of
-    the hosts that a host links to, by its links, so links into a host do not
-    thin it out. good and bad are the host's seeds, 0 without any.
 
-    `seeds` has host, good and bad, the weights at which ranks start and to which
-    they return. Hosts without seeds or edges are left out; ranks are relative to
-    a seed of weight one.
+def _shares(ranks: DataFrame) -> DataFrame:
+    """host, good, bad, and trust and distrust as shares of what arrives, not below the host's own."""
+    def share(part: str, whole: str, own: str) -> Column:
+        return F.greatest(F.col(own), F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0))
+
+    return ranks.select(
+        "host", "good", "bad", share("trust", "ahead", "good").alias("trust"), share("distrust", "back", "bad").alias("distrust")
+    )
+
+
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """host, good, bad, trust and distrust of every host with a seed or an edge.
+
+    `seeds` has host, good and bad, a row per host, the weights at which ranks start and
+    to which they return; a host without a row has 0 of both. Ranks only grow from
+    round to round, by at most `damping` times the last growth in all, so the rounds
+    end; they do when no trust or distrust moved by more than `tolerance` in WRITE_EVERY
+    rounds.
     """
-    outgoing = edges.groupBy(F.col("src").alias("host")).agg(F.sum("weight").alias("out"))
-    incoming = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("weight").alias("in"))
+    outgoing = edges.groupBy("src").agg(F.sum("weight").alias("out"))
+    incoming = edges.groupBy("dst").agg(F.sum("weight").alias("in"))
     weighted = stored(
-        edges.join(outgoing.withColumnRenamed("host", "src"), "src").join(incoming.withColumnRenamed("host", "dst"), "dst")
-        .select("src", "dst", (F.col("weight") / F.col("out")).alias("ahead"), (F.col("weight") / F.col("in")).alias("back"))
+        edges.join(outgoing, "src").join(incoming, "dst")
+        .select("src", "dst", (F.col("weight") / F.col("out")).alias("on"), (F.col("weight") / F.col("in")).alias("off"))
     )
-    seeds = stored(seeds.select("host", F.col("good").cast("double").alias("good"), F.col("bad").cast("double").alias("bad")))
-    start = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"), F.col("bad").alias("reached"))
-    ranks, back_home = start, (1 - damping) / damping
+    zero = F.lit(0.0)
+    ends = weighted.select(F.explode(F.array("src", "dst")).alias("host"), zero.alias("good"), zero.alias("bad"))
+    home = stored(
+        seeds.select("host", F.col("good").cast("double").alias("good"), F.col("bad").cast("double").alias("bad"))
+        .unionByName(ends).groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad"))
+    ).select("host", "good", "bad", *[zero.alias(name) for name in FLOWS])
+    ranks, before = home, _shares(home)
     if weighted.isEmpty():
-        return start.join(seeds, "host")
-    for k in range(rounds):
-        ahead = weighted.join(ranks.withColumnRenamed("host", "src"), "src").select(
-            F.col("dst").alias("host"), (F.col("trust") * F.col("ahead")).alias("trust"), F.lit(0.0).alias("distrust"), F.lit(0.0).alias("reached"),
-        )
-        back = weighted.join(ranks.withColumnRenamed("host", "dst"), "dst").select(
-            F.col("src").alias("host"), F.lit(0.0).alias("trust"), (F.col("distrust") * F.col("back")).alias("distrust"),
-            (F.col("reached") * F.col("ahead")).alias("reached"),
-        )
-        home = seeds.select(
-            "host", (F.col("good") * back_home).alias("trust"),
-            *[(F.col("bad") * back_home).alias(name) for name in ("distrust", "reached")],
-        )
-        ranks = (
-            ahead.unionByName(back).unionByName(home).groupBy("host")
-            .agg(*[(damping * F.sum(name)).alias(name) for name in ("trust", "distrust", "reached")])
-        )
-        if (k + 1) % WRITE_EVERY == 0 or k + 1 == rounds:
-            ranks = stored(ranks)
-    return ranks.join(seeds, "host", "left").na.fill(0.0, ["good", "bad"])
+        return before
+
+    def rank(flow: str, own: Column) -> Column:
+        return damping * F.col(flow) + (1 - damping) * own
+
+    while True:
+        for _ in range(WRITE_EVERY):
+            full = ranks.select(
+                "host", rank("trust", F.col("good")).alias("trust"), rank("ahead", F.lit(1.0)).alias("ahead"),
+                rank("distrust", F.col("bad")).alias("distrust"), rank("back", F.lit(1.0)).alias("back"),
+            )
+            along = weighted.join(full.withColumnRenamed("host", "src"), "src").select(
+                F.col("dst").alias("host"), zero.alias("good"), zero.alias("bad"),
+                *[(F.col(name) * F.col("on")).alias(name) for name in FLOWS[:2]], *[zero.alias(name) for name in FLOWS[2:]],
+            )
+            against = weighted.join(full.withColumnRenamed("host", "dst"), "dst").select(
+                F.col("src").alias("host"), zero.alias("good"), zero.alias("bad"),
+                *[zero.alias(name) for name in FLOWS[:2]], *[(F.col(name) * F.col("off")).alias(name) for name in FLOWS[2:]],
+            )
+            ranks = along.unionByName(against).unionByName(home).groupBy("host").agg(
+                F.max("good").alias("good"), F.max("bad").alias("bad"), *[F.sum(name).alias(name) for name in FLOWS]
+            )
+        ranks = stored(ranks)
+        shares = _shares(ranks)
+        old = before.select("host", F.col("trust").alias("old_trust"), F.col("distrust").alias("old_distrust"))
+        moved = shares.join(old, "host").agg(
+            F.max(F.greatest(F.abs(F.col("trust") - F.col("old_trust")), F.abs(F.col("distrust") - F.col("old_distrust")))).alias("most")
+        ).first()["most"]
+        if moved <= tolerance:
+            return shares
+        before = shares
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshold: float = THRESHOLD, rounds: int = ROUNDS,
-    measure: str = "distrust",
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]], threshold: float = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """page_id, host, path, rule and verdict of each (page_id, url, html) row, with trust and distrust.
+    """page_id, host, path, rule and verdict of each (page_id, url, html) row, with its host's trust and distrust.
 
     The host is what stands between the first `://` and the next `/`, `?` or `#`,
     A-Z lower-cased, the path what follows up to `?` or `#`; a null url or one
-    without `://` has neither. The verdict is the rule's; without one it comes
-    from the host's ranks, and a host of no rank or no name is allowed.
-
-    By the measure `distrust` a host is blocked with more distrust than trust and
-    `threshold` of it. By `reached`, with its own share of blocked urls or what its
-    links reach, whichever is more, at `threshold` and above its trust; for a host
-    with blocked urls of its own its share of allowed ones stands for trust, so
-    that links into a blocked seed never allow it.
+    without `://` has neither. The verdict is the rule's; without one the url is
+    blocked where its host's distrust is at least `threshold` and above its trust (its
+    own share of allowed urls, where it has blocked ones). A host that nothing reaches
+    or that has no name has neither and is allowed.
 
     Repeated rows each get theirs; null html has no links; an empty table gives an
     empty one; other columns are not looked at. Pages reach the last join without
@@ -152,24 +178,12 @@ def judge_urls(
     named = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = named.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    seeds = (
-        ruled.where("host <> ''").groupBy("host")
-        .agg(F.sum(F.when(F.col("verdict") == "allow", 1.0).otherwise(0.0)).alias("good"),
-             F.sum(F.when(F.col("verdict") == "block", 1.0).otherwise(0.0)).alias("bad"),
-             F.count(F.lit(1)).alias("n"))
-        .select("host", (F.col("good") / F.col("n")).alias("good"), (F.col("bad") / F.col("n")).alias("bad"))
-        .where("good + bad > 0")
-    )
-    ranks = propagated(stored(host_links(named)), seeds, rounds)
-    if measure == "reached":
-        against = F.greatest("reached", "bad")
-        bad = (against > F.when(F.col("bad") > 0, F.col("good")).otherwise(F.col("trust"))) & (against >= threshold)
-    elif measure == "distrust":
-        bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold)
-    else:
-        raise ValueError(f"no such measure: {measure}")
-    judged = ruled.join(ranks, "host", "left")
-    return judged.select(
+    share = {name: F.avg(F.when(F.col("verdict") == kind, 1.0).otherwise(0.0)) for name, kind in (("good", "allow"), ("bad", "block"))}
+    seeds = ruled.where("host <> ''").groupBy("host").agg(*[c.alias(name) for name, c in share.items()]).where("good + bad > 0")
+    ranks = propagated(stored(host_links(named)), seeds, tolerance=tolerance)
+    trusted = F.when(F.col("bad") > 0, F.col("good")).otherwise(F.col("trust"))
+    bad = (F.col("distrust") >= threshold) & (F.col("distrust") > trusted)
+    return ruled.join(ranks, "host", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("verdict", F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
