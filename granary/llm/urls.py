@@ -32,7 +32,7 @@ DAMPING = 0.85
 #: Share of distrust from which a host is blocked.
 THRESHOLD = 0.5
 #: Rounds between two written tables, which cut the lineage and are held against each other.
-WRITE_EVERY = 5
+WRITE_EVERY = 10
 #: Propagation ends when no host's share has moved by more in WRITE_EVERY rounds.
 TOLERANCE = 1e-3
 
@@ -113,12 +113,18 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tol
     """
     outgoing = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     incoming = edges.groupBy("dst").agg(F.sum("weight").alias("in"))
-    weighted = stored(
+    dealt = (
         edges.join(outgoing, "src").join(incoming, "dst")
         .select("src", "dst", (F.col("weight") / F.col("out")).alias("on"), (F.col("weight") / F.col("in")).alias("off"))
     )
+    # Both ways in one table, so that a round has one join: `host` gives `on` along its link to `to`, `off` against one from it.
+    ways = F.array(
+        F.struct(F.col("src").alias("host"), F.col("dst").alias("to"), F.col("on"), F.lit(0.0).alias("off")),
+        F.struct(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("on"), F.col("off")),
+    )
+    weighted = stored(dealt.select(F.inline(ways)).groupBy("host", "to").agg(F.sum("on").alias("on"), F.sum("off").alias("off")))
     zero = F.lit(0.0)
-    ends = weighted.select(F.explode(F.array("src", "dst")).alias("host"), zero.alias("good"), zero.alias("bad"))
+    ends = weighted.select("host", zero.alias("good"), zero.alias("bad"))
     home = stored(
         seeds.select("host", F.col("good").cast("double").alias("good"), F.col("bad").cast("double").alias("bad"))
         .unionByName(ends).groupBy("host").agg(F.max("good").alias("good"), F.max("bad").alias("bad"))
@@ -136,15 +142,11 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tol
                 "host", rank("trust", F.col("good")).alias("trust"), rank("ahead", F.lit(1.0)).alias("ahead"),
                 rank("distrust", F.col("bad")).alias("distrust"), rank("back", F.lit(1.0)).alias("back"),
             )
-            along = weighted.join(full.withColumnRenamed("host", "src"), "src").select(
-                F.col("dst").alias("host"), zero.alias("good"), zero.alias("bad"),
-                *[(F.col(name) * F.col("on")).alias(name) for name in FLOWS[:2]], *[zero.alias(name) for name in FLOWS[2:]],
-            )
-            against = weighted.join(full.withColumnRenamed("host", "dst"), "dst").select(
-                F.col("src").alias("host"), zero.alias("good"), zero.alias("bad"),
-                *[zero.alias(name) for name in FLOWS[:2]], *[(F.col(name) * F.col("off")).alias(name) for name in FLOWS[2:]],
+            given = weighted.join(full, "host").select(
+                F.col("to").alias("host"), zero.alias("good"), zero.alias("bad"),
+                *[(F.col(name) * F.col("on" if name in FLOWS[:2] else "off")).alias(name) for name in FLOWS],
             )
-            ranks = along.unionByName(against).unionByName(home).groupBy("host").agg(
+            ranks = given.unionByName(home).groupBy("host").agg(
                 F.max("good").alias("good"), F.max("bad").alias("bad"), *[F.sum(name).alias(name) for name in FLOWS]
             )
         ranks = stored(ranks)
