@@ -12,7 +12,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,8 @@ from granary.llm.common import map_batches
 
 #: Pages whose nodes help to train, at most about so many, and made pages beside them.
 TRAINING_PAGES, MADE_PAGES = 300, 900
+#: Weight of the given pages' nodes in all, against one for the made ones', so that one build cannot outvote them.
+GIVEN_WEIGHT = 0.5
 
 # Elements by how a page is read.
 SKIPPED = frozenset("script style noscript template svg head title iframe object canvas math".split())
@@ -71,11 +74,26 @@ def parse(page: str) -> list[Node]:
 
     Forgiving: end tags that nothing opened are passed over, what is left open
     ends with the page, and paragraphs, items and cells end where the next begins.
+    Linear in the page, however broken: where the open elements of a name stand is
+    known, and so is which skipped elements have no end tag any more.
     """
     nodes = [Node("page", frozenset(), -1, 0)]
-    stack: list[tuple[str, int]] = [("page", 0)]  # all open elements with the block they belong to
+    stack: list[tuple[str, int, int]] = [("page", 0, 0)]  # all open elements: block they belong to, last that is not inline
+    opened: dict[str, list[int]] = defaultdict(list)  # their places in the stack by name
+    endless: set[str] = set()  # skipped elements that nothing ends from here on
     links = at = 0
     n = len(page)
+
+    def last(names: Iterable[str]) -> int:
+        return max((opened[x][-1] for x in names if opened[x]), default=0)
+
+    def end_from(k: int) -> None:
+        nonlocal links
+        while len(stack) > k:
+            tag = stack.pop()[0]
+            opened[tag].pop()
+            links -= tag == "a"
+
     while at < n:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else n]
@@ -92,46 +110,35 @@ def parse(page: str) -> list[Node]:
             continue
         name = name.lower()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    links -= sum(tag == "a" for tag, _ in stack[k:])
-                    del stack[k:]
-                    break
-            else:
-                if name in ("p", "br"):
-                    nodes[stack[-1][1]].parts.append(" ")
+            if opened[name]:
+                end_from(opened[name][-1])
+            elif name in ("p", "br"):
+                nodes[stack[-1][1]].parts.append(" ")
             continue
         if name in SKIPPED:
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 if end:
                     at = end.end()
                 elif name in ("script", "style"):
                     at = n
+                else:
+                    endless.add(name)
             continue
         if name in VOID:
             nodes[stack[-1][1]].parts.append("" if name in ("img", "wbr") else " ")
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    links -= sum(tag == "a" for tag, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        if name in CLOSES_P and stack[stack[-1][2]][0] == "p":
+            end_from(stack[-1][2])
         if name in ENDS:
             ended, stops = ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ended:
-                    links -= sum(tag == "a" for tag, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in stops:
-                    break
+            k = last(ended)
+            if k > last(stops):
+                end_from(k)
         block = stack[-1][1]
+        opened[name].append(len(stack))
         if name in INLINE:
-            stack.append((name, block))
+            stack.append((name, block, stack[-1][2]))
             links += name == "a"
             continue
         tokens = frozenset(
@@ -139,7 +146,7 @@ def parse(page: str) -> list[Node]:
         ) if attributes else frozenset()
         nodes.append(Node(name, tokens, block, nodes[block].depth + 1))
         nodes[block].parts.append(len(nodes) - 1)
-        stack.append((name, len(nodes) - 1))
+        stack.append((name, len(nodes) - 1, len(stack)))
     return nodes
 
 
@@ -208,15 +215,18 @@ def features(nodes: Sequence[Node]) -> np.ndarray:
         deep_nodes[p] += deep_nodes[i]
         deep_marks[p] += deep_marks[i]
     up = np.maximum(parent, 0)
+    paragraphs = np.zeros(n)  # text in a node's own paragraphs
     for i, x in enumerate(nodes):
         if x.parent >= 0:
             alike[i] = seen[x.parent, x.tag]
+            if x.tag == "p":
+                paragraphs[x.parent] += deep[i]
     total = max(own.sum(), 1)
     columns = [
         np.log1p(own), np.log1p(words), marks / np.maximum(words, 1), link / np.maximum(own, 1), np.log1p(deep),
         deep_link / np.maximum(deep, 1), np.log1p(deep / deep_nodes), deep_marks / np.maximum(deep, 1) * 100, deep / total,
         before / total, np.array([x.depth for x in nodes], float), children, children[up], place, place / np.maximum(children[up], 1),
-        alike, np.log1p(deep[up]), deep_link[up] / np.maximum(deep[up], 1), deep / np.maximum(deep[up], 1),
+        alike, np.log1p(paragraphs[up]), paragraphs[up] / total, np.log1p(deep[up]), deep_link[up] / np.maximum(deep[up], 1), deep / np.maximum(deep[up], 1),
     ]
     return np.concatenate([np.stack(columns, axis=1), kinds, tokens, above_kinds, above_tokens], axis=1).astype(np.float32)
 
@@ -239,18 +249,21 @@ class BoostedTrees:
         return out
 
 
-def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32) -> BoostedTrees:
-    """Fit by Newton boosting of the logistic loss, splits taken from feature histograms."""
+def boosted(
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 80, depth: int = 5, rate: float = 0.2, bins: int = 32
+) -> BoostedTrees:
+    """Fit by Newton boosting of the weighted logistic loss, splits taken from feature histograms."""
     n, width = x.shape
+    weight = np.ones(n) if weight is None else weight
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(width)]
     binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(width)], axis=1)
-    mean = y.mean().clip(1e-3, 1 - 1e-3)
+    mean = np.average(y, weights=weight).clip(1e-3, 1 - 1e-3)
     model = BoostedTrees(float(np.log(mean / (1 - mean))))
     score = np.full(n, model.start)
     flat = binned + np.arange(width) * bins
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        g, h = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-6)
         feature, cut = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
         at = np.zeros(n, np.int64)
         for level in range(depth):
@@ -339,7 +352,11 @@ def made_page(r: random.Random, words: Sequence[str]) -> str:
         text = " ".join(r.choice(words) for _ in range(r.randint(a, b)))
         return entities.escape(text[:1].upper() + text[1:] + r.choice([".", ".", "", "!"]), quote=False)
 
+    opaque, brief = r.random() < 0.3, r.random() < 0.2
+
     def named(names: str) -> str:
+        if opaque:  # names that say nothing: another language's, or a style tool's
+            return r.choice(["", f' class="{r.choice(words)}"', f' id="{r.choice(words)}"', f' class="{r.choice("abcdefgh")}{r.randrange(16**5):x}"'])
         name = r.choice(names.split())
         name = r.choice([name, name + "-" + r.choice(["box", "wrap", "area", "block", "1", "inner"]), "c-" + name])
         return r.choice([f' class="{name}"', f' id="{name}"', f" class='{name} {r.choice(words)}'", f' class="x {name}"'])
@@ -395,7 +412,9 @@ def made_page(r: random.Random, words: Sequence[str]) -> str:
 
     close = r.random() < 0.8
     body = [tag(r.choice(["h1", "h1", "h2"]), _MARK + some(2, 12))] if r.random() < 0.85 else []
-    for _ in range(r.randint(1, 4)):
+    if brief:
+        body.append("".join(f"<p>{_MARK}{some(1, 12)}</p>" for _ in range(r.randint(0 if body else 1, 2))))
+    for _ in range(0 if brief else r.randint(1, 4)):
         body.append(paragraphs(1, 5, _MARK, close))
         body.append(
             r.choice(
@@ -406,7 +425,7 @@ def made_page(r: random.Random, words: Sequence[str]) -> str:
         )
         if r.random() < 0.25:
             body.append(extra())
-    if r.random() < 0.15:
+    if r.random() < 0.15 and not brief:
         body.append(comments())
     inside = "".join(body)
     build = r.random()
@@ -479,11 +498,18 @@ def fit(pages: Sequence[str], made: int = MADE_PAGES, seed: int = 3) -> BoostedT
         if main:
             xs.append(features(nodes))
             ys.append(node_labels(nodes, main))
+    given = sum(map(len, xs))
     for _ in range(made):
         nodes = parse(made_page(r, words))
         xs.append(features(nodes))
         ys.append(node_labels(nodes, _marked(nodes)))
-    return boosted(np.concatenate(xs), np.concatenate(ys)) if xs else BoostedTrees()
+    if not xs:
+        return BoostedTrees()
+    x = np.concatenate(xs)
+    weight = np.ones(len(x))
+    if made and given:
+        weight[:given] = min(1.0, GIVEN_WEIGHT * (len(x) - given) / given)
+    return boosted(x, np.concatenate(ys), weight)
 
 
 def main_texts(pages: Sequence[str], model: BoostedTrees) -> list[str]:

@@ -34,6 +34,19 @@ def test_broken_markup_takes_linear_time():
     assert html.text_of(html.parse('<p class="x>one</p><p>two'), np.ones(9, bool)) == "one two"
 
 
+def test_unmatched_tags_take_linear_time():
+    n = 20_000
+    for page in (
+        "<b>" * n + "</i>" * n, "<div>" * n + "</span>" * n, "<svg>" * n, "<noscript>x" * n, "<p><button>" + "<b>" * n + "<div></div>" * n,
+        "<li><ul>" + "<div>" * n + "<li></li>" * n, "<div>" * n + "<td></td>" * n,
+    ):
+        began = time.time()
+        assert html.parse(page)
+        assert time.time() - began < 5
+    assert [x.tag for x in html.parse("<ul><li>a<ul><li>b<p>c<li>d</ul><li>e</ul><p>f<b>g<div>h</div>")] == \
+        ["page", "ul", "li", "ul", "li", "p", "li", "li", "p", "div"]
+
+
 def test_decoding_is_the_best_consistent_choice():
     r = random.Random(4)
     for _ in range(60):
