@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -121,6 +124,63 @@ def test_split_is_exact_and_the_fit_bounded(history):
     assert 0.5 * trained < risk.fitting_rows(marked, int(0.7 * trained)).count() < 0.9 * trained
 
 
+def grown(r, features, depth):
+    """A random tree as arrays, with features that come again on a path."""
+    tree = {k: [] for k in ("left", "right", "feature", "limit", "value", "cover")}
+
+    def grow(level, cover):
+        at = len(tree["left"])
+        for k, v in (("left", -1), ("right", -1), ("feature", -1), ("limit", 0.0), ("value", r.random()), ("cover", float(cover))):
+            tree[k].append(v)
+        if level < depth and cover > 3 and r.random() < 0.9:
+            n = int(r.integers(1, cover))
+            tree["feature"][at], tree["limit"][at] = int(r.integers(features)), r.normal()
+            tree["left"][at], tree["right"][at] = grow(level + 1, n), grow(level + 1, cover - n)
+        return at
+
+    grow(0, 1000)
+    return {k: np.array(v) for k, v in tree.items()}
+
+
+def mean_of(tree, row, known, node=0):
+    """A tree's mean over the unknown features, by the definition."""
+    if tree["left"][node] < 0:
+        return tree["value"][node]
+    below = [tree["left"][node], tree["right"][node]]
+    if tree["feature"][node] in known:
+        return mean_of(tree, row, known, below[0 if row[tree["feature"][node]] <= tree["limit"][node] else 1])
+    share = tree["cover"][below] / tree["cover"][below].sum()
+    return sum(s * mean_of(tree, row, known, b) for s, b in zip(share, below))
+
+
+def test_shapley_against_all_coalitions():
+    r = np.random.default_rng(11)
+    for features, depth in ((1, 3), (4, 5), (6, 7)):
+        trees = [grown(r, features, depth) for _ in range(3)]
+        x = r.normal(size=(5, features))
+        x[0, 0] = np.nan
+        base, parts = risk.shapley(trees, x)
+        for row, found in zip(x, parts):
+            worth = lambda known: np.mean([mean_of(t, row, known) for t in trees])
+            assert base[0] == pytest.approx(worth(set()))
+            for i in range(features):
+                others = [f for f in range(features) if f != i]
+                want = sum(
+                    math.factorial(k) * math.factorial(features - k - 1) / math.factorial(features) * (worth({*c, i}) - worth({*c}))
+                    for k in range(features) for c in itertools.combinations(others, k)
+                )
+                assert found[i] == pytest.approx(want, abs=1e-12)
+
+
+def test_shapley_of_many_features_adds_up():
+    r = np.random.default_rng(12)
+    trees = [grown(r, 12, 12) for _ in range(3)]
+    x = r.normal(size=(50, 12))
+    base, parts = risk.shapley(trees, x)
+    for row, found in zip(x, parts):
+        assert base[0] + found.sum() == pytest.approx(np.mean([mean_of(t, row, set(range(12))) for t in trees]))
+
+
 def test_shapley_of_a_single_split():
     tree = {
         "left": np.array([1, -1, -1]), "right": np.array([2, -1, -1]),
