@@ -79,7 +79,7 @@ def price_what_if(
     current price is the latest by date. Products without an elasticity or a
     forecast are left out.
     """
-    prices = sales.keyed().groupBy("product_id").agg(latest("unit_price").alias("current_price"))
+    prices = sales.keyed().groupBy("product_id").agg(latest(sales, "unit_price").alias("current_price"))
     base = (
         price_elasticity(sales)
         .select("product_id", "elasticity_coefficient")

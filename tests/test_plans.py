@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from granary.operators import stockout
+from granary.plans import rollups
 from granary.plans.box import box_numbers
 from granary.plans.lookup import join_lookup
 from granary.plans.radix import field_quantiles, with_bits
@@ -144,3 +146,15 @@ def test_series_fill_gaps_with_zero(make_sales):
     assert out["a"]["series"] == [3, 0, 0, 5]
     assert out["b"]["series"] == [7]
     assert total_series(sales).first()["series"] == [3, 7, 0, 5]
+
+
+def test_latest_value_without_a_sort(spark, make_sales):
+    """By date, then input order; rows without a date come before all others, readings of null never count."""
+    dates = ["1969-12-31 23:59:59.999999", "2024-05-01 08:00:00.000000", "2024-05-01 08:00:00.000000", None, "2024-05-02 00:00:00.000000", None, "1700-01-01 00:00:00.000000"]
+    rows = [("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("a", 3, 9.0), ("a", 4, None), ("b", 5, 4.0), ("b", 3, 5.0), ("c", 3, 8.0), ("c", 6, 7.0), ("d", 4, None)]
+    frame = {"date": [dates[k] for _, k, _ in rows], "product_id": [p for p, _, _ in rows], "quantity_sold": [1.0] * len(rows), "current_stock": [v for _, _, v in rows]}
+    sales = make_sales(**frame)
+    totals = rollups.product_totals(sales)
+    assert {r.product_id: r.latest_stock for r in totals.collect()} == {"a": 3.0, "b": 5.0, "c": 7.0, "d": None}
+    for table in (totals, stockout.daily_activity(sales)):
+        assert "SortAggregate" not in table._jdf.queryExecution().executedPlan().toString()
