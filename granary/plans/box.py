@@ -67,9 +67,7 @@ def box_numbers(values: DataFrame, keys: Sequence[str], **bucketing) -> DataFram
     """
     keys = list(keys)
     counts = materialize(value_counts(values, "value", keys))
-    quartiles = quantiles_of_counts(
-        counts, "value", QUARTILES, keys, **bucketing
-    )
+    quartiles = quantiles_of_counts(counts, "value", QUARTILES, keys, stored=True, **bucketing)
     limits = materialize(fences(quartiles))
     total = limits.agg(F.sum("n")).scalar()
     lookup = limits.select(*keys, "lower_fence", "upper_fence", "n", total.alias("total"))

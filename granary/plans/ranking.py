@@ -1,17 +1,20 @@
 """Running totals, ranks and exact quantiles that never sort in one task.
 
-An ordered pass over a whole table is cut into buckets of neighbouring sort
-keys. Cut points come from a hash sample, so they depend on the data only and
-every executor, also after a retry, cuts at the same places. Inside a bucket a
-window does the work; the bucket totals, at most `max_buckets` rows per key,
-give the offset at which each bucket starts. Callers first reduce rows to
+An ordered pass over a whole table is cut into buckets of neighbouring rows by
+range partitioning on keys and sort key together: Spark samples a bounded number
+of rows per partition for the bounds, whatever the types, and splits a hot key, or
+a hot value by its second sort key, like anything else. The partition number is
+written down with the rows, so a repeated task finds the same buckets. Inside a
+bucket a window does the work. Only keys that reach over a bucket's end, two per
+bucket at most, need the totals of earlier buckets. Callers first reduce rows to
 distinct sort keys, so that copies of one value count as one row.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,28 +22,6 @@ from pyspark.sql import functions as F
 from granary.session import materialize
 
 ROWS_PER_BUCKET = 250_000
-SAMPLE_PER_BUCKET = 20
-HASH_RANGE = 1 << 30
-
-
-def _cut_points(stored: DataFrame, keys: Sequence[str], size: int, buckets: int, stride: int) -> Column:
-    """Sorted cut points, and every `stride`-th of them for a first look.
-
-    Keys are hashed with the sort value, so a value that many keys share is not
-    drawn for all of them at once.
-    """
-    share = min(1.0, buckets * SAMPLE_PER_BUCKET / size)
-    sample = stored.where(
-        F.pmod(F.xxhash64(*keys, "_sort"), F.lit(HASH_RANGE)) < int(share * HASH_RANGE)
-    ).agg(F.sort_array(F.collect_list("_sort")).alias("points"))
-    cuts = sample.select(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(buckets - 1)),
-            lambda i: F.get("points", (i * F.size("points") / buckets).cast("int")),
-        ).alias("fine")
-    )
-    coarse = F.filter("fine", lambda b, i: i % stride == stride - 1)
-    return cuts.select(F.struct("fine", coarse.alias("coarse")).alias("cuts")).scalar()
 
 
 def with_running_totals(
@@ -49,62 +30,60 @@ def with_running_totals(
     measures: Mapping[str, str],
     keys: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    stored: bool = False,
 ) -> DataFrame:
     """Add, for each measure m, `m_before` and `m_total` within `keys`.
 
     `m_before` sums the rows that come earlier in `order`, which must be unique
     within a key; `m_total` sums the whole key. `measures` maps m to its zero
     type ("bigint" or "double"). The (already reduced) input is written once to
-    the shared folder, because its size and its cut points are needed first.
+    the shared folder, because its size is needed first, unless it is `stored`
+    there already. A null key is a key of its own.
     """
     keys = list(keys)
     sort = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    stored = materialize(df.withColumn("_sort", sort))
-    size = stored.count()
-    buckets = -(-size // rows_per_bucket)
-    stride = max(2, math.isqrt(buckets))
+    rows = df if stored else materialize(df)
+    buckets = -(-rows.count() // rows_per_bucket)
+    rows = rows.withColumn("_sort", sort)
     zero = {m: F.lit(0).cast(t) for m, t in measures.items()}
 
     if buckets <= 1:
         whole = Window.partitionBy(*keys, F.lit(0))
         before = whole.orderBy("_sort").rowsBetween(Window.unboundedPreceding, -1)
-        return stored.select(
+        return rows.select(
             *df.columns,
             *[F.coalesce(F.sum(m).over(before), zero[m]).alias(f"{m}_before") for m in measures],
             *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
         )
 
-    placed = stored.withColumn("_cuts", _cut_points(stored, keys, size, buckets, stride))
-    first = F.size(F.filter("_cuts.coarse", lambda b: b < F.col("_sort")))
-    placed = placed.withColumn("_first", first * stride)
-    rest = F.slice("_cuts.fine", F.col("_first") + 1, F.lit(stride))
-    placed = placed.withColumn(
-        "_bucket", F.col("_first") + F.size(F.filter(rest, lambda b: b < F.col("_sort")))
-    ).drop("_cuts", "_first")
-
+    placed = materialize(
+        rows.repartitionByRange(buckets, *keys, "_sort").withColumn("_bucket", F.spark_partition_id())
+    )
     whole = Window.partitionBy(*keys, F.lit(0))
     earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
+    crossing = (
         placed.groupBy(*keys, "_bucket")
         .agg(*[F.sum(m).alias(m) for m in measures])
         .select(
-            *keys,
-            "_bucket",
+            *[F.col(k).alias(f"_{k}_key") for k in keys],
+            F.col("_bucket").alias("_at"),
+            F.count(F.lit(1)).over(whole).alias("_parts"),
             *[F.coalesce(F.sum(m).over(earlier), zero[m]).alias(f"_{m}_start") for m in measures],
-            *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
+            *[F.sum(m).over(whole).alias(f"_{m}_all") for m in measures],
         )
+        .where("_parts > 1")
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_sort").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    joined = placed.join(starts, [*keys, "_bucket"])
+    bucket = Window.partitionBy(*keys, "_bucket")
+    inside = bucket.orderBy("_sort").rowsBetween(Window.unboundedPreceding, -1)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}_key")) for k in keys], F.col("_bucket") == F.col("_at"))
+    joined = placed.join(crossing, same, "left")
     return joined.select(
         *df.columns,
         *[
-            (F.col(f"_{m}_start") + F.coalesce(F.sum(m).over(inside), zero[m])).alias(f"{m}_before")
+            (F.coalesce(f"_{m}_start", zero[m]) + F.coalesce(F.sum(m).over(inside), zero[m])).alias(f"{m}_before")
             for m in measures
         ],
-        *[f"{m}_total" for m in measures],
+        *[F.coalesce(F.col(f"_{m}_all"), F.sum(m).over(bucket)).alias(f"{m}_total") for m in measures],
     )
 
 

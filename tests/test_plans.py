@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import stockout
-from granary.plans import rollups
+from granary.plans import ranking, rollups
 from granary.plans.box import box_numbers
 from granary.plans.lookup import join_lookup
 from granary.plans.radix import field_quantiles, with_bits
@@ -41,6 +41,27 @@ def test_running_totals_split_a_hot_tie(spark):
     assert all(abs(row["value_before"] - before[row["id"]]) < 1e-6 for row in out)
 
 
+def test_buckets_of_a_hot_key_are_small_and_null_is_a_key(spark, monkeypatch):
+    # A third of all rows in one key, long ids that differ at their ends only, one value for all.
+    rows = [("hot" if i % 3 == 0 else (None if i % 3 == 1 and i < 90 else f"k{i:05d}"), 1.0, f"item-of-a-long-name-{i:07d}", 2)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double, id string, m long")
+    written, write = [], ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda d: written.append(write(d)) or written[-1])
+    out = with_running_totals(df, [F.col("v"), F.col("id")], {"m": "bigint"}, ["k"], rows_per_bucket=100)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    groups = {}
+    for r in out.collect():
+        groups.setdefault(r["k"], []).append(r)
+    assert sum(map(len, groups.values())) == len(rows) and len(groups["hot"]) == 1000 and len(groups[None]) == 30
+    for found in groups.values():
+        found.sort(key=lambda r: r["id"])
+        assert [r["m_before"] for r in found] == [2 * i for i in range(len(found))]
+        assert {r["m_total"] for r in found} == {2 * len(found)}
+    sizes = [r["count"] for r in written[-1].groupBy("_bucket").count().collect()]
+    assert max(sizes) < 300 and len(sizes) > 20
+
+
 @pytest.mark.parametrize("rows_per_bucket", [15, 10_000])
 def test_quantiles_are_exact_for_a_hot_group(spark, rows_per_bucket):
     rng = np.random.default_rng(2)
