@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.parsing import micros, whole_days
-from granary.plans.ranking import exact_quantiles, with_running_totals
+from granary.plans.radix import field_quantiles
+from granary.plans.ranking import with_running_totals
 from granary.plans.rollups import demand_stats, product_totals
 from granary.schema import Sales, unavailable
 from granary.session import materialize
@@ -183,13 +184,13 @@ def safety_stock_scenarios(sales: Sales, default_lead: float | None = None) -> D
     )
 
 
-def idle_of(totals: DataFrame, keep: tuple[str, ...] = (), **bucketing) -> DataFrame:
+def idle_of(totals: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Dead and slow stock from totals per product, which should be stored: they are read several times."""
     span = date_span(totals)
     idle = micros(F.col("last_date"), span["last"])
     length = micros(span["first"], span["last"])
-    slow = exact_quantiles(
-        totals.select("gross"), "gross", {"threshold": SLOW_PERCENTILE}, **bucketing
-    )
+    gross = totals.select(F.lit("gross").alias("field"), F.col("gross").alias("value"))
+    slow = field_quantiles(gross, {"threshold": SLOW_PERCENTILE})
     return totals.select(
         "product_id",
         *keep,
@@ -203,9 +204,10 @@ def idle_of(totals: DataFrame, keep: tuple[str, ...] = (), **bucketing) -> DataF
     )
 
 
-def dead_slow_stock(sales: Sales, **bucketing) -> DataFrame:
+def dead_slow_stock(sales: Sales) -> DataFrame:
     """Gross, returned and net units, with dead-stock and slow-mover flags."""
-    return idle_of(product_totals(sales), **bucketing)
+    totals = product_totals(sales).select("product_id", "quantity", "gross", "returned", "first_date", "last_date")
+    return idle_of(materialize(totals))
 
 
 def kpi_summary(
@@ -219,7 +221,7 @@ def kpi_summary(
     """
     totals, stats = materialize(product_totals(sales)), materialize(demand_stats(sales))
     basis = "revenue" if sales.has("unit_price") else "quantity_sold"
-    ranked = abc_of(totals, basis).select("product_id", F.col("tier").alias("abc_tier"))
+    ranked = abc_of(totals, basis, stored=True).select("product_id", F.col("tier").alias("abc_tier"))
     rows = idle_of(totals, keep=("avg_stock", "latest_stock")).join(stats, "product_id", "left").join(ranked, "product_id", "left")
     span = date_span(totals)
     days = F.greatest(whole_days(span["first"], span["last"]), F.lit(1))

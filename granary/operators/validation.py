@@ -7,6 +7,7 @@ one aggregation per categorical field.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,9 +54,8 @@ def _issue(position, name, severity, message, field, rows, when) -> Column:
     )
 
 
-def scalar_counts(df: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """One row with every count the single-pass checks need."""
-    typed = typed_columns(df)
+def count_columns(columns: Sequence[str], as_of: Column | None = None) -> list[Column]:
+    """Every count the single-pass checks need, as aggregates over `typed_columns`."""
     now = F.current_timestamp() if as_of is None else as_of
     now = now.cast("timestamp_ntz")
     counts = [
@@ -69,15 +69,25 @@ def scalar_counts(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     for f in REQUIRED_FIELDS:
         counts.append(F.count_if(F.col(f).isNull()).alias(f"{f}_missing"))
     for f in NUMERIC_FIELDS:
-        if f in df.columns:
+        if f in columns:
             bad = F.col(f).isNotNull() & F.col(f"_{f}").isNull()
             counts.append(F.count_if(bad).alias(f"{f}_bad"))
             counts.append(F.count_if(F.col(f"_{f}") < 0).alias(f"{f}_negative"))
-    return typed.agg(*counts)
+    return counts
+
+
+def scalar_counts(df: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """One row with every count the single-pass checks need."""
+    return typed_columns(df).agg(*count_columns(df.columns, as_of))
+
+
+def scalar_issues(df: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """The checks that need one pass only, as issue rows."""
+    return issues_of(scalar_counts(df, as_of), df.columns)
 
 
-def scalar_issues(df: DataFrame, as_of) -> DataFrame:
-    counts = scalar_counts(df, as_of)
+def issues_of(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Issue rows from the one row of counts of a table with these columns."""
     rows = F.col("rows")
 
     def share(c):
@@ -113,7 +123,7 @@ def scalar_issues(df: DataFrame, as_of) -> DataFrame:
             )
         )
     for i, f in enumerate(NUMERIC_FIELDS):
-        if f in df.columns:
+        if f in columns:
             bad = F.col(f"{f}_bad")
             issues.append(
                 _issue(
@@ -130,7 +140,7 @@ def scalar_issues(df: DataFrame, as_of) -> DataFrame:
     warnings += [
         (14 + i, f"{f}_negative", f, f"{f}_negative", f"%d rows have a negative {f}")
         for i, f in enumerate(PRICE_FIELDS)
-        if f in df.columns
+        if f in columns
     ]
     for position, name, field, count, text in warnings:
         issues.append(

@@ -95,6 +95,31 @@ def test_cleaning_drops_and_coerces(spark):
     assert types["date"] == "timestamp_ntz" and types["unit_cost"] == "double"
 
 
+def test_clean_reads_the_raw_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    raw = frame(spark, date={0: "soon", 7: "2031-01-01"}, unit_price={3: "-4", 5: "dear"}, product_id={9: None})
+    result = cleaning.clean(raw.mapInArrow(count, raw.schema), as_of())
+    log = sorted(map(tuple, result.actions.collect()))
+    found = sorted(map(tuple, result.issues.collect()))
+    kept = sorted(map(str, result.sales.df.drop("_ord").collect()))
+    assert read.value == N
+    assert log == sorted(map(tuple, cleaning.cleaning_actions(raw).collect()))
+    assert found == sorted(map(tuple, validation.scalar_issues(raw, as_of()).collect()))
+    assert kept == sorted(map(str, cleaning.cleaned_rows(raw).collect()))
+    assert {"dates_in_future", "unit_price_negative", "unit_price_not_numeric"} <= {r[1] for r in found}
+    # Input order: the dates of the table rise with it.
+    days = [r["date"] for r in result.sales.df.orderBy("_ord").collect() if r["date"].year == 2024]
+    assert days == sorted(days)
+    with pytest.raises(cleaning.InsufficientDataError):
+        cleaning.clean(raw.limit(0))
+
+
 def test_record_violations(spark):
     df = frame(spark, quantity_sold={0: "-1"}, current_stock={1: "-2", 2: "-3"})
     found = rows_by(validation.record_violations(df), "field")

@@ -538,6 +538,7 @@ UNION ALL SELECT 'unit_cost_not_numeric', 'coerced_to_null', 'unit_cost',
        count(*) FILTER ({_KEPT} AND unit_cost IS NULL) FROM typed""",
     base=DIRTY_SQL,
 )
+ORACLE["clean_log"] = ORACLE["cleaning_actions"]
 sql(
     "cleaning_row_counts",
     f"""

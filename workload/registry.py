@@ -123,6 +123,7 @@ query("cleaned_rows")(lambda s, d: cleaning.clean(views.sales_dirty(s, d)).sales
 query("cleaning_actions")(
     lambda s, d: cleaning.cleaning_actions(views.sales_dirty(s, d)).drop("message")
 )
+query("clean_log")(lambda s, d: cleaning.clean(views.sales_dirty(s, d)).actions.drop("message"))
 query("cleaning_row_counts")(lambda s, d: cleaning.row_counts(views.sales_dirty(s, d)))
 
 # Sources and mapping
