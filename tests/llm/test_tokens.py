@@ -38,8 +38,9 @@ def test_counts_after_edits(encoder, text, edits):
         assert tree.tokens == full_count(text)
 
 
-def test_only_touched_leaves_are_encoded(encoder):
-    text = "word and more " * 20_000
+@pytest.mark.parametrize("unit", ["word and more ", "line\n", "中文字符。", "数据，", "a  b\t", "x=1;y=2;"])
+def test_only_touched_leaves_are_encoded(encoder, unit):
+    text = unit * (280_000 // len(unit))
     tree = tokens.TokenTree(text, encoder)
     before = tree.encoded
     tree.edit(140_000, 5, "something else")
@@ -47,6 +48,33 @@ def test_only_touched_leaves_are_encoded(encoder):
     assert tree.tokens == full_count(tree.text())
 
 
+def test_leaves_come_and_go_along_their_paths(encoder, monkeypatch):
+    text = "".join(f"word{i} and more, " for i in range(5_000))
+    tree = tokens.TokenTree(text, encoder)
+    monkeypatch.setattr(tokens.TokenTree, "_plant", None)  # nothing is laid out anew
+    for at, delete, insert in [(9_000, 3_000, ""), (9_000, 0, "new words, " * 150), (5, 2_000, "x"), (60_000, 1, "y"), (10**6, 0, " end")]:
+        before = tree.encoded
+        tree.edit(at, delete, insert)
+        text = text[:at] + insert + text[at + delete :]
+        assert tree.text() == text and tree.tokens == full_count(text)
+        assert tree.encoded - before < len(insert) + 12 * tokens.LEAF
+
+
+def test_kept_trees(spark, make_docs, encoder):
+    texts = {1: "some words, more. " * 3_000, 2: "", 3: "中文。" * 900, 4: None}
+    docs = tokens.planted(make_docs(list(texts.items())), vocabulary())
+    edits = spark.createDataFrame([(k, 1, 700, 20, " new ") for k in texts], "doc_id long, seq long, at long, n_delete long, inserted string")
+    rows = tokens.edited_counts(tokens.with_edits(docs, edits), vocabulary()).collect()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert (r.n_tokens, r.edited_tokens) == (full_count(text), full_count(text[:700] + " new " + text[720:]))
+        assert r.reencoded_chars < 5 * tokens.LEAF
+    assert len(rows) == 4
+    # A column that only has the name of a kept tree is not looked at.
+    other = make_docs([(1, "a b")]).selectExpr("*", "7 AS leaves")
+    assert tokens.edited_counts(tokens.with_edits(other, edits), vocabulary()).count() == 1
+
+
 def test_query_and_edit_table(spark, sf_dir, documents, make_docs):
     rows = {r.doc_id: r for r in op2_edit_aware_token_counts(spark, sf_dir).collect()}
     for r in documents.collect():
