@@ -21,6 +21,8 @@ from granary.llm.common import LOWER, kept, map_batches, stored, texts_of
 WINDOW = 10
 #: Words of items in one automaton; more items are worked through in blocks.
 BLOCK_WORDS = 100_000
+#: Tables of block hits that are brought into one, so that no plan has more of them.
+MERGED_PARTS = 16
 
 # Letters and digits in ASCII and everything above it are words; the rest parts them.
 _WORD_BYTES = bytes(
@@ -203,20 +205,31 @@ def contamination(
     equal items count by their id; repeated documents each get their row. Empty
     tables on either side give no rows or no hits. Other columns are not looked
     at. With more than `block_words` words of items the documents are read once
-    per block, and only rows with hits are brought together.
+    per block, one block after another: the driver and the tasks hold one block,
+    its hits are written to the shared folder, and only rows with hits are
+    brought together.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     schema = "doc_id long, text_hash long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-    parts = []
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     count, block = _dealt(benchmark, block_words)
+
+    def scanned(shared) -> DataFrame:
+        return map_batches(rows, _scanner(shared, window, ("automaton", uuid.uuid4().hex)), schema)
+
+    if count == 1:
+        return _counted(scanned(spark.sparkContext.broadcast(block(0)))).drop("text_hash")
+    parts: list[DataFrame] = []
     for k in range(count):
-        shared, key = spark.sparkContext.broadcast(block(k)), ("automaton", uuid.uuid4().hex)
-        parts.append(map_batches(rows.withColumn("text_hash", F.xxhash64("text")), _scanner(shared, window, key), schema))
-    if len(parts) == 1:
-        return _counted(parts[0]).drop("text_hash")
-    same = parts[0].select("doc_id", "text_hash", "n_words")
-    hit = reduce(DataFrame.unionByName, [p.where(F.size("spans") > 0) for p in parts])
+        # A block's hits are written before the next block is read, so one block is held at a time.
+        shared = spark.sparkContext.broadcast(block(k))
+        parts.append(stored(scanned(shared).where(F.size("spans") > 0)))
+        shared.destroy()
+        if len(parts) == MERGED_PARTS:
+            parts = [stored(reduce(DataFrame.unionByName, parts))]
+    same = map_batches(rows, _count_words, "doc_id long, text_hash long, n_words long")
+    hit = reduce(DataFrame.unionByName, parts)
     gathered = hit.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "text_hash").agg(
         F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
@@ -248,6 +261,13 @@ def _counted(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_hash", "n_words", hit.alias("n_hit"), "spans", "items")
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = pa.array([len(words_of(t)) for t in texts_of(batch)], pa.int64())
+        columns = [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), counts]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_words"])
+
+
 def _scanner(shared, window: int, key: tuple):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared, window, key)

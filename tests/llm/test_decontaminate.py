@@ -119,3 +119,39 @@ def test_query_against_brute_force(spark, sf_dir, documents):
         n, hit, names = brute(texts[r.doc_id], items)
         digest = hashlib.sha256(",".join(names).encode()).hexdigest()
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(names), digest, hit > 0)
+
+
+def test_blocks_are_held_one_at_a_time(spark, make_docs, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    items = [(f"item{i:02d}", " ".join(rng.choices(words, k=rng.choice([3, 10, 14])))) for i in range(40)]
+    docs = []
+    for i in range(60):
+        text = rng.choices(words, k=30)
+        for _, passage in rng.sample(items, 3):
+            text[rng.randrange(30) : 0] = passage.split()
+        docs.append((i if i % 9 else None, " ".join(text)))
+    docs += [(70, None), (71, ""), docs[1], docs[1]]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    monkeypatch.setattr(dc, "MERGED_PARTS", 4)
+    live, most = [], []
+    share = spark.sparkContext.broadcast
+
+    def broadcast(value):
+        held = share(value)
+        live.append(held)
+        most.append(len(live))
+        destroy = held.destroy
+        held.destroy = lambda *x: (live.remove(held), destroy(*x))
+        return held
+
+    def found(block_words):
+        out = dc.contamination(make_docs(docs), benchmark, block_words=block_words)
+        return sorted(
+            (str(r.doc_id), r.n_words, r.n_hit, [(s.start, s.end) for s in r.spans], list(r.items)) for r in out.collect()
+        )
+
+    one = found(100_000)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    assert found(25) == one
+    assert len(most) > 8 and max(most) == 1 and len(one) == len(docs)
