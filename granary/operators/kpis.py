@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions.parsing import micros, whole_days
 from granary.plans.radix import field_quantiles
 from granary.plans.ranking import with_running_totals
-from granary.plans.rollups import demand_stats, product_totals
+from granary.plans.rollups import demand_stats, product_totals, stored_aggregates
 from granary.schema import Sales, unavailable
 from granary.session import materialize
 
@@ -219,7 +219,7 @@ def kpi_summary(
     and joined once: all but the ranking by value is worked out in their row. A
     KPI that its own operator would leave out is null here.
     """
-    totals, stats = materialize(product_totals(sales)), materialize(demand_stats(sales))
+    totals, stats = stored_aggregates(sales)
     basis = "revenue" if sales.has("unit_price") else "quantity_sold"
     ranked = abc_of(totals, basis, stored=True).select("product_id", F.col("tier").alias("abc_tier"))
     rows = idle_of(totals, keep=("avg_stock", "latest_stock")).join(stats, "product_id", "left").join(ranked, "product_id", "left")

@@ -10,16 +10,15 @@ from granary.operators.eda import product_labels
 from granary.operators.elasticity import price_elasticity
 from granary.operators.kpis import (
     DEFAULT_Z,
+    cover_of,
     date_span,
-    days_of_inventory,
     idle_of,
-    xyz_analysis,
+    xyz_of,
     xyz_tier,
 )
 from granary.operators.risk import inventory_ml, risk_table
-from granary.plans.rollups import demand_stats, product_totals
+from granary.plans.rollups import stored_aggregates
 from granary.schema import Sales
-from granary.session import materialize
 from granary.sources.results import ResultStore
 
 # Cover limits in days, risk score limits, order of priorities.
@@ -38,8 +37,9 @@ def rule_based_risk(sales: Sales, fitted: DataFrame) -> DataFrame:
     `fitted` has (product_id, forecast). Products need both a cover and a tier; a
     missing forecast adds nothing.
     """
-    cover = days_of_inventory(sales).select("product_id", "days_of_inventory")
-    tiers = xyz_analysis(sales).select("product_id", "xyz_tier")
+    totals, stats = stored_aggregates(sales)
+    cover = cover_of(totals).where(F.lit(sales.has("current_stock"))).select("product_id", "days_of_inventory")
+    tiers = xyz_of(stats).select("product_id", "xyz_tier")
     rising = fitted.select(
         "product_id",
         (F.element_at("forecast", -1) > F.element_at("forecast", 1)).alias("rising"),
@@ -83,7 +83,7 @@ def product_facts(
     Totals and daily statistics are written once and joined once; what follows
     from them is worked out in their row.
     """
-    totals, stats = materialize(product_totals(sales)), materialize(demand_stats(sales))
+    totals, stats = stored_aggregates(sales)
     span = date_span(totals)
     daily = F.col("net_quantity_sold") / F.greatest(whole_days(span["first"], span["last"]), F.lit(1))
     covered = (daily > 0) & F.lit(sales.has("current_stock"))

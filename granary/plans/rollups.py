@@ -13,6 +13,7 @@ from pyspark.sql.types import IntegralType
 
 from granary.functions.parsing import zero_if_null
 from granary.schema import Sales
+from granary.session import materialize, releases
 
 
 def daily_demand(sales: Sales) -> DataFrame:
@@ -44,6 +45,17 @@ def demand_stats(sales: Sales) -> DataFrame:
     )
 
 
+def stored_aggregates(sales: Sales) -> tuple[DataFrame, DataFrame]:
+    """Totals and daily statistics per product, written once for a `Sales` handle.
+
+    Operators on the same handle share the two scans. After `session.release` they are
+    made anew.
+    """
+    if sales.aggregates is None or sales.aggregates[0] != releases():
+        sales.aggregates = (releases(), materialize(product_totals(sales)), materialize(demand_stats(sales)))
+    return sales.aggregates[1:]
+
+
 def latest(sales: Sales, value: str) -> Column:
     """Last non-null value by date, then input order; rows without a date come first.
 

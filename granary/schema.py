@@ -37,11 +37,13 @@ class Sales:
     `df` holds the canonical columns (nulls, never NaN, for missing numbers) and
     `_ord`, a column unique per row that stands for the input order. A field is
     *available* when at least one row has a value. `known` records answers that
-    need no scan, such as fields a mapping left out.
+    need no scan, such as fields a mapping left out. `aggregates` is where
+    `rollups.stored_aggregates` keeps its tables.
     """
 
     df: DataFrame
     known: dict[str, bool] = field(default_factory=dict)
+    aggregates: tuple | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self):
         if ORDER_COLUMN not in self.df.columns:

@@ -26,6 +26,7 @@ SETTINGS = {
 SHARED_KEY = "granary.shared.dir"
 
 _written: list[tuple[SparkSession, str]] = []
+_releases = [0]
 
 
 def configure(spark: SparkSession, folder: str | None = None) -> SparkSession:
@@ -65,8 +66,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def releases() -> int:
+    """How often tables were deleted so far; what was kept before the last time is gone."""
+    return _releases[0]
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables `materialize` wrote in this session; frames on them end with it."""
+    _releases[0] += 1
     context = spark.sparkContext
     for entry in [e for e in _written if e[0] is spark]:
         path = context._jvm.org.apache.hadoop.fs.Path(entry[1])

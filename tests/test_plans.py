@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import stockout
+from granary.operators import kpis, recommendations, stockout
 from granary.plans import ranking, rollups
 from granary.plans.box import box_numbers
 from granary.plans.lookup import join_lookup
@@ -179,3 +179,19 @@ def test_latest_value_without_a_sort(spark, make_sales):
     assert {r.product_id: r.latest_stock for r in totals.collect()} == {"a": 3.0, "b": 5.0, "c": 7.0, "d": None}
     for table in (totals, stockout.daily_activity(sales)):
         assert "SortAggregate" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_aggregates_are_written_once_for_a_handle(spark, make_sales, monkeypatch):
+    sales = make_sales(
+        date=["2024-01-01", "2024-01-02", "2024-01-05"], product_id=["a", "b", "a"], quantity_sold=[1.0, 2.0, 3.0],
+        current_stock=[5.0, 6.0, 7.0],
+    )
+    written, write = [], rollups.materialize
+    monkeypatch.setattr(rollups, "materialize", lambda d: written.append(d) or write(d))
+    fitted = spark.createDataFrame([("a", [1.0, 2.0])], "product_id string, forecast array<double>")
+    risk = recommendations.rule_based_risk(sales, fitted)
+    recommendations.recommendations(sales, risk, default_lead=7)
+    kpis.kpi_summary(sales)
+    assert len(written) == 2 and risk.count() == 2
+    monkeypatch.setattr(rollups, "releases", lambda: -1)
+    assert kpis.kpi_summary(sales).count() == 2 and len(written) == 4
