@@ -111,7 +111,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
     """Add sequence_id and offset to rows with a `length` between 1 and window.
 
     Pieces of `window` fill a sequence of their own. The others are packed in
-    shards of about `shard_pieces` rows, dealt by hash. Sequences are numbered
+    shards of about `shard_pieces` rows, dealt by a hash of their place in the table. Sequences are numbered
     from 0 without gaps within each shard and are unique over all. The input is
     written once to the shared folder, since its size fixes the shards, and read
     back in the same order however often a task is repeated.
@@ -140,7 +140,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
         table = table.append_column("sequence_id", pa.array(number, pa.int64()))
         return table.append_column("offset", pa.array(offset, pa.int64()))
 
-    shard = F.pmod(F.xxhash64(*[F.col(f.name) for f in fields]), F.lit(shards))
+    # By place in the written table, not by content: copies of one row part like any rows.
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
     packed = (
         pieces.where(F.col("length") < window)
         .withColumn("shard", shard)

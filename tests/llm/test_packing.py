@@ -99,3 +99,17 @@ def test_shards_and_odd_rows(spark, make_docs):
     assert packing.pack_documents(make_docs([]), vocabulary()).count() == 0
     twice = packing.pack_documents(make_docs([(1, "same"), (1, "same")]), vocabulary()).collect()
     assert len(twice) == 2 and {(r.sequence_id, r.offset) for r in twice} == {(0, 0), (0, twice[0].length)}
+
+
+def test_copies_of_one_row_are_dealt_to_many_shards(spark, make_docs):
+    # Rows without an id and a text are all alike: 3,000 pieces of one id each.
+    docs = make_docs([(None, None)] * 3_000)
+    rows = packing.pack_documents(docs, vocabulary(), window=64, shard_pieces=100).collect()
+    assert len(rows) == 3_000 and {r.length for r in rows} == {1}
+    places = {(r.sequence_id, r.offset) for r in rows}
+    assert len(places) == 3_000
+    # Thirty shards, none with all rows: each leaves at most one window open.
+    shards = {}
+    for r in rows:
+        shards[(r.sequence_id // 2) % 30] = shards.get((r.sequence_id // 2) % 30, 0) + 1
+    assert len(shards) == 30 and max(shards.values()) < 200
