@@ -110,14 +110,17 @@ class ResultStore:
         return found.drop("print")
 
     def forest(self, name: str, key: str, build: Callable[[], RandomForestClassificationModel], **parameters):
-        """The stored forest, or the built one, stored."""
+        """The stored forest, or the built one, stored.
+
+        It is read back in either case: a fitted forest holds its training summary and
+        with it the session, which tasks cannot take along once it has observed a table.
+        """
         path = self.path(name, key, **parameters)
         try:
             return RandomForestClassificationModel.load(path)
         except (PySparkException, Py4JJavaError):
-            model = build()
-            model.write().overwrite().save(path)
-            return model
+            build().write().overwrite().save(path)
+            return RandomForestClassificationModel.load(path)
 
 
 def _finished(spark, path: str) -> bool:

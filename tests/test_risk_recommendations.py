@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from granary.operators import forecasting as fc
@@ -112,6 +113,15 @@ def test_classifier(spark, history, tmp_path_factory):
     assert rows_by(risk.risk_table(again), "product_id") == table
 
 
+def test_forest_scores_after_the_session_observed_a_table(spark, history, tmp_path_factory):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    trained = risk.inventory_ml(history, ResultStore(str(tmp_path_factory.mktemp("observed"))))
+    assert trained.metrics.first()["n_test"] > 0
+    assert risk.risk_table(trained).count() == risk.risk_explanations(trained).count() == 4
+
+
 def test_split_is_exact_and_the_fit_bounded(history):
     table = stockout.feature_table(history).cache()
     for cells in (1, 7, 1 << 16):
