@@ -13,9 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.operators.stockout import FEATURES, feature_table, ml_gate
+from granary.operators.stockout import FEATURES, daily_activity, feature_table, ml_gate
 from granary.schema import Sales
-from granary.session import checkpoint_folder, heavy_tasks
+from granary.session import checkpoint_folder, heavy_tasks, materialize
 from granary.sources.results import ResultStore, fingerprint
 
 # The forest, the split, and the label limits.
@@ -49,16 +49,26 @@ class RiskModel:
         return self.reason is None
 
 
-def split(features: DataFrame, cells: int = CELLS) -> DataFrame:
+def _placed(features: DataFrame, cells: int) -> DataFrame:
+    draw = F.xxhash64("product_id", "snapshot_date", F.lit(SEED))
+    return features.withColumns({"_draw": draw, "_cell": F.pmod(draw, F.lit(cells))})
+
+
+def cell_counts(features: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Rows per class and hash cell, written once: (stockout_occurred, _cell, n)."""
+    return materialize(_placed(features, cells).groupBy("stockout_occurred", "_cell").agg(F.count(F.lit(1)).alias("n")))
+
+
+def split(features: DataFrame, cells: int = CELLS, counts: DataFrame | None = None) -> DataFrame:
     """Mark four fifths of each class as `is_train`, exactly, by the hash of the row's key.
 
-    Rows are counted per class and hash cell; the counts say in which cell the
-    limit falls, and only that cell's rows are ranked.
+    Rows are counted per class and hash cell (`counts`, if they are there already);
+    the counts say in which cell the limit falls, and only that cell's rows are
+    ranked, once. What is marked is then read in one pass.
     """
     label = "stockout_occurred"
-    draw = F.xxhash64("product_id", "snapshot_date", F.lit(SEED))
-    placed = features.withColumns({"_draw": draw, "_cell": F.pmod(draw, F.lit(cells))})
-    counts = placed.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("n"))
+    placed = _placed(features, cells)
+    counts = cell_counts(features, cells) if counts is None else counts
     before = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     limits = (
         counts.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(Window.partitionBy(label))})
@@ -66,12 +76,15 @@ def split(features: DataFrame, cells: int = CELLS) -> DataFrame:
         .where((F.col("before") <= F.col("wanted")) & (F.col("wanted") < F.col("before") + F.col("n")))
         .select(F.col(label).alias("_label"), F.col("_cell").alias("_limit"), (F.col("wanted") - F.col("before")).alias("_rest"))
     )
-    # One row per class.
-    joined = placed.join(F.broadcast(limits), F.col(label).eqNullSafe(F.col("_label")))
-    clear = joined.where("_cell <> _limit").withColumn("is_train", F.col("_cell") < F.col("_limit"))
-    order = Window.partitionBy(label).orderBy("_draw", "product_id", "snapshot_date")
-    edge = joined.where("_cell = _limit").withColumn("is_train", F.row_number().over(order) <= F.col("_rest"))
-    return clear.unionByName(edge).select(*features.columns, "is_train")
+    # One row per class, here and below.
+    same = F.col(label).eqNullSafe(F.col("_label"))
+    key = F.struct("_draw", "product_id", "snapshot_date")
+    edge = placed.join(F.broadcast(limits), same & (F.col("_cell") == F.col("_limit"))).select("_label", "_rest", key.alias("_key"))
+    order = Window.partitionBy("_label").orderBy("_key")
+    last = edge.withColumn("_place", F.row_number().over(order)).where("_place = _rest").select(F.col("_label").alias("_class"), F.col("_key").alias("_last"))
+    limits = materialize(limits.join(last, F.col("_label").eqNullSafe(F.col("_class")), "left").select("_label", "_limit", "_last"))
+    inside = (F.col("_cell") < F.col("_limit")) | ((F.col("_cell") == F.col("_limit")) & F.coalesce(key <= F.col("_last"), F.lit(False)))
+    return placed.join(F.broadcast(limits), same).select(*features.columns, inside.alias("is_train"))
 
 
 def _assembled(features: DataFrame) -> DataFrame:
@@ -79,38 +92,91 @@ def _assembled(features: DataFrame) -> DataFrame:
     return vectors.withColumn("label", F.col("stockout_occurred").cast("double"))
 
 
-def fitting_rows(marked: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """About `most` of the training rows, all of them if there are fewer, drawn by a hash of the key."""
-    held = marked.agg(F.count_if("is_train")).scalar()
+def fitting_rows(marked: DataFrame, most: int = FIT_ROWS, held: int | None = None) -> DataFrame:
+    """About `most` of the training rows, all of them if there are fewer, drawn by a hash of the key.
+
+    `held` is the number of training rows, where it is known.
+    """
+    rows = marked.agg(F.count_if("is_train")).scalar() if held is None else F.lit(held)
     draw = F.pmod(F.xxhash64("product_id", "snapshot_date", F.lit(SEED + 1)), F.lit(1 << 30))
-    return marked.where("is_train").where(draw * held < F.lit(float(most) * (1 << 30)))
+    return marked.where("is_train").where(draw * rows < F.lit(float(most) * (1 << 30)))
 
 
-def train_forest(marked: DataFrame, most: int = FIT_ROWS) -> RandomForestClassificationModel:
+def train_forest(marked: DataFrame, most: int = FIT_ROWS, held: int | None = None) -> RandomForestClassificationModel:
     """The forest on the training rows, spread over all cores.
 
     `most` bounds the labelled rows that are fitted on, and nothing else: the
-    held-out rows are all tested, and all products scored.
+    held-out rows are all tested, and all products scored. The rows are written
+    once, as the fit reads them many times.
     """
-    rows = fitting_rows(marked, most).select(*FEATURES, "stockout_occurred")
+    rows = materialize(fitting_rows(marked, most, held).select(*FEATURES, "stockout_occurred"))
     spread = rows.repartition(heavy_tasks(rows.sparkSession))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     return forest.fit(_assembled(spread))
 
 
-def evaluate(model: RandomForestClassificationModel, marked: DataFrame, most: int = FIT_ROWS) -> DataFrame:
-    """Accuracy, precision and recall (0 when undefined) on the held-out rows; how many rows were fitted on."""
-    scored = model.transform(_assembled(marked.where(~F.col("is_train"))))
+def limits_of(spark, model_path: str) -> dict[str, list[float]]:
+    """Per feature the values at which a tree of the stored forest splits, ascending.
+
+    The fit chooses among at most 31 values a feature, however large the table.
+    """
+    found = {f: set() for f in FEATURES}
+    for tree in forest_table(spark, model_path):
+        for left, feature, limit in zip(tree["left"], tree["feature"], tree["limit"]):
+            if left >= 0:
+                found[FEATURES[feature]].add(float(limit))
+    return {f: sorted(limits) for f, limits in found.items()}
+
+
+def _place(feature: str, limits: list[float]) -> Column:
+    """How many of the ascending limits lie below, by halving."""
+    if not limits:
+        return F.lit(0)
+    half = len(limits) // 2
+    low, high = _place(feature, limits[:half]), _place(feature, limits[half + 1 :])
+    return F.when(F.col(feature) > F.lit(limits[half]), high + F.lit(half + 1)).otherwise(low)
+
+
+def cell_rows(rows: DataFrame, limits: dict[str, list[float]]) -> DataFrame:
+    """Rows per label and cell between the limits, `copies`, with one vector that lies in the cell.
+
+    All rows of a cell take the same way through every tree. The number of cells
+    depends on the forest alone.
+    """
+    places = [_place(f, at) for f, at in limits.items()]
+    placed = rows.select("stockout_occurred", *FEATURES, *[p.alias(f"_at_{i}") for i, p in enumerate(places)])
+    return placed.groupBy("stockout_occurred", *[f"_at_{i}" for i in range(len(places))]).agg(
+        F.count(F.lit(1)).alias("copies"), *[F.min(f).alias(f) for f in FEATURES]
+    )
+
+
+def evaluate(
+    model: RandomForestClassificationModel, marked: DataFrame, most: int = FIT_ROWS, held: int | None = None,
+    limits: dict[str, list[float]] | None = None,
+) -> DataFrame:
+    """Accuracy, precision and recall (0 when undefined) on the held-out rows; how many rows were fitted on.
+
+    With the forest's `limits`, rows of one cell between them are scored once, and
+    count as often as there are.
+    """
+    tested = marked.where(~F.col("is_train"))
+    tested = tested.withColumn("copies", F.lit(1)) if limits is None else cell_rows(tested, limits)
+    scored = model.transform(_assembled(tested))
     said, was = F.col("prediction") == 1, F.col("label") == 1
-    hits = F.count_if(said & was)
+    rows = F.sum("copies")
+
+    def number(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("copies"))), F.lit(0))
+
+    hits = number(said & was)
     counted = scored.agg(
-        (F.count_if(said == was) / F.count(F.lit(1))).alias("accuracy"),
-        F.coalesce(F.try_divide(hits, F.count_if(said)), F.lit(0.0)).alias("precision"),
-        F.coalesce(F.try_divide(hits, F.count_if(was)), F.lit(0.0)).alias("recall"),
-        F.count(F.lit(1)).alias("n_test"),
+        (number(said == was) / rows).alias("accuracy"),
+        F.coalesce(F.try_divide(hits, number(said)), F.lit(0.0)).alias("precision"),
+        F.coalesce(F.try_divide(hits, number(was)), F.lit(0.0)).alias("recall"),
+        F.coalesce(rows, F.lit(0)).alias("n_test"),
     )
-    trained = marked.agg(F.count_if("is_train").alias("n_train")).scalar()
-    fitted = fitting_rows(marked, most).agg(F.count(F.lit(1)).alias("n_fitted")).scalar()
+    trained = marked.agg(F.count_if("is_train").alias("n_train")).scalar() if held is None else F.lit(held).cast("bigint")
+    fitted = fitting_rows(marked, most, held).agg(F.count(F.lit(1)).alias("n_fitted")).scalar()
     return counted.select(
         "accuracy", "precision", "recall", trained.alias("n_train"), fitted.alias("n_fitted"), "n_test",
         (F.col("accuracy") < LOW_ACCURACY).alias("low_accuracy"),
@@ -122,29 +188,35 @@ def inventory_ml(sales: Sales, store: ResultStore | None = None, most: int = FIT
 
     The forest is fitted on at most about `most` labelled rows.
     """
-    gate = ml_gate(sales).first()
+    activity = materialize(daily_activity(sales)) if sales.has("current_stock") else None
+    gate = ml_gate(sales, activity).first()
     if not gate["available"]:
         return RiskModel(reason=gate["reason"])
     spark = sales.df.sparkSession
     store = store or ResultStore(f"{checkpoint_folder(spark)}/granary-results")
     key = fingerprint(sales.df)
-    features = store.table("risk-features", key, sales.df, lambda: feature_table(sales))
-    classes = features.groupBy("stockout_occurred").count().collect()
+    features = store.table("risk-features", key, sales.df, lambda: feature_table(sales, activity))
+    counts = cell_counts(features)
+    classes = counts.groupBy("stockout_occurred").agg(F.sum("n").alias("rows")).collect()
     if not classes:
         return RiskModel(reason=NO_EXAMPLES)
-    if len(classes) < 2 or min(row["count"] for row in classes) < 2:
+    if len(classes) < 2 or min(row["rows"] for row in classes) < 2:
         return RiskModel(reason=ONE_CLASS)
-    marked = split(features)
+    held = sum(int(row["rows"] * TRAIN_SHARE) for row in classes)
     made_by = {"most": most, "trees": TREES, "depth": DEPTH, "seed": SEED, "share": TRAIN_SHARE}
-    model = store.forest("risk-forest", key, lambda: train_forest(marked, most), **made_by)
-    metrics = store.table("risk-metrics", key, sales.df, lambda: evaluate(model, marked, most), **made_by)
-    return RiskModel(None, model, store.path("risk-forest", key, **made_by), features, metrics)
+    marked = split(features, counts=counts)
+    model = store.forest("risk-forest", key, lambda: train_forest(marked, most, held), **made_by)
+    path = store.path("risk-forest", key, **made_by)
+    metrics = store.table(
+        "risk-metrics", key, sales.df, lambda: evaluate(model, marked, most, held, limits_of(spark, path)), **made_by
+    )
+    return RiskModel(None, model, path, features, metrics)
 
 
 def latest_features(features: DataFrame) -> DataFrame:
-    """Each product's last snapshot."""
-    last = F.max(F.struct("snapshot_date", *FEATURES)).alias("last")
-    return features.groupBy("product_id").agg(last).select("product_id", "last.*")
+    """Each product's last snapshot; buffers of fixed width, so no row is sorted."""
+    last = [F.max_by(f, "snapshot_date").alias(f) for f in FEATURES]
+    return features.groupBy("product_id").agg(F.max("snapshot_date").alias("snapshot_date"), *last)
 
 
 def risk_label(score: Column) -> Column:

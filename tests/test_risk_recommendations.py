@@ -280,3 +280,40 @@ def test_report_without_advice(make_sales):
     row = report.executive_facts(sales, risks, advice).first()
     assert row["top_recommendations"] == report.NOTHING_URGENT
     assert report.product_report(sales, risks, advice).first()["risk_label"] == "unknown"
+
+
+def test_cells_score_as_their_rows(spark, history, tmp_path_factory):
+    store = ResultStore(str(tmp_path_factory.mktemp("cells")))
+    trained = risk.inventory_ml(history, store)
+    marked = risk.split(trained.features)
+    limits = risk.limits_of(spark, trained.model_path)
+    assert set(limits) == set(stockout.FEATURES) and all(len(at) <= 31 for at in limits.values())
+    tested = marked.where(~F.col("is_train"))
+    by_cell = risk.cell_rows(tested.union(tested), limits)
+    assert by_cell.agg(F.sum("copies")).first()[0] == 2 * tested.count() and by_cell.count() <= tested.count()
+    assert risk.evaluate(trained.model, marked).first() == trained.metrics.first()
+
+
+def test_features_of_thin_products_and_long_gaps(make_sales):
+    # One with a single reading, one without any, one with a gap longer than the look-back, one sold after its last reading.
+    days = pd.date_range("1969-11-01", periods=3)
+    frame = pd.concat([
+        pd.DataFrame({"date": days, "product_id": "single", "quantity_sold": 1.0, "current_stock": [None, 4.0, None]}),
+        pd.DataFrame({"date": days, "product_id": "none", "quantity_sold": 2.0, "current_stock": None}),
+        pd.DataFrame({"date": [*days, pd.Timestamp("1970-03-01")], "product_id": "gap", "quantity_sold": 3.5, "current_stock": [9.0, 0.0, 5.0, 0.0]}),
+        pd.DataFrame({"date": pd.date_range("1970-01-01", periods=120), "product_id": "dense", "quantity_sold": [0.1 * i for i in range(120)],
+                      "current_stock": [float(i % 11) if i < 90 else None for i in range(120)]}),
+    ])
+    found = rows_by(stockout.feature_table(make_sales(**{c: list(frame[c]) for c in frame})), "product_id", "snapshot_date")
+    want = brute_features(frame[frame["product_id"].isin(["gap", "dense"])])
+    assert set(found) == set(want) and len({p for p, _ in found}) == 2
+    for key, values in want.items():
+        got = [found[key][f] for f in stockout.FEATURES] + [found[key]["stockout_occurred"]]
+        assert np.allclose(got, values, atol=1e-8), key
+
+
+def test_features_scan_their_rows_once(history):
+    plan = stockout.feature_table(history)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Union" not in plan
+    last = risk.latest_features(stockout.feature_table(history))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in last.split("MapInArrow")[0]
