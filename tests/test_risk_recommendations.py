@@ -312,6 +312,12 @@ def test_features_of_thin_products_and_long_gaps(make_sales):
         assert np.allclose(got, values, atol=1e-8), key
 
 
+def test_explanations_are_spread_over_the_tasks(spark, history, tmp_path_factory):
+    trained = risk.inventory_ml(history, ResultStore(str(tmp_path_factory.mktemp("spread"))))
+    plan = risk.risk_explanations(trained)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan
+
+
 def test_features_scan_their_rows_once(history):
     plan = stockout.feature_table(history)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Union" not in plan
