@@ -6,7 +6,8 @@ the shocks: up to two of each, and for a seasonal series one of each at the
 period. Series are aligned at their last day. Running sums of the products of a
 series with itself d days earlier give all normal equations, of all series in one
 table; each order is then one stacked solve on a part of them. The lowest AICc
-among stationary, invertible fits wins, series by series.
+among stationary, invertible fits wins, series by series. Products with a table most
+of whose days are zeros are added up over its other days alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from granary.functions.seasonal import seasonal_strength
+from granary.functions.seasonal import SPARSE_DAYS, seasonal_strength
+from granary.functions.smoothing import forecast_batch
 
 # Orders, the KPSS 5 % point, strength that calls for a seasonal difference.
 MAX_ORDER, MAX_SEASONAL_ORDER = 2, 1
@@ -27,6 +29,8 @@ SEASONAL_DIFFERENCE = 0.64
 MIN_LENGTH = 15
 #: Numbers held for one block of series.
 BLOCK_CELLS = 4_000_000
+#: Sums at so many lags are taken from running sums.
+RUNNING_LAGS = 8
 #: Directions with less than this share of the largest eigenvalue carry nothing.
 RANK_TOLERANCE = 1e-11
 
@@ -51,10 +55,10 @@ def needs_difference(series: list[np.ndarray]) -> np.ndarray:
     lags = (4 * (n / 100.0) ** 0.25).astype(int)
     for k in range(1, min(int(lags.max()), table.shape[1] - 1) + 1):
         weight = np.where(k <= lags, 2 * (1 - k / (lags + 1)), 0.0)
-        variance = variance + weight * (e[:, k:] * e[:, :-k]).sum(axis=1) / n
+        variance = variance + weight * np.einsum("ij,ij->i", e[:, k:], e[:, :-k]) / n
     sums = np.cumsum(e, axis=1)
     with np.errstate(all="ignore"):
-        return (variance > 0) & ((sums * sums * live).sum(axis=1) / (n * n * variance) > KPSS_LIMIT)
+        return (variance > 0) & (np.einsum("ij,ij->i", sums, sums) / (n * n * variance) > KPSS_LIMIT)
 
 
 def stationary(coefficients: np.ndarray) -> np.ndarray:
@@ -77,10 +81,21 @@ def _solved(cross: np.ndarray, against: np.ndarray) -> np.ndarray:
     return (inverse @ against[:, :, None])[:, :, 0]
 
 
-def _sums(x: np.ndarray, start: np.ndarray, lag: int) -> np.ndarray:
-    """Running sums: the sum over the days from `start` on, each moved back by `lag`."""
-    rows = np.arange(len(x))
-    return x[:, x.shape[1] - 1 - lag] - np.where(start > lag, x[rows, np.maximum(start - lag - 1, 0)], 0.0)
+def _sums(x: np.ndarray, start: np.ndarray, lags: list[int]) -> list[np.ndarray]:
+    """For each lag: the sum over the days from `start` on, each moved back by the lag."""
+    width, begin = x.shape[1], int(start.min())
+    if len(lags) < RUNNING_LAGS:
+        used = (np.arange(begin, width) >= start[:, None]).astype(float)
+        return [np.einsum("ij,ij->i", x[:, begin - k : width - k], used) for k in lags]
+    rows, running = np.arange(len(x)), np.cumsum(x, axis=1)
+    return [
+        running[:, width - 1 - k] - np.where(start > k, running[rows, np.maximum(start - k - 1, 0)], 0.0) for k in lags
+    ]
+
+
+def _days_with_data(table: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows and days of all values but zero; None where most days have one."""
+    return np.nonzero(table) if np.count_nonzero(table) * SPARSE_DAYS < table.size else None
 
 
 def lag_products(tables: list[np.ndarray], terms: list[tuple[int, int]], start: np.ndarray) -> np.ndarray:
@@ -96,19 +111,36 @@ def lag_products(tables: list[np.ndarray], terms: list[tuple[int, int]], start:
         for k, (b, m) in enumerate(terms[i:], i):
             key = (a, b, m - j) if m >= j else (b, a, j - m)
             pairs.setdefault(key, []).append((i, k, min(j, m)))
+    width = tables[0].shape[1]
+    filled = [_days_with_data(t) for t in tables]
     for (a, b, d), members in pairs.items():
+        if filled[a] or filled[b]:
+            row, day = filled[a] or filled[b]
+            day = day if filled[a] else day + d
+            inside = (day >= d) & (day < width)
+            row, day = row[inside], day[inside]
+            values = tables[a][row, day] * tables[b][row, day - d]
+            counted = np.flatnonzero(values)
+            row, day, values = row[counted], day[counted], values[counted]
+            for i, k, lag in members:
+                used = (day >= start[row] - lag) & (day < width - lag)
+                out[:, i, k] = out[:, k, i] = np.bincount(row[used], values[used], len(start))
+            continue
         moved = tables[a].copy()
         moved[:, :d] = 0.0
-        moved[:, d:] *= tables[b][:, : tables[b].shape[1] - d]
-        np.cumsum(moved, axis=1, out=moved)
-        for i, k, lag in members:
-            out[:, i, k] = out[:, k, i] = _sums(moved, start, lag)
+        moved[:, d:] *= tables[b][:, : width - d]
+        for (i, k, _), found in zip(members, _sums(moved, start, [lag for *_, lag in members])):
+            out[:, i, k] = out[:, k, i] = found
     return out
 
 
 def _lag_sums(tables: list[np.ndarray], terms: list[tuple[int, int]], start: np.ndarray) -> np.ndarray:
-    running = [np.cumsum(t, axis=1) for t in tables]
-    return np.stack([_sums(running[a], start, lag) for a, lag in terms], axis=1)
+    out = np.empty((len(start), len(terms)))
+    for which, table in enumerate(tables):
+        at = [i for i, (a, _) in enumerate(terms) if a == which]
+        for i, found in zip(at, _sums(table, start, [terms[i][1] for i in at])):
+            out[:, i] = found
+    return out
 
 
 def _normal_equations(tables: list[np.ndarray], terms: list[tuple[int, int]], start: np.ndarray, constant: np.ndarray):
@@ -131,10 +163,11 @@ def long_order(n: int) -> int:
 def _block(series: list[np.ndarray], constant: np.ndarray, season: int | None, horizon: int) -> np.ndarray:
     """Forecasts of stationary series, a row each; NaN where no order fits."""
     table, first = _aligned(series)
-    scale = np.array([x.std() for x in series])
-    table /= scale[:, None]
     count, width = table.shape
-    days = np.arange(width)
+    days, n = np.arange(width), width - first
+    gaps = np.where(days >= first[:, None], table - (table.sum(axis=1) / n)[:, None], 0.0)
+    scale = np.sqrt(np.einsum("ij,ij->i", gaps, gaps) / n)
+    table /= scale[:, None]
 
     # Shocks: what a long autoregression leaves.
     orders = np.array([long_order(len(x)) for x in series])
@@ -146,8 +179,13 @@ def _block(series: list[np.ndarray], constant: np.ndarray, season: int | None, h
     kept = np.concatenate([np.ones((count, 1), bool), used], axis=1)
     fit = _solved(cross * (kept[:, :, None] & kept[:, None, :]), against * kept)
     shocks = table - fit[:, :1]
+    filled = _days_with_data(table)
     for k, b in zip(lags, fit[:, 1:].T):
-        shocks[:, k:] -= b[:, None] * table[:, : width - k]
+        if filled:
+            row, day = (x[filled[1] < width - k] for x in filled)
+            shocks[row, day + k] -= b[row] * table[row, day]
+        else:
+            shocks[:, k:] -= b[:, None] * table[:, : width - k]
     shocks[days < start[:, None]] = 0.0
 
     # Every order is a part of one set of normal equations.
@@ -177,11 +215,12 @@ def _block(series: list[np.ndarray], constant: np.ndarray, season: int | None, h
         best[better], chosen[better] = score[better], b[better]
 
     # Ahead: shocks to come are zero.
-    values, noise = (np.concatenate([z, np.zeros((count, horizon))], axis=1) for z in (table, shocks))
-    for day in range(width, width + horizon):
+    back = lags[-1]
+    values, noise = (np.concatenate([z[:, width - back :], np.zeros((count, horizon))], axis=1) for z in (table, shocks))
+    for day in range(back, back + horizon):
         seen = np.stack([values[:, day - k] for k in lags] + [noise[:, day - k] for k in lags], axis=1)
         values[:, day] = chosen[:, 0] * constant + (chosen[:, 1:] * seen).sum(axis=1)
-    return np.where(np.isfinite(best), scale, np.nan)[:, None] * values[:, width:]
+    return np.where(np.isfinite(best), scale, np.nan)[:, None] * values[:, back:]
 
 
 def seasonal_terms(n: int, season: int | None) -> int | None:
@@ -260,11 +299,10 @@ def arima_many(series: list, periods: list, horizon: int) -> list[np.ndarray | N
 
 
 @pandas_udf(ArrayType(DoubleType()))
-def arima(series: pd.Series, period: pd.Series, horizon: pd.Series) -> pd.Series:
-    """Forecast per series; null where it is missing, too short, or not to be fitted."""
+def arima(offsets: pd.Series, amounts: pd.Series, days: pd.Series, period: pd.Series, horizon: pd.Series) -> pd.Series:
+    """Forecast from the first `days` days; null where there are none, too few, or nothing fits."""
     ahead = int(horizon.max()) if len(horizon) else 0
-    periods = [None if pd.isna(p) else int(p) for p in period]
-    return pd.Series(arima_many(list(series), periods, ahead), dtype=object)
+    return forecast_batch(arima_many, offsets, amounts, days, [None if pd.isna(p) else int(p) for p in period], ahead)
 
 
 # Keeps the optimizer from copying the call into filters it derives.

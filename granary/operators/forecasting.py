@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.autoregression import arima
-from granary.functions.seasonal import strengths
 from granary.functions.smoothing import ets
-from granary.operators.seasonality import first_seasonal
-from granary.plans.series import product_series
+from granary.operators.seasonality import first_seasonal, with_strengths
+from granary.plans.series import filled, points_of, product_points, product_series
 from granary.schema import Sales
 from granary.session import checkpoint_folder
 from granary.sources.results import ResultStore, group_fingerprints
@@ -29,21 +28,30 @@ def daily_series(sales: Sales) -> DataFrame:
     ).select("product_id", F.date_add("first_day", F.col("offset")).alias("day"), "quantity")
 
 
-def with_period(series: DataFrame) -> DataFrame:
-    return series.withColumn("strengths", strengths("series")).withColumn(
-        "period", first_seasonal(F.col("strengths"))
-    ).drop("strengths")
+def with_period(points: DataFrame) -> DataFrame:
+    return with_strengths(points).withColumn("period", first_seasonal(F.col("strengths"))).drop("strengths")
 
 
-def naive(series: Column, period: Column, horizon: int = HORIZON) -> Column:
-    """The last cycle repeated, or the mean of the last week where nothing is seasonal."""
-    n = F.size(series)
+def _on(points: Column, day: Column) -> Column:
+    """The quantity of one day, zero without data."""
+    found = F.get(F.filter(points, lambda p: p["t"] == day), F.lit(0))
+    return F.coalesce(found["quantity"], F.lit(0.0))
+
+
+def naive(points: Column, days: Column, period: Column, horizon: int = HORIZON) -> Column:
+    """The last cycle repeated, or the mean of the last week where nothing is seasonal.
+
+    Looks at the first `days` days only; null where there are none.
+    """
     ahead = F.sequence(F.lit(0), F.lit(horizon - 1))
-    cycle = F.transform(ahead, lambda k: F.get(series, n - period + k % period))
-    week = F.slice(series, F.greatest(n - AVERAGE_DAYS + 1, F.lit(1)), AVERAGE_DAYS)
-    mean = F.aggregate(week, F.lit(0.0), lambda a, v: a + v) / F.size(week)
-    return F.when(period.isNotNull() & (n >= 2 * period), cycle).otherwise(
-        F.array_repeat(mean, horizon)
+    back = F.greatest(F.coalesce(period, F.lit(0)), F.lit(AVERAGE_DAYS))
+    late = F.filter(points, lambda p: (p["t"] < days) & (p["t"] >= days - back))
+    cycle = F.transform(ahead, lambda k: _on(late, days - period + k % period))
+    week = F.filter(points, lambda p: (p["t"] < days) & (p["t"] >= days - AVERAGE_DAYS))
+    total = F.aggregate(week, F.lit(0.0), lambda a, p: a + p["quantity"])
+    mean = total / F.least(days, F.lit(AVERAGE_DAYS))
+    return F.when(period.isNotNull() & (days >= 2 * period), cycle).when(
+        days.isNotNull(), F.array_repeat(mean, horizon)
     )
 
 
@@ -53,34 +61,29 @@ def mean_absolute_error(actual: Column, predicted: Column) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v) / F.size(gaps)
 
 
-def _split(series: DataFrame) -> DataFrame:
-    """Train and test parts; null where the series is too short to compare models."""
+def _split(points: DataFrame) -> DataFrame:
+    """Days to train on and quantities to test against; null where the series is too short to compare models."""
     enough = F.col("days") >= 2 * HOLD_OUT
-    # slice() needs a length of at least zero also where the result is not used.
-    length = F.greatest(F.col("days") - HOLD_OUT, F.lit(0))
-    return series.withColumns(
-        {
-            "train": F.when(enough, F.slice("series", F.lit(1), length)),
-            "test": F.when(enough, F.slice("series", length + 1, F.lit(HOLD_OUT))),
-        }
-    )
+    train = F.col("days") - HOLD_OUT
+    late = F.filter("pts", lambda p: p["t"] >= train)
+    test = F.transform(F.sequence(F.lit(0), F.lit(HOLD_OUT - 1)), lambda k: _on(late, train + k))
+    return points.withColumns({"train": F.when(enough, train), "test": F.when(enough, test)})
 
 
 def backtest_naive(sales: Sales) -> DataFrame:
     """Error of the baseline on the held-out days."""
-    split = _split(with_period(product_series(sales)))
+    split = _split(with_period(product_points(sales)))
+    predicted = naive(F.col("pts"), F.col("train"), F.col("period"))
     return split.where(F.col("days") >= 2 * HOLD_OUT).select(
-        "product_id",
-        mean_absolute_error(F.col("test"), naive(F.col("train"), F.col("period"))).alias("naive_mae"),
+        "product_id", mean_absolute_error(F.col("test"), predicted).alias("naive_mae")
     )
 
 
 def naive_forecasts(sales: Sales, horizon: int = HORIZON) -> DataFrame:
     """The baseline alone: (product_id, last_day, forecast), without Python models."""
-    series = with_period(product_series(sales))
-    return series.where(F.col("days") >= 2 * HOLD_OUT).select(
-        "product_id", "last_day", naive(F.col("series"), F.col("period"), horizon).alias("forecast")
-    )
+    points = with_period(product_points(sales))
+    forecast = naive(F.col("pts"), F.col("days"), F.col("period"), horizon)
+    return points.where(F.col("days") >= 2 * HOLD_OUT).select("product_id", "last_day", forecast.alias("forecast"))
 
 
 def model_selection(sales: Sales) -> DataFrame:
@@ -88,13 +91,19 @@ def model_selection(sales: Sales) -> DataFrame:
 
     Ties go to the simpler model. Too short a series gets an error instead.
     """
-    split = _split(with_period(product_series(sales)))
-    horizon = F.lit(HOLD_OUT)
+    chosen = _chosen(sales)
+    series = {"pts": filled(F.col("pts"))}
+    return chosen.withColumns(series).withColumnRenamed("pts", "series").drop("days")
+
+
+def _chosen(sales: Sales) -> DataFrame:
+    split = _split(with_period(product_points(sales)))
+    points, horizon = points_of(F.col("pts")), F.lit(HOLD_OUT)
     predicted = split.withColumns(
         {
-            "naive": F.when(F.col("train").isNotNull(), naive(F.col("train"), F.col("period"))),
-            "ets": ets("train", "period", horizon),
-            "arima": arima("train", "period", horizon),
+            "naive": naive(F.col("pts"), F.col("train"), F.col("period")),
+            "ets": ets(*points, F.col("train"), F.col("period"), horizon),
+            "arima": arima(*points, F.col("train"), F.col("period"), horizon),
         }
     )
     scored = predicted.withColumns(
@@ -113,7 +122,8 @@ def model_selection(sales: Sales) -> DataFrame:
         .select(
             "product_id",
             "last_day",
-            "series",
+            "pts",
+            "days",
             "period",
             F.col("best.model").alias("technique_used"),
             F.col("best.mae").alias("test_mae"),
@@ -130,17 +140,17 @@ def forecasts(sales: Sales, horizon: int = HORIZON) -> DataFrame:
 
     A model sees only the products it won, so no series is fitted twice.
     """
-    chosen = model_selection(sales)
-    ahead = F.lit(horizon)
+    chosen = _chosen(sales)
+    points, ahead = points_of(F.col("pts")), F.lit(horizon)
 
     def own(model):
-        return F.when(F.col("technique_used") == model, F.col("series"))
+        return F.when(F.col("technique_used") == model, F.col("days"))
 
     fitted = chosen.withColumns(
         {
-            "naive": naive(own("naive"), F.col("period"), horizon),
-            "ets": ets(own("ets"), F.col("period"), ahead),
-            "arima": arima(own("arima"), F.col("period"), ahead),
+            "naive": naive(F.col("pts"), own("naive"), F.col("period"), horizon),
+            "ets": ets(*points, own("ets"), F.col("period"), ahead),
+            "arima": arima(*points, own("arima"), F.col("period"), ahead),
         }
     )
     forecast = F.when(F.col("technique_used") == "naive", F.col("naive"))

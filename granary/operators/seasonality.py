@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.seasonal import MIN_CYCLES, PERIODS, STRENGTH_LIMIT, strengths
-from granary.plans.series import product_series, total_series
+from granary.plans.series import points_of, product_points, total_points
 from granary.schema import Sales
 
 
-def _period_rows(series: DataFrame, *keys: str) -> DataFrame:
+def with_strengths(points: DataFrame) -> DataFrame:
+    """Adds the strength of each tested period; the days without data are filled in the task."""
+    return points.withColumn("strengths", strengths(*points_of(F.col("pts")), F.col("days")))
+
+
+def _period_rows(points: DataFrame, *keys: str) -> DataFrame:
     periods = F.array(
         *[
             F.struct(
@@ -21,7 +26,7 @@ def _period_rows(series: DataFrame, *keys: str) -> DataFrame:
             for i, (label, days) in enumerate(PERIODS.items())
         ]
     )
-    rows = series.withColumn("strengths", strengths("series")).select(*keys, "days", F.inline(periods))
+    rows = with_strengths(points).select(*keys, "days", F.inline(periods))
     needed = F.col("period_days") * MIN_CYCLES
     short = F.col("days") < needed
     seasonal = F.col("seasonal_strength") > STRENGTH_LIMIT
@@ -41,12 +46,12 @@ def _period_rows(series: DataFrame, *keys: str) -> DataFrame:
 
 def seasonality(sales: Sales) -> DataFrame:
     """Strength of each period over the whole table; an error where too short."""
-    return _period_rows(total_series(sales))
+    return _period_rows(total_points(sales))
 
 
 def product_seasonality(sales: Sales) -> DataFrame:
     """Strength of each period within every product."""
-    return _period_rows(product_series(sales), "product_id")
+    return _period_rows(product_points(sales), "product_id")
 
 
 def first_seasonal(measured: Column) -> Column:
@@ -60,6 +65,6 @@ def first_seasonal(measured: Column) -> Column:
 
 def seasonal_periods(sales: Sales) -> DataFrame:
     """(product_id, period) to forecast with."""
-    return product_series(sales).withColumn("strengths", strengths("series")).select(
+    return with_strengths(product_points(sales)).select(
         "product_id", first_seasonal(F.col("strengths")).alias("period")
     )

@@ -1,12 +1,14 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from granary.functions import autoregression as ar
 from granary.functions.seasonal import seasonal_strength
 from granary.functions import smoothing
 from granary.functions.smoothing import smooth
 from granary.operators import elasticity, forecasting as fc, seasonality
+from granary.plans.series import product_points
 from granary.sources.results import ResultStore
 from tests.conftest import rows_by
 
@@ -287,3 +289,81 @@ def test_what_if(priced):
     row = out[10]
     assert row["new_price"] == pytest.approx(row["current_price"] * 1.1, abs=0.01)
     assert row["projected_units"] < row["baseline_units"]
+
+
+def seldom_sold(rng, n, every, head=0):
+    """A series with a sale on about one day in `every`; whole numbers."""
+    x = np.where(rng.random(n) < 1 / every, rng.integers(1, 50, n), 0).astype(float)
+    x[:head] = 0
+    return x
+
+
+def test_runs_of_zeros_are_taken_in_one():
+    """The search steps from sale to sale and finds what going day by day finds."""
+    rng = np.random.default_rng(31)
+    rows = [seldom_sold(rng, n, e, h) for n, e, h in ((2000, 70, 0), (900, 12, 30), (80, 9, 0), (3000, 2000, 1), (40, 8, 0))]
+    rows += [np.zeros(50), np.r_[5.0, np.zeros(2600), 7.0], np.r_[np.zeros(20), 4.0], np.r_[4.0, np.zeros(1100)]]
+    fast, plain = smoothing._SparseBlock(rows), smoothing._Block(rows, None, False)
+    assert fast.steps == max(np.count_nonzero(y) for y in rows) < 200
+    grid = smoothing._grid(False)[:, None, :]
+    own = rng.uniform(0.01, 0.9, (3, len(rows), 4))
+    for weights in (grid, own):
+        assert fast.squares(weights) == pytest.approx(plain.run(weights)[0], rel=1e-9, abs=1e-9)
+    assert fast.fit()[1] == pytest.approx(plain.fit()[1], rel=1e-9, abs=1e-9)
+    assert smooth(rows[5:6], [None], 3)[0].tolist() == [0, 0, 0]
+
+
+def test_lag_products_of_tables_with_few_days():
+    rng = np.random.default_rng(32)
+    lengths = [400, 300, 120]
+    x, first = ar._aligned([seldom_sold(rng, n, 15) for n in lengths])
+    noise = rng.normal(size=x.shape)
+    start = first + 20
+    terms = [(0, 0), *((0, k) for k in range(1, 16)), (1, 0), (1, 2), (1, 20)]
+    got = ar.lag_products([x, noise], terms, start)
+    for row, begin in enumerate(start):
+        columns = np.stack([(x, noise)[a][row, begin - k : x.shape[1] - k] for a, k in terms])
+        assert got[row] == pytest.approx(columns @ columns.T)
+
+
+def test_series_sold_seldom_are_forecast_alike():
+    rng = np.random.default_rng(33)
+    series = [seldom_sold(rng, n, 11) for n in (300, 420, 260)]
+    for y, f in zip(series, ar.forecast_stationary(series, [True] * 3, [None] * 3, 8)):
+        assert f == pytest.approx(plain_arma(y, True, None, 8), rel=1e-6, abs=1e-6)
+
+
+def test_only_days_with_data_travel(make_sales):
+    """Two sales years apart are two points, wherever the days between are needed."""
+    sales = make_sales(
+        date=["2015-03-01", "2021-07-10", "2021-07-01"] + ["2024-01-01"], product_id=["rare"] * 3 + ["once"],
+        quantity_sold=[4, 9, 5, 2],
+    )
+    points = rows_by(product_points(sales), "product_id")
+    assert [tuple(p.values()) for p in points["rare"]["pts"]] == [(0, 4.0), (2314, 5.0), (2323, 9.0)]
+    assert points["rare"]["days"] == 2324 and points["once"]["days"] == 1
+    out = rows_by(fc.naive_forecasts(sales), "product_id")
+    assert set(out) == {"rare"} and out["rare"]["forecast"] == [9 / 7] * 14
+    assert rows_by(fc.backtest_naive(sales), "product_id")["rare"]["naive_mae"] == pytest.approx(14 / 14)
+    chosen = rows_by(fc.model_selection(sales), "product_id")
+    assert len(chosen["rare"]["series"]) == 2324 and chosen["once"]["error"]
+    plan = fc.forecast_summary(fc.forecasts(sales))._jdf.queryExecution().executedPlan().toString()
+    assert "flatten" not in plan
+
+
+def test_baseline_from_points(spark):
+    """Cycles and means from points are those of the series with its zeros."""
+    points = [(0, 3.0), (2, 5.0), (9, 1.0), (12, 8.0), (13, 2.0), (15, 6.0)]
+    dense = np.zeros(16)
+    for t, q in points:
+        dense[t] = q
+    rows = [(n, p, points) for n in (1, 3, 10, 14, 16) for p in (None, 7, 5)] + [(None, 7, points)]
+    frame = spark.createDataFrame(rows, "days int, period int, pts array<struct<t:int,quantity:double>>")
+    for r in frame.withColumn("f", fc.naive(F.col("pts"), F.col("days"), F.col("period"), 9)).collect():
+        n, p = r["days"], r["period"]
+        if n is None:
+            assert r["f"] is None
+        elif p and n >= 2 * p:
+            assert r["f"] == [dense[n - p + k % p] for k in range(9)]
+        else:
+            assert r["f"] == [dense[max(n - 7, 0) : n].mean()] * 9
