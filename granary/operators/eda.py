@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.parsing import micros, whole_days, zero_if_null
-from granary.plans.box import box_numbers, fences, field_box, long_form
+from granary.plans.box import fences, field_box, field_box_numbers, long_form
 from granary.plans.lookup import join_lookup
 from granary.plans.radix import field_quantiles
 from granary.plans.rollups import daily_demand, product_totals
@@ -92,8 +92,7 @@ def distribution_summary(sales: Sales) -> DataFrame:
 
 def product_distribution(sales: Sales, **bucketing) -> DataFrame:
     """Box-plot numbers of every available numeric field, within each product."""
-    values = long_form(sales.keyed(), sales.numeric_fields(), ["product_id"])
-    return box_numbers(values, ["product_id", "field"], **bucketing)
+    return field_box_numbers(sales.keyed(), sales.numeric_fields(), ["product_id"], **bucketing)
 
 
 def outlier_points(sales: Sales) -> DataFrame:

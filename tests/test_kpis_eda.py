@@ -163,3 +163,39 @@ def test_product_profit_and_unknown_product(make_sales):
     assert eda.product_eda(sales, "p").first()["total_profit"] == 3 * 3 + 5 * 2 + 2 * 3.5
     with pytest.raises(ValueError):
         eda.product_eda(sales, "q")
+
+
+@pytest.mark.parametrize("rows_per_bucket", [250_000, 40, 7])
+def test_product_distribution_in_order_and_through_buckets(make_sales, rows_per_bucket):
+    """Products with few rows and with many, with nulls and repeats, agree with numpy either way."""
+    rng = np.random.default_rng(41)
+    ids = np.repeat(["few", "one", "many", "same"], [12, 1, 90, 30])
+    n = len(ids)
+    fields = {
+        "quantity_sold": rng.integers(-3, 9, n).astype(float),
+        "unit_price": np.where(rng.random(n) < 0.3, np.nan, np.round(rng.lognormal(2, 1, n), 2)),
+        "current_stock": np.where(ids == "one", np.nan, np.where(ids == "same", -0.0, rng.integers(0, 500, n))),
+    }
+    sales = make_sales(product_id=ids, date=["2024-01-01"] * n, **fields)
+    out = rows_by(eda.product_distribution(sales, rows_per_bucket=rows_per_bucket), "product_id", "field")
+    assert len(out) == 4 * len(fields) - 1 - np.isnan(fields["unit_price"][ids == "one"]).sum()
+    for (product, field), row in out.items():
+        x = fields[field][ids == product]
+        x = x[~np.isnan(x)] + 0.0
+        q1, median, q3 = np.quantile(x, [0.25, 0.5, 0.75])
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = x[(x >= low) & (x <= high)]
+        want = [q1, median, q3, len(x), low, high, x.min(), x.max(), inside.min(), inside.max(), len(x) - len(inside)]
+        assert list(row.values())[2:] == pytest.approx(want)
+        assert str(row["minimum"]) != "-0.0"
+
+
+def test_product_distribution_moves_rows_once(make_sales, spark, monkeypatch):
+    """Nothing is written for products with few rows but the list of the others, which is empty."""
+    from granary.plans import box
+
+    written, write = [], box.materialize
+    monkeypatch.setattr(box, "materialize", lambda d: written.append(write(d)) or written[-1])
+    sales = make_sales(product_id=["a", "b"] * 20, date=["2024-01-01"] * 40, quantity_sold=range(40))
+    assert eda.product_distribution(sales).count() == 2
+    assert [w.count() for w in written] == [0]
