@@ -23,8 +23,6 @@ TREES = 100
 DEPTH = 5
 SEED = 42
 TRAIN_SHARE = 0.8
-# Labelled rows that the forest is fitted on, at most about so many.
-FIT_ROWS = 100_000
 # Hash cells of the split.
 CELLS = 1 << 16
 HIGH_RISK = 0.66
@@ -92,24 +90,22 @@ def _assembled(features: DataFrame) -> DataFrame:
     return vectors.withColumn("label", F.col("stockout_occurred").cast("double"))
 
 
-def fitting_rows(marked: DataFrame, most: int = FIT_ROWS, held: int | None = None) -> DataFrame:
-    """About `most` of the training rows, all of them if there are fewer, drawn by a hash of the key.
-
-    `held` is the number of training rows, where it is known.
-    """
-    rows = marked.agg(F.count_if("is_train")).scalar() if held is None else F.lit(held)
+def fitting_rows(marked: DataFrame, most: int | None = None) -> DataFrame:
+    """The training rows; with `most`, which nothing here gives, about so many of them, drawn by a hash of the key."""
+    trained = marked.where("is_train")
+    if most is None:
+        return trained
+    rows = marked.agg(F.count_if("is_train")).scalar()
     draw = F.pmod(F.xxhash64("product_id", "snapshot_date", F.lit(SEED + 1)), F.lit(1 << 30))
-    return marked.where("is_train").where(draw * rows < F.lit(float(most) * (1 << 30)))
+    return trained.where(draw * rows < F.lit(float(most) * (1 << 30)))
 
 
-def train_forest(marked: DataFrame, most: int = FIT_ROWS, held: int | None = None) -> RandomForestClassificationModel:
-    """The forest on the training rows, spread over all cores.
+def train_forest(marked: DataFrame) -> RandomForestClassificationModel:
+    """The forest on all training rows, spread over all cores.
 
-    `most` bounds the labelled rows that are fitted on, and nothing else: the
-    held-out rows are all tested, and all products scored. The rows are written
-    once, as the fit reads them many times.
+    The rows are written once, as the fit reads them many times.
     """
-    rows = materialize(fitting_rows(marked, most, held).select(*FEATURES, "stockout_occurred"))
+    rows = materialize(fitting_rows(marked).select(*FEATURES, "stockout_occurred"))
     spread = rows.repartition(heavy_tasks(rows.sparkSession))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     return forest.fit(_assembled(spread))
@@ -151,13 +147,13 @@ def cell_rows(rows: DataFrame, limits: dict[str, list[float]]) -> DataFrame:
 
 
 def evaluate(
-    model: RandomForestClassificationModel, marked: DataFrame, most: int = FIT_ROWS, held: int | None = None,
+    model: RandomForestClassificationModel, marked: DataFrame, held: int | None = None,
     limits: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """Accuracy, precision and recall (0 when undefined) on the held-out rows; how many rows were fitted on.
 
     With the forest's `limits`, rows of one cell between them are scored once, and
-    count as often as there are.
+    count as often as there are. `held` is the number of training rows, where it is known.
     """
     tested = marked.where(~F.col("is_train"))
     tested = tested.withColumn("copies", F.lit(1)) if limits is None else cell_rows(tested, limits)
@@ -176,17 +172,16 @@ def evaluate(
         F.coalesce(rows, F.lit(0)).alias("n_test"),
     )
     trained = marked.agg(F.count_if("is_train").alias("n_train")).scalar() if held is None else F.lit(held).cast("bigint")
-    fitted = fitting_rows(marked, most, held).agg(F.count(F.lit(1)).alias("n_fitted")).scalar()
     return counted.select(
-        "accuracy", "precision", "recall", trained.alias("n_train"), fitted.alias("n_fitted"), "n_test",
+        "accuracy", "precision", "recall", trained.alias("n_train"), trained.alias("n_fitted"), "n_test",
         (F.col("accuracy") < LOW_ACCURACY).alias("low_accuracy"),
     )
 
 
-def inventory_ml(sales: Sales, store: ResultStore | None = None, most: int = FIT_ROWS) -> RiskModel:
+def inventory_ml(sales: Sales, store: ResultStore | None = None) -> RiskModel:
     """Gate, features, training and metrics; stored under the table's fingerprint and the parameters.
 
-    The forest is fitted on at most about `most` labelled rows.
+    The forest is fitted on all training rows, four fifths of each class.
     """
     activity = materialize(daily_activity(sales)) if sales.has("current_stock") else None
     gate = ml_gate(sales, activity).first()
@@ -203,12 +198,12 @@ def inventory_ml(sales: Sales, store: ResultStore | None = None, most: int = FIT
     if len(classes) < 2 or min(row["rows"] for row in classes) < 2:
         return RiskModel(reason=ONE_CLASS)
     held = sum(int(row["rows"] * TRAIN_SHARE) for row in classes)
-    made_by = {"most": most, "trees": TREES, "depth": DEPTH, "seed": SEED, "share": TRAIN_SHARE}
+    made_by = {"trees": TREES, "depth": DEPTH, "seed": SEED, "share": TRAIN_SHARE}
     marked = split(features, counts=counts)
-    model = store.forest("risk-forest", key, lambda: train_forest(marked, most, held), **made_by)
+    model = store.forest("risk-forest", key, lambda: train_forest(marked), **made_by)
     path = store.path("risk-forest", key, **made_by)
     metrics = store.table(
-        "risk-metrics", key, sales.df, lambda: evaluate(model, marked, most, held, limits_of(spark, path)), **made_by
+        "risk-metrics", key, sales.df, lambda: evaluate(model, marked, held, limits_of(spark, path)), **made_by
     )
     return RiskModel(None, model, path, features, metrics)
 

@@ -134,6 +134,19 @@ def test_split_is_exact_and_the_fit_bounded(history):
     assert 0.5 * trained < risk.fitting_rows(marked, int(0.7 * trained)).count() < 0.9 * trained
 
 
+def labelled(spark, rows, **columns):
+    """Training rows of a made table: features that tell nothing where no expression is given, every 40th row a stockout."""
+    given = {f: "0.0" for f in stockout.FEATURES} | {"stockout_occurred": "int(id % 40 = 0)", "is_train": "true"} | columns
+    key = ["concat('p', id % 1000) AS product_id", "date_add(date'1990-01-01', int(id div 1000)) AS snapshot_date"]
+    return spark.range(rows).selectExpr(*key, *[f"{e} AS {c}" for c, e in given.items()])
+
+
+def test_every_training_row_is_fitted_on(spark):
+    marked = labelled(spark, 150_000, is_train="id % 5 > 0")
+    assert risk.fitting_rows(marked).count() == 120_000
+    assert risk.fitting_rows(marked).where("not is_train").isEmpty()
+
+
 def grown(r, features, depth):
     """A random tree as arrays, with features that come again on a path."""
     tree = {k: [] for k in ("left", "right", "feature", "limit", "value", "cover")}
