@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.forest import bin_limits, bootstrap, grow, impurity
 from granary.operators.stockout import FEATURES, daily_activity, feature_table, ml_gate
+from granary.plans.radix import value_buckets
 from granary.schema import Sales
 from granary.session import checkpoint_folder, heavy_tasks, materialize
 from granary.sources.results import ResultStore, fingerprint
@@ -23,6 +26,10 @@ TREES = 100
 DEPTH = 5
 SEED = 42
 TRAIN_SHARE = 0.8
+# Bins of a feature, features a node looks at, and the largest part of a bin that is one bucket when bins are laid.
+BINS = 32
+PER_NODE = ceil(sqrt(len(FEATURES)))
+BUCKET = 1 / 4
 # Hash cells of the split.
 CELLS = 1 << 16
 HIGH_RISK = 0.66
@@ -100,21 +107,82 @@ def fitting_rows(marked: DataFrame, most: int | None = None) -> DataFrame:
     return trained.where(draw * rows < F.lit(float(most) * (1 << 30)))
 
 
+def bins_of(rows: DataFrame) -> dict[str, list[float]]:
+    """Per feature at most BINS - 1 ascending limits, so that bins hold about equally many of all rows."""
+    buckets = value_buckets(rows, FEATURES, BUCKET / BINS)
+    return {f: bin_limits(*zip(*found), BINS) if found else [] for f, found in buckets.items()}
+
+
 def train_forest(marked: DataFrame) -> RandomForestClassificationModel:
-    """The forest on all training rows, spread over all cores.
+    """The forest on all training rows, a tree per task.
 
-    The rows are written once, as the fit reads them many times.
+    One pass finds the bins and one counts the rows of each cell between them; the
+    number of cells depends on the bins alone, and the trees need nothing else. Each
+    tree draws its bootstrap of the rows by the cell, so the forest depends on what
+    the rows are and not on where they lie.
     """
-    rows = materialize(fitting_rows(marked).select(*FEATURES, "stockout_occurred"))
-    spread = rows.repartition(heavy_tasks(rows.sparkSession))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return forest.fit(_assembled(spread))
+    spark = marked.sparkSession
+    rows = fitting_rows(marked)
+    bins = bins_of(rows)
+    at = [f"_at_{i}" for i in range(len(FEATURES))]
+    cells = cell_rows(rows, bins).select("stockout_occurred", "copies", *at).toPandas()
+    cells = cells.sort_values([*at, "stockout_occurred"])
+    codes, label, copies = cells[at].to_numpy(np.uint8), cells["stockout_occurred"].to_numpy(), cells["copies"].to_numpy()
+    cells = spark.sparkContext.broadcast((codes, label, copies))
+
+    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, label, copies = cells.value
+        for batch in batches:
+            for i in batch["id"]:
+                r = np.random.default_rng([SEED, i])
+                tree = pd.DataFrame(grow(codes, label, bootstrap(copies, r), DEPTH, PER_NODE, r))
+                yield tree.assign(tree=i, node=range(len(tree)), stats=tree["stats"].map(list))[columns]
+
+    columns = ["tree", "node", "left", "right", "feature", "cut", "gain", "stats"]
+    schema = "tree long, node int, left int, right int, feature int, cut int, gain double, stats array<double>"
+    grown = spark.range(0, TREES, 1, heavy_tasks(spark)).mapInPandas(trees, schema)
+    nodes = grown.toPandas().sort_values(["tree", "node"])
+    cells.unpersist()
+    return _as_model(spark, [tree for _, tree in nodes.groupby("tree")], bins)
+
+
+def _as_model(spark, trees: list[pd.DataFrame], bins: Mapping[str, list[float]]) -> RandomForestClassificationModel:
+    """The trees as MLlib's model, so that it scores and stores them."""
+    gateway, ml = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.spark.ml
+    gini = spark.sparkContext._jvm.org.apache.spark.mllib.tree.impurity.GiniCalculator
+    limits = [bins[f] for f in FEATURES]
+
+    def array(kind, values: list):
+        out = gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    def built(tree: pd.DataFrame):
+        nodes = [None] * len(tree)
+        for r in reversed(list(tree.itertuples())):  # children come after their parents
+            stats = gini(array(gateway.jvm.double, [float(n) for n in r.stats]), int(sum(r.stats)))
+            says, mixed = float(np.argmax(r.stats)), float(impurity(np.asarray(r.stats)))
+            if r.left < 0:
+                nodes[r.node] = ml.tree.LeafNode(says, mixed, stats)
+            else:
+                split = ml.tree.ContinuousSplit(int(r.feature), limits[r.feature][r.cut])
+                nodes[r.node] = ml.tree.InternalNode(says, mixed, float(r.gain), nodes[r.left], nodes[r.right], split, stats)
+        return nodes[0]
+
+    settings = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxBins=BINS)
+    settings._transfer_params_to_java()
+    made, size, classes = settings._java_obj, len(FEATURES), 2
+    kind = ml.classification.DecisionTreeClassificationModel
+    models = array(kind, [kind(f"{made.uid()}_{i}", built(tree), size, classes) for i, tree in enumerate(trees)])
+    model = ml.classification.RandomForestClassificationModel(made.uid(), models, size, classes)
+    return RandomForestClassificationModel(made.copyValues(model, made.extractParamMap()))
 
 
 def limits_of(spark, model_path: str) -> dict[str, list[float]]:
     """Per feature the values at which a tree of the stored forest splits, ascending.
 
-    The fit chooses among at most 31 values a feature, however large the table.
+    The fit chooses among at most BINS - 1 values a feature, however large the table.
     """
     found = {f: set() for f in FEATURES}
     for tree in forest_table(spark, model_path):
@@ -198,7 +266,7 @@ def inventory_ml(sales: Sales, store: ResultStore | None = None) -> RiskModel:
     if len(classes) < 2 or min(row["rows"] for row in classes) < 2:
         return RiskModel(reason=ONE_CLASS)
     held = sum(int(row["rows"] * TRAIN_SHARE) for row in classes)
-    made_by = {"trees": TREES, "depth": DEPTH, "seed": SEED, "share": TRAIN_SHARE}
+    made_by = {"trees": TREES, "depth": DEPTH, "bins": BINS, "seed": SEED, "share": TRAIN_SHARE}
     marked = split(features, counts=counts)
     model = store.forest("risk-forest", key, lambda: train_forest(marked), **made_by)
     path = store.path("risk-forest", key, **made_by)

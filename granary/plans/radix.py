@@ -1,4 +1,4 @@
-"""Exact quantiles of a few fields by radix selection: no sort, no written table.
+"""Exact quantiles and counted buckets of a few fields by radix selection: no sort, no written table.
 
 A double becomes a whole number of the same order, read in four digits of 16 bits.
 Each pass counts the digits of the rows that share the digits found so far, at most
@@ -10,14 +10,20 @@ passes, any table takes four at most. All places of all fields share the passes.
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGIT = 16
 DIGITS = 64 // DIGIT
+# Bits that value buckets are first told apart by (sign, exponent, eight of the fraction) and at
+# most (36 of the fraction, so eleven digits); buckets that a later scan may make.
+FIRST_BITS, LAST_BITS, BUCKETS = 20, 48, 1 << 20
 # The layout of a double.
 FRACTION_BITS, BIAS = 52, 1023
 SMALLEST, SMALLEST_NORMAL, LARGEST = 5e-324, 2.0**-1022, (2.0 - 2.0**-52) * 2.0**1023
@@ -141,6 +147,46 @@ def field_quantiles(
     return spark.createDataFrame(out, ", ".join([f"{field} {kind}", *[f"{n} double" for n in names], "n long"]))
 
 
+def value_buckets(df: DataFrame, columns: Sequence[str], share: float) -> dict[str, list[tuple[int, float, float]]]:
+    """Per column its values, counted in ascending buckets: (rows, least, most).
+
+    A bucket holds at most `share` of the column's rows, or is one value, where values that
+    agree to LAST_BITS count as one. Nulls are left out. The first scan tells values apart
+    by their leading bits; only columns with buckets that are too full are read again, by
+    as many further bits as BUCKETS allows. What reaches the driver is bounded by the
+    bits, not by the rows.
+    """
+    found: dict[str, list[tuple[int, float, float]]] = {c: [] for c in columns}
+    too_many: dict[str, float] = {}
+    open_: dict[str, list[tuple[float, float]]] = {c: [] for c in columns}
+    width = FIRST_BITS
+    while open_:
+        fields = list(open_)
+        rows = df.select(F.posexplode(F.array(*fields)).alias("field", "value")).where("value is not null")
+        if too_many:
+            rows = rows.where(reduce(or_, [_within(i, *ends) for i, c in enumerate(fields) for ends in open_[c]]))
+        top = F.shiftright("bits", 64 - width).alias("top")
+        counted = with_bits(rows).groupBy("field", top).agg(*_of_digit()).collect()
+        if not too_many:
+            too_many = {c: share * sum(r["rows"] for r in counted if r["field"] == i) for i, c in enumerate(fields)}
+        open_ = {}
+        for r in counted:
+            c, ends = fields[r["field"]], (r["least"], r["most"])
+            if r["rows"] <= too_many[c] or width == LAST_BITS or _agree(*ends):
+                found[c].append((r["rows"], *ends))
+            else:
+                open_.setdefault(c, []).append(ends)
+        places = sum(map(len, open_.values()))
+        width = min(LAST_BITS, width + max(1, (BUCKETS // max(places, 1)).bit_length() - 1))
+    return {c: sorted(buckets, key=lambda b: (math.isnan(b[1]), b[1])) for c, buckets in found.items()}
+
+
+def _agree(low: float, high: float) -> bool:
+    """Whether two values of one bucket agree to LAST_BITS."""
+    tops = [struct.unpack(">Q", struct.pack(">d", abs(x)))[0] >> (64 - LAST_BITS) for x in (low, high)]
+    return low == high or tops[0] == tops[1]
+
+
 def _of_digit() -> list[Column]:
     return [F.count(F.lit(1)).alias("rows"), F.min("value").alias("least"), F.max("value").alias("most")]
 
@@ -149,5 +195,5 @@ def _holds(rank: str) -> Column:
     return (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("rows"))
 
 
-def _within(field: str, least: float, most: float) -> Column:
+def _within(field: str | int, least: float, most: float) -> Column:
     return (F.col("field") == field) & F.col("value").between(least, most)

@@ -17,7 +17,7 @@ from granary.schema import ORDER_COLUMN
 from granary.session import materialize
 
 #: Raised whenever stored results would come out differently.
-VERSION = 3
+VERSION = 4
 
 
 def dataset_fingerprint(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Running totals, quantiles and hot-key lookups against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from granary.operators import kpis, recommendations, stockout
 from granary.plans import ranking, rollups
 from granary.plans.box import box_numbers
 from granary.plans.lookup import join_lookup
-from granary.plans.radix import field_quantiles, with_bits
+from granary.plans.radix import field_quantiles, value_buckets, with_bits
 from granary.plans.ranking import exact_quantiles, with_running_totals
 from granary.plans.series import product_series, total_series
 from tests.conftest import rows_by
@@ -195,3 +196,26 @@ def test_aggregates_are_written_once_for_a_handle(spark, make_sales, monkeypatch
     assert len(written) == 2 and risk.count() == 2
     monkeypatch.setattr(rollups, "releases", lambda: -1)
     assert kpis.kpi_summary(sales).count() == 2 and len(written) == 4
+
+
+def test_value_buckets_hold_every_row(spark, monkeypatch):
+    r = np.random.default_rng(31)
+    frame = pd.DataFrame({
+        "near": 1e6 + r.integers(0, 400, 5000) / 8, "hot": np.where(r.random(5000) < 0.8, 3.0, r.normal(size=5000)),
+        "noisy": np.sqrt(30.0) * (1 + r.integers(-3, 4, 5000) * 2.0**-52), "odd": [-np.inf, np.inf, np.nan, -0.0, 0.0] * 1000,
+    })
+    rows = [tuple(map(float, row)) for row in frame.itertuples(index=False)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in frame)).withColumn("none", F.lit(None).cast("double"))
+    for most in (1 << 20, 64):
+        monkeypatch.setattr("granary.plans.radix.BUCKETS", most)
+        found = value_buckets(df, df.columns, 0.01)
+        assert found["none"] == [] and len(found["noisy"]) == 1
+        assert found["odd"][:3] == [(1000, -np.inf, -np.inf), (2000, 0.0, 0.0), (1000, np.inf, np.inf)] and found["odd"][3][0] == 1000
+        for c in ("near", "hot", "noisy"):
+            values = np.sort(frame[c].to_numpy())
+            at = 0
+            for rows, least, most_ in found[c]:
+                assert (values[at], values[at + rows - 1]) == (least, most_)
+                assert rows <= 50 or least == most_ or c == "noisy"
+                at += rows
+            assert at == len(values)

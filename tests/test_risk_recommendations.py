@@ -4,9 +4,12 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from granary.functions import forest
 from granary.operators import forecasting as fc
 from granary.operators import recommendations as rec
 from granary.operators import report, risk, stockout
@@ -138,7 +141,8 @@ def labelled(spark, rows, **columns):
     """Training rows of a made table: features that tell nothing where no expression is given, every 40th row a stockout."""
     given = {f: "0.0" for f in stockout.FEATURES} | {"stockout_occurred": "int(id % 40 = 0)", "is_train": "true"} | columns
     key = ["concat('p', id % 1000) AS product_id", "date_add(date'1990-01-01', int(id div 1000)) AS snapshot_date"]
-    return spark.range(rows).selectExpr(*key, *[f"{e} AS {c}" for c, e in given.items()])
+    made = spark.range(rows).selectExpr(*key, *[f"{e} AS {c}" for c, e in given.items()])
+    return made.withColumns({f: F.col(f).cast("double") for f in stockout.FEATURES})
 
 
 def test_every_training_row_is_fitted_on(spark):
@@ -147,6 +151,69 @@ def test_every_training_row_is_fitted_on(spark):
     assert risk.fitting_rows(marked).where("not is_train").isEmpty()
 
 
+def test_a_rare_value_gets_a_limit(spark, tmp_path):
+    # Three of 120,000 rows, and all their outcomes: a sample of the rows would hardly see them.
+    marked = labelled(
+        spark, 120_000, trailing_total_demand="CASE WHEN id % 40000 = 77 THEN 7.0 ELSE id % 5 END",
+        stockout_occurred="int(id % 40000 = 77)",
+    )
+    path = f"{tmp_path}/forest"
+    risk.train_forest(marked).save(path)
+    assert risk.limits_of(spark, path)["trailing_total_demand"] == [5.5]
+    for tree in risk.forest_table(spark, path):
+        assert tree["cover"][0] == pytest.approx(120_000, abs=6 * 120_000**0.5)
+
+
+def test_bins_hold_about_as_many_of_all_rows(spark):
+    # Nine in ten values are one, which has a bin with hardly any other; the others share the rest.
+    marked = labelled(spark, 100_000, days_of_inventory="CASE WHEN id % 10 > 0 THEN 50.0 ELSE id / 1000 END", demand_volatility="double(id % 32)")
+    bins = risk.bins_of(marked)
+    assert bins["trailing_total_demand"] == [] and bins["demand_volatility"] == [i + 0.5 for i in range(31)]
+    values = marked.toPandas()["days_of_inventory"].to_numpy()
+    held = np.bincount(np.searchsorted(bins["days_of_inventory"], values))
+    assert 28 <= len(held) <= 32 and 90_001 <= max(held) < 90_001 + 10_000 / 31 / 2
+    assert sorted(held)[-2] < 1.5 * 10_000 / 31
+
+
+def test_limits_between_odd_values():
+    rows, low, high = [1, 1, 1, 1], [-math.inf, 1.0, math.inf, math.nan], [-math.inf, np.nextafter(1.0, 2), math.inf, math.nan]
+    assert forest.bin_limits(rows, low, high, 32) == [-math.inf, np.nextafter(1.0, 2), math.inf]
+    assert forest.bin_limits([5], [1.0], [2.0], 32) == []
+    spread = forest.bin_limits([1] * 100, range(100), range(100), 4)
+    assert spread == [24.5, 49.5, 74.5]
+
+
+def test_a_tree_is_the_one_mllib_grows(spark):
+    r = np.random.default_rng(5)
+    x = np.column_stack([r.integers(0, n, 4000) for n in (4, 9, 20, 30)])
+    y = (r.random(4000) < 0.1 + 0.6 * ((x[:, 1] > 4) ^ (x[:, 3] < 10))).astype(int)
+    cells, copies = np.unique(np.column_stack([x, y]), axis=0, return_counts=True)
+    tree = forest.grow(cells[:, :4], cells[:, 4], copies.astype(float), 5, 4, r)
+    df = spark.createDataFrame([(Vectors.dense(*map(float, a)), float(b)) for a, b in zip(x, y)], ["features", "label"])
+    theirs = DecisionTreeClassifier(maxDepth=5).fit(df)
+    nodes = [theirs._java_obj.rootNode()]
+    for n in range(len(tree["left"])):
+        node = nodes[n]
+        assert list(node.impurityStats().stats()) == list(tree["stats"][n])
+        if tree["left"][n] < 0:
+            assert node.subtreeDepth() == 0
+            continue
+        assert (node.split().featureIndex(), node.split().threshold()) == (tree["feature"][n], tree["cut"][n] + 0.5)
+        assert node.gain() == pytest.approx(tree["gain"][n])
+        nodes += [None] * (max(tree["left"][n], tree["right"][n]) + 1 - len(nodes))
+        nodes[tree["left"][n]], nodes[tree["right"][n]] = node.leftChild(), node.rightChild()
+    assert theirs.numNodes == len(tree["left"])
+
+
+def test_a_forest_does_not_depend_on_where_its_rows_lie(spark, tmp_path):
+    marked = labelled(spark, 5_000, days_of_inventory="double(id % 97)", stockout_occurred="int(id % 97 < 60 and id % 7 > 1)")
+    for name, rows in (("a", marked), ("b", marked.repartition(3, "days_of_inventory"))):
+        risk.train_forest(rows).save(f"{tmp_path}/{name}")
+    a, b = (risk.forest_table(spark, f"{tmp_path}/{name}") for name in "ab")
+    assert max(len(tree["left"]) for tree in a) > 3
+    assert all((x[k] == y[k]).all() for x, y in zip(a, b, strict=True) for k in x)
+
+
 def grown(r, features, depth):
     """A random tree as arrays, with features that come again on a path."""
     tree = {k: [] for k in ("left", "right", "feature", "limit", "value", "cover")}
