@@ -13,6 +13,7 @@ from granary.functions import forest
 from granary.operators import forecasting as fc
 from granary.operators import recommendations as rec
 from granary.operators import report, risk, stockout
+from granary.schema import OPTIONAL_FIELDS, Sales
 from granary.sources.results import ResultStore
 from tests.conftest import rows_by
 
@@ -151,19 +152,34 @@ def test_every_training_row_is_fitted_on(spark):
     assert risk.fitting_rows(marked).where("not is_train").isEmpty()
 
 
-def test_a_rare_value_gets_a_limit(spark, tmp_path):
-    # Three of 120,000 rows, and all their outcomes: a sample of the rows would hardly see them.
+def test_rare_values_get_limits(spark, tmp_path):
+    # In each feature three of 120,000 rows stand apart, with all the outcomes: a sample of the rows would hardly see them all.
+    apart = {f: f"id % 40000 = {77 + i}" for i, f in enumerate(stockout.FEATURES)}
     marked = labelled(
-        spark, 120_000, trailing_total_demand="CASE WHEN id % 40000 = 77 THEN 7.0 ELSE id % 5 END",
-        stockout_occurred="int(id % 40000 = 77)",
+        spark, 120_000, **{f: f"CASE WHEN {rare} THEN 7.0 ELSE id % 5 END" for f, rare in apart.items()},
+        stockout_occurred=f"int({' OR '.join(apart.values())})",
     )
     path = f"{tmp_path}/forest"
     risk.train_forest(marked).save(path)
-    assert risk.limits_of(spark, path)["trailing_total_demand"] == [5.5]
+    assert all(5.5 in limits for limits in risk.limits_of(spark, path).values())
     for tree in risk.forest_table(spark, path):
         assert tree["cover"][0] == pytest.approx(120_000, abs=6 * 120_000**0.5)
 
 
+def test_the_model_counts_every_snapshot_of_a_large_table(spark, tmp_path):
+    # 30 products with a sale and a reading every 400 days over a hundred years: some 156,000 snapshots.
+    made = spark.range(30 * 92).selectExpr(
+        "concat('p', id div 92) AS product_id", "CAST(date_add(date'1920-01-01', int(id % 92 * 400)) AS timestamp_ntz) AS date",
+        "double(1 + id % 5) AS quantity_sold", "double(id * 7 % 11) AS current_stock",
+    )
+    trained = risk.inventory_ml(Sales(made, dict.fromkeys(OPTIONAL_FIELDS, False) | {"current_stock": True}), ResultStore(str(tmp_path)))
+    metrics, total = trained.metrics.first(), trained.features.count()
+    assert total > 150_000 and metrics["n_train"] + metrics["n_test"] == total
+    assert metrics["n_fitted"] == metrics["n_train"] == pytest.approx(0.8 * total, abs=2)
+    for tree in risk.forest_table(spark, trained.model_path):
+        assert tree["cover"][0] == pytest.approx(metrics["n_train"], abs=6 * total**0.5)
+
+
 def test_bins_hold_about_as_many_of_all_rows(spark):
     # Nine in ten values are one, which has a bin with hardly any other; the others share the rest.
     marked = labelled(spark, 100_000, days_of_inventory="CASE WHEN id % 10 > 0 THEN 50.0 ELSE id / 1000 END", demand_volatility="double(id % 32)")
